@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quoin.llm import simhash
+from quoin.llm import matroska, mixing, simhash, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,8 +16,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_matroska(spark: SparkSession, folder: str) -> DataFrame:
+    return matroska.digests(table(spark, folder, "documents"))
+
+
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"), words=3, radius=3)
 
 
+def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urlfilter.judge(table(spark, folder, "pages"))
+
+
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.taken(mixing.mix(table(spark, folder, "documents").select("doc_id", "source", "text")))
+
+
+QUERIES["op2_matroska"] = op2_matroska
 QUERIES["op4_simhash"] = op4_simhash
+QUERIES["op8_url_filter"] = op8_url_filter
+QUERIES["op9_mixing"] = op9_mixing
