@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quoin.llm import matroska, mixing, simhash, urlfilter
+from quoin.lineage import cut
+from quoin.llm import matroska, mixing, simhash, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,6 +17,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(cut(toxicity.labelled(docs, table(spark, folder, "labels"))))
+    return toxicity.score(docs, model)
+
+
 def op2_matroska(spark: SparkSession, folder: str) -> DataFrame:
     return matroska.digests(table(spark, folder, "documents"))
 
@@ -32,6 +39,7 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(mixing.mix(table(spark, folder, "documents").select("doc_id", "source", "text")))
 
 
+QUERIES["op1_toxicity"] = op1_toxicity
 QUERIES["op2_matroska"] = op2_matroska
 QUERIES["op4_simhash"] = op4_simhash
 QUERIES["op8_url_filter"] = op8_url_filter
