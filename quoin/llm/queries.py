@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quoin.lineage import cut
-from quoin.llm import matroska, mixing, simhash, toxicity, urlfilter
+from quoin.llm import htmltext, matroska, mixing, simhash, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +31,10 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"), words=3, radius=3)
 
 
+def op5_html(spark: SparkSession, folder: str) -> DataFrame:
+    return htmltext.main_texts(table(spark, folder, "pages"))
+
+
 def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urlfilter.judge(table(spark, folder, "pages"))
 
@@ -42,5 +46,6 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES["op1_toxicity"] = op1_toxicity
 QUERIES["op2_matroska"] = op2_matroska
 QUERIES["op4_simhash"] = op4_simhash
+QUERIES["op5_html"] = op5_html
 QUERIES["op8_url_filter"] = op8_url_filter
 QUERIES["op9_mixing"] = op9_mixing
