@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quoin.lineage import cut
-from quoin.llm import htmltext, matroska, mixing, simhash, toxicity, urlfilter
+from quoin.llm import htmltext, matroska, mixing, pieces, quotes, simhash, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +36,11 @@ def op5_html(spark: SparkSession, folder: str) -> DataFrame:
     return htmltext.main_texts(table(spark, folder, "pages"))
 
 
+def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    back = pieces.decode(pieces.encode(table(spark, folder, "documents")))
+    return back.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.lower(F.hex(F.xxhash64("ids"))).alias("ids_hash"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urlfilter.judge(table(spark, folder, "pages"))
 
@@ -43,9 +49,15 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(mixing.mix(table(spark, folder, "documents").select("doc_id", "source", "text")))
 
 
+def op10_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    return quotes.link(table(spark, folder, "conversations"))
+
+
 QUERIES["op1_toxicity"] = op1_toxicity
 QUERIES["op2_matroska"] = op2_matroska
 QUERIES["op4_simhash"] = op4_simhash
 QUERIES["op5_html"] = op5_html
+QUERIES["op7_sentencepiece"] = op7_sentencepiece
 QUERIES["op8_url_filter"] = op8_url_filter
 QUERIES["op9_mixing"] = op9_mixing
+QUERIES["op10_quotes"] = op10_quotes
