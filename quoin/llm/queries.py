@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoin.lineage import cut
-from quoin.llm import htmltext, matroska, mixing, pieces, quotes, simhash, toxicity, urlfilter
+from quoin.llm import htmltext, matroska, mixing, pieces, pii, quotes, simhash, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,10 @@ def op5_html(spark: SparkSession, folder: str) -> DataFrame:
     return htmltext.main_texts(table(spark, folder, "pages"))
 
 
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(table(spark, folder, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     back = pieces.decode(pieces.encode(table(spark, folder, "documents")))
     return back.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.lower(F.hex(F.xxhash64("ids"))).alias("ids_hash"), F.sha2("text", 256).alias("decoded_sha256"))
@@ -57,6 +61,7 @@ QUERIES["op1_toxicity"] = op1_toxicity
 QUERIES["op2_matroska"] = op2_matroska
 QUERIES["op4_simhash"] = op4_simhash
 QUERIES["op5_html"] = op5_html
+QUERIES["op6_pii"] = op6_pii
 QUERIES["op7_sentencepiece"] = op7_sentencepiece
 QUERIES["op8_url_filter"] = op8_url_filter
 QUERIES["op9_mixing"] = op9_mixing
