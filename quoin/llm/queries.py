@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoin.lineage import cut
-from quoin.llm import htmltext, matroska, mixing, pieces, pii, quotes, simhash, toxicity, urlfilter
+from quoin.llm import htmltext, matroska, mixing, pieces, pii, quotes, simhash, toxicity, urlfilter, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,10 @@ def op2_matroska(spark: SparkSession, folder: str) -> DataFrame:
     return matroska.digests(table(spark, folder, "documents"))
 
 
+def op3_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"), words=3, radius=3)
 
@@ -59,6 +63,7 @@ def op10_quotes(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES["op1_toxicity"] = op1_toxicity
 QUERIES["op2_matroska"] = op2_matroska
+QUERIES["op3_vectors"] = op3_vectors
 QUERIES["op4_simhash"] = op4_simhash
 QUERIES["op5_html"] = op5_html
 QUERIES["op6_pii"] = op6_pii
