@@ -1,14 +1,66 @@
-"""The corpus pipeline: STAGES, each (name, function of (spark, docs, sf_dir))."""
+"""The corpus pipeline: STAGES, each (name, function of (spark, docs, sf_dir)) on what the stage before kept."""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quoin.lineage import cut, shared_folder
+from quoin.llm import mixing, pieces, pii, simhash, toxicity
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """n_chars anew, of changed texts."""
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below the threshold; the model learns from labelled ids not held out."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.without_toxic(docs, toxicity.fit(cut(toxicity.labelled(docs, labels))))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts whose five-word shingles are similar by 0.8 or more."""
+    return simhash.one_of_each(docs, words=5, least=0.8)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with each span of personal data replaced by its kind."""
+    return _counted(pii.mask(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each source's documents, drawn until its target in words is met (whole epochs, then a permuted part)."""
+    return _counted(mixing.mixed_rows(mixing.mix(docs), docs.columns).drop("mix_shard", "mix_order")).select(docs.columns)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids): each text's piece ids."""
+    return pieces.encode(docs).select(F.col("id").alias("doc_id"), F.size("ids").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash", drop_near_copies),
+    ("pii", mask_personal_data),
+    ("mixing", mix_sources),
+    ("sentencepiece", encode_pieces),
+]
+
+# SQL has no nearest-example scores or byte-pair merges; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """STAGES applied to documents, each on what the one before wrote."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES applied to documents, each written as Parquet to the shared folder and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for number, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{number}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.lineage import cut
@@ -52,6 +54,25 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(sums * 2 > total).tobytes(), "big")
 
 
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The distinct XXH64 hashes of a text's word shingles, made as for fingerprint(); none without words."""
+    parts = (text or "").encode("utf-8", "replace").lower().split()
+    take = min(words, len(parts))
+    line, ends = b" ".join(parts), list(itertools.accumulate(len(p) + 1 for p in parts))
+    digest = xxhash.xxh64_intdigest
+    some = [digest(line[s : e - 1], SEED) for s, e in zip([0, *ends[:-1]], ends[max(0, take - 1) :], strict=False)]
+    return np.unique(np.array(some, np.uint64))
+
+
+def _wide(hashes: np.ndarray) -> tuple[int, int]:
+    """128 majority bits of distinct hashes, as two signed longs: of the hashes and of the hashes mixed again."""
+    out = []
+    for own in (hashes, (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)):
+        sums = sum((_bit_sums(own[at : at + _AT_ONCE]) for at in range(0, len(own), _AT_ONCE)), np.zeros(64, np.int64))
+        out.append(int.from_bytes(np.packbits(sums * 2 > max(1, len(own))).tobytes(), "big", signed=True))
+    return out[0], out[1]
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(id, fp): each row's fingerprint as a signed long. Null and empty texts have 0; repeated rows stay."""
 
@@ -163,3 +184,140 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = group.groupBy("component").agg(F.min("low").alias("component_id"))
     named = group.join(least, "component").select("fp", "component_id")
     return rows.join(named, "fp").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+WIDE_RADIUS = 32
+HALF_RADIUS = 22
+BLOCK = 128
+BLOCK_SHINGLES = 500_000
+
+
+def _wide_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = [batch.column(i) for i in range(6)]
+        values = [(x.values.to_numpy(), x.offsets.to_numpy()) for x in lists]
+        same = batch.column(6).to_numpy(zero_copy_only=False)
+        lefts, rights = [], []
+        for i in range(batch.num_rows):
+            n1, a1, b1, n2, a2, b2 = (v[o[i] : o[i + 1]] for v, o in values)
+            a1, b1, a2, b2 = (x.view(np.uint64) for x in (a1, b1, a2, b2))
+            found = []
+            for at in range(0, len(a1), 512):
+                p, q = np.nonzero(np.bitwise_count(a1[at : at + 512, None] ^ a2[None, :]) <= HALF_RADIUS)
+                if same[i]:
+                    keep = p + at < q
+                    p, q = p[keep], q[keep]
+                p = p + at
+                close = np.bitwise_count(a1[p] ^ a2[q]) + np.bitwise_count(b1[p] ^ b2[q]) <= WIDE_RADIUS
+                if close.any():
+                    found.append(_forest(n1[p[close]], n2[q[close]]))
+            if found:
+                a, b = (np.concatenate(z) for z in zip(*found, strict=True))
+                a, b = _forest(a, b) if len(found) > 1 else (a, b)
+                lefts.append(a), rights.append(b)
+        if lefts:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in (lefts, rights)], ["a", "b"])
+
+
+def _similar(least: float):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("node")
+        nodes, block = frame.node.to_numpy(), frame.block.to_numpy()
+        sizes = np.array([len(x) for x in frame.hashes])
+        flat = np.concatenate([np.asarray(x, np.int64) for x in frame.hashes]) if len(frame) else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(frame)), sizes)
+        _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = times[column] > 1
+        owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+        both = np.zeros((len(frame), len(frame)), np.float32)
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        width = int(column[-1]) + 1 if len(column) else 0
+        for at in range(0, width, 4096):
+            lo, hi = np.searchsorted(column, [at, at + 4096])
+            part = np.zeros((len(frame), min(4096, width - at)), np.float32)
+            part[owner[lo:hi], column[lo:hi] - at] = 1
+            both += part @ part.T
+        union = sizes[:, None] + sizes[None, :] - both
+        linked = (both >= least * union) & (np.minimum(block[:, None], block[None, :]) == frame.p.iloc[0]) & (np.maximum(block[:, None], block[None, :]) == frame.q.iloc[0])
+        a, b = np.nonzero(np.triu(linked, 1))
+        a, b = _forest(nodes[a], nodes[b]) if len(a) else (nodes[:0], nodes[:0])
+        return pd.DataFrame({"a": a, "b": b})
+
+    return run
+
+
+def similar_groups(docs: DataFrame, text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """(node, component): of the distinct texts linked to others by shingle similarity (Jaccard) of at least least, their group.
+
+    node is xxhash64 of the text (null as empty). 128-bit fingerprints of the distinct shingles are
+    laid in tiles by shingle count (bands of ratio 1/least, so only neighbouring bands can hold
+    similar texts) and, in a band, by population count; tile pairs whose population counts differ
+    beyond the radius of 32 are skipped, the others compared exactly. The radius lies three standard
+    deviations above what similarity 0.8 gives. Groups of candidates are then verified by exact
+    similarity, in blocks of bounded size of which each two meet, so no pair beyond a spanning
+    forest leaves a task and none below least links.
+    """
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for x in batch.column(1):
+                hashes = shingle_hashes(x.as_py(), words)
+                made.append((len(hashes), *_wide(hashes)))
+            columns = list(zip(*made, strict=True)) if made else [[], [], []]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["node", "size", "fa", "fb"])
+
+    marks = cut(texts.select("node", "text").mapInArrow(run, "node long, size long, fa long, fb long").groupBy("node").agg(F.first("size").alias("size"), F.first("fa").alias("fa"), F.first("fb").alias("fb")))
+    band = F.when(F.col("size") > 0, F.floor(F.log(F.col("size").cast("double")) / math.log(1 / least) + 1e-9).cast("int")).otherwise(F.lit(-9))
+    banded = marks.withColumn("band", band).withColumn("ones", F.bit_count("fa") + F.bit_count("fb"))
+    # at most 129 population counts in each of some hundred bands
+    counts = cut(banded.groupBy("band", "ones").agg(F.count("*").alias("n")))
+    upto = F.sum("n").over(Window.partitionBy("band").orderBy("ones"))
+    place = counts.withColumn("before", upto - F.col("n"))
+    spread = (F.col("before") + F.pmod(F.xxhash64("node"), F.col("n"))) / F.lit(TILE)
+    tiles = cut(
+        banded.join(F.broadcast(place), ["band", "ones"])
+        .withColumn("tile", F.floor(spread).cast("int"))
+        .groupBy("band", "tile")
+        .agg(F.sort_array(F.collect_list(F.struct("node", "fa", "fb"))).alias("all"), F.min("ones").alias("least_ones"), F.max("ones").alias("most_ones"))
+    )
+    left = tiles.select(F.col("band").alias("band1"), F.col("tile").alias("tile1"), F.col("all").alias("all1"), F.col("least_ones").alias("l1"), F.col("most_ones").alias("m1"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
+    pairs = left.join(tiles, "band").where("band1 <> band or tile1 <= tile").where(f"l1 - most_ones <= {WIDE_RADIUS} and least_ones - m1 <= {WIDE_RADIUS}")
+    wide = pairs.select("all1.node", "all1.fa", "all1.fb", F.col("all.node").alias("node2"), F.col("all.fa").alias("fa2"), F.col("all.fb").alias("fb2"), (F.col("band1") == F.col("band")) & (F.col("tile1") == F.col("tile")))
+    loose = cut(connected_components(wide.mapInArrow(_wide_edges, "a long, b long")))
+    own = loose.join(marks.select("node", "size"), "node")
+    extent = own.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("size") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    members = own.select("node", "component").join(extent, "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [shingle_hashes(x.as_py(), words).view(np.int64) for x in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(lists, pa.list_(pa.int64())), batch.column(4)], ["node", "component", "block", "hashes", "blocks"])
+
+    one_each = texts.join(members, "node").groupBy("node").agg(F.first("component").alias("component"), F.first("block").alias("block"), F.first("text").alias("text"), F.first("blocks").alias("blocks"))
+    hashed = one_each.mapInArrow(shingle, "node long, component long, block int, hashes array<long>, blocks int")
+    tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("p"), F.greatest("block", k).alias("q"))))
+    met = hashed.withColumn("tile", tile).select("component", "tile.p", "tile.q", "node", "block", "hashes")
+    return connected_components(met.groupBy("component", "p", "q").applyInPandas(_similar(least), "a long, b long"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """docs with one row of each group of similar texts: the one of the smallest id (null last), then of the smallest text hash.
+
+    Groups are the components of texts linked by similarity (see similar_groups), and equal texts;
+    null texts count as empty ones, and all texts without words are one group. Columns stay as they
+    are; nd_node is reserved.
+    """
+    marked = docs.withColumn("nd_node", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    groups = cut(similar_groups(docs, text_col, words, least))
+    ids = marked.groupBy("nd_node", F.col(id_col).alias("nd_id")).agg(F.count("*").alias("nd_rows"))
+    named = cut(ids.join(groups, F.col("nd_node") == F.col("node"), "left").withColumn("nd_group", F.coalesce("component", "nd_node")).withColumn("nd_null", F.col("nd_id").isNull()).select("nd_node", "nd_id", "nd_rows", "nd_group", "nd_null"))
+    best = named.groupBy("nd_group").agg(F.min(F.struct("nd_null", "nd_id", "nd_node")).alias("best"))
+    judged = named.join(best, "nd_group").withColumn("nd_wins", (F.col("best.nd_node") == F.col("nd_node")) & F.col("best.nd_id").eqNullSafe(F.col("nd_id")))
+    keys = [F.col("nd_node").alias("nd_other"), F.col("nd_id").alias("nd_own")]
+    same = (F.col("nd_node") == F.col("nd_other")) & F.col(id_col).eqNullSafe(F.col("nd_own"))
+    kept = marked.join(judged.where("not nd_wins or nd_rows > 1").select(*keys), same, "left_anti")
+    again = marked.join(judged.where("nd_wins and nd_rows > 1").select(*keys), same, "left_semi").dropDuplicates(["nd_node", id_col])
+    return kept.unionByName(again).drop("nd_node")
