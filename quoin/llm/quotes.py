@@ -55,27 +55,31 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     ignored.
     """
     rows = messages.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("lines", _lines(F.col("text"))).withColumn("runs", _passages("lines"))
+    quotes = F.coalesce(F.col("text").rlike("(?m)" + MARKS), F.lit(False))
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
     of = lambda name, quoted: F.filter(name, lambda x: (x["level"] > 0) == F.lit(quoted))
-    kept = F.filter(of("lines", False), lambda x: ~x["text"].rlike(ATTRIBUTION))
-    content = F.regexp_replace(F.array_join(F.transform(kept, lambda x: x["text"]), "\n"), r"^\s+|\s+$", "")
-    deepest = F.array_max(F.transform("lines", lambda x: x["level"]))
-    rows = rows.select(
-        "conv_id",
-        "turn",
-        "role",
-        F.xxhash64("text").alias("mark"),
-        content.alias("content"),
+
+    def parsed(some: DataFrame) -> DataFrame:
+        kept = F.filter(of("lines", False), lambda x: ~x["text"].rlike(ATTRIBUTION))
+        some = some.withColumn("lines", _lines(F.col("text"))).withColumn("runs", _passages("lines"))
+        return some.withColumn("kept", kept).withColumn("content", bare(F.array_join(F.transform("kept", lambda x: x["text"]), "\n")))
+
+    base = rows.withColumn("mark", F.xxhash64("text"))
+    # only messages with a quoted line are parsed to lines; most have none
+    with_quotes = parsed(base.where(quotes)).select(
+        *base.columns,
+        "content",
         F.size(of("runs", True)).alias("n_quotes"),
-        deepest.alias("max_level"),
-        F.when(deepest > 0, _keys(of("runs", True), of("lines", True))).alias("quoted"),
-        _keys(of("runs", False), kept, F.array(F.struct(F.lit(0).alias("level"), content.alias("text")))).alias("written"),
+        F.array_max(F.transform("lines", lambda x: x["level"])).alias("max_level"),
+        _keys(of("runs", True), of("lines", True)).alias("quoted"),
     )
-    quoting = rows.where("max_level > 0 and conv_id is not null and turn is not null")
+    without = base.where(~quotes).select(*base.columns, bare(F.coalesce("text", F.lit(""))).alias("content"), F.lit(0).alias("n_quotes"), F.lit(0).alias("max_level"))
+    quoting = with_quotes.where("conv_id is not null and turn is not null")
     asked = cut(quoting.select("conv_id", "turn", "mark", F.explode("quoted").alias("key")).select("conv_id", "turn", "mark", "key.hash", "key.length", "key.level").distinct())
     wanted = asked.select("conv_id", "hash", "length").distinct()
     quoted_in = asked.select("conv_id").distinct()
-    said = rows.where("turn is not null").join(quoted_in, "conv_id", "left_semi").select("conv_id", "turn", F.explode("written").alias("key"))
+    written = _keys(of("runs", False), F.col("kept"), F.array(F.struct(F.lit(0).alias("level"), F.col("content").alias("text"))))
+    said = parsed(base.where("turn is not null").join(quoted_in, "conv_id", "left_semi")).select("conv_id", "turn", F.explode(written).alias("key"))
     origin = said.select("conv_id", "turn", "key.hash", "key.length").join(wanted, ["conv_id", "hash", "length"], "left_semi").groupBy("conv_id", "hash", "length").agg(F.min("turn").alias("origin"))
     votes = asked.join(origin, ["conv_id", "hash", "length"]).where("origin < turn").groupBy("conv_id", "turn", "mark", "origin").agg(F.sum("length").alias("chars"), F.min("level").alias("level"))
     replies = cut(votes.groupBy("conv_id", "turn", "mark").agg(F.max_by("origin", F.struct(-F.col("level"), "chars", "origin")).alias("reply_to")))
@@ -88,7 +92,7 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         chain = chain.drop("moved")
     roots = chain.select("conv_id", F.col("turn").alias("reply_to"), F.col("above").alias("root"), "steps")
     tied = replies.join(roots, ["conv_id", "reply_to"], "left").select("conv_id", "turn", "mark", "reply_to", F.coalesce("root", "reply_to").alias("root"), (F.coalesce("steps", F.lit(0)) + 1).alias("depth"))
-    linked = rows.join(tied, ["conv_id", "turn", "mark"], "left")
+    linked = with_quotes.drop("quoted").unionByName(without).join(tied, ["conv_id", "turn", "mark"], "left")
     return linked.select(
         "conv_id",
         "turn",
