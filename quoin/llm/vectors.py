@@ -14,7 +14,8 @@ from quoin.lineage import cut
 from quoin.llm.components import connected_components
 
 SAMPLE = 8192
-SHARD = 3000
+SHARD = 800
+MOST = 3000
 DEGREE = 20
 FAR = 4
 POOL = 48
@@ -204,7 +205,7 @@ def _audit(reps: DataFrame, least: float, count: int, counted: DataFrame) -> flo
     return 1.0 if not both["n"] else min(1.0, both["found"] / both["n"])
 
 
-def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, beam: int = BEAM, shard: int = SHARD) -> DataFrame:
+def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, beam: int = BEAM, shard: int = SHARD, most: int = MOST) -> DataFrame:
     """One row (vec_id, n_links, component_id, kept) per row of rows.
 
     Only vectors of equal, known label (and length) are compared, by cosine in double precision.
@@ -212,7 +213,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     clusters (k-means on at most 8,192 nodes); each cluster is a shard whose robust-pruned graph is
     built alone, and a node's adjacency lists are united. In every shard each node then searches the
     united graph from the medoid, expanding its range; pairs found are verified, so none below least
-    links. A cluster beyond shard nodes is cut into hashed blocks, and each two blocks make one shard,
+    links. Clusters have about shard nodes; one beyond most is cut into hashed blocks, and each two blocks make one shard,
     so that no task holds an unbounded group and still every pair meets. Shards return link counts
     and a spanning forest, never all pairs. The recall over 256 nodes is audited by brute force; below
     0.95 the search is repeated with a wider beam and range, twice at most.
@@ -257,7 +258,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     placed = reps.mapInPandas(assign, "label string, vec array<double>, rid long, copies long, dim int, first int, second int")
     placed = placed.withColumn("cluster", F.explode(F.array_distinct(F.array("first", "second"))))
     placed = cut(placed)
-    blocks = placed.groupBy("label", "dim", "cluster").agg(F.ceil(F.count("*") / F.lit(shard)).cast("int").alias("blocks"))
+    blocks = placed.groupBy("label", "dim", "cluster").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("blocks"))
     keyed = placed.join(blocks, ["label", "dim", "cluster"]).withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
     tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("p"), F.greatest("block", k).alias("q"))))
     tiled = keyed.withColumn("tile", tile).select("label", "dim", "cluster", "tile.p", "tile.q", "rid", "vec", "copies", "first", "second", "block")
