@@ -1,10 +1,448 @@
-"""The registered queries over the reference's operators and their DuckDB oracles."""
+"""The registered queries over the engine's operators and their DuckDB oracles."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quoin.functions import angles as an
+from quoin.functions import geometry as g
+from quoin.operators import aggregates as ag
+from quoin.operators import filters as fl
+from quoin.operators import joins as jn
+from quoin.operators import spatial as sp
+from quoin.plans import views as v
+from quoin.sources import tables as t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+ANGLES = an.angle_set([60.0, 90.0])
+RIGHT = an.angle_set([90.0])
+SCALE = 0.05
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a query, and its oracle if there is one."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    """Columns rounded, with 0 for -0, so that two engines agree."""
+    return df.withColumns({c: F.round(F.col(c), places) + 0.0 for c in columns})
+
+
+def r(sql: str, places: int = 6) -> str:
+    return f"(round({sql}, {places}) + 0e0)"
+
+
+def planes_emb(spark: SparkSession, d: str) -> DataFrame:
+    return ag.plane_fit(t.points_embeddings(spark, d)).withColumn("did", F.col("gid"))
+
+
+def planes_li(spark: SparkSession, d: str) -> DataFrame:
+    return ag.plane_fit(t.points_lineitem(spark, d)).withColumn("did", F.col("gid"))
+
+
+# --- aggregates
+
+
+@query("load_assoc", f"WITH {v.PTS_EV}, {v.ASSOC} SELECT p.pid, a.gid, {r('p.x')} AS x FROM pts_ev p LEFT JOIN assoc_ord a ON p.pid = a.pid")
+def load_assoc(spark, d):
+    from quoin.sources.files import with_assignments
+
+    return rounded(with_assignments(t.points_events(spark, d), t.assignments_orders(spark, d)).select("pid", "gid", "x"), "x")
+
+
+@query("populations", f"WITH {v.ASSOC} SELECT gid, count(*) AS n FROM assoc_ord WHERE gid IS NOT NULL GROUP BY gid")
+def populations(spark, d):
+    return ag.populations(t.assignments_orders(spark, d))
+
+
+@query("population_lists", f"WITH {v.ASSOC} SELECT gid, string_agg(CAST(pid AS VARCHAR), ' ' ORDER BY pid) AS pids, count(*) AS n FROM assoc_ord GROUP BY gid")
+def population_lists(spark, d):
+    return ag.population_lists(t.assignments_orders(spark, d)).withColumn("pids", F.array_join(F.transform("pids", lambda x: x.cast("string")), " "))
+
+
+@query("centroids", f"WITH {v.PTS_LI} SELECT gid, {r('avg(x)')} AS cx, {r('avg(y)')} AS cy, {r('avg(z)')} AS cz FROM pts_li GROUP BY gid")
+def centroids(spark, d):
+    return rounded(ag.centroids(t.points_lineitem(spark, d)), "cx", "cy", "cz")
+
+
+@query("weighted_centroids", f"WITH {v.PTS_LI} SELECT gid, {r('sum(x*y)/sum(y)')} AS cx, {r('sum(y*y)/sum(y)')} AS cy, {r('sum(z*y)/sum(y)')} AS cz FROM pts_li GROUP BY gid")
+def weighted_centroids(spark, d):
+    return rounded(ag.centroids(t.points_lineitem(spark, d).withColumn("w", F.col("y")), "w"), "cx", "cy", "cz")
+
+
+_SC = ", ".join(f"{r(c, 5)} AS {c}" for c in ag.S)
+
+
+@query("scatter", f"WITH {v.PTS_LI}, {v.moments('pts_li')} SELECT gid, n, {_SC} FROM mo")
+def scatter(spark, d):
+    return rounded(ag.moments(t.points_lineitem(spark, d)).select("gid", "n", *ag.S), *ag.S, places=5)
+
+
+@query("eigenvalues", f"WITH {v.PTS_LI}, {v.moments('pts_li')}, {v.EIGEN} SELECT gid, {r('l0', 5)} AS l0, {r('l1', 5)} AS l1, {r('l2', 5)} AS l2 FROM eig")
+def eigenvalues(spark, d):
+    return rounded(ag.eigenvalues(ag.moments(t.points_lineitem(spark, d))).select("gid", "l0", "l1", "l2"), "l0", "l1", "l2", places=5)
+
+
+@query("plane_fit_round0", f"WITH {v.PLANES_LI} SELECT gid, n, " + ", ".join(f"{r(c, 5)} AS {c}" for c in ("px", "py", "pz", "nx", "ny", "nz")) + " FROM planes")
+def plane_fit_round0(spark, d):
+    return rounded(planes_li(spark, d).select("gid", "n", "px", "py", "pz", "nx", "ny", "nz"), "px", "py", "pz", "nx", "ny", "nz", places=5)
+
+
+@query("line_fit_round0", f"WITH {v.LINES_EMB} SELECT gid, n, " + ", ".join(f"{r(c, 5)} AS {c}" for c in ("px", "py", "pz", "nx", "ny", "nz")) + " FROM lines")
+def line_fit_round0(spark, d):
+    return rounded(ag.line_fit(t.points_embeddings(spark, d)).select("gid", "n", "px", "py", "pz", "nx", "ny", "nz"), "px", "py", "pz", "nx", "ny", "nz", places=5)
+
+
+@query("significance", f"WITH {v.PTS_LI}, {v.moments('pts_li')}, {v.EIGEN} SELECT gid, n, {r('sqrt(sqrt(greatest(l1*l2, 0e0)))', 5)} AS significance FROM eig")
+def significance(spark, d):
+    return rounded(ag.significance(ag.moments(t.points_lineitem(spark, d))), "significance", places=5)
+
+
+@query("bbox", f"WITH {v.PTS_LI} SELECT gid, " + ", ".join(f"{r(f'{m}({c})')} AS {m}_{c}" for c in "xyz" for m in ("min", "max")) + " FROM pts_li GROUP BY gid")
+def bbox(spark, d):
+    return rounded(ag.box(t.points_lineitem(spark, d), ["gid"]), *[f"{m}_{c}" for c in "xyz" for m in ("min", "max")])
+
+
+@query("voxel_grid", f"WITH {v.PTS_LI} SELECT CAST(floor(x/0.25e0) AS BIGINT) AS ix, CAST(floor(y/0.25e0) AS BIGINT) AS iy, CAST(floor(z/0.25e0) AS BIGINT) AS iz, {r('avg(x)')} AS x, {r('avg(y)')} AS y, {r('avg(z)')} AS z, count(*) AS n FROM pts_li GROUP BY 1, 2, 3")
+def voxel_grid(spark, d):
+    return rounded(ag.voxel_grid(t.points_lineitem(spark, d), 0.25), "x", "y", "z")
+
+
+@query("data_cost", f"WITH {v.PLANES_LI} SELECT p.gid, p.gid AS did, {r('avg(pow((q.x-p.px)*p.nx+(q.y-p.py)*p.ny+(q.z-p.pz)*p.nz, 2))')} AS cost FROM planes p JOIN pts_li q ON p.gid = q.gid GROUP BY p.gid")
+def data_cost(spark, d):
+    return rounded(ag.data_cost(t.points_lineitem(spark, d), planes_li(spark, d)), "cost")
+
+
+_ENERGY = f"""WITH {v.PLANES_LI}, lin AS (SELECT p.gid, avg(pow((q.x-p.px)*p.nx+(q.y-p.py)*p.ny+(q.z-p.pz)*p.nz, 2)) AS q FROM planes p JOIN pts_li q ON p.gid = q.gid GROUP BY p.gid),
+quad AS (SELECT sqrt({v.nearest_diff(v.angle('a', 'b'), RIGHT)}) AS q FROM planes a JOIN planes b ON a.gid <> b.gid WHERE a.gid < 200 AND b.gid < 200)
+SELECT {r('(SELECT sum(q) FROM lin)', 4)} AS data, {r('(SELECT sum(q) FROM quad)', 3)} AS pairwise"""
+
+
+@query("energy", _ENERGY)
+def energy(spark, d):
+    """Energy of the arrangement of all suppliers' planes; direction pairs among the first 200, the number a selection problem may hold."""
+    planes = planes_li(spark, d)
+    linear = ag.data_cost(t.points_lineitem(spark, d), planes).select(F.col("gid").alias("var"), F.col("cost").alias("q"))
+    quad = jn.direction_costs(planes.where("did < 200"), RIGHT, 1.0).select(F.col("did_a").alias("v0"), F.col("did_b").alias("v1"), F.col("cost").alias("q"))
+    out = ag.energy(linear, quad).select("data", "pairwise")
+    return out.select((F.round("data", 4) + 0.0).alias("data"), (F.round("pairwise", 3) + 0.0).alias("pairwise"))
+
+
+@query("refit_simple", f"WITH {v.PLANES_LI}, d AS (SELECT q.*, p.px, p.py, p.pz, p.nx, p.ny, p.nz, (q.x-p.px)*p.nx+(q.y-p.py)*p.ny+(q.z-p.pz)*p.nz AS s FROM pts_li q JOIN planes p ON p.gid = q.gid), m AS (SELECT gid, avg(x-s*nx) AS mx, avg(y-s*ny) AS my, avg(z-s*nz) AS mz FROM d WHERE abs(s) < 0.2e0 GROUP BY gid) SELECT p.gid, {r('coalesce(mx, px)', 5)} AS px, {r('coalesce(my, py)', 5)} AS py, {r('coalesce(mz, pz)', 5)} AS pz FROM planes p LEFT JOIN m ON m.gid = p.gid")
+def refit_simple(spark, d):
+    return rounded(ag.refit_simple(t.points_lineitem(spark, d), planes_li(spark, d), 0.2).select("gid", "px", "py", "pz"), "px", "py", "pz", places=5)
+
+
+# primitives of lineitem suppliers with a direction (their nation) and a status
+_PRIMS = f"{v.PLANES_LI}, prims AS (SELECT p.*, CAST(s.s_nationkey AS BIGINT) AS did, CASE WHEN p.gid % 7 = 0 THEN 2 WHEN p.gid % 5 = 0 THEN -1 ELSE 1 END AS status FROM planes p JOIN supplier s ON s.s_suppkey = p.gid)"
+
+
+def primitives(spark, d) -> DataFrame:
+    nation = t.read(spark, d, "supplier").select(F.col("s_suppkey").alias("gid"), F.col("s_nationkey").cast("long").alias("did"))
+    status = F.when(F.col("gid") % 7 == 0, 2).when(F.col("gid") % 5 == 0, -1).otherwise(1)
+    return ag.plane_fit(t.points_lineitem(spark, d)).join(nation, "gid").withColumn("status", status)
+
+
+@query("direction_arity", f"WITH {_PRIMS} SELECT did, count(*) AS n FROM prims GROUP BY did")
+def direction_arity(spark, d):
+    return ag.direction_arity(primitives(spark, d))
+
+
+@query("direction_points", f"WITH {_PRIMS} SELECT did, CAST(sum(n) AS BIGINT) AS n FROM prims WHERE status IN (1, 3) GROUP BY did")
+def direction_points(spark, d):
+    return ag.direction_points(t.points_lineitem(spark, d), primitives(spark, d).drop("n"))
+
+
+@query("representatives", f"WITH {_PRIMS}, k AS (SELECT *, row_number() OVER (PARTITION BY did ORDER BY n DESC, gid) AS k FROM prims) SELECT did, gid, n FROM k WHERE k = 1")
+def representatives(spark, d):
+    return ag.representatives(primitives(spark, d).select("did", "gid", "n"), "n")
+
+
+@query("active_directions", f"WITH {_PRIMS} SELECT count(DISTINCT did) AS directions FROM prims WHERE status = 1")
+def active_directions(spark, d):
+    return ag.active_directions(primitives(spark, d))
+
+
+@query("relation_stats", f"WITH {_PRIMS}, a AS (SELECT did, count(*) AS n FROM prims GROUP BY did) SELECT CAST(sum(n) AS BIGINT) AS nodes, count(*) AS metanodes, CAST(sum(n*(n-1)//2) AS BIGINT) AS edges FROM a")
+def relation_stats(spark, d):
+    return ag.relation_statistics(primitives(spark, d))
+
+
+_HIST = f"""{_PRIMS}, ideal AS (SELECT * FROM (VALUES {", ".join(f"({i}, {a!r})" for i, a in enumerate(ANGLES))}) AS i(idx, a)),
+pr AS (SELECT a.did AS did_a, b.did AS did_b, a.gid AS ga, b.gid AS gb, {v.angle('a', 'b')} AS ang FROM prims a JOIN prims b ON a.gid < b.gid WHERE a.gid < 200 AND b.gid < 200),
+best AS (SELECT did_a, did_b, ga, gb, min(abs(ang - a)) AS diff, arg_min(idx, abs(ang - a)) AS idx FROM pr, ideal GROUP BY ALL),
+ex AS (SELECT did_a AS did, idx FROM best WHERE diff < 0.05e0 UNION ALL SELECT did_b, idx FROM best WHERE diff < 0.05e0),
+hist AS (SELECT did, idx AS angle_id, count(*) AS n FROM ex GROUP BY did, idx)"""
+
+
+@query("angle_histogram", f"WITH {_HIST} SELECT did, CAST(angle_id AS INTEGER) AS angle_id, n FROM hist")
+def angle_histogram(spark, d):
+    return ag.angle_histogram(jn.pair_angles(primitives(spark, d).where("gid < 200"), ANGLES), 0.05)
+
+
+@query("generator_votes", f"WITH {_HIST}, gv AS (SELECT did, gen, CAST(sum(n) AS BIGINT) AS votes FROM hist JOIN (SELECT idx, gen FROM ideal, (VALUES (60e0), (90e0)) AS g(gen) WHERE a > 1e-6 AND abs(a/radians(gen) - round(a/radians(gen)))*radians(gen) < radians(0.5e0)) m ON m.idx = hist.angle_id GROUP BY did, gen), k AS (SELECT *, row_number() OVER (PARTITION BY did ORDER BY votes DESC, gen) AS k FROM gv) SELECT did, gen AS degrees, votes FROM k WHERE k = 1")
+def generator_votes(spark, d):
+    votes = ag.generator_votes(angle_histogram(spark, d), ANGLES, [math.radians(60.0), math.radians(90.0)])
+    return votes.select("did", F.round(F.degrees("generator"), 0).alias("degrees"), "votes")
+
+
+# --- filters
+
+
+@query("pop_limit", f"WITH {v.ASSOC} SELECT gid, count(*) AS n FROM assoc_ord GROUP BY gid HAVING count(*) >= 12")
+def pop_limit(spark, d):
+    return fl.popular(t.assignments_orders(spark, d), 12)
+
+
+@query("promotion_status", f"WITH {_PRIMS} SELECT gid, did, CASE WHEN status IN (2, -1) THEN CASE WHEN n > 590 AND sqrt(sqrt(greatest(l1*l2, 0e0))) >= 10e0 THEN -1 ELSE 2 END ELSE status END AS status FROM prims")
+def promotion_status(spark, d):
+    points = t.points_lineitem(spark, d)
+    out = fl.promoted(primitives(spark, d).select("gid", "did", "status"), points, ag.significance(ag.moments(points)), 590, 200.0, SCALE)
+    return out.withColumn("status", F.col("status").cast("int"))
+
+
+@query("inliers", f"WITH {v.PLANES_LI} SELECT q.gid, count(*) AS n FROM pts_li q JOIN planes p ON p.gid = q.gid WHERE abs((q.x-p.px)*p.nx+(q.y-p.py)*p.ny+(q.z-p.pz)*p.nz) < 0.1234567e0 GROUP BY q.gid")
+def inliers(spark, d):
+    p = t.points_lineitem(spark, d).join(planes_li(spark, d).drop("n", "did"), "gid")
+    return ag.populations(p.where(g.plane_distance(g.Vec.of("x", "y", "z"), g.Vec.of("px", "py", "pz"), g.Vec.of("nx", "ny", "nz")) < 0.1234567))
+
+
+@query("unassigned_prims_removed", f"WITH {v.ASSOC} SELECT c_custkey AS gid FROM customer WHERE c_custkey IN (SELECT gid FROM assoc_ord)")
+def unassigned_prims_removed(spark, d):
+    return fl.with_points(t.read(spark, d, "customer").select(F.col("c_custkey").alias("gid")), t.assignments_orders(spark, d))
+
+
+@query("unassigned_prims", f"WITH {v.ASSOC} SELECT c_custkey AS gid FROM customer WHERE c_custkey NOT IN (SELECT gid FROM assoc_ord WHERE gid IS NOT NULL)")
+def unassigned_prims(spark, d):
+    return fl.without_points(t.read(spark, d, "customer").select(F.col("c_custkey").alias("gid")), t.assignments_orders(spark, d))
+
+
+@query("orphans", f"WITH {v.ASSOC} SELECT pid, gid FROM assoc_ord WHERE gid IS NULL OR gid IN (SELECT gid FROM assoc_ord GROUP BY gid HAVING count(*) < 8)")
+def orphans(spark, d):
+    return fl.orphans(t.assignments_orders(spark, d), 8).select("pid", "gid")
+
+
+@query("singles_removed", f"WITH {_PRIMS}, a AS (SELECT *, count(*) OVER (PARTITION BY did) AS arity FROM prims) SELECT gid, did FROM a WHERE arity > 1 OR status = 2 OR n > 1180")
+def singles_removed(spark, d):
+    return fl.without_singles(primitives(spark, d).select("gid", "did", "status"), t.points_lineitem(spark, d), 590).select("gid", "did")
+
+
+@query("stratified_unassign", f"WITH {v.ASSOC}, k AS (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY pid) AS k, count(*) OVER (PARTITION BY gid) AS n FROM assoc_ord) SELECT pid, CASE WHEN k <= greatest(3, floor(n*0.5e0)) THEN gid END AS gid FROM k")
+def stratified_unassign(spark, d):
+    return fl.stratified_unassign(t.assignments_orders(spark, d), 0.5, 3)
+
+
+@query("largest_patches", f"WITH {v.ASSOC} SELECT gid, count(*) AS n FROM assoc_ord GROUP BY gid ORDER BY n DESC, gid LIMIT 25")
+def largest_patches(spark, d):
+    """A top-k report."""
+    return fl.largest_patches(t.assignments_orders(spark, d), 25)
+
+
+@query("represent_assoc", f"WITH {_PRIMS}, k AS (SELECT *, row_number() OVER (PARTITION BY did ORDER BY n DESC, gid) AS k FROM prims) SELECT q.gid AS old, CASE WHEN q.gid IN (SELECT gid FROM k WHERE k = 1) THEN q.gid END AS gid, count(*) AS n FROM pts_li q GROUP BY q.gid")
+def represent_assoc(spark, d):
+    keep = representatives(spark, d).select("gid").withColumn("mark", F.lit(1))
+    n = ag.populations(t.points_lineitem(spark, d)).join(F.broadcast(keep), "gid", "left")
+    return n.select(F.col("gid").alias("old"), F.when(F.col("mark") == 1, F.col("gid")).alias("gid"), "n")
+
+
+@query("dedupe_candidates", f"WITH {v.PTS_EMB}, c AS (SELECT *, row_number() OVER (PARTITION BY gid, CAST(round(nx/0.5e0) AS BIGINT), CAST(round(ny/0.5e0) AS BIGINT), CAST(round(nz/0.5e0) AS BIGINT) ORDER BY pid) AS k FROM pts_emb) SELECT gid, pid FROM c WHERE k = 1")
+def dedupe_candidates(spark, d):
+    c = t.points_embeddings(spark, d).withColumn("did", F.col("gid")).withColumn("lid", F.col("pid"))
+    return fl.deduplicated(c, 0.5).select("gid", "pid")
+
+
+# --- scalar geometry
+
+
+@query("pair_angles", f"WITH {v.PTS_EMB} SELECT a.pid AS pid_a, b.pid AS pid_b, {r(v.angle('a', 'b'))} AS angle FROM pts_emb a JOIN pts_emb b ON a.gid = b.gid AND a.pid < b.pid")
+def pair_angles(spark, d):
+    p = t.points_embeddings(spark, d)
+    a, b = (p.select(F.col("pid").alias(f"pid_{s}"), "gid", *[F.col(c).alias(f"{c}_{s}") for c in ("nx", "ny", "nz")]) for s in "ab")
+    angle = g.angle(g.Vec.of("nx_a", "ny_a", "nz_a"), g.Vec.of("nx_b", "ny_b", "nz_b"))
+    return a.join(b, "gid").where("pid_a < pid_b").select("pid_a", "pid_b", (F.round(angle, 6) + 0.0).alias("angle"))
+
+
+@query("nearest_ideal_angle", f"WITH {v.PTS_EMB}, s AS (SELECT pid, atan2(sqrt(ny*ny+nz*nz), nx) AS ang FROM pts_emb), i AS (SELECT * FROM (VALUES {', '.join(f'({i}, {a!r})' for i, a in enumerate(ANGLES))}) AS i(idx, a)) SELECT pid, {r('min(abs(ang-a))')} AS diff, CAST(arg_min(idx, abs(ang-a)) AS INTEGER) AS index FROM s, i GROUP BY pid")
+def nearest_ideal_angle(spark, d):
+    best = an.nearest(g.angle(g.Vec.of("nx", "ny", "nz"), g.Vec.lit(1, 0, 0)), ANGLES)
+    return t.points_embeddings(spark, d).select("pid", best.alias("b")).select("pid", (F.round("b.diff", 6) + 0.0).alias("diff"), F.col("b.index").alias("index"))
+
+
+@query("plane_distance", f"WITH {v.PLANES_EMB} SELECT q.pid, {r('(q.x-p.px)*p.nx+(q.y-p.py)*p.ny+(q.z-p.pz)*p.nz')} AS signed, {r('abs((q.x-p.px)*p.nx+(q.y-p.py)*p.ny+(q.z-p.pz)*p.nz)')} AS distance FROM pts_emb q JOIN planes p ON p.gid = q.gid")
+def plane_distance(spark, d):
+    p = t.points_embeddings(spark, d).select("pid", "gid", "x", "y", "z").join(planes_emb(spark, d), "gid")
+    own = [g.plane_distance(g.Vec.of("x", "y", "z"), g.Vec.of("px", "py", "pz"), g.Vec.of("nx", "ny", "nz"), s) for s in (True, False)]
+    return p.select("pid", *[(F.round(c, 6) + 0.0).alias(k) for k, c in zip(("signed", "distance"), own, strict=True)])
+
+
+@query("line_distance", f"WITH {v.LINES_EMB} SELECT q.pid, {r('sqrt(pow((p.py-q.y)*p.nz-(p.pz-q.z)*p.ny,2)+pow((p.pz-q.z)*p.nx-(p.px-q.x)*p.nz,2)+pow((p.px-q.x)*p.ny-(p.py-q.y)*p.nx,2))')} AS distance FROM pts_emb q JOIN lines p ON p.gid = q.gid")
+def line_distance(spark, d):
+    p = t.points_embeddings(spark, d).select("pid", "gid", "x", "y", "z").join(ag.line_fit(t.points_embeddings(spark, d)), "gid")
+    return p.select("pid", (F.round(g.line_distance(g.Vec.of("x", "y", "z"), g.Vec.of("px", "py", "pz"), g.Vec.of("nx", "ny", "nz")), 6) + 0.0).alias("distance"))
+
+
+_SEG = """, sg AS (SELECT pid, x, y, z, CASE WHEN 1e0 > 0 THEN x*0.6e0+y*0.8e0 END AS s FROM pts_emb)
+SELECT pid, (round(CASE WHEN s/0.2e0 BETWEEN 0 AND 1 THEN sqrt(pow(x-s*0.6e0,2)+pow(y-s*0.8e0,2)+z*z) ELSE least(sqrt(x*x+y*y+z*z), sqrt(pow(x-0.12e0,2)+pow(y-0.16e0,2)+z*z)) END, 6) + 0e0) AS distance FROM sg"""
+
+
+@query("finite_line_distance", f"WITH {v.PTS_EMB}{_SEG}")
+def finite_line_distance(spark, d):
+    p = t.points_embeddings(spark, d)
+    own = g.segment_distance(g.Vec.of("x", "y", "z"), g.Vec.lit(0, 0, 0), g.Vec.lit(0.12, 0.16, 0))
+    return p.select("pid", (F.round(own, 6) + 0.0).alias("distance"))
+
+
+@query("rectangle_distance", f"WITH {v.PTS_EMB} SELECT pid, {r('sqrt(pow(greatest(-x, x-0.2e0, 0e0),2)+pow(greatest(-y, y-0.1e0, 0e0),2)+z*z)')} AS distance FROM pts_emb")
+def rectangle_distance(spark, d):
+    own = g.rectangle_distance(g.Vec.of("x", "y", "z"), g.Vec.lit(0, 0, 0), g.Vec.lit(0.2, 0, 0), g.Vec.lit(0, 0.1, 0))
+    return t.points_embeddings(spark, d).select("pid", (F.round(own, 6) + 0.0).alias("distance"))
+
+
+@query("rotate_to_ideal", f"WITH {v.PTS_EMB} SELECT pid, {r('nx*cos(0.5e0)-ny*sin(0.5e0)')} AS nx, {r('nx*sin(0.5e0)+ny*cos(0.5e0)')} AS ny, {r('nz')} AS nz FROM pts_emb")
+def rotate_to_ideal(spark, d):
+    turned = g.rotated(g.Vec.of("nx", "ny", "nz"), g.Vec.lit(0, 0, 1), F.lit(0.5))
+    return t.points_embeddings(spark, d).select("pid", *[(F.round(c, 6) + 0.0).alias(k) for k, c in zip(("nx", "ny", "nz"), turned, strict=True)])
+
+
+@query("robust_weights", f"WITH {v.PLANES_LI}, w AS (SELECT q.gid, abs((q.x-p.px)*p.nx+(q.y-p.py)*p.ny+(q.z-p.pz)*p.nz) AS s FROM pts_li q JOIN planes p ON p.gid = q.gid) SELECT gid, {r('sum(CASE WHEN s < 0.3e0 THEN pow(pow(s/0.3e0,2)-1,2) ELSE 0e0 END)', 4)} AS weight FROM w GROUP BY gid")
+def robust_weights(spark, d):
+    p = t.points_lineitem(spark, d).join(planes_li(spark, d).drop("n", "did"), "gid")
+    s = g.plane_distance(g.Vec.of("x", "y", "z"), g.Vec.of("px", "py", "pz"), g.Vec.of("nx", "ny", "nz"))
+    return rounded(p.groupBy("gid").agg(F.sum(g.robust_weight(s, 0.3)).alias("weight")), "weight", places=4)
+
+
+@query("hough", f"WITH {v.LINES_EMB}, h AS (SELECT gid, -ny/sqrt(nx*nx+ny*ny) AS hx, nx/sqrt(nx*nx+ny*ny) AS hy, px, py FROM lines), h2 AS (SELECT *, px*hx+py*hy AS s, CASE WHEN px*hx+py*hy < 0 THEN -1e0 ELSE 1e0 END AS f FROM h) SELECT gid, {r('s*f', 5)} AS r, {r('atan2(hy*f, hx*f)', 5)} AS angle FROM h2")
+def hough(spark, d):
+    from quoin.sources.files import hough_rows
+
+    return rounded(hough_rows(ag.line_fit(t.points_embeddings(spark, d))), "r", "angle", places=5)
+
+
+@query("gauss_sphere", f"WITH {v.PTS_EMB} SELECT pid, {r('nx')} AS x, {r('ny')} AS y, {r('nz')} AS z, {r('x')} AS nx, {r('y')} AS ny, {r('z')} AS nz FROM pts_emb")
+def gauss_sphere(spark, d):
+    from quoin.operators.scene import swapped
+
+    return rounded(swapped(t.points_embeddings(spark, d)).select("pid", "x", "y", "z", "nx", "ny", "nz"), "x", "y", "z", "nx", "ny", "nz")
+
+
+@query("angle_set", "WITH g AS (SELECT * FROM (VALUES (60e0), (90e0)) AS g(d)), m AS (SELECT DISTINCT round(k*radians(d), 6) AS angle FROM g, range(1, 10) AS s(k) WHERE k*radians(d) < 3.141592653589793e0 - 1e-6 UNION SELECT 0e0 UNION SELECT round(3.141592653589793e0, 6)) SELECT angle FROM m")
+def angle_set(spark, d):
+    return an.angle_table(spark.createDataFrame([(60.0,), (90.0,)], "degrees double")).select(F.round("angle", 6).alias("angle"))
+
+
+@query("normal_cloud", f"WITH {v.PTS_EV} SELECT pid, {r('y*500e0')} AS value, CASE WHEN y < 0.1e0 THEN 'blue' WHEN y < 0.2e0 THEN 'green' WHEN y < 0.3e0 THEN 'yellow' ELSE 'red' END AS colour FROM pts_ev")
+def normal_cloud(spark, d):
+    return t.points_events(spark, d).select("pid", (F.round(F.col("y") * 500.0, 6) + 0.0).alias("value"), g.distance_colour(F.col("y"), 0.4).alias("colour"))
+
+
+# --- spatial and other joins
+
+
+@query("radius_join", f"WITH {v.PTS_EMB} SELECT a.pid AS pid_a, b.pid AS pid_b, {r(v.distance2('a', 'b'), 8)} AS d2 FROM pts_emb a JOIN pts_emb b ON a.pid <> b.pid WHERE {v.distance2('a', 'b')} < 0.06e0*0.06e0")
+def radius_join(spark, d):
+    return rounded(sp.neighbours(t.points_embeddings(spark, d), 0.06), "d2", places=8)
+
+
+@query("knn", f"WITH {v.PTS_EMB}, k AS (SELECT a.pid AS pid_a, b.pid AS pid_b, row_number() OVER (PARTITION BY a.pid ORDER BY {v.distance2('a', 'b')}, b.pid) AS place FROM pts_emb a JOIN pts_emb b ON a.pid <> b.pid) SELECT pid_a, pid_b, place FROM k WHERE place <= 5")
+def knn(spark, d):
+    p = t.points_embeddings(spark, d)
+    return sp.nearest(p, p, 5, 0.1).select("pid_a", "pid_b", F.col("place").cast("long").alias("place"))
+
+
+@query("patch_proximity", f"WITH {v.PTS_EMB} SELECT DISTINCT a.gid AS gid_a, b.gid AS gid_b FROM pts_emb a JOIN pts_emb b ON a.gid < b.gid WHERE {v.distance2('a', 'b')} < 0.03e0*0.03e0")
+def patch_proximity(spark, d):
+    return sp.patch_proximity(t.points_embeddings(spark, d), 0.03)
+
+
+@query("candidate_pairs", f"WITH {_HIST} SELECT ga AS gid_a, gb AS gid_b, {r('diff', 5)} AS diff FROM best WHERE diff < 0.1e0")
+def candidate_pairs(spark, d):
+    pairs = jn.pair_angles(primitives(spark, d).where("gid < 200"), ANGLES, 0.1)
+    return rounded(pairs.select("gid_a", "gid_b", "diff"), "diff", places=5)
+
+
+@query("spatial_pairs", f"WITH {v.PTS_EMB}, pp AS (SELECT DISTINCT a.gid AS ga, b.gid AS gb FROM pts_emb a JOIN pts_emb b ON a.gid <> b.gid WHERE {v.distance2('a', 'b')} < 0.03e0*0.03e0), c AS (SELECT DISTINCT gid, gid % 4 AS did FROM pts_emb) SELECT a.gid AS v0, b.gid AS v1, 0.05e0 AS q FROM pp JOIN c a ON a.gid = pp.ga JOIN c b ON b.gid = pp.gb WHERE a.did <> b.did")
+def spatial_pairs(spark, d):
+    p = t.points_embeddings(spark, d)
+    c = p.select("gid").distinct().select("gid", (F.col("gid") % 4).alias("did"), F.col("gid").alias("var"))
+    return jn.spatial_costs(sp.patch_proximity(p, 0.03), c, 0.1)
+
+
+@query("direction_costs", f"WITH {v.PLANES_EMB} SELECT a.gid AS did_a, b.gid AS did_b, {r(f'0.7e0*sqrt({v.nearest_diff(v.angle("a", "b"), RIGHT)})', 4)} AS cost FROM planes a JOIN planes b ON a.gid <> b.gid")
+def direction_costs(spark, d):
+    return rounded(jn.direction_costs(planes_emb(spark, d), RIGHT, 0.7), "cost", places=4)
+
+
+@query("line_extent", f"WITH {v.LINES_EMB}, q AS (SELECT p.*, (e.x-p.px)*p.nx+(e.y-p.py)*p.ny+(e.z-p.pz)*p.nz AS s, sqrt(pow((p.py-e.y)*p.nz-(p.pz-e.z)*p.ny,2)+pow((p.pz-e.z)*p.nx-(p.px-e.x)*p.nz,2)+pow((p.px-e.x)*p.ny-(p.py-e.y)*p.nx,2)) AS dd FROM pts_emb e JOIN lines p ON p.gid = e.gid), x AS (SELECT gid, min(px) AS px, min(py) AS py, min(pz) AS pz, min(nx) AS nx, min(ny) AS ny, min(nz) AS nz, min(s) AS t0, max(s) AS t1 FROM q WHERE dd < 0.15e0 GROUP BY gid) SELECT gid, " + ", ".join(f"{r(f'p{k}+n{k}*t{i}', 5)} AS {k}{i}" for i in (0, 1) for k in "xyz") + " FROM x")
+def line_extent(spark, d):
+    p = t.points_embeddings(spark, d)
+    return rounded(ag.line_extent(p.select("gid", "x", "y", "z"), ag.line_fit(p), 0.15), *[f"{k}{i}" for i in (0, 1) for k in "xyz"], places=5)
+
+
+@query("adopt_once", f"WITH {v.PLANES_EMB}, k AS (SELECT q.pid, p.gid, abs((q.x-p.px)*p.nx+(q.y-p.py)*p.ny+(q.z-p.pz)*p.nz) AS s FROM pts_emb q CROSS JOIN planes p WHERE q.pid % 20 = 0), m AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY s, gid) AS k FROM k) SELECT pid, {r('s')} AS distance FROM m WHERE k = 1 AND s < 0.01e0")
+def adopt_once(spark, d):
+    p = t.points_embeddings(spark, d)
+    free = p.where("pid % 20 = 0").withColumn("gid", F.lit(None).cast("long"))
+    return rounded(jn.adopt_once(free, planes_emb(spark, d), 0.01).select("pid", "distance"), "distance")
+
+
+@query("point_cover", f"WITH {v.PLANES_EMB} SELECT q.pid, string_agg(CAST(p.gid AS VARCHAR), ' ' ORDER BY p.gid) AS gids FROM pts_emb q CROSS JOIN planes p WHERE abs((q.x-p.px)*p.nx+(q.y-p.py)*p.ny+(q.z-p.pz)*p.nz) < 0.02e0 GROUP BY q.pid")
+def point_cover(spark, d):
+    out = jn.covered_points(t.points_embeddings(spark, d), planes_emb(spark, d), 0.02)
+    return out.withColumn("gids", F.array_join(F.transform("gids", lambda x: x.cast("string")), " "))
+
+
+@query("legacy_energy", f"WITH {v.PLANES_EMB}, dd AS (SELECT abs((q.x-p.px)*p.nx+(q.y-p.py)*p.ny+(q.z-p.pz)*p.nz) AS s FROM pts_emb q CROSS JOIN planes p) SELECT {r('(SELECT sum(CASE WHEN s < 0.05e0 THEN s/0.05e0 ELSE 0e0 END) FROM dd)', 3)} AS data, {r(f'(SELECT sum(sqrt({v.nearest_diff(v.angle("a", "b"), RIGHT)})) FROM planes a JOIN planes b ON a.gid < b.gid)', 3)} AS pairwise, (SELECT count(*) FROM planes) AS complexity")
+def legacy_energy(spark, d):
+    return rounded(jn.legacy_energy(t.points_embeddings(spark, d), planes_emb(spark, d), SCALE, RIGHT), "data", "pairwise", places=3)
+
+
+@query("reprojected", f"WITH {v.PLANES_EMB}, f AS (SELECT q.*, p.nx AS mx, p.ny AS my, p.nz AS mz, (q.x-p.px)*p.nx+(q.y-p.py)*p.ny+(q.z-p.pz)*p.nz AS s FROM pts_emb q LEFT JOIN planes p ON p.gid = q.gid AND p.gid % 2 = 0) SELECT pid, gid, {r('CASE WHEN mx IS NULL THEN x ELSE x-s*mx END', 5)} AS x, {r('CASE WHEN mx IS NULL THEN y ELSE y-s*my END', 5)} AS y, {r('CASE WHEN mx IS NULL THEN z ELSE z-s*mz END', 5)} AS z FROM f")
+def reprojected(spark, d):
+    return rounded(jn.reprojected(t.points_embeddings(spark, d), planes_emb(spark, d).where("gid % 2 = 0")), "x", "y", "z", places=5)
+
+
+@query("same_direction_edges", f"WITH {_PRIMS} SELECT a.gid AS gid_a, b.gid AS gid_b FROM prims a JOIN prims b ON a.did = b.did AND a.gid < b.gid WHERE a.status <> 2 AND b.status <> 2")
+def same_direction_edges(spark, d):
+    return jn.same_direction_edges(primitives(spark, d))
+
+
+@query("correspondence_costs", f"WITH {_PRIMS}, c AS (SELECT a.gid AS gid_a, b.gid AS gid_b, sqrt(pow(a.px-b.px,2)+pow(a.py-b.py,2)+pow(a.pz-b.pz,2)) AS s, {v.angle('a', 'b')} AS w FROM prims a CROSS JOIN prims b WHERE a.status = 1 AND b.status = 1 AND a.gid < 60 AND b.gid < 60) SELECT gid_a, gid_b, {r('s + CASE WHEN w > 3.141592653589793e0/2 THEN 3.141592653589793e0 - w ELSE w END', 4)} AS cost FROM c")
+def correspondence_costs(spark, d):
+    p = primitives(spark, d).where("gid < 60")
+    return rounded(jn.correspondence_costs(p, p), "cost", places=4)
+
+
+@query("noise_sigma", f"WITH {v.PLANES_EMB}, s AS (SELECT (q.x-p.px)*p.nx+(q.y-p.py)*p.ny+(q.z-p.pz)*p.nz AS s FROM pts_emb q JOIN planes p ON p.gid = q.gid) SELECT {r('stddev_pop(s)/0.1e0')} AS sigma FROM s")
+def noise_sigma(spark, d):
+    p = t.points_embeddings(spark, d).select("gid", "x", "y", "z").join(planes_emb(spark, d), "gid")
+    s = g.plane_distance(g.Vec.of("x", "y", "z"), g.Vec.of("px", "py", "pz"), g.Vec.of("nx", "ny", "nz"), signed=True)
+    return rounded(ag.noise_sigma(p.select(s.alias("distance")), 0.1), "sigma")
+
+
+@query("angle_error_stats", f"WITH {v.PTS_EV} SELECT {r('avg(e)')} AS mean, {r('var_pop(e)')} AS variance, {r('quantile_cont(e, 0.5)')} AS median, {r('avg(CASE WHEN e = 0 THEN 1e0 ELSE 0e0 END)')} AS zero_share FROM (SELECT greatest(y - 0.2e0, 0e0) AS e FROM pts_ev)")
+def angle_error_stats(spark, d):
+    e = t.points_events(spark, d).select(F.greatest(F.col("y") - 0.2, F.lit(0.0)).alias("error"))
+    return rounded(ag.angle_error_statistics(e), "mean", "variance", "median", "zero_share")
+
+
+@query("noise_histogram", f"WITH {v.PTS_EV}, b AS (SELECT CAST(least(199, greatest(0, floor((y - 0e0)/(2e0 - 0e0)*200))) AS INTEGER) AS bin FROM pts_ev), h AS (SELECT bin, count(*) AS n FROM b GROUP BY bin) SELECT bin, n, {r('sum(n) OVER (ORDER BY bin)/sum(n) OVER ()')} AS cdf FROM h")
+def noise_histogram(spark, d):
+    return rounded(ag.histogram(t.points_events(spark, d), 0.0, 2.0, 200, "y"), "cdf")
+
+
+@query("orientation_histogram", f"WITH {v.PTS_EMB} SELECT CAST(floor(CASE WHEN degrees(atan2(ny, nx)) < 0 THEN degrees(atan2(ny, nx)) + 180e0 ELSE degrees(atan2(ny, nx)) END/5e0) AS BIGINT) AS bin, count(*) AS n FROM pts_emb GROUP BY 1")
+def orientation_histogram(spark, d):
+    return ag.orientation_histogram(t.points_embeddings(spark, d), 5.0)
