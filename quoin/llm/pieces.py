@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT = 65_536
 CHUNK = 16_384
-CACHE = 400_000
+CACHE = 100_000
 SPACE = "▁"
 _UNIT = re.compile(" +[^ ]*")
 _NEVER = -np.inf
@@ -43,7 +45,8 @@ class Pieces:
         self.bytes = [self.lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.falls_back = all(self.lib.is_byte(i) for i in self.bytes)
         self.splits = all(SPACE not in p.lstrip(SPACE) for p in self.rank)
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, bytes] = {}
+        self.spelling = [bytes([self.bytes.index(i)]) if self.lib.is_byte(i) else b"" if self.lib.is_control(i) else self.lib.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
         self.fits = lru_cache(1_000_000)(self._fits)
 
     def merged(self, text: str) -> list[str]:
@@ -149,33 +152,33 @@ class Pieces:
             return spell(self.walk(s, entry, exit_))
         head = next(self.walk(s, entry, t) for t in self.tokens_ending(s, spot[0]) if self.reach(s, [entry], [t])[0][0, 0] == 0)
         before = next(t for t in self.tokens_ending(s, spot[1]) if self.reach(s, [t], [exit_])[0][0, 0] == 0)
-        middle = self.units(s[spot[0] : spot[1]].replace(SPACE, " "))
+        middle = np.frombuffer(self.units(s[spot[0] : spot[1]].replace(SPACE, " ")), np.int32).tolist()
         return spell(head) + middle + spell(self.walk(s, before, exit_))
 
-    def units(self, line: str) -> list[int]:
-        """Ids of a text of whole units, each some spaces and what follows up to the next space; no piece crosses units."""
-        cache, out = self.cache, []
+    def units(self, line: str) -> bytes:
+        """Ids (32-bit) of a text of whole units, each some spaces and what follows up to the next space; no piece crosses units."""
+        cache = self.cache
         parts = _UNIT.findall(line)
-        new = [u for u in dict.fromkeys(parts) if u not in cache]
+        new = [u for u in set(parts) if u not in cache]
         if new:
             if len(cache) > CACHE:
                 cache.clear()
-                new = list(dict.fromkeys(parts))
+                new = list(set(parts))
             for u, ids in zip(new, self.lib.encode([u[1:] for u in new], num_threads=1), strict=True):
-                cache[u] = ids or self.ids_of(SPACE)
-        for u in parts:
-            out += cache[u]
-        return out
+                cache[u] = array("i", ids or self.ids_of(SPACE)).tobytes()
+        return b"".join([cache[u] for u in parts])
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode(self, text: str | None) -> np.ndarray:
         """Piece ids of a whole text, as the library gives them; null and empty texts have none."""
         if not text:
-            return []
+            return np.zeros(0, np.int32)
         text = text.encode("utf-8", "replace").decode()
-        return self.units(" " + text.replace(SPACE, " ")) if self.splits else self.lib.encode(text)
+        return np.frombuffer(self.units(" " + text.replace(SPACE, " ")), np.int32) if self.splits else np.array(self.lib.encode(text), np.int32)
 
     def decode(self, ids: list[int]) -> str:
-        return self.lib.decode(ids)
+        """The text of piece ids: their spellings joined, without the space put in front."""
+        spelling = self.spelling
+        return b"".join([spelling[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
 
 
 def normalised(text: str) -> str:
@@ -198,14 +201,13 @@ def path(matrices: list[np.ndarray]) -> list[int]:
     return [int(np.argmax(a[0] + b[:, 0])) for a, b in zip(ahead, reversed(behind), strict=True)]
 
 
-_loaded: dict[int, Pieces] = {}
-
-
 def _own(proto: bytes) -> Pieces:
+    """The worker process's model, kept from task to task (this module's own names come anew with each)."""
+    kept = sys.__dict__.setdefault("_quoin_pieces", {})
     key = hash(proto)
-    if key not in _loaded:
-        _loaded[key] = Pieces(proto)
-    return _loaded[key]
+    if key not in kept:
+        kept[key] = Pieces(proto)
+    return kept[key]
 
 
 def _model_bytes(spark: SparkSession, model: str):
@@ -225,8 +227,8 @@ def _chunk_states(p: Pieces, s: str, begin: int, a: int, b: int, last: bool) ->
     return entries, p.states(s, b - begin, last)
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
-    """(id, ids): the piece ids of each row's whole text.
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, giant: int = GIANT, chunk: int = CHUNK, decoded: bool = False) -> DataFrame:
+    """(id, ids): the piece ids of each row's whole text; with decoded, also text: what the ids decode to.
 
     Texts of up to giant characters are encoded in one go. Longer ones are cut into chunks at fixed
     places; each chunk yields the matrix of which boundary states (the token over the cut) can
@@ -245,12 +247,15 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         p = _own(proto.value)
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-                made = [np.array(p.encode(x.as_py()), np.int32) for x in part.column(1)]
+                made = [p.encode(x.as_py()) for x in part.column(1)]
                 ends = np.concatenate([[0], np.cumsum([len(m) for m in made])]).astype(np.int32)
                 flat = np.concatenate(made) if made else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "ids"])
+                out = {"id": part.column(0), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
+                if decoded:
+                    out["text"] = pa.array([p.decode(m.tolist()) for m in made], pa.string())
+                yield pa.RecordBatch.from_pydict(out)
 
-    small = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= giant).mapInArrow(whole, "id long, ids array<int>")
+    small = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= giant).mapInArrow(whole, "id long, ids array<int>" + ", text string" * decoded)
     large = rows.where(F.length("text") > giant).withColumn("key", F.sha2("text", 256))
     distinct = large.groupBy("key").agg(F.first("text").alias("text"))
 
@@ -294,7 +299,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     spelled = pieces.join(found, ["key", "k"]).mapInPandas(spell, "key string, k int, ids array<int>")
     joined = spelled.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return small.unionByName(large.select("id", "key").join(joined, "key").select("id", "ids"))
+    long = large.select("id", "key").join(joined, "key").select("id", "ids")
+    return small.unionByName(decode(long, model=model) if decoded else long)
 
 
 def decode(encoded: DataFrame, id_col: str = "id", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
@@ -304,7 +310,9 @@ def decode(encoded: DataFrame, id_col: str = "id", ids_col: str = "ids", model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = _own(proto.value)
         for batch in batches:
-            texts = [p.decode(x.as_py() or []) for x in batch.column(1)]
+            lists = batch.column(1)
+            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            texts = [p.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "ids", "text"])
 
     return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, "id long, ids array<int>, text string")

@@ -15,6 +15,8 @@ ORACLES: dict[str, str] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    # rows hold whole texts, so fewer of them go to a Python worker at a time
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -45,7 +47,7 @@ def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
-    back = pieces.decode(pieces.encode(table(spark, folder, "documents")))
+    back = pieces.encode(table(spark, folder, "documents"), decoded=True)
     return back.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.lower(F.hex(F.xxhash64("ids"))).alias("ids_hash"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
