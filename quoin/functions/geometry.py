@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -258,27 +258,36 @@ def shared_area(box: Column, a: Column, b: Column) -> Column:
     return F.when(box > 0, 1 - (box - (a + b)) / box).otherwise(F.lit(1.0))
 
 
-def smallest_eigenvalue(sxx: Column, sxy: Column, sxz: Column, syy: Column, syz: Column, szz: Column) -> tuple[Column, Column, Column]:
-    """Eigenvalues (smallest, middle, largest) of a symmetric 3x3 matrix in closed form."""
-    q = (sxx + syy + szz) / 3
-    p1 = sxy * sxy + sxz * sxz + syz * syz
-    p2 = (sxx - q) * (sxx - q) + (syy - q) * (syy - q) + (szz - q) * (szz - q) + 2 * p1
-    p = F.sqrt(p2 / 6)
-    bxx, byy, bzz, bxy, bxz, byz = (sxx - q) / p, (syy - q) / p, (szz - q) / p, sxy / p, sxz / p, syz / p
-    det = bxx * (byy * bzz - byz * byz) - bxy * (bxy * bzz - byz * bxz) + bxz * (bxy * byz - byy * bxz)
-    phi = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), det / 2))) / 3
-    large = q + 2 * p * F.cos(phi)
-    small = q + 2 * p * F.cos(phi + 2 * math.pi / 3)
-    flat = p2 <= 1e-300
-    return F.when(flat, q).otherwise(small), F.when(flat, q).otherwise(3 * q - large - small), F.when(flat, q).otherwise(large)
-
-
-def eigenvector(sxx: Column, sxy: Column, sxz: Column, syy: Column, syz: Column, szz: Column, value: Column) -> Vec:
-    """A unit eigenvector for a simple eigenvalue: the longest cross product of two rows of S - value I, first component above 1e-9 positive."""
-    r0, r1, r2 = Vec(sxx - value, sxy, sxz), Vec(sxy, syy - value, syz), Vec(sxz, syz, szz - value)
-    a, b, c = r0.cross(r1), r0.cross(r2), r1.cross(r2)
-    na, nb, nc = a.dot(a), b.dot(b), c.dot(c)
-    pick = lambda u, v, w: F.when((na >= nb) & (na >= nc), u).when(nb >= nc, v).otherwise(w)
-    v = Vec(*[pick(*t) for t in zip(a, b, c, strict=True)]).unit()
-    sign = F.when(F.abs(v.x) > 1e-9, F.signum(v.x)).when(F.abs(v.y) > 1e-9, F.signum(v.y)).otherwise(F.signum(v.z))
-    return v.times(sign)
+SCATTER = ("sxx", "sxy", "sxz", "syy", "syz", "szz")
+
+
+def with_eigenvalues(df: DataFrame) -> DataFrame:
+    """df with l0 <= l1 <= l2, the eigenvalues of its symmetric matrix sxx..szz in closed form.
+
+    Built in steps of named columns, so that no expression is repeated inside others.
+    """
+    c = F.col
+    df = df.withColumn("_q", (c("sxx") + c("syy") + c("szz")) / 3)
+    df = df.withColumns({"_a": c("sxx") - c("_q"), "_b": c("syy") - c("_q"), "_c": c("szz") - c("_q")})
+    off = c("sxy") * c("sxy") + c("sxz") * c("sxz") + c("syz") * c("syz")
+    df = df.withColumn("_p", F.sqrt((c("_a") * c("_a") + c("_b") * c("_b") + c("_c") * c("_c") + 2 * off) / 6))
+    det = c("_a") * (c("_b") * c("_c") - c("syz") * c("syz")) - c("sxy") * (c("sxy") * c("_c") - c("syz") * c("sxz")) + c("sxz") * (c("sxy") * c("syz") - c("_b") * c("sxz"))
+    df = df.withColumn("_r", F.when(c("_p") > 1e-150, det / (c("_p") * c("_p") * c("_p")) / 2).otherwise(F.lit(0.0)))
+    df = df.withColumn("_phi", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c("_r")))) / 3)
+    df = df.withColumns({"l0": c("_q") + 2 * c("_p") * F.cos(c("_phi") + 2 * math.pi / 3), "l2": c("_q") + 2 * c("_p") * F.cos(c("_phi"))})
+    return df.withColumn("l1", 3 * c("_q") - c("l0") - c("l2")).drop("_q", "_a", "_b", "_c", "_p", "_r", "_phi")
+
+
+def with_eigenvector(df: DataFrame, value: str, names: tuple[str, str, str] = ("nx", "ny", "nz")) -> DataFrame:
+    """df with a unit eigenvector of its matrix for the simple eigenvalue in column value: the longest cross product of two rows, first component above 1e-9 positive."""
+    c = F.col
+    df = df.withColumns({"_a": c("sxx") - c(value), "_b": c("syy") - c(value), "_c": c("szz") - c(value)})
+    rows = [Vec(c("_a"), c("sxy"), c("sxz")), Vec(c("sxy"), c("_b"), c("syz")), Vec(c("sxz"), c("syz"), c("_c"))]
+    crosses = [rows[0].cross(rows[1]), rows[0].cross(rows[2]), rows[1].cross(rows[2])]
+    df = df.withColumns({f"_v{i}{k}": x for i, v in enumerate(crosses) for k, x in zip("xyz", v, strict=True)})
+    df = df.withColumns({f"_n{i}": Vec(*[c(f"_v{i}{k}") for k in "xyz"]).norm() for i in range(3)})
+    first, second = (c("_n0") >= c("_n1")) & (c("_n0") >= c("_n2")), c("_n1") >= c("_n2")
+    df = df.withColumns({f"_w{k}": F.when(first, c(f"_v0{k}") / c("_n0")).when(second, c(f"_v1{k}") / c("_n1")).otherwise(c(f"_v2{k}") / c("_n2")) for k in "xyz"})
+    df = df.withColumn("_sign", F.when(F.abs("_wx") > 1e-9, F.signum("_wx")).when(F.abs("_wy") > 1e-9, F.signum("_wy")).otherwise(F.signum("_wz")))
+    df = df.withColumns({n: c(f"_w{k}") * c("_sign") for n, k in zip(names, "xyz", strict=True)})
+    return df.drop("_a", "_b", "_c", "_sign", *[f"_v{i}{k}" for i in range(3) for k in "xyz"], *[f"_n{i}" for i in range(3)], *[f"_w{k}" for k in "xyz"])

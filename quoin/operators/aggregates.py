@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.functions import geometry as g
+from quoin.lineage import cut
 from quoin.sources.schema import ACTIVE, FIXED, SMALL
 
-S = ("sxx", "sxy", "sxz", "syy", "syz", "szz")
+S = g.SCATTER
 
 
 def populations(points: DataFrame) -> DataFrame:
@@ -41,22 +42,23 @@ def moments(points: DataFrame, by: str = "gid") -> DataFrame:
 
 def eigenvalues(scatter: DataFrame) -> DataFrame:
     """moments() with the scatter's eigenvalues l0 <= l1 <= l2."""
-    small, mid, large = g.smallest_eigenvalue(*[F.col(c) for c in S])
-    return scatter.withColumns({"l0": small, "l1": mid, "l2": large})
+    return g.with_eigenvalues(scatter)
 
 
 def plane_fit(points: DataFrame) -> DataFrame:
-    """The unweighted least-squares plane per patch: centroid, unit normal of the smallest eigenvalue, and the eigenvalues."""
-    e = eigenvalues(moments(points))
-    n = g.eigenvector(*[F.col(c) for c in S], F.col("l0"))
-    return e.select("gid", "n", F.col("cx").alias("px"), F.col("cy").alias("py"), F.col("cz").alias("pz"), n.x.alias("nx"), n.y.alias("ny"), n.z.alias("nz"), "l0", "l1", "l2")
+    """The unweighted least-squares plane per patch: centroid, unit normal of the smallest eigenvalue, and the eigenvalues.
+
+    One row per patch is written to the shared folder: later steps read it several times, and the
+    optimizer's inferred filters grow exponentially over the closed form's chain of columns.
+    """
+    e = g.with_eigenvector(eigenvalues(moments(points)), "l0")
+    return cut(e.select("gid", "n", F.col("cx").alias("px"), F.col("cy").alias("py"), F.col("cz").alias("pz"), "nx", "ny", "nz", "l0", "l1", "l2"))
 
 
 def line_fit(points: DataFrame) -> DataFrame:
     """The unweighted least-squares line per patch: centroid and unit direction of the largest eigenvalue."""
-    e = eigenvalues(moments(points))
-    n = g.eigenvector(*[F.col(c) for c in S], F.col("l2"))
-    return e.select("gid", "n", F.col("cx").alias("px"), F.col("cy").alias("py"), F.col("cz").alias("pz"), n.x.alias("nx"), n.y.alias("ny"), n.z.alias("nz"), "l0", "l1", "l2")
+    e = g.with_eigenvector(eigenvalues(moments(points)), "l2")
+    return cut(e.select("gid", "n", F.col("cx").alias("px"), F.col("cy").alias("py"), F.col("cz").alias("pz"), "nx", "ny", "nz", "l0", "l1", "l2"))
 
 
 def significance(scatter: DataFrame, kind: str = "plane", squared: bool = False) -> DataFrame:
