@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 from quoin.functions import angles as an
 from quoin.functions import geometry as g
 from quoin.operators import aggregates as ag
+from quoin.operators import evaluate as ev
 from quoin.operators import filters as fl
+from quoin.operators import fit, graph
 from quoin.operators import joins as jn
+from quoin.operators import problem as pb
+from quoin.operators import relations as rl
+from quoin.operators import scene, segment
 from quoin.operators import spatial as sp
 from quoin.plans import views as v
 from quoin.sources import tables as t
@@ -446,3 +451,132 @@ def noise_histogram(spark, d):
 @query("orientation_histogram", f"WITH {v.PTS_EMB} SELECT CAST(floor(CASE WHEN degrees(atan2(ny, nx)) < 0 THEN degrees(atan2(ny, nx)) + 180e0 ELSE degrees(atan2(ny, nx)) END/5e0) AS BIGINT) AS bin, count(*) AS n FROM pts_emb GROUP BY 1")
 def orientation_histogram(spark, d):
     return ag.orientation_histogram(t.points_embeddings(spark, d), 5.0)
+
+
+# --- relations, graphs and the selection problem
+
+
+_GRAPH = "ge AS (SELECT DISTINCT least(l_partkey, 100000 + l_suppkey % 7 + 10 * (l_partkey % 40)) AS a, greatest(l_partkey, 100000 + l_suppkey % 7 + 10 * (l_partkey % 40)) AS b FROM lineitem WHERE l_suppkey % 3 = 0)"
+
+
+def edges(spark, d) -> DataFrame:
+    other = 100000 + F.col("l_suppkey") % 7 + 10 * (F.col("l_partkey") % 40)
+    return t.read(spark, d, "lineitem").where("l_suppkey % 3 = 0").select(F.least("l_partkey", other).alias("src"), F.greatest("l_partkey", other).alias("dst")).distinct()
+
+
+@query("components", f"WITH RECURSIVE {_GRAPH}, s AS (SELECT a, b FROM ge UNION SELECT b, a FROM ge), r(node, low) AS (SELECT a, a FROM s UNION SELECT s.b, r.low FROM r JOIN s ON s.a = r.node) SELECT node, min(low) AS component FROM r GROUP BY node")
+def components(spark, d):
+    return graph.components(edges(spark, d))
+
+
+@query("transitive_reduction", f"WITH RECURSIVE {_GRAPH}, s AS (SELECT a, b FROM ge UNION SELECT b, a FROM ge), r(node, low) AS (SELECT a, a FROM s UNION SELECT s.b, r.low FROM r JOIN s ON s.a = r.node), c AS (SELECT node, min(low) AS component FROM r GROUP BY node) SELECT component AS src, node AS dst FROM c WHERE node <> component")
+def transitive_reduction(spark, d):
+    return graph.transitive_reduction(edges(spark, d))
+
+
+@query("spanning_tree")
+def spanning_tree(spark, d):
+    return graph.spanning_tree(edges(spark, d).withColumn("w", (F.col("src") % 97 + F.col("dst") % 89).cast("double")))
+
+
+_ACOS = "acos(least(1e0, abs(a.nx*b.nx+a.ny*b.ny+a.nz*b.nz)))"
+
+
+@query("para_orth_edges", f"WITH {_PRIMS}, pq AS (SELECT a.gid AS gid_a, b.gid AS gid_b, {_ACOS} AS p, abs(asin(least(1e0, abs(a.nx*b.nx+a.ny*b.ny+a.nz*b.nz)))) AS o FROM prims a JOIN prims b ON a.gid < b.gid WHERE a.gid < 200 AND b.gid < 200) SELECT gid_a, gid_b, CASE WHEN p < 0.2e0 THEN 'parallel' ELSE 'orthogonal' END AS kind FROM pq WHERE p < 0.2e0 OR o < 0.2e0")
+def para_orth_edges(spark, d):
+    return rl.parallel_orthogonal(primitives(spark, d).where("gid < 200"), 0.2).select("gid_a", "gid_b", "kind")
+
+
+@query("coplanar", f"WITH {_PRIMS} SELECT a.gid AS gid_a, b.gid AS gid_b, {r('-abs((b.px-a.px)*a.nx+(b.py-a.py)*a.ny+(b.pz-a.pz)*a.nz)', 5)} AS score FROM prims a JOIN prims b ON a.gid < b.gid WHERE a.gid < 200 AND b.gid < 200 AND {_ACOS} < 0.3e0 AND abs((b.px-a.px)*a.nx+(b.py-a.py)*a.ny+(b.pz-a.pz)*a.nz) < 0.05e0")
+def coplanar(spark, d):
+    return rounded(rl.coplanar(primitives(spark, d).where("gid < 200"), 0.3, 0.05), "score", places=5)
+
+
+@query("equal_length", f"WITH {_PRIMS} SELECT a.gid AS gid_a, b.gid AS gid_b FROM prims a JOIN prims b ON a.gid < b.gid WHERE a.gid < 200 AND b.gid < 200 AND abs(a.n - b.n) < 4")
+def equal_length(spark, d):
+    return rl.equal_values(primitives(spark, d).where("gid < 200").select("gid", F.col("n").alias("value")), 4.0).select("gid_a", "gid_b")
+
+
+@query("equal_angle", f"WITH {v.PLANES_EMB}, w AS (SELECT a.gid AS ga, b.gid AS gb, {v.angle('a', 'b')} AS w FROM planes a JOIN planes b ON a.gid < b.gid), f AS (SELECT ga, gb, CASE WHEN w > 3.141592653589793e0/2 THEN 3.141592653589793e0 - w ELSE w END AS w FROM w) SELECT p.ga AS a1, p.gb AS b1, q.ga AS a2, q.gb AS b2 FROM f p JOIN f q ON (p.ga < q.ga OR (p.ga = q.ga AND p.gb < q.gb)) WHERE abs(p.w - q.w) < 0.03e0")
+def equal_angle(spark, d):
+    return rl.equal_angles(planes_emb(spark, d), 0.03).select("a1", "b1", "a2", "b2")
+
+
+# costs of ten patches (labels) under eight directions, by sums of the embeddings' parts
+_COSTS = """cs AS (SELECT CAST(label AS BIGINT) AS gid, k AS did, round(avg(pow(CAST(embedding[CAST(k AS INTEGER) + 1] AS DOUBLE), 2))*10e0, 9) AS q FROM embeddings, range(0, 6) AS s(k) GROUP BY label, k),
+cc AS (SELECT * FROM cs WHERE (gid + did) % 3 <> 0), pp AS (SELECT a.k AS did_a, b.k AS did_b, abs(a.k - b.k)*0.01e0 AS cost FROM range(0, 6) AS a(k), range(0, 6) AS b(k) WHERE a.k <> b.k)"""
+
+
+def selection(spark, d) -> tuple[DataFrame, DataFrame]:
+    e = t.read(spark, d, "embeddings").withColumn("did", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))))
+    part = F.element_at("embedding", (F.col("did") + 1).cast("int")).cast("double")
+    costs = e.groupBy(F.col("label").cast("long").alias("gid"), "did").agg(F.round(F.avg(part * part) * 10.0, 9).alias("q")).where("(gid + did) % 3 <> 0")
+    a, b = spark.range(6).toDF("did_a"), spark.range(6).toDF("did_b")
+    return costs, a.crossJoin(b).where("did_a <> did_b").withColumn("cost", F.abs(F.col("did_a") - F.col("did_b")) * 0.01)
+
+
+@query("constraints", f"WITH {_COSTS}, vr AS (SELECT *, row_number() OVER (ORDER BY gid, did) - 1 AS var FROM cc) SELECT gid, string_agg(CAST(var AS VARCHAR), ' ' ORDER BY var) AS vars FROM vr GROUP BY gid")
+def constraints(spark, d):
+    return pb.cover(pb.variables(selection(spark, d)[0])).withColumn("vars", F.array_join(F.transform("vars", lambda x: x.cast("string")), " "))
+
+
+@query("select_exact_small", f"WITH {_COSTS}, mk AS (SELECT m FROM range(1, 64) AS s(m)), bb AS (SELECT m, gid, min(q) AS q FROM mk JOIN cc ON (m & (1 << CAST(did AS INTEGER))) > 0 GROUP BY m, gid), dd AS (SELECT m, sum(q) AS data, count(*) AS n FROM bb GROUP BY m), sm AS (SELECT m, sum(cost) AS pw FROM mk JOIN pp ON (m & (1 << CAST(did_a AS INTEGER))) > 0 AND (m & (1 << CAST(did_b AS INTEGER))) > 0 GROUP BY m) SELECT CAST(dd.m AS INTEGER) AS subset, {r('data + coalesce(pw, 0e0)')} AS energy FROM dd LEFT JOIN sm ON sm.m = dd.m WHERE n = (SELECT count(DISTINCT gid) FROM cc)")
+def select_exact_small(spark, d):
+    return rounded(pb.subset_optimum(*selection(spark, d), list(range(6))), "energy")
+
+
+@query("nearest_triangle", f"WITH {v.PTS_EMB}, k AS (SELECT pid, CASE WHEN x >= 0 AND y >= 0 AND x + y <= 0.3e0 THEN abs(z) END AS s FROM pts_emb) SELECT pid, {r('s')} AS distance FROM k WHERE s IS NOT NULL AND s < 0.05e0")
+def nearest_triangle(spark, d):
+    from quoin.sources.schema import TRIANGLES
+
+    tri = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 0.3, 0.0, 0.0, 0.0, 0.3, 0.0)], TRIANGLES)
+    inside = t.points_embeddings(spark, d).where("x >= 0 and y >= 0 and x + y <= 0.3")
+    return rounded(jn.nearest_triangle(inside, tri, SCALE).select("pid", "distance"), "distance")
+
+
+@query("relation_f_measure", f"WITH {_PRIMS}, tr AS (SELECT a.gid AS u, b.gid AS v FROM prims a JOIN prims b ON a.did = b.did AND a.gid < b.gid), es AS (SELECT a.gid AS u, b.gid AS v FROM prims a JOIN prims b ON a.gid < b.gid AND (a.did = b.did AND (a.gid + b.gid) % 4 <> 0 OR a.gid + 1 = b.gid)), c AS (SELECT (SELECT count(*) FROM (SELECT * FROM es INTERSECT SELECT * FROM tr)) AS h, (SELECT count(*) FROM es) AS ne, (SELECT count(*) FROM tr) AS nt), p AS (SELECT CASE WHEN ne > 0 THEN h*1e0/ne ELSE 0e0 END AS precision, CASE WHEN nt > 0 THEN h*1e0/nt ELSE 0e0 END AS recall FROM c) SELECT {r('precision')} AS precision, {r('recall')} AS recall, {r('CASE WHEN precision + recall > 0 THEN 2*precision*recall/(precision+recall) ELSE 0e0 END')} AS f FROM p")
+def relation_f_measure(spark, d):
+    p = primitives(spark, d).select("gid", "did")
+    a, b = (p.toDF(f"gid_{s}", f"did_{s}") for s in "ab")
+    pairs = a.join(b, F.col("gid_a") < F.col("gid_b"))
+    truth = pairs.where("did_a = did_b").select(F.col("gid_a").alias("src"), F.col("gid_b").alias("dst"))
+    found = pairs.where("(did_a = did_b and (gid_a + gid_b) % 4 <> 0) or gid_a + 1 = gid_b").select(F.col("gid_a").alias("src"), F.col("gid_b").alias("dst"))
+    return rounded(ev.relation_scores(truth, found, p.select(F.col("gid").alias("gid_a"), F.col("gid").alias("gid_b"))), "precision", "recall", "f")
+
+
+# --- iterative operators: rows are checked, results by tests
+
+
+@query("fit_patches")
+def fit_patches(spark, d):
+    return fit.fit_patches(t.points_lineitem(spark, d), "plane", 0.3)
+
+
+@query("plane_extents")
+def plane_extents(spark, d):
+    return fit.plane_extents(t.points_embeddings(spark, d), planes_emb(spark, d), 0.2).select("gid", F.size("corners").alias("corners"))
+
+
+@query("ransac")
+def ransac(spark, d):
+    return fit.ransac(t.points_embeddings(spark, d), "plane", SCALE, most=3, rounds=50)
+
+
+@query("region_grow")
+def region_grow(spark, d):
+    """Growth in the order of pids, on a generated scene of bounded size."""
+    return segment.region_grow(scene.box_scene(spark), 0.15, 0.3).select("pid", "gid")
+
+
+@query("connected_patches")
+def connected_patches(spark, d):
+    return segment.connected_patches(t.points_embeddings(spark, d), 0.06, 0.5).select("pid", "gid")
+
+
+@query("reconstruct")
+def reconstruct(spark, d):
+    """The whole reconstruction of a noisy box."""
+    from quoin.plans.reconstruct import reconstruct as run
+
+    _, prims = run(scene.box_scene(spark, 100), 0.15, rounds=2)
+    return prims.select("gid", "did", "status")
