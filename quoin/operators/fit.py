@@ -104,7 +104,7 @@ def hull(xy: np.ndarray) -> np.ndarray:
     def half(rows) -> list:
         out: list = []
         for q in rows:
-            while len(out) > 1 and np.cross(out[-1] - out[-2], q - out[-2]) <= 0:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]):
                 out.pop()
             out.append(q)
         return out[:-1]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quoin.functions import angles as an
 from quoin.functions import geometry as g
+from quoin.lineage import cut
 from quoin.sources.schema import ACTIVE
 
 MOST_PRIMITIVES = 10_000
@@ -54,12 +55,29 @@ def adopt_once(points: DataFrame, planes: DataFrame, scale: float) -> DataFrame:
     return best.where(F.col("best.distance") < scale).select("pid", "best.gid", "best.distance")
 
 
+def frames(extents: DataFrame) -> DataFrame:
+    """extents (gid, corners) with each rectangle's origin o, unit sides u and v with their lengths, and normal n, in columns of their own."""
+    c = lambda i: g.Vec.field(F.col("corners")[i])
+    put = lambda df, name, vec: df.withColumns({f"{name}{k}": x for k, x in zip("xyz", vec, strict=True)})
+    df = put(put(put(extents, "_o", c(0)), "_u", c(1).minus(c(0))), "_v", c(3).minus(c(0)))
+    for s in "uv":
+        df = df.withColumn(f"_l{s}", g.Vec.of(*[f"_{s}{k}" for k in "xyz"]).norm())
+        df = df.withColumns({f"_{s}{k}": F.when(F.col(f"_l{s}") > 0, F.col(f"_{s}{k}") / F.col(f"_l{s}")).otherwise(F.lit(0.0)) for k in "xyz"})
+    return put(df, "_n", g.Vec.of("_ux", "_uy", "_uz").cross(g.Vec.of("_vx", "_vy", "_vz")))
+
+
+def _frame_distance(rows: DataFrame) -> DataFrame:
+    """rows (a point x, y, z beside a frame) with distance."""
+    q = g.Vec.of("x", "y", "z").minus(g.Vec.of("_ox", "_oy", "_oz"))
+    along = rows.withColumns({f"_t{s}": q.dot(g.Vec.of(*[f"_{s}{k}" for k in "xyz"])) for s in "uvn"})
+    out = {s: F.greatest(-F.col(f"_t{s}"), F.col(f"_t{s}") - F.col(f"_l{s}"), F.lit(0.0)) for s in "uv"}
+    return along.withColumns({"_du": out["u"], "_dv": out["v"]}).withColumn("distance", F.sqrt(F.col("_du") * F.col("_du") + F.col("_dv") * F.col("_dv") + F.col("_tn") * F.col("_tn")))
+
+
 def adopt_finite(points: DataFrame, extents: DataFrame, scale: float) -> DataFrame:
     """adopt_once() by distance to finite rectangles (gid and corners)."""
     orphans = points.where("gid is null").select("pid", "x", "y", "z")
-    corner = lambda i: g.Vec.field(F.col("corners")[i])
-    d = g.rectangle_distance(g.Vec.of("x", "y", "z"), corner(0), corner(1), corner(3))
-    best = orphans.crossJoin(bounded(extents)).withColumn("distance", d).groupBy("pid").agg(F.min(F.struct("distance", "gid")).alias("best"))
+    best = _frame_distance(orphans.crossJoin(bounded(cut(frames(extents).drop("corners"))))).groupBy("pid").agg(F.min(F.struct("distance", "gid")).alias("best"))
     return best.where(F.col("best.distance") < scale).select("pid", "best.gid", "best.distance")
 
 
@@ -81,13 +99,12 @@ def mergeable_lines(extents: DataFrame, scale: float) -> DataFrame:
 
 
 def mergeable_planes(extents: DataFrame, scale: float) -> DataFrame:
-    """(gid_a, gid_b): rectangles of which a corner of each lies within scale of the other."""
-    a = extents.select(F.col("gid").alias("gid_a"), F.col("corners").alias("ca"))
-    b = extents.select(F.col("gid").alias("gid_b"), F.col("corners").alias("cb"))
-    corner = lambda c, i: g.Vec.field(F.col(c)[i])
-    near = lambda p, c: g.rectangle_distance(p, corner(c, 0), corner(c, 1), corner(c, 3)) < scale
-    some = lambda one, other: near(corner(one, 0), other) | near(corner(one, 1), other) | near(corner(one, 2), other) | near(corner(one, 3), other)
-    return a.join(bounded(b), (F.col("gid_a") < F.col("gid_b")) & some("ca", "cb") & some("cb", "ca")).select("gid_a", "gid_b")
+    """(gid_a < gid_b): rectangles of which a corner of each lies within scale of the other."""
+    own = cut(frames(extents).withColumnRenamed("gid", "of"))
+    corners = own.select(F.col("of").alias("from"), F.explode("corners").alias("c")).select("from", "c.x", "c.y", "c.z")
+    near = _frame_distance(corners.join(bounded(own.drop("corners")), F.col("from") != F.col("of"))).where(F.col("distance") < scale).select("from", "of").distinct()
+    near = cut(near)
+    return near.where("from < of").toDF("gid_a", "gid_b").join(near.where("from > of").toDF("gid_b", "gid_a"), ["gid_a", "gid_b"])
 
 
 def substituted(primitives: DataFrame, directions: DataFrame, angles: list[float]) -> DataFrame:

@@ -5,20 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quoin.functions import geometry as g
 from quoin.lineage import cut
 from quoin.operators import fit, graph
 from quoin.operators import joins as jn
 
 
-def merge_round(points: DataFrame, primitives: DataFrame, scale: float, kind: str = "plane") -> tuple[DataFrame, DataFrame, int]:
-    """(points, primitives, merged): primitives of one direction whose extents contain each other within scale become one; its points and fit are anew.
+def merge_round(points: DataFrame, primitives: DataFrame, scale: float, kind: str = "plane", limit: float = 0.175) -> tuple[DataFrame, DataFrame, int]:
+    """(points, primitives, merged): primitives of one direction, parallel to within limit, whose extents contain each other within scale become one; its points and fit are anew.
+
+    Perpendicular sides that share a direction id (one orientation system) and an edge stay apart.
 
     Chains of mergeable pairs merge as a whole, which is what repeated pairwise rounds reach.
     """
     extents = fit.plane_extents(points.where("gid is not null"), primitives, scale)
     pairs = jn.mergeable_planes(extents, scale)
-    did = primitives.select("gid", "did").distinct()
-    same = pairs.join(did.toDF("gid_a", "did_a"), "gid_a").join(did.toDF("gid_b", "did_b"), "gid_b").where("did_a = did_b")
+    own = primitives.select("gid", "did", "nx", "ny", "nz")
+    both = pairs.join(own.toDF(*[f"{c}_a" for c in own.columns]), "gid_a").join(own.toDF(*[f"{c}_b" for c in own.columns]), "gid_b")
+    turn = g.folded(g.angle(g.Vec.of("nx_a", "ny_a", "nz_a"), g.Vec.of("nx_b", "ny_b", "nz_b")))
+    same = both.where("did_a = did_b").where(turn < limit)
     edges = cut(same.select(F.col("gid_a").alias("src"), F.col("gid_b").alias("dst")))
     if edges.isEmpty():
         return points, primitives, 0
