@@ -17,6 +17,7 @@ from quoin.operators import fit, graph
 from quoin.operators import joins as jn
 from quoin.operators import problem as pb
 from quoin.operators import relations as rl
+from quoin.operators import represent as rp
 from quoin.operators import scene, segment
 from quoin.operators import spatial as sp
 from quoin.plans import views as v
@@ -580,3 +581,64 @@ def reconstruct(spark, d):
 
     _, prims = run(scene.box_scene(spark, 100), 0.15, rounds=2)
     return prims.select("gid", "did", "status")
+
+
+@query("represent", f"WITH {_PRIMS}, k AS (SELECT *, row_number() OVER (PARTITION BY did ORDER BY sqrt(sqrt(greatest(l1*l2, 0e0))) DESC, gid) AS k FROM prims) SELECT did, gid FROM k WHERE k = 1")
+def represent(spark, d):
+    points = t.points_lineitem(spark, d)
+    return rp.represent(points, primitives(spark, d), ag.significance(ag.moments(points)))[1].select("did", "gid")
+
+
+@query("unique_ids", f"WITH {_PRIMS}, l AS (SELECT gid, did, row_number() OVER (PARTITION BY gid ORDER BY did) - 1 AS lid FROM prims) SELECT gid, did, lid, row_number() OVER (ORDER BY gid, lid) - 1 AS uid FROM l")
+def unique_ids(spark, d):
+    return rp.unique_ids(primitives(spark, d)).select("gid", "did", F.col("lid").cast("long").alias("lid"), F.col("uid").cast("long").alias("uid"))
+
+
+_MATCH = "(least(abs(ang-0e0), abs(ang-1.5707963267948966e0), abs(ang-3.141592653589793e0)) < 0.1e0)"
+
+
+@query("merged_directions", f"WITH {v.PLANES_EMB}, w AS (SELECT a.gid AS gid, b.gid AS g2, {v.angle('a', 'b')} AS ang FROM planes a JOIN planes b ON b.gid <= a.gid) SELECT gid, min(g2) AS did FROM w WHERE {_MATCH} OR gid = g2 GROUP BY gid")
+def merged_directions(spark, d):
+    return rp.merged_directions(planes_emb(spark, d), RIGHT, 0.1).select("gid", "did")
+
+
+@query("mergeable_lines", f"""WITH {v.PTS_EMB}, ln AS (SELECT pid AS gid, x AS x0, y AS y0, x + 0.05e0*nx AS x1, y + 0.05e0*ny AS y1 FROM pts_emb WHERE pid < 300),
+pr AS (SELECT a.gid AS ga, b.gid AS gb, p.px, p.py, b.x0, b.y0, b.x1, b.y1 FROM ln a JOIN ln b ON a.gid <> b.gid, LATERAL (SELECT a.x0 AS px, a.y0 AS py UNION ALL SELECT a.x1, a.y1) p),
+tt AS (SELECT *, ((px-x0)*(x1-x0)+(py-y0)*(y1-y0))/((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0)) AS t FROM pr),
+nn AS (SELECT DISTINCT ga, gb FROM tt WHERE CASE WHEN t BETWEEN 0 AND 1 THEN sqrt(pow(px-x0-t*(x1-x0),2)+pow(py-y0-t*(y1-y0),2)) ELSE least(sqrt(pow(px-x0,2)+pow(py-y0,2)), sqrt(pow(px-x1,2)+pow(py-y1,2))) END < 0.01e0)
+SELECT a.ga AS gid_a, a.gb AS gid_b FROM nn a JOIN nn b ON a.ga = b.gb AND a.gb = b.ga WHERE a.ga < a.gb""")
+def mergeable_lines(spark, d):
+    p = t.points_embeddings(spark, d).where("pid < 300")
+    ends = p.select(F.col("pid").alias("gid"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.lit(0.0).alias("z0"), (F.col("x") + 0.05 * F.col("nx")).alias("x1"), (F.col("y") + 0.05 * F.col("ny")).alias("y1"), F.lit(0.0).alias("z1"))
+    return jn.mergeable_lines(ends, 0.01)
+
+
+@query("pair_dot_products", f"WITH {v.PLANES_EMB} SELECT a.gid AS gid_a, b.gid AS gid_b, {r('a.nx*b.nx+a.ny*b.ny+a.nz*b.nz', 5)} AS dot FROM planes a JOIN planes b ON a.gid < b.gid")
+def pair_dot_products(spark, d):
+    return rounded(rl.pair_products(planes_emb(spark, d)).select("gid_a", "gid_b", "dot"), "dot", places=5)
+
+
+@query("angle_difference_errors", f"WITH {v.PLANES_EMB} SELECT a.gid AS gid_a, b.gid AS gid_b, {r(f'abs({v.angle("a", "b")} - atan2(abs(a.nx*b.ny-a.ny*b.nx), a.nx*b.nx+a.ny*b.ny))', 4)} AS error FROM planes a JOIN planes b ON a.gid < b.gid")
+def angle_difference_errors(spark, d):
+    p = planes_emb(spark, d)
+    return rounded(ev.angle_difference_errors(p, p.withColumn("nz", F.lit(0.0))), "error", places=4)
+
+
+@query("triangle_assignment")
+def triangle_assignment(spark, d):
+    from quoin.sources.schema import TRIANGLES
+
+    tri = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 0.3, 0.0, 0.0, 0.0, 0.3, 0.0), (1, 0.0, 0.0, 0.0, 0.3, 0.0, 0.0, 0.0, 0.0, 0.3)], TRIANGLES)
+    return ev.triangle_assignment(t.points_embeddings(spark, d), tri, SCALE)
+
+
+@query("sphere_map", f"WITH {v.PTS_EMB} SELECT CAST(least(35, floor((atan2(ny, nx) + {v.PI})/(2e0*{v.PI})*36)) AS BIGINT) AS u, CAST(least(17, floor(acos(greatest(-1e0, least(1e0, nz)))/{v.PI}*18)) AS BIGINT) AS v, count(*) AS n FROM pts_emb GROUP BY 1, 2")
+def sphere_map(spark, d):
+    return ag.sphere_map(t.points_embeddings(spark, d), 36, 18).select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), "n")
+
+
+@query("displaced_scene")
+def displaced_scene(spark, d):
+    """A generated scene under all three displacement kernels."""
+    box = scene.box_scene(spark, 100)
+    return scene.displaced(box, [scene.displacement(box, k, 0.01) for k in ("uniform", "normal", "bias")]).select("pid", "x", "y", "z")

@@ -270,3 +270,23 @@ def hough_rows(lines: DataFrame) -> DataFrame:
 def generator_rows(primitives: DataFrame) -> DataFrame:
     """Ground-truth lines of a generator's primitives: mid-point and direction with y turned over, and the used flag."""
     return primitives.select((F.col("x") + F.col("dx") * F.col("width") / 2).alias("x"), (-(F.col("y") + F.col("dy") * F.col("width") / 2)).alias("y"), "z", F.col("dx").alias("nx"), (-F.col("dy")).alias("ny"), F.col("dz").alias("nz"), "gid", "did", F.lit(1).alias("used"))
+
+
+def read_depth(spark: SparkSession, path: str, width: int, unit: float = 0.001) -> DataFrame:
+    """(u, v, depth) of raw 16-bit little-endian depth images of a width, in metres by unit."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        for batch in batches:
+            for body in batch.content:
+                d = np.frombuffer(body, "<u2")
+                i = np.arange(len(d))
+                yield pd.DataFrame({"u": i % width, "v": i // width, "depth": d * unit})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "u long, v long, depth double")
+
+
+def hull_rows(hulls: DataFrame) -> DataFrame:
+    """(gid, corner, x, y, z) of hull polygons (gid, corners), for a mesh."""
+    return hulls.select("gid", F.posexplode("corners").alias("corner", "c")).select("gid", "corner", "c.x", "c.y", "c.z")
