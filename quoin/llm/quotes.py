@@ -55,8 +55,8 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     ignored.
     """
     rows = messages.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    quotes = F.coalesce(F.col("text").rlike("(?m)" + MARKS), F.lit(False))
-    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    quotes = F.coalesce(F.col("text").contains(">") & F.col("text").rlike("(?m)" + MARKS), F.lit(False))
+    bare = lambda x: F.btrim(x, F.lit(" \t\n\r\x0b\f"))
     of = lambda name, quoted: F.filter(name, lambda x: (x["level"] > 0) == F.lit(quoted))
 
     def parsed(some: DataFrame) -> DataFrame:
@@ -66,7 +66,8 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 
     base = rows.withColumn("mark", F.xxhash64("text"))
     # only messages with a quoted line are parsed to lines; most have none
-    with_quotes = parsed(base.where(quotes)).select(
+    # (the optimizer tests an exploded list's size before other filters, hence the condition on the text itself)
+    with_quotes = parsed(base.where(quotes).withColumn("text", F.when(quotes, F.col("text")))).select(
         *base.columns,
         "content",
         F.size(of("runs", True)).alias("n_quotes"),
@@ -105,3 +106,29 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
         F.concat(F.lit("<|im_start|>"), F.coalesce("role", F.lit("")), F.lit("\n"), F.col("content"), F.lit("<|im_end|>\n")).alias("rendered"),
     )
+
+
+# The same in DuckDB; messages are told apart by row, passages by their normalised text.
+ORACLE = r"""WITH RECURSIVE base AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, text FROM conversations),
+ls AS (SELECT *, string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)) AS l, coalesce(regexp_matches(text, '(?m)^(?:[ \t]*>)+'), false) AS has FROM base),
+li AS (SELECT rid, conv_id, turn, has, i, length(regexp_replace(regexp_extract(l[i], '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level, regexp_replace(l[i], '^(?:[ \t]*>)+[ ]?', '') AS body FROM ls, unnest(range(1, len(l) + 1)) AS r(i)),
+cu AS (SELECT *, CASE WHEN lag(level) OVER (PARTITION BY rid ORDER BY i) = level THEN 0 ELSE 1 END AS cut FROM li),
+ru AS (SELECT *, sum(cut) OVER (PARTITION BY rid ORDER BY i) AS run FROM cu),
+pa AS (SELECT rid, conv_id, turn, has, level, string_agg(body, chr(10) ORDER BY i) AS body FROM ru GROUP BY rid, conv_id, turn, has, level, run),
+kept AS (SELECT * FROM li WHERE level = 0 AND NOT regexp_matches(body, '^[ \t]*(?:On .{1,300} wrote:|-{2,}[ ]?Original Message[ ]?-{2,})[ \t]*$')),
+jo AS (SELECT rid, string_agg(body, chr(10) ORDER BY i) AS body FROM kept GROUP BY rid),
+ct AS (SELECT b.*, b.has AS quotes, trim(CASE WHEN b.has THEN coalesce(j.body, '') ELSE coalesce(b.text, '') END, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS content FROM ls b LEFT JOIN jo j ON j.rid = b.rid),
+qk AS (SELECT DISTINCT rid, conv_id, turn, level, trim(regexp_replace(lower(body), '\s+', ' ', 'g')) AS k FROM (SELECT rid, conv_id, turn, level, body FROM pa WHERE level > 0 UNION ALL SELECT rid, conv_id, turn, level, body FROM li WHERE level > 0) WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+wk AS (SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(body), '\s+', ' ', 'g')) AS k FROM (SELECT conv_id, turn, body FROM pa WHERE level = 0 UNION ALL SELECT conv_id, turn, body FROM kept UNION ALL SELECT conv_id, turn, content FROM ct) WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+og AS (SELECT conv_id, k, min(turn) AS origin FROM wk WHERE k <> '' GROUP BY conv_id, k),
+vo AS (SELECT q.rid, q.conv_id, q.turn, o.origin, sum(length(q.k)) AS chars, min(q.level) AS level FROM qk q JOIN og o ON o.conv_id = q.conv_id AND o.k = q.k WHERE o.origin < q.turn GROUP BY ALL),
+re AS (SELECT rid, conv_id, turn, origin AS reply_to FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY level, chars DESC, origin DESC) AS n FROM vo) WHERE n = 1),
+up AS (SELECT conv_id, turn, min(reply_to) AS above FROM re GROUP BY conv_id, turn),
+wa(conv_id, turn, head, steps) AS (SELECT conv_id, turn, above, 1 FROM up UNION ALL SELECT w.conv_id, w.turn, u.above, w.steps + 1 FROM wa w JOIN up u ON u.conv_id = w.conv_id AND u.turn = w.head),
+ro AS (SELECT conv_id, turn, arg_max(head, steps) AS root, max(steps) AS steps FROM wa GROUP BY conv_id, turn)
+SELECT c.conv_id, c.turn, c.role, c.content, CAST((SELECT count(*) FROM pa WHERE pa.rid = c.rid AND pa.level > 0) AS INTEGER) AS n_quotes,
+  CAST((SELECT max(level) FROM li WHERE li.rid = c.rid) AS INTEGER) AS max_level, re.reply_to,
+  CASE WHEN re.reply_to IS NULL THEN c.turn ELSE coalesce(ro.root, re.reply_to) END AS root_turn,
+  CAST(CASE WHEN re.reply_to IS NULL THEN 0 ELSE coalesce(ro.steps, 0) + 1 END AS BIGINT) AS depth,
+  '<|im_start|>' || coalesce(c.role, '') || chr(10) || c.content || '<|im_end|>' || chr(10) AS rendered
+FROM ct c LEFT JOIN re ON re.rid = c.rid LEFT JOIN ro ON ro.conv_id = re.conv_id AND ro.turn = re.reply_to"""
