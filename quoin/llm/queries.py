@@ -73,3 +73,4 @@ QUERIES["op7_sentencepiece"] = op7_sentencepiece
 QUERIES["op8_url_filter"] = op8_url_filter
 QUERIES["op9_mixing"] = op9_mixing
 QUERIES["op10_quotes"] = op10_quotes
+ORACLES["op10_quotes"] = quotes.ORACLE

@@ -4,12 +4,13 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 
 from quoin.lineage import cut
-from quoin.llm import htmltext, matroska, mixing, pieces, pii, simhash, toxicity, urlfilter, vectors
+from quoin.llm import htmltext, matroska, mixing, pieces, pii, quotes, simhash, toxicity, urlfilter, vectors
 
 
 @pytest.fixture(scope="module")
@@ -319,3 +320,15 @@ def test_url_model_equals_plain_version(spark, folder):
             line = "\x02" * k + u.lower() + "\x03"
             want = sum(math.log(p("allow", line[i - k : i + 1]) / p("block", line[i - k : i + 1])) for i in range(k, len(line))) / (len(u) + 1)
             assert abs(want - r.score) < 3e-6
+
+
+def test_quotes_equal_sql(spark):
+    rows = [(1, 0, "user", "Hello there\nHow are you?"), (1, 1, "assistant", "> Hello there\n> How are  you?\nFine, thanks."), (1, 2, "user", "Something else"), (1, 3, "assistant", "On Monday, A wrote:\n> > hello there\n> > how are you?\n> fine, thanks.\nGreat!"), (1, 4, "user", "> great!\nok"), (1, 5, "user", "> unknown\nx"), (2, 0, "user", "> self\nself"), (None, 0, "user", "> Hello there"), (1, None, "user", "> Hello there"), (3, 0, None, None), (3, 1, "a", ""), (3, 1, "a", ""), (4, 0, "u", "rewrapped text that goes on\nand on"), (4, 1, "a", "> rewrapped text\n> that goes on and on\nyes"), (4, 2, "u", "> yes\n>> rewrapped text\ntwice"), (4, 1, "a", "a > b is no quote")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = quotes.link(df)
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    want = con.execute(quotes.ORACLE).fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in out.collect())
+    linked = {(r.conv_id, r.turn): (r.reply_to, r.root_turn, r.depth) for r in out.collect() if r.reply_to is not None}
+    assert linked == {(1, 1): (0, 0, 1), (1, 3): (1, 0, 2), (1, 4): (3, 0, 3), (4, 1): (0, 0, 1), (4, 2): (1, 0, 2)}

@@ -40,3 +40,17 @@ def test_stages(spark, folder):
 
 def test_run_writes_to_the_shared_folder(spark, folder):
     assert corpus_pipeline.run(spark, folder).columns == ["doc_id", "n_tokens", "ids"]
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    rows = [(1, "one two three four five six", "en", "a", 1), (1, "one two three four five six", "en", "a", 1), (2, None, None, None, None), (3, "", "en", "b", 0), (None, "text without an id", "en", None, 3), (4, "x", "en", "c", 1), (5, "word " * 30_000, "en", "a", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = docs.withColumns({c: F.lit(1) for c in ("id", "node", "component", "key", "index", "words", "size", "place", "group", "n", "epoch", "draw", "label")})
+    spark.createDataFrame([(1, 1, 0), (None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for table in (docs, clash, docs.limit(0), clash.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, str(tmp_path))
+            if name != "sentencepiece":
+                assert out.columns == table.columns
+            n = out.count()
+            assert n <= 3 * table.count() and (n > 0) == (table.count() > 0)
