@@ -168,8 +168,8 @@ def read_polygons(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).mapInPandas(run, kind)
 
 
-def read_globfit(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(points, planes) of a globfit text: x y z nx ny nz confidence; nx ny nz d and the points of each plane."""
+def read_point_planes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(points, planes) of a text of counted points, then planes: x y z nx ny nz confidence; nx ny nz d and the points of each plane."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -248,7 +248,7 @@ def graph_lines(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFra
     return edges.select(F.format_string('  "%s" -- "%s";', F.col(src).cast("string"), F.col(dst).cast("string")).alias("value"))
 
 
-def globfit_lines(planes: DataFrame, points: DataFrame) -> DataFrame:
+def point_plane_lines(planes: DataFrame, points: DataFrame) -> DataFrame:
     """(gid, plane, members): the two text lines of each plane."""
     members = points.where("gid is not null").groupBy("gid").agg(F.array_join(F.transform(F.array_sort(F.collect_list("pid")), lambda x: x.cast("string")), " ").alias("list"))
     _, _, _, d = g.four_coefficients(g.Vec.of("px", "py", "pz"), g.Vec.of("nx", "ny", "nz"))

@@ -210,8 +210,8 @@ def test_files(spark, tmp_path):
     assert back.count() == 6 and {r.lid for r in back.collect()} == {0}
     (tmp_path / "m.obj").write_text("v 0 0 0\nv 1 0 0\nv 0 1 0\nv 1 1 0\nf 1 2 3\nf 1/1 2/2 4/3\nf 1 2 3 4\n")
     assert files.read_triangles(spark, str(tmp_path / "m.obj"), 0.5).count() == 2
-    (tmp_path / "g.globfit").write_text("2\n0 0 0 0 0 1 1\n1 0 0 0 0 1 1\n1\nplane 0 0 1 0\npoints 0 1\n")
-    p, planes = files.read_globfit(spark, str(tmp_path / "g.globfit"))
+    (tmp_path / "g.txt").write_text("2\n0 0 0 0 0 1 1\n1 0 0 0 0 1 1\n1\nplane 0 0 1 0\npoints 0 1\n")
+    p, planes = files.read_point_planes(spark, str(tmp_path / "g.txt"))
     assert p.count() == 2 and planes.first().members == [0, 1]
     (tmp_path / "a.svg").write_text('<svg><g transform="translate(1,2)"><path d="M 0 0 L 1 0 l 0 1 Z"/></g></svg>')
     assert files.read_svg_paths(spark, str(tmp_path / "a.svg")).count() == 3
