@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quoin.lineage import cut
+from quoin.llm.simhash import shingle_hashes
 
 SAMPLE = 20_000
 NEIGHBOURS = 15
@@ -41,9 +42,9 @@ class Index:
     def __init__(self, idf: dict[str, float], examples: list[tuple[int, int, dict[str, int]]]):
         self.idf = idf
         self.terms = {t: i for i, t in enumerate(sorted(idf))}
-        self.words = {t for t in idf if t[0] != "^"}
+        self.words = {t for t in idf if t[0] not in "^#"}
         self.starts = [(n, {t[1:] for t in idf if t[0] == "^" and len(t) == n + 1}) for n in PREFIXES]
-        self.heads = {t.lstrip("^")[:3] for t in idf}
+        self.heads = {t.lstrip("^")[:3] for t in idf if t[0] != "#"}
         kept = []
         for key, label, tf in examples:
             if vector := self.vector(tf):
@@ -66,18 +67,22 @@ class Index:
         self.tie[rank] = np.arange(len(kept))
 
     def counts(self, text: str | None) -> dict[str, int]:
-        """How often each term of the vocabulary occurs in a text."""
+        """How often each term of the vocabulary occurs in a text, and as one more term how many of its words have any (up to four)."""
         out: Counter[str] = Counter()
-        words = self.words
-        heads = self.heads
+        words, heads, hits = self.words, self.heads, 0
         for w in _WORD.findall((text or "").lower()):
             if w[:3] not in heads:
                 continue
+            hit = w in words
             if w in words:
                 out[w] += 1
             for n, known in self.starts:
                 if w[:n] in known and len(w) > n:
                     out["^" + w[:n]] += 1
+                    hit = True
+            hits += hit
+        if hits:
+            out[f"#{min(hits, 4)}"] = 1
         return out
 
     def vector(self, tf: dict[str, int]) -> list[tuple[int, float]]:
@@ -147,6 +152,23 @@ class Model:
         return (float(np.interp(self.vote(near), self.x, self.y)) if near else self.empty), near
 
 
+def without_copies(examples: DataFrame) -> DataFrame:
+    """examples with one row (the smallest id's) for each label and smallest hash of five-word shingles.
+
+    Copies and most near copies share that hash, other texts do not; else the words of a text copied
+    a thousand times would look like evidence. Texts without words are one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = [int(h[0]) if len(h := shingle_hashes(x.as_py(), 5).view(np.int64)) else 0 for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], ["id", "text", "toxic", "least"])
+
+    keyed = examples.select("id", "text", "toxic").mapInArrow(run, "id long, text string, toxic int, least long")
+    best = keyed.groupBy("least", "toxic").agg(F.min_by(F.struct("id", "text"), F.struct("id", F.xxhash64("text"))).alias("one"))
+    return best.select("one.id", "one.text", "toxic")
+
+
 def fit(examples: DataFrame, neighbours: int = NEIGHBOURS) -> Model:
     """A model from examples(id, text, toxic), a bounded table.
 
@@ -166,6 +188,7 @@ def fit(examples: DataFrame, neighbours: int = NEIGHBOURS) -> Model:
             some = keys[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([bad[k] for k in some], pa.int64()), pa.array([good[k] for k in some], pa.int64())], ["term", "bad", "good"])
 
+    examples = cut(without_copies(examples))
     sizes = examples.groupBy().agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("bad"), F.count("*").alias("all")).first()
     n1, n = sizes["bad"], sizes["all"]
     rate = (n1 + 0.5) / (n + 1) if n else 0.0
@@ -190,6 +213,8 @@ def fit(examples: DataFrame, neighbours: int = NEIGHBOURS) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(f.items()) for f in found], pa.map_(pa.string(), pa.int64()))], ["id", "toxic", "tf"])
 
     rows = [(r["id"], int(r["toxic"]), dict(r["tf"])) for r in examples.select("id", "text", "toxic").mapInArrow(hits, "id long, toxic int, tf map<string,long>").where("size(tf) > 0").collect()]
+    for k in range(1, 5):
+        idf[f"#{k}"] = math.log((1 + n) / (1 + sum(f"#{k}" in tf for _, _, tf in rows))) + 1
     silent_bad, silent = n1 - sum(y for _, y, _ in rows), n - len(rows)
     model = Model(Index(idf, rows), rate, (silent_bad + rate) / (silent + 1))
     index = model.index
