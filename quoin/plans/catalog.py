@@ -133,16 +133,16 @@ def data_cost(spark, d):
 
 
 _ENERGY = f"""WITH {v.PLANES_LI}, lin AS (SELECT p.gid, avg(pow((q.x-p.px)*p.nx+(q.y-p.py)*p.ny+(q.z-p.pz)*p.nz, 2)) AS q FROM planes p JOIN pts_li q ON p.gid = q.gid GROUP BY p.gid),
-quad AS (SELECT sqrt({v.nearest_diff(v.angle('a', 'b'), RIGHT)}) AS q FROM planes a JOIN planes b ON a.gid <> b.gid WHERE a.gid < 200 AND b.gid < 200)
+quad AS (SELECT sqrt({v.nearest_diff(v.angle('a', 'b'), RIGHT)}) AS q FROM planes a JOIN planes b ON a.gid <> b.gid)
 SELECT {r('(SELECT sum(q) FROM lin)', 4)} AS data, {r('(SELECT sum(q) FROM quad)', 3)} AS pairwise"""
 
 
 @query("energy", _ENERGY)
 def energy(spark, d):
-    """Energy of the arrangement of all suppliers' planes; direction pairs among the first 200, the number a selection problem may hold."""
+    """Energy of the arrangement of all suppliers' planes."""
     planes = planes_li(spark, d)
     linear = ag.data_cost(t.points_lineitem(spark, d), planes).select(F.col("gid").alias("var"), F.col("cost").alias("q"))
-    quad = jn.direction_costs(planes.where("did < 200"), RIGHT, 1.0).select(F.col("did_a").alias("v0"), F.col("did_b").alias("v1"), F.col("cost").alias("q"))
+    quad = jn.direction_costs(planes, RIGHT, 1.0).select(F.col("did_a").alias("v0"), F.col("did_b").alias("v1"), F.col("cost").alias("q"))
     out = ag.energy(linear, quad).select("data", "pairwise")
     return out.select((F.round("data", 4) + 0.0).alias("data"), (F.round("pairwise", 3) + 0.0).alias("pairwise"))
 
@@ -153,12 +153,12 @@ def refit_simple(spark, d):
 
 
 # primitives of lineitem suppliers with a direction (their nation) and a status
-_PRIMS = f"{v.PLANES_LI}, prims AS (SELECT p.*, CAST(s.s_nationkey AS BIGINT) AS did, CASE WHEN p.gid % 7 = 0 THEN 2 WHEN p.gid % 5 = 0 THEN -1 ELSE 1 END AS status FROM planes p JOIN supplier s ON s.s_suppkey = p.gid)"
+_PRIMS = f"{v.PLANES_LI}, prims AS (SELECT p.*, CAST(s.s_nationkey AS BIGINT) AS did, CASE WHEN p.n < 585 THEN 2 WHEN p.n > 615 THEN -1 ELSE 1 END AS status FROM planes p JOIN supplier s ON s.s_suppkey = p.gid)"
 
 
 def primitives(spark, d) -> DataFrame:
     nation = t.read(spark, d, "supplier").select(F.col("s_suppkey").alias("gid"), F.col("s_nationkey").cast("long").alias("did"))
-    status = F.when(F.col("gid") % 7 == 0, 2).when(F.col("gid") % 5 == 0, -1).otherwise(1)
+    status = F.when(F.col("n") < 585, 2).when(F.col("n") > 615, -1).otherwise(1)
     return ag.plane_fit(t.points_lineitem(spark, d)).join(nation, "gid").withColumn("status", status)
 
 
@@ -188,7 +188,7 @@ def relation_stats(spark, d):
 
 
 _HIST = f"""{_PRIMS}, ideal AS (SELECT * FROM (VALUES {", ".join(f"({i}, {a!r})" for i, a in enumerate(ANGLES))}) AS i(idx, a)),
-pr AS (SELECT a.did AS did_a, b.did AS did_b, a.gid AS ga, b.gid AS gb, {v.angle('a', 'b')} AS ang FROM prims a JOIN prims b ON a.gid < b.gid WHERE a.gid < 200 AND b.gid < 200),
+pr AS (SELECT a.did AS did_a, b.did AS did_b, a.gid AS ga, b.gid AS gb, {v.angle('a', 'b')} AS ang FROM prims a JOIN prims b ON a.gid < b.gid),
 best AS (SELECT did_a, did_b, ga, gb, min(abs(ang - a)) AS diff, arg_min(idx, abs(ang - a)) AS idx FROM pr, ideal GROUP BY ALL),
 ex AS (SELECT did_a AS did, idx FROM best WHERE diff < 0.05e0 UNION ALL SELECT did_b, idx FROM best WHERE diff < 0.05e0),
 hist AS (SELECT did, idx AS angle_id, count(*) AS n FROM ex GROUP BY did, idx)"""
@@ -196,7 +196,7 @@ hist AS (SELECT did, idx AS angle_id, count(*) AS n FROM ex GROUP BY did, idx)""
 
 @query("angle_histogram", f"WITH {_HIST} SELECT did, CAST(angle_id AS INTEGER) AS angle_id, n FROM hist")
 def angle_histogram(spark, d):
-    return ag.angle_histogram(jn.pair_angles(primitives(spark, d).where("gid < 200"), ANGLES), 0.05)
+    return ag.angle_histogram(jn.pair_angles(primitives(spark, d), ANGLES), 0.05)
 
 
 @query("generator_votes", f"WITH {_HIST}, gv AS (SELECT did, gen, CAST(sum(n) AS BIGINT) AS votes FROM hist JOIN (SELECT idx, gen FROM ideal, (VALUES (60e0), (90e0)) AS g(gen) WHERE a > 1e-6 AND abs(a/radians(gen) - round(a/radians(gen)))*radians(gen) < radians(0.5e0)) m ON m.idx = hist.angle_id GROUP BY did, gen), k AS (SELECT *, row_number() OVER (PARTITION BY did ORDER BY votes DESC, gen) AS k FROM gv) SELECT did, gen AS degrees, votes FROM k WHERE k = 1")
@@ -375,7 +375,7 @@ def patch_proximity(spark, d):
 
 @query("candidate_pairs", f"WITH {_HIST} SELECT ga AS gid_a, gb AS gid_b, {r('diff', 5)} AS diff FROM best WHERE diff < 0.1e0")
 def candidate_pairs(spark, d):
-    pairs = jn.pair_angles(primitives(spark, d).where("gid < 200"), ANGLES, 0.1)
+    pairs = jn.pair_angles(primitives(spark, d), ANGLES, 0.1)
     return rounded(pairs.select("gid_a", "gid_b", "diff"), "diff", places=5)
 
 
@@ -397,10 +397,10 @@ def line_extent(spark, d):
     return rounded(ag.line_extent(p.select("gid", "x", "y", "z"), ag.line_fit(p), 0.15), *[f"{k}{i}" for i in (0, 1) for k in "xyz"], places=5)
 
 
-@query("adopt_once", f"WITH {v.PLANES_EMB}, k AS (SELECT q.pid, p.gid, abs((q.x-p.px)*p.nx+(q.y-p.py)*p.ny+(q.z-p.pz)*p.nz) AS s FROM pts_emb q CROSS JOIN planes p WHERE q.pid % 20 = 0), m AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY s, gid) AS k FROM k) SELECT pid, {r('s')} AS distance FROM m WHERE k = 1 AND s < 0.01e0")
+@query("adopt_once", f"WITH {v.PLANES_EMB}, k AS (SELECT q.pid, p.gid, abs((q.x-p.px)*p.nx+(q.y-p.py)*p.ny+(q.z-p.pz)*p.nz) AS s FROM pts_emb q CROSS JOIN planes p), m AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY s, gid) AS k FROM k) SELECT pid, {r('s')} AS distance FROM m WHERE k = 1 AND s < 0.01e0")
 def adopt_once(spark, d):
     p = t.points_embeddings(spark, d)
-    free = p.where("pid % 20 = 0").withColumn("gid", F.lit(None).cast("long"))
+    free = p.withColumn("gid", F.lit(None).cast("long"))
     return rounded(jn.adopt_once(free, planes_emb(spark, d), 0.01).select("pid", "distance"), "distance")
 
 
@@ -415,9 +415,9 @@ def legacy_energy(spark, d):
     return rounded(jn.legacy_energy(t.points_embeddings(spark, d), planes_emb(spark, d), SCALE, RIGHT), "data", "pairwise", places=3)
 
 
-@query("reprojected", f"WITH {v.PLANES_EMB}, f AS (SELECT q.*, p.nx AS mx, p.ny AS my, p.nz AS mz, (q.x-p.px)*p.nx+(q.y-p.py)*p.ny+(q.z-p.pz)*p.nz AS s FROM pts_emb q LEFT JOIN planes p ON p.gid = q.gid AND p.gid % 2 = 0) SELECT pid, gid, {r('CASE WHEN mx IS NULL THEN x ELSE x-s*mx END', 5)} AS x, {r('CASE WHEN mx IS NULL THEN y ELSE y-s*my END', 5)} AS y, {r('CASE WHEN mx IS NULL THEN z ELSE z-s*mz END', 5)} AS z FROM f")
+@query("reprojected", f"WITH {v.PLANES_EMB}, f AS (SELECT q.*, p.nx AS mx, p.ny AS my, p.nz AS mz, (q.x-p.px)*p.nx+(q.y-p.py)*p.ny+(q.z-p.pz)*p.nz AS s FROM pts_emb q LEFT JOIN planes p ON p.gid = q.gid AND p.n >= 50) SELECT pid, gid, {r('CASE WHEN mx IS NULL THEN x ELSE x-s*mx END', 5)} AS x, {r('CASE WHEN mx IS NULL THEN y ELSE y-s*my END', 5)} AS y, {r('CASE WHEN mx IS NULL THEN z ELSE z-s*mz END', 5)} AS z FROM f")
 def reprojected(spark, d):
-    return rounded(jn.reprojected(t.points_embeddings(spark, d), planes_emb(spark, d).where("gid % 2 = 0")), "x", "y", "z", places=5)
+    return rounded(jn.reprojected(t.points_embeddings(spark, d), planes_emb(spark, d).where("n >= 50")), "x", "y", "z", places=5)
 
 
 @query("same_direction_edges", f"WITH {_PRIMS} SELECT a.gid AS gid_a, b.gid AS gid_b FROM prims a JOIN prims b ON a.did = b.did AND a.gid < b.gid WHERE a.status <> 2 AND b.status <> 2")
@@ -425,9 +425,9 @@ def same_direction_edges(spark, d):
     return jn.same_direction_edges(primitives(spark, d))
 
 
-@query("correspondence_costs", f"WITH {_PRIMS}, c AS (SELECT a.gid AS gid_a, b.gid AS gid_b, sqrt(pow(a.px-b.px,2)+pow(a.py-b.py,2)+pow(a.pz-b.pz,2)) AS s, {v.angle('a', 'b')} AS w FROM prims a CROSS JOIN prims b WHERE a.status = 1 AND b.status = 1 AND a.gid < 60 AND b.gid < 60) SELECT gid_a, gid_b, {r('s + CASE WHEN w > 3.141592653589793e0/2 THEN 3.141592653589793e0 - w ELSE w END', 4)} AS cost FROM c")
+@query("correspondence_costs", f"WITH {_PRIMS}, c AS (SELECT a.gid AS gid_a, b.gid AS gid_b, sqrt(pow(a.px-b.px,2)+pow(a.py-b.py,2)+pow(a.pz-b.pz,2)) AS s, {v.angle('a', 'b')} AS w FROM prims a CROSS JOIN prims b WHERE a.status = 1 AND b.status = 1) SELECT gid_a, gid_b, {r('s + CASE WHEN w > 3.141592653589793e0/2 THEN 3.141592653589793e0 - w ELSE w END', 4)} AS cost FROM c")
 def correspondence_costs(spark, d):
-    p = primitives(spark, d).where("gid < 60")
+    p = primitives(spark, d)
     return rounded(jn.correspondence_costs(p, p), "cost", places=4)
 
 
@@ -457,12 +457,12 @@ def orientation_histogram(spark, d):
 # --- relations, graphs and the selection problem
 
 
-_GRAPH = "ge AS (SELECT DISTINCT least(l_partkey, 100000 + l_suppkey % 7 + 10 * (l_partkey % 40)) AS a, greatest(l_partkey, 100000 + l_suppkey % 7 + 10 * (l_partkey % 40)) AS b FROM lineitem WHERE l_suppkey % 3 = 0)"
+_GRAPH = "ge AS (SELECT DISTINCT least(l_partkey, 100000 + l_suppkey % 7 + 10 * (l_partkey % 40)) AS a, greatest(l_partkey, 100000 + l_suppkey % 7 + 10 * (l_partkey % 40)) AS b FROM lineitem)"
 
 
 def edges(spark, d) -> DataFrame:
     other = 100000 + F.col("l_suppkey") % 7 + 10 * (F.col("l_partkey") % 40)
-    return t.read(spark, d, "lineitem").where("l_suppkey % 3 = 0").select(F.least("l_partkey", other).alias("src"), F.greatest("l_partkey", other).alias("dst")).distinct()
+    return t.read(spark, d, "lineitem").select(F.least("l_partkey", other).alias("src"), F.greatest("l_partkey", other).alias("dst")).distinct()
 
 
 @query("components", f"WITH RECURSIVE {_GRAPH}, s AS (SELECT a, b FROM ge UNION SELECT b, a FROM ge), r(node, low) AS (SELECT a, a FROM s UNION SELECT s.b, r.low FROM r JOIN s ON s.a = r.node) SELECT node, min(low) AS component FROM r GROUP BY node")
@@ -483,19 +483,19 @@ def spanning_tree(spark, d):
 _ACOS = "acos(least(1e0, abs(a.nx*b.nx+a.ny*b.ny+a.nz*b.nz)))"
 
 
-@query("para_orth_edges", f"WITH {_PRIMS}, pq AS (SELECT a.gid AS gid_a, b.gid AS gid_b, {_ACOS} AS p, abs(asin(least(1e0, abs(a.nx*b.nx+a.ny*b.ny+a.nz*b.nz)))) AS o FROM prims a JOIN prims b ON a.gid < b.gid WHERE a.gid < 200 AND b.gid < 200) SELECT gid_a, gid_b, CASE WHEN p < 0.2e0 THEN 'parallel' ELSE 'orthogonal' END AS kind FROM pq WHERE p < 0.2e0 OR o < 0.2e0")
+@query("para_orth_edges", f"WITH {_PRIMS}, pq AS (SELECT a.gid AS gid_a, b.gid AS gid_b, {_ACOS} AS p, abs(asin(least(1e0, abs(a.nx*b.nx+a.ny*b.ny+a.nz*b.nz)))) AS o FROM prims a JOIN prims b ON a.gid < b.gid) SELECT gid_a, gid_b, CASE WHEN p < 0.2e0 THEN 'parallel' ELSE 'orthogonal' END AS kind FROM pq WHERE p < 0.2e0 OR o < 0.2e0")
 def para_orth_edges(spark, d):
-    return rl.parallel_orthogonal(primitives(spark, d).where("gid < 200"), 0.2).select("gid_a", "gid_b", "kind")
+    return rl.parallel_orthogonal(primitives(spark, d), 0.2).select("gid_a", "gid_b", "kind")
 
 
-@query("coplanar", f"WITH {_PRIMS} SELECT a.gid AS gid_a, b.gid AS gid_b, {r('-abs((b.px-a.px)*a.nx+(b.py-a.py)*a.ny+(b.pz-a.pz)*a.nz)', 5)} AS score FROM prims a JOIN prims b ON a.gid < b.gid WHERE a.gid < 200 AND b.gid < 200 AND {_ACOS} < 0.3e0 AND abs((b.px-a.px)*a.nx+(b.py-a.py)*a.ny+(b.pz-a.pz)*a.nz) < 0.05e0")
+@query("coplanar", f"WITH {_PRIMS} SELECT a.gid AS gid_a, b.gid AS gid_b, {r('-abs((b.px-a.px)*a.nx+(b.py-a.py)*a.ny+(b.pz-a.pz)*a.nz)', 5)} AS score FROM prims a JOIN prims b ON a.gid < b.gid WHERE {_ACOS} < 0.3e0 AND abs((b.px-a.px)*a.nx+(b.py-a.py)*a.ny+(b.pz-a.pz)*a.nz) < 0.05e0")
 def coplanar(spark, d):
-    return rounded(rl.coplanar(primitives(spark, d).where("gid < 200"), 0.3, 0.05), "score", places=5)
+    return rounded(rl.coplanar(primitives(spark, d), 0.3, 0.05), "score", places=5)
 
 
-@query("equal_length", f"WITH {_PRIMS} SELECT a.gid AS gid_a, b.gid AS gid_b FROM prims a JOIN prims b ON a.gid < b.gid WHERE a.gid < 200 AND b.gid < 200 AND abs(a.n - b.n) < 4")
+@query("equal_length", f"WITH {_PRIMS} SELECT a.gid AS gid_a, b.gid AS gid_b FROM prims a JOIN prims b ON a.gid < b.gid WHERE abs(a.n - b.n) < 4")
 def equal_length(spark, d):
-    return rl.equal_values(primitives(spark, d).where("gid < 200").select("gid", F.col("n").alias("value")), 4.0).select("gid_a", "gid_b")
+    return rl.equal_values(primitives(spark, d).select("gid", F.col("n").alias("value")), 4.0).select("gid_a", "gid_b")
 
 
 @query("equal_angle", f"WITH {v.PLANES_EMB}, w AS (SELECT a.gid AS ga, b.gid AS gb, {v.angle('a', 'b')} AS w FROM planes a JOIN planes b ON a.gid < b.gid), f AS (SELECT ga, gb, CASE WHEN w > 3.141592653589793e0/2 THEN 3.141592653589793e0 - w ELSE w END AS w FROM w) SELECT p.ga AS a1, p.gb AS b1, q.ga AS a2, q.gb AS b2 FROM f p JOIN f q ON (p.ga < q.ga OR (p.ga = q.ga AND p.gb < q.gb)) WHERE abs(p.w - q.w) < 0.03e0")
@@ -505,13 +505,13 @@ def equal_angle(spark, d):
 
 # costs of ten patches (labels) under eight directions, by sums of the embeddings' parts
 _COSTS = """cs AS (SELECT CAST(label AS BIGINT) AS gid, k AS did, round(avg(pow(CAST(embedding[CAST(k AS INTEGER) + 1] AS DOUBLE), 2))*10e0, 9) AS q FROM embeddings, range(0, 6) AS s(k) GROUP BY label, k),
-cc AS (SELECT * FROM cs WHERE (gid + did) % 3 <> 0), pp AS (SELECT a.k AS did_a, b.k AS did_b, abs(a.k - b.k)*0.01e0 AS cost FROM range(0, 6) AS a(k), range(0, 6) AS b(k) WHERE a.k <> b.k)"""
+cc AS (SELECT * FROM cs), pp AS (SELECT a.k AS did_a, b.k AS did_b, abs(a.k - b.k)*0.01e0 AS cost FROM range(0, 6) AS a(k), range(0, 6) AS b(k) WHERE a.k <> b.k)"""
 
 
 def selection(spark, d) -> tuple[DataFrame, DataFrame]:
     e = t.read(spark, d, "embeddings").withColumn("did", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))))
     part = F.element_at("embedding", (F.col("did") + 1).cast("int")).cast("double")
-    costs = e.groupBy(F.col("label").cast("long").alias("gid"), "did").agg(F.round(F.avg(part * part) * 10.0, 9).alias("q")).where("(gid + did) % 3 <> 0")
+    costs = e.groupBy(F.col("label").cast("long").alias("gid"), "did").agg(F.round(F.avg(part * part) * 10.0, 9).alias("q"))
     a, b = spark.range(6).toDF("did_a"), spark.range(6).toDF("did_b")
     return costs, a.crossJoin(b).where("did_a <> did_b").withColumn("cost", F.abs(F.col("did_a") - F.col("did_b")) * 0.01)
 
@@ -526,22 +526,26 @@ def select_exact_small(spark, d):
     return rounded(pb.subset_optimum(*selection(spark, d), list(range(6))), "energy")
 
 
-@query("nearest_triangle", f"WITH {v.PTS_EMB}, k AS (SELECT pid, CASE WHEN x >= 0 AND y >= 0 AND x + y <= 0.3e0 THEN abs(z) END AS s FROM pts_emb) SELECT pid, {r('s')} AS distance FROM k WHERE s IS NOT NULL AND s < 0.05e0")
+_TRI = f"""WITH {v.PTS_EMB}, c AS (SELECT *, least(1e0, greatest(0e0, x/0.3e0)) AS ta, least(1e0, greatest(0e0, y/0.3e0)) AS tb, least(1e0, greatest(0e0, (0.3e0*y - 0.3e0*(x-0.3e0))/0.18e0)) AS tc FROM pts_emb),
+k AS (SELECT pid, CASE WHEN x >= 0 AND y >= 0 AND x + y <= 0.3e0 THEN abs(z) ELSE least(sqrt(pow(x-0.3e0*ta,2)+y*y+z*z), sqrt(x*x+pow(y-0.3e0*tb,2)+z*z), sqrt(pow(x-0.3e0+0.3e0*tc,2)+pow(y-0.3e0*tc,2)+z*z)) END AS s FROM c)
+SELECT pid, {r('s')} AS distance FROM k WHERE s < 0.05e0"""
+
+
+@query("nearest_triangle", _TRI)
 def nearest_triangle(spark, d):
     from quoin.sources.schema import TRIANGLES
 
     tri = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 0.3, 0.0, 0.0, 0.0, 0.3, 0.0)], TRIANGLES)
-    inside = t.points_embeddings(spark, d).where("x >= 0 and y >= 0 and x + y <= 0.3")
-    return rounded(jn.nearest_triangle(inside, tri, SCALE).select("pid", "distance"), "distance")
+    return rounded(jn.nearest_triangle(t.points_embeddings(spark, d), tri, SCALE).select("pid", "distance"), "distance")
 
 
-@query("relation_f_measure", f"WITH {_PRIMS}, tr AS (SELECT a.gid AS u, b.gid AS v FROM prims a JOIN prims b ON a.did = b.did AND a.gid < b.gid), es AS (SELECT a.gid AS u, b.gid AS v FROM prims a JOIN prims b ON a.gid < b.gid AND (a.did = b.did AND (a.gid + b.gid) % 4 <> 0 OR a.gid + 1 = b.gid)), c AS (SELECT (SELECT count(*) FROM (SELECT * FROM es INTERSECT SELECT * FROM tr)) AS h, (SELECT count(*) FROM es) AS ne, (SELECT count(*) FROM tr) AS nt), p AS (SELECT CASE WHEN ne > 0 THEN h*1e0/ne ELSE 0e0 END AS precision, CASE WHEN nt > 0 THEN h*1e0/nt ELSE 0e0 END AS recall FROM c) SELECT {r('precision')} AS precision, {r('recall')} AS recall, {r('CASE WHEN precision + recall > 0 THEN 2*precision*recall/(precision+recall) ELSE 0e0 END')} AS f FROM p")
+@query("relation_f_measure", f"WITH {_PRIMS}, tr AS (SELECT a.gid AS u, b.gid AS v FROM prims a JOIN prims b ON a.did = b.did AND a.gid < b.gid), es AS (SELECT a.gid AS u, b.gid AS v FROM prims a JOIN prims b ON a.gid < b.gid AND (a.did = b.did AND abs(a.n - b.n) < 30 OR abs(a.n - b.n) < 2)), c AS (SELECT (SELECT count(*) FROM (SELECT * FROM es INTERSECT SELECT * FROM tr)) AS h, (SELECT count(*) FROM es) AS ne, (SELECT count(*) FROM tr) AS nt), p AS (SELECT CASE WHEN ne > 0 THEN h*1e0/ne ELSE 0e0 END AS precision, CASE WHEN nt > 0 THEN h*1e0/nt ELSE 0e0 END AS recall FROM c) SELECT {r('precision')} AS precision, {r('recall')} AS recall, {r('CASE WHEN precision + recall > 0 THEN 2*precision*recall/(precision+recall) ELSE 0e0 END')} AS f FROM p")
 def relation_f_measure(spark, d):
-    p = primitives(spark, d).select("gid", "did")
-    a, b = (p.toDF(f"gid_{s}", f"did_{s}") for s in "ab")
+    p = primitives(spark, d).select("gid", "did", "n")
+    a, b = (p.toDF(f"gid_{s}", f"did_{s}", f"n_{s}") for s in "ab")
     pairs = a.join(b, F.col("gid_a") < F.col("gid_b"))
     truth = pairs.where("did_a = did_b").select(F.col("gid_a").alias("src"), F.col("gid_b").alias("dst"))
-    found = pairs.where("(did_a = did_b and (gid_a + gid_b) % 4 <> 0) or gid_a + 1 = gid_b").select(F.col("gid_a").alias("src"), F.col("gid_b").alias("dst"))
+    found = pairs.where("(did_a = did_b and abs(n_a - n_b) < 30) or abs(n_a - n_b) < 2").select(F.col("gid_a").alias("src"), F.col("gid_b").alias("dst"))
     return rounded(ev.relation_scores(truth, found, p.select(F.col("gid").alias("gid_a"), F.col("gid").alias("gid_b"))), "precision", "recall", "f")
 
 
@@ -565,8 +569,9 @@ def ransac(spark, d):
 
 @query("region_grow")
 def region_grow(spark, d):
-    """Growth in the order of pids, on a generated scene of bounded size."""
-    return segment.region_grow(scene.box_scene(spark), 0.15, 0.3).select("pid", "gid")
+    """Growth in the order of pids; each label is a scene of its own."""
+    points = t.points_embeddings(spark, d).withColumnRenamed("gid", "label")
+    return segment.region_grow(points, 0.1, 0.6, "label").select("pid", "gid")
 
 
 @query("connected_patches")
@@ -602,13 +607,13 @@ def merged_directions(spark, d):
     return rp.merged_directions(planes_emb(spark, d), RIGHT, 0.1).select("gid", "did")
 
 
-@query("mergeable_lines", f"""WITH {v.PTS_EMB}, ln AS (SELECT pid AS gid, x AS x0, y AS y0, x + 0.05e0*nx AS x1, y + 0.05e0*ny AS y1 FROM pts_emb WHERE pid < 300),
+@query("mergeable_lines", f"""WITH {v.PTS_EMB}, ln AS (SELECT pid AS gid, x AS x0, y AS y0, x + 0.05e0*nx AS x1, y + 0.05e0*ny AS y1 FROM pts_emb),
 pr AS (SELECT a.gid AS ga, b.gid AS gb, p.px, p.py, b.x0, b.y0, b.x1, b.y1 FROM ln a JOIN ln b ON a.gid <> b.gid, LATERAL (SELECT a.x0 AS px, a.y0 AS py UNION ALL SELECT a.x1, a.y1) p),
 tt AS (SELECT *, ((px-x0)*(x1-x0)+(py-y0)*(y1-y0))/((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0)) AS t FROM pr),
 nn AS (SELECT DISTINCT ga, gb FROM tt WHERE CASE WHEN t BETWEEN 0 AND 1 THEN sqrt(pow(px-x0-t*(x1-x0),2)+pow(py-y0-t*(y1-y0),2)) ELSE least(sqrt(pow(px-x0,2)+pow(py-y0,2)), sqrt(pow(px-x1,2)+pow(py-y1,2))) END < 0.01e0)
 SELECT a.ga AS gid_a, a.gb AS gid_b FROM nn a JOIN nn b ON a.ga = b.gb AND a.gb = b.ga WHERE a.ga < a.gb""")
 def mergeable_lines(spark, d):
-    p = t.points_embeddings(spark, d).where("pid < 300")
+    p = t.points_embeddings(spark, d)
     ends = p.select(F.col("pid").alias("gid"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.lit(0.0).alias("z0"), (F.col("x") + 0.05 * F.col("nx")).alias("x1"), (F.col("y") + 0.05 * F.col("ny")).alias("y1"), F.lit(0.0).alias("z1"))
     return jn.mergeable_lines(ends, 0.01)
 
