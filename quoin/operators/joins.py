@@ -109,7 +109,7 @@ def mergeable_planes(extents: DataFrame, scale: float) -> DataFrame:
 
 def substituted(primitives: DataFrame, directions: DataFrame, angles: list[float]) -> DataFrame:
     """Primitives with the normal of their direction's replacement (did, rx, ry, rz), turned to the ideal angle nearest to their own."""
-    joined = primitives.join(F.broadcast(directions.select("did", "rx", "ry", "rz")), "did", "left")
+    joined = primitives.join(bounded(directions.select("did", "rx", "ry", "rz")), "did", "left")
     own, other = g.Vec.of("nx", "ny", "nz"), g.Vec.of("rx", "ry", "rz")
     best = an.nearest(g.angle(own, other), angles)
     ideal = F.element_at(F.array(*[F.lit(float(a)) for a in angles]), best["index"] + 1)

@@ -260,7 +260,7 @@ def largest_patches(spark, d):
 @query("represent_assoc", f"WITH {_PRIMS}, k AS (SELECT *, row_number() OVER (PARTITION BY did ORDER BY n DESC, gid) AS k FROM prims) SELECT q.gid AS old, CASE WHEN q.gid IN (SELECT gid FROM k WHERE k = 1) THEN q.gid END AS gid, count(*) AS n FROM pts_li q GROUP BY q.gid")
 def represent_assoc(spark, d):
     keep = representatives(spark, d).select("gid").withColumn("mark", F.lit(1))
-    n = ag.populations(t.points_lineitem(spark, d)).join(F.broadcast(keep), "gid", "left")
+    n = ag.populations(t.points_lineitem(spark, d)).join(keep, "gid", "left")
     return n.select(F.col("gid").alias("old"), F.when(F.col("mark") == 1, F.col("gid")).alias("gid"), "n")
 
 

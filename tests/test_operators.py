@@ -234,3 +234,23 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_rays_hit_the_nearest_segment(spark):
+    sources = spark.createDataFrame([(0, 0.0, 0.0)], "sid long, x double, y double")
+    segments = spark.createDataFrame([(1, 1.0, -1.0, 1.0, 1.0), (2, 2.0, -5.0, 2.0, 5.0)], "gid long, x0 double, y0 double, x1 double, y1 double")
+    hits = {r.ray: r.gid for r in scene.first_hits(sources, segments, 8).collect()}
+    assert hits[0] == 1 and 4 not in hits
+
+
+def test_second_level(spark):
+    from quoin.operators import represent
+
+    prims = spark.createDataFrame([(0, 5, 1.0, 0.0, 0.0), (1, 5, 0.999, 0.04, 0.0), (2, 6, 0.0, 1.0, 0.0)], "gid long, did long, nx double, ny double, nz double")
+    signif = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 1.0)], "gid long, significance double")
+    points = spark.createDataFrame([(0, 0), (1, 1), (2, 2)], "pid long, gid long")
+    left, best = represent.represent(points, prims, signif)
+    assert {r.gid for r in best.collect()} == {1, 2} and {r.pid: r.gid for r in left.collect()} == {0: None, 1: 1, 2: 2}
+    solved = spark.createDataFrame([(5, 0.0, 0.0, 1.0)], "did long, nx double, ny double, nz double")
+    back = {r.gid: (r.nx, r.ny, r.nz) for r in represent.represent_back(prims, solved, an.angle_set([90.0])).collect()}
+    assert np.allclose(np.abs(back[0]), [1, 0, 0], atol=1e-9) and back[2] == (0.0, 1.0, 0.0)
