@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -247,31 +248,167 @@ def _similar(least: float):
     return run
 
 
+SAMPLE = 20_000
+COMMON = 100_000
+MOST_BITS = 27
+_SHORT = (1 << 40) - 1
+
+
+def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes that occur in many texts of a sample, ascending, and in how many. They only order shingles, so a sample does."""
+    share = min(1.0, SAMPLE / max(1, texts.count()))
+    some = texts.where(F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(1_000_000)) < share * 1_000_000).dropDuplicates(["node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(x.as_py(), words).view(np.int64))], ["token"])
+
+    counted = some.select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 3")
+    rows = counted.orderBy(F.desc("n"), "token").limit(COMMON).collect()
+    hashes, n = np.array([r["token"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def _rarest(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The first of the hashes, in one order for all texts (rare ones first), so many that a text similar by least shares one of its own first."""
+    known, n = common
+    times = np.zeros(len(hashes), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        times = np.where(known[at] == hashes, n[at], 0)
+    return hashes[np.lexsort((hashes, times))[: len(hashes) - math.ceil(least * len(hashes) - 1e-9) + 1]]
+
+
+def _meetings(least: float):
+    """Pairs (a, b, n, m, c) of different groups that a shingle's list holds, sizes within least; c counts the lists of the batch."""
+
+    def counted(found: list[np.ndarray]) -> pa.RecordBatch:
+        pairs, c = np.unique(np.concatenate(found), axis=0, return_counts=True)
+        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(4)), pa.array(c.astype(np.int64))], ["a", "b", "n", "m", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [(batch.column(k).values.to_numpy(), batch.column(k).offsets.to_numpy()) for k in range(3)]
+            found, held = [], 0
+            for i in range(batch.num_rows):
+                node, group, size = (v[o[i] : o[i + 1]] for v, o in columns)
+                order = np.argsort(group, kind="stable")
+                node, group, size = node[order], group[order], size[order]
+                ends = np.searchsorted(group, group, side="right")
+                for x in range(len(node)):
+                    y = np.arange(ends[x], len(node))
+                    y = y[(size[y] >= least * size[x] - 1e-6) & (size[x] >= least * size[y] - 1e-6)]
+                    if not len(y):
+                        continue
+                    first = node[x] < node[y]
+                    own, other = (np.broadcast_to(z, len(y)) for z in (node[x], size[x]))
+                    found.append(np.stack([np.where(first, own, node[y]), np.where(first, node[y], own), np.where(first, other, size[y]), np.where(first, size[y], other)], axis=1))
+                    held += len(y)
+                    if held > 500_000:
+                        yield counted(found)
+                        found, held = [], 0
+            if found:
+                yield counted(found)
+
+    return run
+
+
+def _verified(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (v1, o1), (v2, o2) = ((batch.column(k).values.to_numpy(), batch.column(k).offsets.to_numpy()) for k in (2, 3))
+            keep = []
+            for i in range(batch.num_rows):
+                x, y = v1[o1[i] : o1[i + 1]], v2[o2[i] : o2[i + 1]]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _bit_table(tokens: DataFrame) -> np.ndarray:
+    """A table of bits (uint64 words), set at least at the low bits of every token: 2^27 bits at most, sixteen a token if that is less."""
+    size = 1 << min(MOST_BITS, max(10, math.ceil(math.log2(16 * max(1, tokens.count())))))
+    at = F.col("token").bitwiseAND(F.lit(size - 1))
+    words = tokens.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, cast(token & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(size >> 6, np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _remaining(texts: DataFrame, marks: DataFrame, groups: DataFrame, words: int, least: float) -> DataFrame:
+    """Edges (a, b) of all pairs of similar texts in different groups, by shared shingles: none is missed.
+
+    In an order common to all texts, two texts similar by least share one of their first (1 - least) n + 1
+    shingles. Of n and m shingles they share at most c + max(ceil(least n), ceil(least m)) - 1, if c of these
+    first ones are shared; pairs for which that is too few are dropped, the others verified exactly.
+    """
+    short = F.explode(F.transform("first", lambda x: x.bitwiseAND(F.lit(_SHORT)))).alias("token")
+    # equal hashes stay equal when cut to 40 bits, so every shared one is counted more than once
+    shared = cut(marks.select(short).groupBy("token").agg(F.count("*").alias("times")).where("times > 1").select("token"))
+    bits = _bit_table(shared)
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, ends = batch.column(2).flatten(), np.cumsum(pc.list_value_length(batch.column(2)).to_numpy())
+            at = (flat.to_numpy() & _SHORT) & (len(bits) * 64 - 1)
+            stays = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            n = np.concatenate([[0], np.cumsum(stays)])[np.concatenate([[0], ends])]
+            first = pa.ListArray.from_arrays(pa.array(n.astype(np.int32)), flat.filter(pa.array(stays)))
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), first], ["node", "size", "first"])
+            yield out.filter(pa.array(np.diff(n) > 0))
+
+    left = marks.select("node", "size", "first").mapInArrow(filtered, "node long, size long, first array<long>")
+    placed = left.join(groups, "node", "left").select(F.explode("first").alias("token"), "node", "size", F.coalesce("component", "node").alias("group"))
+    lists = placed.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("group", "node", "size"))).alias("all")).where(F.element_at("all", 1)["group"] < F.element_at("all", -1)["group"])
+    met = lists.select("all.node", "all.group", "all.size").mapInArrow(_meetings(least), "a long, b long, n long, m long, c long").groupBy("a", "b", "n", "m").agg(F.sum("c").alias("c"))
+    most = F.col("c") + F.greatest(F.ceil(least * F.col("n") - 1e-9), F.ceil(least * F.col("m") - 1e-9)) - 1
+    pairs = cut(met.where(most >= least / (1 + least) * (F.col("n") + F.col("m")) - 1e-6).select("a", "b"))
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [shingle_hashes(x.as_py(), words).view(np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], ["node", "hashes"])
+
+    sets = cut(texts.join(ends, "node").groupBy("node").agg(F.first("text").alias("text")).mapInArrow(shingle, "node long, hashes array<long>"))
+    both = pairs.join(sets.toDF("a", "one"), "a").join(sets.toDF("b", "two"), "b")
+    return both.select("a", "b", "one", "two").mapInArrow(_verified(least), "a long, b long")
+
+
 def similar_groups(docs: DataFrame, text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """(node, component): of the distinct texts linked to others by shingle similarity (Jaccard) of at least least, their group.
 
     node is xxhash64 of the text (null as empty). 128-bit fingerprints of the distinct shingles are
     laid in tiles by shingle count (bands of ratio 1/least, so only neighbouring bands can hold
     similar texts) and, in a band, by population count; tile pairs whose population counts differ
-    beyond the radius of 32 are skipped, the others compared exactly. The radius lies three standard
-    deviations above what similarity 0.8 gives. Groups of candidates are then verified by exact
-    similarity, in blocks of bounded size of which each two meet, so no pair beyond a spanning
-    forest leaves a task and none below least links.
+    beyond the radius of 32 are skipped, the others compared exactly. Groups of candidates are then
+    verified by exact similarity, in blocks of bounded size of which each two meet, so no pair beyond
+    a spanning forest leaves a task and none below least links. Fingerprints of similar texts may
+    differ by more than the radius; they only spare the pairs inside a group. Similar texts still in
+    different groups are joined exactly on shared shingles (see _remaining), so every pair counts.
     """
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
 
+    common = _common(texts, words)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
+            made, first = [], []
             for x in batch.column(1):
                 hashes = shingle_hashes(x.as_py(), words)
                 made.append((len(hashes), *_wide(hashes)))
+                first.append(_rarest(hashes, common, least).view(np.int64))
             columns = list(zip(*made, strict=True)) if made else [[], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["node", "size", "fa", "fb"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns), pa.array(first, pa.list_(pa.int64()))], ["node", "size", "fa", "fb", "first"])
 
-    marks = cut(texts.select("node", "text").mapInArrow(run, "node long, size long, fa long, fb long").groupBy("node").agg(F.first("size").alias("size"), F.first("fa").alias("fa"), F.first("fb").alias("fb")))
+    hashed_once = texts.select("node", "text").mapInArrow(run, "node long, size long, fa long, fb long, first array<long>")
+    marks = cut(hashed_once.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "fa", "fb", "first")]))
     band = F.when(F.col("size") > 0, F.floor(F.log(F.col("size").cast("double")) / math.log(1 / least) + 1e-9).cast("int")).otherwise(F.lit(-9))
-    banded = marks.withColumn("band", band).withColumn("ones", F.bit_count("fa") + F.bit_count("fb"))
+    banded = marks.drop("first").withColumn("band", band).withColumn("ones", F.bit_count("fa") + F.bit_count("fb"))
     # at most 129 population counts in each of some hundred bands
     counts = cut(banded.groupBy("band", "ones").agg(F.count("*").alias("n")))
     upto = F.sum("n").over(Window.partitionBy("band").orderBy("ones"))
@@ -300,7 +437,9 @@ def similar_groups(docs: DataFrame, text_col: str = "text", words: int = 5, leas
     hashed = one_each.mapInArrow(shingle, "node long, component long, block int, hashes array<long>, blocks int")
     tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("p"), F.greatest("block", k).alias("q"))))
     met = hashed.withColumn("tile", tile).select("component", "tile.p", "tile.q", "node", "block", "hashes")
-    return connected_components(met.groupBy("component", "p", "q").applyInPandas(_similar(least), "a long, b long"))
+    linked = cut(met.groupBy("component", "p", "q").applyInPandas(_similar(least), "a long, b long"))
+    rest = cut(_remaining(texts, marks, connected_components(linked), words, least))
+    return connected_components(linked.union(rest))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 
 import duckdb
 import numpy as np
@@ -89,6 +90,20 @@ def test_similar_texts(spark):
     assert {r.doc_id for r in got.collect()} == want
 
 
+def test_similar_short_texts_are_all_found(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(1500):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.choice([8, 8, 8, 9, 12, 16, 20]))]
+        other = rng.choice([[*words, "end"], ["start", *words], words[:-1] if len(words) > 8 else [*words, "more"]])
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    got = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {2 * i for i in range(1500)}
+    sets = [shingles(t) for _, t in rows]
+    want |= {2 * i + 1 for i in range(1500) if len(sets[2 * i] & sets[2 * i + 1]) < 0.8 * len(sets[2 * i] | sets[2 * i + 1])}
+    assert got == want
+
+
 def base_spans(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
