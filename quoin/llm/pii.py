@@ -23,7 +23,7 @@ LOOSE = {
     "email": r"(?i)[a-z0-9._%+-]{1,64}+ ?[\[({] ?at ?[\])}] ?[a-z0-9-]{1,63}+(?: ?(?:\.|[\[({] ?dot ?[\])}]) ?[a-z0-9-]{2,24})+",
     "phone": r"(?<![0-9+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,200}+={0,2}",
+    "secret": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+={0,2}",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 HINT = {"email": r"(?i)[\[({] ?at ?[\])}]", "phone": r"[0-9]{3}[ .-][0-9]{4}", "iban": r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", "secret": r"[0-9]", "ssn": r"[0-9]-[0-9]{2}-[0-9]"}

@@ -136,6 +136,13 @@ def test_mask_leaves_no_base_span(documents):
         assert not base_spans(r.text or "")
 
 
+def test_long_secrets_are_masked_whole(spark):
+    token = "".join(random.Random(7).choices(string.ascii_letters + string.digits, k=300))
+    rows = [(0, f"api_key = {token} and more"), (1, f"token: {token[:199]}9"), (2, f"secret={token}9x==")]
+    got = {r.doc_id: r.text for r in pii.mask(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: "api_key = [SECRET] and more", 1: "token: [SECRET]", 2: "secret=[SECRET]"}
+
+
 def test_matroska_lacings_and_damage():
     payload = bytes(range(256)) * 40
     for lacing in ("none", "fixed", "xiph", "ebml"):
