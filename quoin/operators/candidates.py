@@ -9,7 +9,7 @@ from quoin.functions import angles as an
 from quoin.functions import geometry as g
 from quoin.operators import filters as fl
 from quoin.operators import joins as jn
-from quoin.sources.schema import SMALL
+from quoin.sources.schema import SMALL, UNSET
 
 
 def transplanted(primitives: DataFrame, angles: list[float], limit: float) -> DataFrame:
@@ -44,22 +44,29 @@ def safe_only(made: DataFrame, existing: DataFrame, angles: list[float], toleran
     return made.join(wrong, ["gid", "lid"], "left_anti")
 
 
-def limited(made: DataFrame, budget: int) -> tuple[list[int], int]:
-    """(gids, left): patches by falling number of candidates, taken while the sum stays within budget, skipping misfits; and how many are left."""
-    taken, room = [], budget
-    rows = made.groupBy("gid").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gid").collect()
+def limited(made: DataFrame, budget: int, always: DataFrame | None = None) -> tuple[list[int], int]:
+    """(gids, left): patches by falling number of candidates, taken while the sum stays within budget, skipping misfits; and how many are left.
+
+    Patches of always are taken first. An error if nothing else fits, as no further round could change that.
+    """
+    sizes = made.groupBy("gid").agg(F.count("*").alias("n"))
+    fixed = sizes.join(always.select("gid").distinct(), "gid", "left_semi").collect() if always is not None else []
+    taken, room = [r["gid"] for r in fixed], budget - sum(r["n"] for r in fixed)
+    rows = (sizes.join(always.select("gid").distinct(), "gid", "left_anti") if always is not None else sizes).orderBy(F.desc("n"), "gid").collect()
+    if room < min((r["n"] for r in rows), default=0):
+        raise ValueError(f"{len(rows)} patches to promote don't fit a budget of {budget} candidates; active ones take {budget - room}")
     for r in rows:
         if r["n"] <= room:
             taken.append(r["gid"])
             room -= r["n"]
-    return sorted(taken), len(rows) - len(taken)
+    return sorted(taken), len(rows) + len(fixed) - len(taken)
 
 
 def generate(primitives: DataFrame, points: DataFrame, angles: list[float], limit: float, budget: int = 1000, keep_singles: bool = True, least: int = 5) -> tuple[DataFrame, int]:
-    """(candidates, patches left over) of one round: transplant, limit, drop singles if asked."""
+    """(candidates, patches left over) of one round: transplant, limit the newly promoted patches, drop singles if asked."""
     made = transplanted(primitives, angles, limit)
     every = with_own(primitives.where(F.col("status") != SMALL), made)
-    gids, left = limited(every, budget)
+    gids, left = limited(every, budget, primitives.where(~F.col("status").isin(SMALL, UNSET)))
     out = every.where(F.col("gid").isin(gids)) if left else every
     if not keep_singles:
         out = fl.without_singles(out.withColumn("status", F.lit(1)), points, least).drop("status")

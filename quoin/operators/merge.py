@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,18 +39,18 @@ def merge_round(points: DataFrame, primitives: DataFrame, scale: float, kind: st
     return moved, cut(new), gone.count()
 
 
-def merged(points: DataFrame, primitives: DataFrame, scale: float, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
-    """merge_round() until nothing changes."""
-    for _ in range(rounds):
+def merged(points: DataFrame, primitives: DataFrame, scale: float, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """merge_round() until nothing changes, or rounds times at most."""
+    for _ in itertools.count() if rounds is None else range(rounds):
         points, primitives, n = merge_round(points, primitives, scale)
         if not n:
             break
     return points, primitives
 
 
-def adopted(points: DataFrame, primitives: DataFrame, scale: float, rounds: int = 5) -> DataFrame:
-    """points whose orphans are given to a finite plane within scale, extents growing with each round, until none is adopted."""
-    for _ in range(rounds):
+def adopted(points: DataFrame, primitives: DataFrame, scale: float, rounds: int | None = None) -> DataFrame:
+    """points whose orphans are given to a finite plane within scale, extents growing with each round, until none is adopted, or rounds times at most."""
+    for _ in itertools.count() if rounds is None else range(rounds):
         extents = fit.plane_extents(points.where("gid is not null"), primitives, scale)
         new = cut(jn.adopt_finite(points, extents, scale).select("pid", F.col("gid").alias("_gid")))
         if new.isEmpty():

@@ -20,7 +20,8 @@ def reconstruct(points: DataFrame, scale: float, degrees: float = 10.0, pairwise
     """(points with gid, chosen primitives with a common direction id) of a cloud: pid, place, normal.
 
     Small patches wait (status 2) until the significance they need, halved each round, lets them in.
-    The first round allows parallels only, later ones the generators' angles.
+    The first round allows parallels only, later ones the generators' angles. Patches whose candidates
+    don't fit the budget wait too; rounds are added until none is left.
     """
     limit = math.radians(degrees)
     if not segment.is_oriented(points):
@@ -28,12 +29,14 @@ def reconstruct(points: DataFrame, scale: float, degrees: float = 10.0, pairwise
     points, prims = segment.patchify(points, scale, limit, least)
     points, prims = cut(points), cut(prims)
     need = 4.0
-    for k in range(rounds):
+    k, left = 0, 0
+    while k < rounds or left:
         angles = angle_set([] if k == 0 else list(generators))
         signif = ag.significance(ag.moments(points.where("gid is not null")))
         prims = cut(fl.promoted(prims.withColumn("status", F.when(F.col("status") == ACTIVE, F.lit(ACTIVE)).otherwise(F.col("status"))), points, signif, least, need, scale))
         made, left = cd.generate(prims, points, angles, limit, budget)
         made = cut(made)
+        prims = cut(fl.chosen_only(prims, made))
         if not made.isEmpty():
             near = spatial.patch_proximity(points, 2 * scale)
             terms = problem.formulate(points, made, near, angles, unary, pairwise, pairwise / 10 if spatial_weight is None else spatial_weight)
@@ -43,5 +46,6 @@ def reconstruct(points: DataFrame, scale: float, degrees: float = 10.0, pairwise
             prims = cut(prims.withColumns({c: F.coalesce("_" + c, c) for c in ("px", "py", "pz", "nx", "ny", "nz")}).drop("_old", "_px", "_py", "_pz", "_nx", "_ny", "_nz"))
         points, prims = merge.merged(points, prims, scale)
         need = need / 2 if not left else need
+        k += 1
     points = merge.adopted(points, prims.where(F.col("status") != SMALL), scale)
     return points, prims

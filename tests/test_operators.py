@@ -118,6 +118,13 @@ def test_reconstruct_box(spark):
     assert len(normals) == 6 and np.all(np.max(np.abs(normals), axis=1) > math.cos(math.radians(2)))
 
 
+def test_reconstruct_adds_rounds_for_patches_over_the_budget(spark):
+    from quoin.plans.reconstruct import reconstruct
+
+    _, prims = reconstruct(scene.box_scene(spark, 100), 0.15, generators=(), rounds=1, budget=8)
+    assert prims.where("status = 1").count() == 6
+
+
 def test_extents_and_hulls():
     xyz = np.array([[0, 0, 0], [2, 0, 0], [2, 1, 0], [0, 1, 0], [1, 0.5, 0]], float)
     c = fit.rectangle(xyz, xyz.mean(axis=0), np.array([0.0, 0, 1]))
