@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -139,15 +141,15 @@ def plane_hulls(points: DataFrame, planes: DataFrame) -> DataFrame:
     return joined.groupBy("gid").applyInPandas(run, "gid long, area double, corners array<struct<x:double,y:double,z:double>>")
 
 
-def ransac(points: DataFrame, kind: str, scale: float, most: int = 10, rounds: int = 200, least: int = 5) -> DataFrame:
-    """(gid, k, n, place, normal or direction) of primitives drawn from each patch one after another by random samples; the seed is the patch's, so reruns agree."""
+def ransac(points: DataFrame, kind: str, scale: float, most: int | None = None, rounds: int = 200, least: int = 5) -> DataFrame:
+    """(gid, k, n, place, normal or direction) of primitives drawn from each patch one after another by random samples, until fewer than least points agree, or most of them; the seed is the patch's, so reruns agree."""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("pid")
         xyz, rows = frame[["x", "y", "z"]].to_numpy(), []
         rng = np.random.default_rng(int(key[0]) + 1)
         need = 3 if kind == "plane" else 2
-        for k in range(most):
+        for k in itertools.count() if most is None else range(most):
             if len(xyz) < max(need, least):
                 break
             best = None

@@ -564,7 +564,7 @@ def plane_extents(spark, d):
 
 @query("ransac")
 def ransac(spark, d):
-    return fit.ransac(t.points_embeddings(spark, d), "plane", SCALE, most=3, rounds=50)
+    return fit.ransac(t.points_embeddings(spark, d), "plane", SCALE)
 
 
 @query("region_grow")

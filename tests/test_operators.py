@@ -206,6 +206,18 @@ def test_baselines(spark):
     assert baselines.normal_clusters([(1, 0, 0), (-1, 0, 0), (0, 1, 0)]) == [0, 0, 1]
 
 
+def test_ransac_goes_on_while_points_agree(spark):
+    from quoin.plans import catalog
+
+    rng = np.random.default_rng(5)
+    rows = [(20 * k + i, 0, *map(float, rng.uniform(0, 10, 2)), float(3 * k)) for k in range(12) for i in range(20)]
+    layers = spark.createDataFrame(rows, "pid long, gid long, x double, y double, z double")
+    assert [r.n for r in fit.ransac(layers, "plane", 0.03, rounds=2000).collect()] == [20] * 12
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(catalog.t, "points_embeddings", lambda *_: layers.where("pid < 120"))
+        assert catalog.ransac(spark, "").count() == 6
+
+
 def test_files(spark, tmp_path):
     box = scene.box_scene(spark, 5, noise=0.0)
     files.write_points(box, str(tmp_path / "cloud.ply"))
