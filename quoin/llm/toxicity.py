@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import pickle
 import re
@@ -9,6 +10,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -17,120 +19,164 @@ from pyspark.sql import functions as F
 from quoin.lineage import cut
 from quoin.llm.simhash import shingle_hashes
 
-SAMPLE = 20_000
+SAMPLE = 4096
 NEIGHBOURS = 15
 BLOCK = 64
-PREFIXES = (4, 5, 6, 7, 8)
+FREQUENT = 2048
+AT_ONCE = 256
 THRESHOLD = 0.3
 _WORD = re.compile(r"\w+")
 _EPS = 0.05
 
 
-def terms_of(text: str | None) -> list[str]:
-    """A text's terms: each lower-cased word, and its prefixes of four to eight letters marked with a caret."""
-    words = _WORD.findall((text or "").lower())
-    return words + ["^" + w[:n] for n in PREFIXES for w in words if len(w) > n]
+def counts(text: str | None) -> Counter[str]:
+    """How often each lower-cased word occurs in a text."""
+    return Counter(_WORD.findall((text or "").lower()))
+
+
+def term_weights(examples: list[tuple[Counter[str], int]]) -> dict[str, float]:
+    """Every word of the examples, with its inverse document frequency times one plus ten times its association with the labels.
+
+    The association is the likelihood ratio over the value that about half a word reaches by chance
+    among all words. Without it the rare words of any text outweigh what toxic examples share.
+    """
+    n, n1 = len(examples), sum(y for _, y in examples)
+    bad, all_ = Counter(), Counter()
+    for c, y in examples:
+        all_.update(c.keys())
+        if y:
+            bad.update(c.keys())
+    words = sorted(all_)
+    df, o11 = np.array([all_[w] for w in words], float), np.array([bad[w] for w in words], float)
+    ratio = np.zeros(len(words))
+    if 0 < n1 < n:
+        for o, e in ((o11, df * n1 / n), (df - o11, df * (n - n1) / n), (n1 - o11, (n - df) * n1 / n), (n - n1 - df + o11, (n - df) * (n - n1) / n)):
+            ratio += 2 * np.where(o > 0, o * np.log(np.maximum(o, 1) / np.maximum(e, 1e-12)), 0.0)
+    weight = (np.log((1 + n) / (1 + df)) + 1) * (1 + 10 * np.maximum(0.0, ratio) / (2 * math.log(max(2, 2 * len(words)))))
+    return dict(zip(words, weight.tolist(), strict=True))
 
 
 class Index:
-    """Unit TF-IDF vectors of labelled examples in posting lists, with the largest weight of each block of examples.
+    """Unit TF-IDF vectors of all examples, over all their words, in posting lists cut into blocks of examples.
 
-    Examples are laid out so that those sharing their heaviest terms are neighbours, which keeps
-    most blocks' bounds low for any one query.
+    Words rarer than the FREQUENT most frequent ones have plain postings. The postings of frequent
+    words lie dense by block, and each block has the largest weight of every frequent word, which
+    bounds what any of its examples can add. Examples are laid out so that those sharing their
+    heaviest words are neighbours, which keeps most blocks' bounds low for any one query; the layout,
+    and so the order of ties, depends on words alone.
     """
 
-    def __init__(self, idf: dict[str, float], examples: list[tuple[int, int, dict[str, int]]]):
-        self.idf = idf
-        self.terms = {t: i for i, t in enumerate(sorted(idf))}
-        self.words = {t for t in idf if t[0] not in "^#"}
-        self.starts = [(n, {t[1:] for t in idf if t[0] == "^" and len(t) == n + 1}) for n in PREFIXES]
-        self.heads = {t.lstrip("^")[:3] for t in idf if t[0] != "#"}
+    def __init__(self, weight: dict[str, float], examples: list[tuple[int, int, dict[str, int]]]):
+        self.weight = weight
+        self.terms = {t: i for i, t in enumerate(weight)}
+        self.idf = np.array(list(weight.values()), np.float64)
         kept = []
         for key, label, tf in examples:
-            if vector := self.vector(tf):
-                kept.append((tuple(t for _, t in sorted((-w, t) for t, w in vector)[:3]), key, label, vector))
-        kept.sort(key=lambda x: (x[0], x[1] is None, x[1] or 0, x[2]))
-        self.ids = [x[1] for x in kept]
+            at, w = self.vector(tf)
+            if len(at):
+                top = np.lexsort((at, -w))[:3]
+                kept.append((tuple(at[top].tolist()), sorted(tf.items()), label, (key is None, key or 0), key, at, w))
+        kept.sort(key=lambda x: x[:4])
+        self.ids = [x[4] for x in kept]
         self.labels = np.array([x[2] for x in kept], np.float64)
-        self.blocks = -(-len(kept) // BLOCK)
-        self.most = np.zeros((len(self.terms), self.blocks))
-        lists: list[list[tuple[int, float]]] = [[] for _ in self.terms]
-        for i, (_, _, _, vector) in enumerate(kept):
-            for t, w in vector:
-                lists[t].append((i, w))
-                self.most[t, i // BLOCK] = max(self.most[t, i // BLOCK], w)
-        self.members = [np.array([i for i, _ in x], np.int64) for x in lists]
-        self.weights = [np.array([w for _, w in x]) for x in lists]
-        self.cuts = [np.searchsorted(m, np.arange(self.blocks + 1) * BLOCK) for m in self.members]
-        rank = sorted(range(len(kept)), key=lambda i: (self.ids[i] is None, self.ids[i] or 0, i))
-        self.tie = np.empty(len(kept), np.int64)
-        self.tie[rank] = np.arange(len(kept))
-
-    def counts(self, text: str | None) -> dict[str, int]:
-        """How often each term of the vocabulary occurs in a text, and as one more term how many of its words have any (up to four)."""
-        out: Counter[str] = Counter()
-        words, heads, hits = self.words, self.heads, 0
-        for w in _WORD.findall((text or "").lower()):
-            if w[:3] not in heads:
-                continue
-            hit = w in words
-            if w in words:
-                out[w] += 1
-            for n, known in self.starts:
-                if w[:n] in known and len(w) > n:
-                    out["^" + w[:n]] += 1
-                    hit = True
-            hits += hit
-        if hits:
-            out[f"#{min(hits, 4)}"] = 1
-        return out
-
-    def vector(self, tf: dict[str, int]) -> list[tuple[int, float]]:
-        raw = [(self.terms[t], (1 + math.log(n)) * self.idf[t]) for t, n in sorted(tf.items()) if t in self.terms]
-        norm = math.sqrt(sum(w * w for _, w in raw))
-        return [(t, w / norm) for t, w in raw]
-
-    def nearest(self, vector: list[tuple[int, float]], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[int, float]]:
-        """The k examples of largest cosine, ties by id, as (position, cosine); those of cosine 0 never.
-
-        Blocks are scored in the order of their bound; as soon as the next bound is below the k-th
-        best cosine no block left can matter, so the result is exact.
+        self.examples = len(kept)
+        flat = np.concatenate([x[5] for x in kept]) if kept else np.zeros(0, np.int64)
+        self.flat = (flat.astype(np.int32), np.concatenate([x[6] for x in kept]) if kept else np.zeros(0), np.repeat(np.arange(len(kept)), [len(x[5]) for x in kept]).astype(np.int32))
+        self.ready = False
+
+    def __getstate__(self) -> dict:
+        return {k: self.__dict__[k] for k in ("weight", "terms", "idf", "ids", "labels", "examples", "flat")} | {"ready": False}
+
+    def _prepare(self) -> None:
+        """Posting lists and block maxima, laid out once in each process."""
+        term, weight, member = self.flat
+        times = np.bincount(term, minlength=len(self.terms))
+        self.blocks = -(-self.examples // BLOCK)
+        common = np.argsort(-times, kind="stable")[:FREQUENT]
+        self.column = np.full(len(self.terms), -1, np.int64)
+        self.column[common] = np.arange(len(common))
+        column = self.column[term]
+        dense = np.zeros((self.blocks * BLOCK, len(common)))
+        often = column >= 0
+        dense[member[often], column[often]] = weight[often]
+        self.dense = dense.reshape(self.blocks, BLOCK, len(common))
+        self.most = self.dense.max(axis=1)
+        rare = np.nonzero(~often)[0]
+        rare = rare[np.argsort(term[rare], kind="stable")]
+        self.members, self.weights = member[rare].astype(np.int64), weight[rare]
+        self.starts = np.searchsorted(term[rare], np.arange(len(self.terms) + 1))
+        self.ready = True
+
+    def vector(self, tf: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """A text's known words and their weights, of length one."""
+        known = self.terms
+        pairs = [(known[t], n) for t, n in tf.items() if t in known]
+        if not pairs:
+            return np.zeros(0, np.int64), np.zeros(0)
+        at = np.array([p[0] for p in pairs], np.int64)
+        w = (1 + np.log(np.array([p[1] for p in pairs], np.float64))) * self.idf[at]
+        order = np.argsort(at)
+        at, w = at[order], w[order]
+        return at, w / math.sqrt(float((w * w).sum()))
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the k examples of largest cosine, ties by layout: (positions, cosines), position -1 where fewer have a cosine above 0.
+
+        A query's rare words give each example a partial score; with the block maxima of its frequent
+        words that bounds each block. Blocks are scored from the highest bounds down, each for those
+        queries only whose k-th best cosine its bound reaches, so the result is exact. without: an
+        example for each query that doesn't count.
         """
-        if not vector or not self.blocks:
-            return []
-        bound = np.zeros(self.blocks)
-        for t, w in vector:
-            bound += w * self.most[t]
-        order = np.argsort(-bound, kind="stable")
-        best_s, best_i = np.zeros(0), np.zeros(0, np.int64)
-        for b in order:
-            if bound[b] <= 0 or len(best_s) == k and bound[b] < best_s[-1] - 1e-9:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in vector:
-                lo, hi = self.cuts[t][b], self.cuts[t][b + 1]
-                if hi > lo:
-                    score[self.members[t][lo:hi] - b * BLOCK] += w * self.weights[t][lo:hi]
-            at = np.nonzero(score > 0)[0]
-            if without // BLOCK == b:
-                at = at[at != without - b * BLOCK]
-            s, i = np.concatenate([best_s, np.round(score[at], 12)]), np.concatenate([best_i, at + b * BLOCK])
-            top = np.lexsort((self.tie[i], -s))[:k]
-            best_s, best_i = s[top], i[top]
-        return list(zip(best_i.tolist(), best_s.tolist(), strict=True))
+        if not self.ready:
+            self._prepare()
+        found_i, found_s = np.full((len(vectors), k), -1, np.int64), np.zeros((len(vectors), k))
+        for at in range(0, len(vectors) if self.examples else 0, AT_ONCE):
+            some = vectors[at : at + AT_ONCE]
+            m, n = len(some), self.blocks * BLOCK
+            term = np.concatenate([v[0] for v in some])
+            weight = np.concatenate([v[1] for v in some])
+            row = np.repeat(np.arange(m), [len(v[0]) for v in some])
+            often = self.column[term] >= 0
+            query = np.zeros((m, self.most.shape[1]))
+            query[row[often], self.column[term[often]]] = weight[often]
+            term, weight, row = term[~often], weight[~often], row[~often]
+            size = self.starts[term + 1] - self.starts[term]
+            spot = np.repeat(self.starts[term] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            part = np.bincount(np.repeat(row, size) * n + self.members[spot], np.repeat(weight, size) * self.weights[spot], minlength=m * n).reshape(m, n)
+            if without is not None:
+                part[np.arange(m), without[at : at + m]] = -2
+            bound = part.reshape(m, self.blocks, BLOCK).max(axis=2) + query @ self.most.T
+            top = min(k, n)
+            least = np.maximum(0, np.partition(part, n - top, axis=1)[:, n - top]) if n >= k else np.zeros(m)
+            best_i, best_s = np.full((m, k), n, np.int64), np.zeros((m, k))
+            for b in np.argsort(-bound.sum(axis=0), kind="stable"):
+                act = np.nonzero((bound[:, b] > 0) & (bound[:, b] >= least - 1e-9))[0]
+                if not len(act):
+                    continue
+                score = np.round(part[act, b * BLOCK : (b + 1) * BLOCK] + query[act] @ self.dense[b].T, 12)
+                s = np.concatenate([best_s[act], np.maximum(0, score)], axis=1)
+                i = np.concatenate([best_i[act], np.broadcast_to(np.arange(b * BLOCK, (b + 1) * BLOCK), score.shape)], axis=1)
+                order = np.lexsort((i, -s), axis=1)[:, :k]
+                best_s[act], best_i[act] = np.take_along_axis(s, order, axis=1), np.take_along_axis(i, order, axis=1)
+                least[act] = np.maximum(least[act], best_s[act, k - 1])
+            found_i[at : at + m], found_s[at : at + m] = np.where(best_s > 0, best_i, -1), best_s
+        return found_i, found_s
 
 
 class Model:
     """An index, the rate of toxic texts, and a monotone calibration of the vote."""
 
-    def __init__(self, index: Index, rate: float, empty: float):
-        self.index, self.rate, self.empty = index, rate, empty
+    def __init__(self, index: Index, rate: float, neighbours: int = NEIGHBOURS, wordless: tuple[int, int] = (0, 0)):
+        """wordless: how many examples have no word, and how many of these are toxic."""
+        self.index, self.rate, self.neighbours = index, rate, neighbours
+        self.empty = (wordless[1] + rate) / (wordless[0] + 2)
         self.x, self.y = np.array([0.0, 1.0]), np.array([0.0, 1.0])
 
-    def vote(self, near: list[tuple[int, float]]) -> float:
+    def votes(self, near: np.ndarray, cosine: np.ndarray) -> np.ndarray:
         """Neighbours' labels weighted by closeness, with one far vote for the overall rate."""
-        w = [1 / (1 - s + _EPS) for _, s in near]
-        return (sum(a * self.index.labels[i] for a, (i, _) in zip(w, near, strict=True)) + self.rate) / (sum(w) + 1)
+        w = np.where(near >= 0, 1 / (1 - np.minimum(cosine, 1.0) + _EPS), 0.0)
+        labels = self.index.labels[np.maximum(near, 0)] if self.index.examples else np.zeros(near.shape)
+        return ((w * labels).sum(axis=1) + self.rate) / (w.sum(axis=1) + 1)
 
     def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
         """Isotonic regression (pool adjacent violators) of labels on votes, joined by straight lines."""
@@ -146,86 +192,71 @@ class Model:
             self.x = np.array([b[2] for b in blocks])
             self.y = np.array([(b[0] + self.rate) / (b[1] + 1) for b in blocks])
 
-    def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
-        """The calibrated chance that a text is toxic, and its neighbours."""
-        near = self.index.nearest(self.index.vector(self.index.counts(text)))
-        return (float(np.interp(self.vote(near), self.x, self.y)) if near else self.empty), near
+    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The calibrated chances that texts are toxic, and their neighbours and cosines.
+
+        A text without a known word has the share of toxic ones among examples without words and two
+        invented ones, of which the overall rate is toxic.
+        """
+        near, cosine = self.index.nearest([self.index.vector(counts(t)) for t in texts], self.neighbours)
+        return np.where((near >= 0).any(axis=1), np.interp(self.votes(near, cosine), self.x, self.y), self.empty), near, cosine
 
 
-def without_copies(examples: DataFrame) -> DataFrame:
-    """examples with one row (the smallest id's) for each label and smallest hash of five-word shingles.
+def without_copies(examples: DataFrame, least: float = 0.8) -> DataFrame:
+    """examples(id, text, toxic), a bounded table, with one of each group of equal or similar texts of a label.
 
-    Copies and most near copies share that hash, other texts do not; else the words of a text copied
-    a thousand times would look like evidence. Texts without words are one.
+    Texts that share their smallest hash of five-word shingles are compared, and one whose shingles
+    are similar by least (Jaccard) to those of one kept before it is left out; else the words of a
+    text copied a thousand times would look like evidence. Texts that only share a passage stay.
+    Texts without words are one. The order is by the texts' hash, equal texts keep the smallest id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            least = [int(h[0]) if len(h := shingle_hashes(x.as_py(), 5).view(np.int64)) else 0 for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], ["id", "text", "toxic", "least"])
+            sets = [shingle_hashes(x.as_py(), 5).view(np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([int(h[0]) if len(h) else 0 for h in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "text", "toxic", "least", "hashes"])
+
+    def keep(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.assign(known=frame.id.isna(), mark=[hashlib.sha256((x or "").encode("utf-8", "replace")).digest() for x in frame.text]).sort_values(["mark", "known", "id"])
+        sets, chosen = [], []
+        for i, h in enumerate(frame.hashes):
+            h = np.asarray(h, np.int64)
+            if all((both := len(np.intersect1d(h, o, assume_unique=True))) < least * (len(h) + len(o) - both) for o in sets):
+                sets.append(h)
+                chosen.append(i)
+        return frame.iloc[chosen][["id", "text", "toxic"]]
 
-    keyed = examples.select("id", "text", "toxic").mapInArrow(run, "id long, text string, toxic int, least long")
-    best = keyed.groupBy("least", "toxic").agg(F.min_by(F.struct("id", "text"), F.struct("id", F.xxhash64("text"))).alias("one"))
-    return best.select("one.id", "one.text", "toxic")
+    keyed = examples.select("id", "text", "toxic").mapInArrow(run, "id long, text string, toxic int, least long, hashes array<long>")
+    return keyed.groupBy("least", "toxic").applyInPandas(keep, "id long, text string, toxic int")
 
 
 def fit(examples: DataFrame, neighbours: int = NEIGHBOURS) -> Model:
-    """A model from examples(id, text, toxic), a bounded table.
+    """A model from examples(id, text, toxic), a table bounded by the sample: all its examples that have words, over all their words.
 
-    The vocabulary holds the terms that occur clearly more often in toxic examples: a likelihood
-    ratio so large that about half a term is expected by chance among all terms tried, and at least
-    three of ten examples with the term toxic. Term statistics are gathered by the executors. No
-    examples, or no toxic ones, give a model that scores every text alike.
+    Executors count words; the driver gets each example's counts, weighs words (see term_weights)
+    and calibrates on leave-one-out votes. No examples, or none of a label, give a model that scores
+    every text alike. Null texts and labels count as empty texts and label 0; of equal and similar
+    texts one is learned from (see without_copies).
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bad, good = Counter(), Counter()
         for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                (bad if toxic else good).update(set(terms_of(text.as_py())))
-        keys = list(bad.keys() | good.keys())
-        for at in range(0, len(keys), 50_000):
-            some = keys[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([bad[k] for k in some], pa.int64()), pa.array([good[k] for k in some], pa.int64())], ["term", "bad", "good"])
-
-    examples = cut(without_copies(examples))
-    sizes = examples.groupBy().agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("bad"), F.count("*").alias("all")).first()
-    n1, n = sizes["bad"], sizes["all"]
+            found = [counts(x.as_py()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], ["id", "toxic", "words", "times"])
+
+    single = without_copies(examples.select("id", "text", F.coalesce(F.col("toxic").cast("int"), F.lit(0)).alias("toxic")))
+    rows = [(r["id"], int(r["toxic"]), dict(zip(r["words"], r["times"], strict=True))) for r in cut(single.mapInArrow(count, "id long, toxic int, words array<string>, times array<int>")).collect()]
+    n, n1 = len(rows), sum(y for _, y, _ in rows)
     rate = (n1 + 0.5) / (n + 1) if n else 0.0
-    if not n1:
-        return Model(Index({}, []), rate, rate)
-    terms = cut(examples.select("text", "toxic").mapInArrow(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
-    tried = terms.count()
-    n0 = n - n1
-    part = lambda o, e: F.when(F.col(o) > 0, F.col(o) * F.log(F.col(o) / e)).otherwise(0.0)
-    has = F.col("bad") + F.col("good")
-    rest1, rest0 = F.lit(n1) - F.col("bad"), F.lit(n0) - F.col("good")
-    both = terms.withColumn("rest1", rest1).withColumn("rest0", rest0)
-    ratio = 2 * (part("bad", has * n1 / n) + part("good", has * n0 / n) + part("rest1", (n - has) * n1 / n) + part("rest0", (n - has) * n0 / n))
-    least = 2 * math.log(max(2, tried) / 0.5)
-    chosen = both.withColumn("ratio", ratio).where((F.col("ratio") >= least) & (F.col("bad") / has >= 0.3) & (F.col("bad") * n0 > F.col("good") * n1)).select("term", "bad", "good").collect()
-    idf = {r["term"]: math.log((1 + n) / (1 + r["bad"] + r["good"])) + 1 for r in chosen}
-    empty = Index(idf, [])
-
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [empty.counts(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(f.items()) for f in found], pa.map_(pa.string(), pa.int64()))], ["id", "toxic", "tf"])
-
-    rows = [(r["id"], int(r["toxic"]), dict(r["tf"])) for r in examples.select("id", "text", "toxic").mapInArrow(hits, "id long, toxic int, tf map<string,long>").where("size(tf) > 0").collect()]
-    for k in range(1, 5):
-        idf[f"#{k}"] = math.log((1 + n) / (1 + sum(f"#{k}" in tf for _, _, tf in rows))) + 1
-    silent_bad, silent = n1 - sum(y for _, y, _ in rows), n - len(rows)
-    model = Model(Index(idf, rows), rate, (silent_bad + rate) / (silent + 1))
-    index = model.index
-    votes = np.zeros(len(index.ids))
-    vectors: list[list[tuple[int, float]]] = [[] for _ in index.ids]
-    for t, (members, weights) in enumerate(zip(index.members, index.weights, strict=True)):
-        for i, w in zip(members.tolist(), weights.tolist(), strict=True):
-            vectors[i].append((t, w))
-    for i, vector in enumerate(vectors):
-        votes[i] = model.vote(index.nearest(vector, neighbours, without=i))
-    model.calibrate(votes, index.labels)
+    if not 0 < n1 < n:
+        return Model(Index({}, []), rate, neighbours)
+    index = Index(term_weights([(Counter(tf), y) for _, y, tf in rows]), rows)
+    bare = [y for _, y, tf in rows if not tf]
+    model = Model(index, rate, neighbours, (len(bare), sum(bare)))
+    term, weight, member = index.flat
+    ends = np.searchsorted(member, np.arange(index.examples + 1))
+    vectors = [(term[a:b].astype(np.int64), weight[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+    model.calibrate(model.votes(*index.nearest(vectors, neighbours, np.arange(index.examples))), index.labels)
     return model
 
 
@@ -237,12 +268,14 @@ def held_out(key: Column) -> Column:
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """examples(id, text, toxic): the documents of at most sample labelled ids not held out, the first by a hash of the id.
 
-    An id labelled more than once counts as toxic if any label says so; null labels and ids are left out.
+    An id labelled more than once counts as toxic if any label says so; null labels and ids are left
+    out. Of an id's different texts the one of the smallest hash is the example.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     some = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     # at most sample rows of two numbers
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id")
+    return rows.groupBy("id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("id", "text", "toxic")
 
 
 SCORES = "doc_id long, score double, neighbours array<struct<doc_id:long,toxic:int,cosine:double>>"
@@ -251,31 +284,38 @@ SCORES = "doc_id long, score double, neighbours array<struct<doc_id:long,toxic:i
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted, neighbours) per row of docs, from the whole text alone.
 
-    Null and empty texts, and texts without a term of the vocabulary, get the rate of toxic examples
-    among such; null and repeated ids stay; an empty table gives no rows; other columns are ignored.
+    Null and empty texts, and texts without a word of the examples, get one score (see
+    Model.score); equal texts get equal scores; null and repeated ids stay; an empty table gives no rows; other
+    columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(shared.value)
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
-        for batch in batches:
-            made = [own.score(x.as_py()) for x in batch.column(1)]
-            near = [[{"doc_id": own.index.ids[i], "toxic": int(own.index.labels[i]), "cosine": s} for i, s in n] for _, n in made]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in made], pa.float64()), pa.array(near, kind)], ["doc_id", "score", "neighbours"])
+        for whole in batches:
+            for batch in (whole.slice(i, AT_ONCE) for i in range(0, whole.num_rows, AT_ONCE)):
+                chance, near, cosine = own.score([x.as_py() for x in batch.column(1)])
+                evidence = [[{"doc_id": own.index.ids[i], "toxic": int(own.index.labels[i]), "cosine": s} for i, s in zip(n, c, strict=True) if i >= 0] for n, c in zip(near.tolist(), cosine.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chance, pa.float64()), pa.array(evidence, kind)], ["doc_id", "score", "neighbours"])
 
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCORES)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "neighbours")
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose text scores below threshold, with all their columns; null texts as in score()."""
+    """The rows of docs whose text scores below threshold, with all their columns.
+
+    Null and empty texts score as in score(), equal texts stay or go together, a score equal to the
+    threshold goes, repeated rows stay, and an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(shared.value)
-        for batch in batches:
-            yield batch.filter(pa.array([own.score(x.as_py())[0] < threshold for x in batch.column(at)], pa.bool_()))
+        for whole in batches:
+            for batch in (whole.slice(i, AT_ONCE) for i in range(0, whole.num_rows, AT_ONCE)):
+                yield batch.filter(pa.array(own.score([x.as_py() for x in batch.column(at)])[0] < threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

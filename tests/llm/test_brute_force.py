@@ -185,23 +185,51 @@ def test_vectors(spark):
 
 
 def test_toxicity_nearest_is_exact(spark, folder, documents):
+    rows = documents.collect()
+    known = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
     model = toxicity.fit(cut(toxicity.labelled(documents, spark.read.parquet(f"{folder}/labels.parquet"))))
+    examples = [(r.doc_id, known[r.doc_id], toxicity.counts(r.text)) for r in rows if known.get(r.doc_id) is not None] * 3
     rng = random.Random(4)
-    terms = [f"t{i}" for i in range(40)]
-    index = toxicity.Index({t: 1 + rng.random() for t in terms}, [(i, rng.randint(0, 1), {t: rng.randint(1, 4) for t in rng.sample(terms, rng.randint(1, 5))}) for i in range(500)])
-    dense = np.zeros((len(index.ids), len(index.terms)))
-    for t, (m, w) in enumerate(zip(index.members, index.weights, strict=True)):
-        dense[m, t] = w
-    for _ in range(100):
-        vector = index.vector({t: rng.randint(1, 3) for t in rng.sample(terms, 3)})
-        q = np.zeros(len(terms))
-        for t, w in vector:
-            q[t] = w
-        s = np.round(dense @ q, 12)
-        want = [i for i in np.lexsort((index.tie, -s)) if s[i] > 0][: toxicity.NEIGHBOURS]
-        got = index.nearest(vector)
-        assert np.allclose([s[i] for i in want], [c for _, c in got], atol=1e-10)
-    assert model.rate >= 0
+    invented = [(i, rng.randint(0, 1), {f"t{j}": rng.randint(1, 4) for j in rng.sample(range(9000), 40)}) for i in range(700)]
+    for own in (examples, invented):
+        index = toxicity.Index(toxicity.term_weights([(c, y) for _, y, c in own]), own)
+        term, weight, member = index.flat
+        dense = np.zeros((index.examples, len(index.terms)))
+        dense[member, term] = weight
+        queries = [index.vector(c) for _, _, c in rng.sample(own, 90)] + [index.vector(toxicity.counts(r.text)) for r in rows[:200]]
+        near, cosine = index.nearest(queries)
+        for (at, w), n, c in zip(queries, near, cosine, strict=True):
+            s = np.sort(np.round(dense[:, at] @ w, 10))[::-1][: toxicity.NEIGHBOURS]
+            assert np.allclose(s, c, atol=1e-9) and np.allclose([dense[i, at] @ w for i in n if i >= 0], c[n >= 0], atol=1e-9)
+    assert model.index.examples == len({r.text for r in rows if known.get(r.doc_id) is not None and toxicity.counts(r.text)}) or model.index.examples < len(examples) / 3
+
+
+def test_toxicity_indexes_all_words_and_ignores_ids(spark):
+    rows = [(i, f"word{i} common and plain {'vile rotten' if i % 4 == 0 else 'kind'} number{i % 7}", int(i % 4 == 0)) for i in range(300)]
+    frame = lambda shift: spark.createDataFrame([((i * 7919 + shift) % 10007, t, y) for i, t, y in rows], "id long, text string, toxic int")
+    models = [toxicity.fit(frame(s)) for s in (0, 5000)]
+    assert models[0].index.examples == 300 and set(models[0].index.terms) == {w for _, t, _ in rows for w in t.split()}
+    texts = [t for _, t, _ in rows] + ["vile", "kind plain", "nothing known", "", None]
+    assert (models[0].score(texts)[0] == models[1].score(texts)[0]).all()
+
+
+def test_copies_are_verified(spark):
+    shared = "this licence line is in every text of the table and holds the smallest hash"
+    rows = [(i, " ".join([f"w{i}x{j}" for j in range(30)]) + " " + shared, 0) for i in range(20)]
+    rows += [(100 + i, " ".join([f"c{j}" for j in range(60)] + [f"end{i}"]), 1) for i in range(10)] + [(200, rows[0][1], 0), (201, None, 0), (202, "", 0)]
+    got = {r.id for r in toxicity.without_copies(spark.createDataFrame(rows, "id long, text string, toxic int")).collect()}
+    assert set(range(20)) <= got and 200 not in got and len(got & set(range(100, 110))) == 1 and len(got & {201, 202}) == 1
+
+
+@pytest.mark.parametrize(("name", "recall", "precision"), [("sf0.01", 0.7, 0.6), ("sf0.1", 0.85, 0.9)])
+def test_toxicity_on_held_out_rows(spark, folder, name, recall, precision):
+    """Figures of the given tables, in which a part of the rows labelled toxic holds no telling word."""
+    own = folder.replace("sf0.001", name)
+    docs, labels = spark.read.parquet(f"{own}/documents.parquet"), spark.read.parquet(f"{own}/labels.parquet")
+    known = {r.doc_id: r.toxic for r in labels.collect()}
+    got = [(r.predicted, known[r.doc_id]) for r in toxicity.score(docs, toxicity.fit(cut(toxicity.labelled(docs, labels)))).where("held_out").collect() if r.doc_id in known]
+    hits = sum(p == y == 1 for p, y in got)
+    assert hits >= recall * sum(y for _, y in got) and hits >= precision * sum(p for p, _ in got)
 
 
 def test_html_on_held_out_layouts():
