@@ -269,13 +269,13 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """examples(id, text, toxic): the documents of at most sample labelled ids not held out, the first by a hash of the id.
 
     An id labelled more than once counts as toxic if any label says so; null labels and ids are left
-    out. Of an id's different texts the one of the smallest hash is the example.
+    out. Of an id's different texts one is the example: the one of the smallest hash among those not empty.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     some = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     # at most sample rows of two numbers
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id")
-    return rows.groupBy("id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("id", "text", "toxic")
+    return rows.groupBy("id", "toxic").agg(F.min_by("text", F.struct(F.length(F.coalesce("text", F.lit(""))) == 0, F.xxhash64("text"))).alias("text")).select("id", "text", "toxic")
 
 
 SCORES = "doc_id long, score double, neighbours array<struct<doc_id:long,toxic:int,cosine:double>>"
