@@ -22,7 +22,7 @@ from quoin.llm.simhash import shingle_hashes
 SAMPLE = 4096
 NEIGHBOURS = 15
 BLOCK = 64
-FREQUENT = 2048
+FREQUENT = 512
 AT_ONCE = 256
 THRESHOLD = 0.3
 _WORD = re.compile(r"\w+")
@@ -34,26 +34,42 @@ def counts(text: str | None) -> Counter[str]:
     return Counter(_WORD.findall((text or "").lower()))
 
 
-def term_weights(examples: list[tuple[Counter[str], int]]) -> dict[str, float]:
-    """Every word of the examples, with its inverse document frequency times one plus ten times its association with the labels.
+class Examples:
+    """Labelled texts as arrays: words (all that occur, sorted), and a row (member, term, times) for each word of each text; marks are the texts' hashes."""
+
+    def __init__(self, ids: list[int | None], labels: np.ndarray, marks: list[str], words: pa.ListArray, times: pa.ListArray):
+        self.ids, self.labels, self.marks = ids, np.asarray(labels, np.int64), marks
+        coded = words.values.dictionary_encode()
+        spelled = np.array(coded.dictionary.to_pylist(), object)
+        order = np.argsort(spelled) if len(spelled) else np.zeros(0, np.int64)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.words = spelled[order].tolist()
+        self.term = place[coded.indices.to_numpy(zero_copy_only=False)]
+        self.times = times.values.to_numpy(zero_copy_only=False)
+        self.member = np.repeat(np.arange(len(ids)), np.diff(words.offsets.to_numpy()))
+
+    @staticmethod
+    def of(rows: list[tuple[int | None, int, dict[str, int]]]) -> Examples:
+        """Examples of (id, label, counts)."""
+        words, times = pa.array([list(c) for _, _, c in rows], pa.list_(pa.string())), pa.array([list(c.values()) for _, _, c in rows], pa.list_(pa.int32()))
+        return Examples([k for k, _, _ in rows], np.array([y for _, y, _ in rows]), [str(sorted(c.items())) for _, _, c in rows], words, times)
+
+
+def term_weights(own: Examples) -> np.ndarray:
+    """Every word's inverse document frequency times one plus ten times its association with the labels.
 
     The association is the likelihood ratio over the value that about half a word reaches by chance
     among all words. Without it the rare words of any text outweigh what toxic examples share.
     """
-    n, n1 = len(examples), sum(y for _, y in examples)
-    bad, all_ = Counter(), Counter()
-    for c, y in examples:
-        all_.update(c.keys())
-        if y:
-            bad.update(c.keys())
-    words = sorted(all_)
-    df, o11 = np.array([all_[w] for w in words], float), np.array([bad[w] for w in words], float)
-    ratio = np.zeros(len(words))
+    n, n1, many = len(own.ids), int(own.labels.sum()), len(own.words)
+    df = np.bincount(own.term, minlength=many).astype(float)
+    o11 = np.bincount(own.term, own.labels[own.member], minlength=many)
+    ratio = np.zeros(many)
     if 0 < n1 < n:
         for o, e in ((o11, df * n1 / n), (df - o11, df * (n - n1) / n), (n1 - o11, (n - df) * n1 / n), (n - n1 - df + o11, (n - df) * (n - n1) / n)):
             ratio += 2 * np.where(o > 0, o * np.log(np.maximum(o, 1) / np.maximum(e, 1e-12)), 0.0)
-    weight = (np.log((1 + n) / (1 + df)) + 1) * (1 + 10 * np.maximum(0.0, ratio) / (2 * math.log(max(2, 2 * len(words)))))
-    return dict(zip(words, weight.tolist(), strict=True))
+    return (np.log((1 + n) / (1 + df)) + 1) * (1 + 10 * np.maximum(0.0, ratio) / (2 * math.log(max(2, 2 * many))))
 
 
 class Index:
@@ -63,29 +79,28 @@ class Index:
     words lie dense by block, and each block has the largest weight of every frequent word, which
     bounds what any of its examples can add. Examples are laid out so that those sharing their
     heaviest words are neighbours, which keeps most blocks' bounds low for any one query; the layout,
-    and so the order of ties, depends on words alone.
+    and so the order of ties, depends on words and texts alone. Examples without words are left out.
     """
 
-    def __init__(self, weight: dict[str, float], examples: list[tuple[int, int, dict[str, int]]]):
-        self.weight = weight
-        self.terms = {t: i for i, t in enumerate(weight)}
-        self.idf = np.array(list(weight.values()), np.float64)
-        kept = []
-        for key, label, tf in examples:
-            at, w = self.vector(tf)
-            if len(at):
-                top = np.lexsort((at, -w))[:3]
-                kept.append((tuple(at[top].tolist()), sorted(tf.items()), label, (key is None, key or 0), key, at, w))
-        kept.sort(key=lambda x: x[:4])
-        self.ids = [x[4] for x in kept]
-        self.labels = np.array([x[2] for x in kept], np.float64)
-        self.examples = len(kept)
-        flat = np.concatenate([x[5] for x in kept]) if kept else np.zeros(0, np.int64)
-        self.flat = (flat.astype(np.int32), np.concatenate([x[6] for x in kept]) if kept else np.zeros(0), np.repeat(np.arange(len(kept)), [len(x[5]) for x in kept]).astype(np.int32))
+    def __init__(self, own: Examples):
+        self.terms = {t: i for i, t in enumerate(own.words)}
+        self.idf = term_weights(own)
+        weight = (1 + np.log(own.times)) * self.idf[own.term] if len(own.term) else np.zeros(0)
+        norm = np.sqrt(np.bincount(own.member, weight * weight, minlength=len(own.ids)))
+        weight = weight / norm[own.member]
+        by = np.lexsort((own.term, -weight, own.member))
+        starts = np.searchsorted(own.member[by], np.arange(len(own.ids) + 1))
+        tops = [tuple(own.term[by[a : min(b, a + 3)]].tolist()) for a, b in zip(starts, starts[1:], strict=False)]
+        layout = sorted((i for i in range(len(own.ids)) if tops[i]), key=lambda i: (tops[i], own.marks[i], int(own.labels[i])))
+        place = np.full(len(own.ids), -1, np.int64)
+        place[layout] = np.arange(len(layout))
+        self.ids, self.labels, self.examples = [own.ids[i] for i in layout], own.labels[layout].astype(np.float64), len(layout)
+        by = np.lexsort((own.term, place[own.member]))
+        self.flat = (own.term[by].astype(np.int32), weight[by], place[own.member][by].astype(np.int32))
         self.ready = False
 
     def __getstate__(self) -> dict:
-        return {k: self.__dict__[k] for k in ("weight", "terms", "idf", "ids", "labels", "examples", "flat")} | {"ready": False}
+        return {k: self.__dict__[k] for k in ("terms", "idf", "ids", "labels", "examples", "flat")} | {"ready": False}
 
     def _prepare(self) -> None:
         """Posting lists and block maxima, laid out once in each process."""
@@ -242,17 +257,20 @@ def fit(examples: DataFrame, neighbours: int = NEIGHBOURS) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [counts(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], ["id", "toxic", "words", "times"])
+            marks = [hashlib.sha256((x.as_py() or "").encode("utf-8", "replace")).hexdigest() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(marks, pa.string()), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], ["id", "toxic", "mark", "words", "times"])
 
     single = without_copies(examples.select("id", "text", F.coalesce(F.col("toxic").cast("int"), F.lit(0)).alias("toxic")))
-    rows = [(r["id"], int(r["toxic"]), dict(zip(r["words"], r["times"], strict=True))) for r in cut(single.mapInArrow(count, "id long, toxic int, words array<string>, times array<int>")).collect()]
-    n, n1 = len(rows), sum(y for _, y, _ in rows)
+    table = cut(single.mapInArrow(count, "id long, toxic int, mark string, words array<string>, times array<int>")).toArrow().combine_chunks()
+    n, n1 = table.num_rows, int(np.sum(table.column("toxic").to_numpy())) if table.num_rows else 0
     rate = (n1 + 0.5) / (n + 1) if n else 0.0
     if not 0 < n1 < n:
-        return Model(Index({}, []), rate, neighbours)
-    index = Index(term_weights([(Counter(tf), y) for _, y, tf in rows]), rows)
-    bare = [y for _, y, tf in rows if not tf]
-    model = Model(index, rate, neighbours, (len(bare), sum(bare)))
+        return Model(Index(Examples.of([])), rate, neighbours)
+    one = lambda name: table.column(name).chunk(0)
+    own = Examples(one("id").to_pylist(), one("toxic").to_numpy(), one("mark").to_pylist(), one("words"), one("times"))
+    bare = np.bincount(own.member, minlength=n) == 0
+    index = Index(own)
+    model = Model(index, rate, neighbours, (int(bare.sum()), int(own.labels[bare].sum())))
     term, weight, member = index.flat
     ends = np.searchsorted(member, np.arange(index.examples + 1))
     vectors = [(term[a:b].astype(np.int64), weight[a:b]) for a, b in zip(ends, ends[1:], strict=False)]

@@ -192,7 +192,7 @@ def test_toxicity_nearest_is_exact(spark, folder, documents):
     rng = random.Random(4)
     invented = [(i, rng.randint(0, 1), {f"t{j}": rng.randint(1, 4) for j in rng.sample(range(9000), 40)}) for i in range(700)]
     for own in (examples, invented):
-        index = toxicity.Index(toxicity.term_weights([(c, y) for _, y, c in own]), own)
+        index = toxicity.Index(toxicity.Examples.of(own))
         term, weight, member = index.flat
         dense = np.zeros((index.examples, len(index.terms)))
         dense[member, term] = weight
