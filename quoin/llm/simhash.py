@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.lineage import cut
-from quoin.llm.components import connected_components
+from quoin.operators.graph import components
 
 SEED = 42
 TILE = 4096
@@ -180,7 +180,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = cut(fingerprints(docs, id_col, text_col, words))
     distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("low")))
-    found = connected_components(fingerprint_edges(distinct, radius))
+    found = components(fingerprint_edges(distinct, radius), "a", "b")
     group = distinct.join(found, distinct.fp == found.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     least = group.groupBy("component").agg(F.min("low").alias("component_id"))
     named = group.join(least, "component").select("fp", "component_id")
@@ -423,7 +423,7 @@ def similar_groups(docs: DataFrame, text_col: str = "text", words: int = 5, leas
     left = tiles.select(F.col("band").alias("band1"), F.col("tile").alias("tile1"), F.col("all").alias("all1"), F.col("least_ones").alias("l1"), F.col("most_ones").alias("m1"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
     pairs = left.join(tiles, "band").where("band1 <> band or tile1 <= tile").where(f"l1 - most_ones <= {WIDE_RADIUS} and least_ones - m1 <= {WIDE_RADIUS}")
     wide = pairs.select("all1.node", "all1.fa", "all1.fb", F.col("all.node").alias("node2"), F.col("all.fa").alias("fa2"), F.col("all.fb").alias("fb2"), (F.col("band1") == F.col("band")) & (F.col("tile1") == F.col("tile")))
-    loose = cut(connected_components(wide.mapInArrow(_wide_edges, "a long, b long")))
+    loose = cut(components(wide.mapInArrow(_wide_edges, "a long, b long"), "a", "b"))
     own = loose.join(marks.select("node", "size"), "node")
     extent = own.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("size") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
     members = own.select("node", "component").join(extent, "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
@@ -438,8 +438,8 @@ def similar_groups(docs: DataFrame, text_col: str = "text", words: int = 5, leas
     tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("p"), F.greatest("block", k).alias("q"))))
     met = hashed.withColumn("tile", tile).select("component", "tile.p", "tile.q", "node", "block", "hashes")
     linked = cut(met.groupBy("component", "p", "q").applyInPandas(_similar(least), "a long, b long"))
-    rest = cut(_remaining(texts, marks, connected_components(linked), words, least))
-    return connected_components(linked.union(rest))
+    rest = cut(_remaining(texts, marks, components(linked, "a", "b"), words, least))
+    return components(linked.union(rest), "a", "b")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import math
+import logging
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,19 +12,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quoin.lineage import cut
-from quoin.llm.components import connected_components
-
-SAMPLE = 8192
-SHARD = 800
-MOST = 3000
-DEGREE = 20
-FAR = 4
-POOL = 48
+from quoin.operators.graph import components
+
+SAMPLE = 4096
+SHARD = 500
+MOST = 2000
+FANOUT = 64
+SPREAD = 2
+CHUNK = 20_000
+DEGREE = 16
+FAR = 3
+POOL = 32
 ALPHA = 1.2
-BEAM = 24
-SLACK = 0.06
+BEAM = 16
+SLACK = 0.05
 AUDIT = 256
-LEAST_RECALL = 0.95
+WANTED_RECALL = 0.95
+LEAST_RECALL = 0.9
+
+
+def unit(raw: np.ndarray) -> np.ndarray:
+    return raw / np.sqrt((raw * raw).sum(axis=1))[:, None]
 
 
 def centroids(vectors: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
@@ -39,6 +48,27 @@ def centroids(vectors: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
+def nearest_clusters(vectors: np.ndarray, centres: np.ndarray, spread: int, least: float) -> np.ndarray:
+    """Each vector's spread nearest centres, nearest first; -1 for one that no partner within the range can have as its nearest.
+
+    A partner is at most the range's chord away, so if its nearest centre is c the vector is at most
+    that far from the plane between c and its own nearest centre.
+    """
+    take = min(spread, len(centres))
+    sims = vectors @ centres.T
+    near = np.argpartition(-sims, take - 1, axis=1)[:, :take]
+    near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, axis=1), axis=1, kind="stable"), axis=1)
+    first = near[:, :1]
+    # squared distances to centres differ by this; halved and over the centres' distance it is the way to their plane
+    square = (centres * centres).sum(axis=1)
+    gap = (square[near] - square[first]) / 2 - np.take_along_axis(sims, near, axis=1) + np.take_along_axis(sims, first, axis=1)
+    apart = np.sqrt(np.maximum(1e-18, square[near] + square[first] - 2 * np.einsum("ijk,ik->ij", centres[near], centres[first[:, 0]])))
+    chord = np.sqrt(max(0.0, 2 - 2 * least))
+    near = np.where(gap <= (chord + 1e-9) * apart, near, -1)
+    near[:, 0] = first[:, 0]
+    return near
+
+
 def robust_pruned(v: np.ndarray, degree: int = DEGREE, far: int = FAR, pool: int = POOL, alpha: float = ALPHA) -> list[np.ndarray]:
     """Adjacency lists over the rows of v (unit vectors): near neighbours kept by robust pruning, a few far ones, and reverse edges.
 
@@ -50,7 +80,8 @@ def robust_pruned(v: np.ndarray, degree: int = DEGREE, far: int = FAR, pool: int
         return [np.zeros(0, np.int64)]
     rng = np.random.Generator(np.random.PCG64(n))
     take = min(pool, n - 1)
-    out: list[list[int]] = [[] for _ in range(n)]
+    v = v.astype(np.float32)
+    from_, to_ = [], []
     for at in range(0, n, 256):
         rows = np.arange(at, min(n, at + 256))
         sims = v[rows] @ v.T
@@ -60,31 +91,35 @@ def robust_pruned(v: np.ndarray, degree: int = DEGREE, far: int = FAR, pool: int
         cand = np.take_along_axis(cand, order, axis=1)
         to = np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(sims, cand, axis=1)))
         w = v[cand]
-        between = np.sqrt(np.maximum(0, 2 - 2 * (w @ w.transpose(0, 2, 1))))
+        between = alpha * np.sqrt(np.maximum(0, 2 - 2 * (w @ w.transpose(0, 2, 1))))
         alive = np.ones(cand.shape, bool)
         kept = np.zeros(cand.shape, bool)
         for i in range(take):
             pick = alive[:, i] & (kept.sum(axis=1) < degree)
             kept[pick, i] = True
-            alive &= ~(pick[:, None] & (alpha * between[:, i, :] <= to))
+            alive &= ~(pick[:, None] & (between[:, i, :] <= to))
             alive[:, i] = False
-        for r, row in enumerate(rows):
-            out[row] = cand[r][kept[r]].tolist()
-    long = rng.integers(0, n, (n, far))
-    reverse: list[list[int]] = [[] for _ in range(n)]
-    for i, own in enumerate(out):
-        for j in own:
-            if len(reverse[j]) < degree:
-                reverse[j].append(i)
-    return [np.unique([j for j in (*a, *b, *c) if j != i]).astype(np.int64) for i, (a, b, c) in enumerate(zip(out, reverse, long.tolist(), strict=True))]
-
-
-def range_search(v: np.ndarray, graph: list[np.ndarray], least: float, beam: int = BEAM, slack: float = SLACK, at_once: int = 8) -> np.ndarray:
-    """found[i, j]: row j was met within the range (cosine at least least, to single precision) of row i.
-
-    Greedy search from the medoid: the best unexpanded nodes among the beam are expanded until the
-    beam is; then everything met within the range, widened by slack, is expanded until nothing new
-    is in it.
+        r, c = np.nonzero(kept)
+        from_.append(rows[r]), to_.append(cand[r, c])
+    a, b = np.concatenate(from_), np.concatenate(to_)
+    # reverse edges, as many as the degree for each node
+    order = np.argsort(b, kind="stable")
+    rank = np.arange(len(b)) - np.searchsorted(b[order], b[order])
+    back = order[rank < degree]
+    one = np.concatenate([a, b[back], np.repeat(np.arange(n), far)])
+    two = np.concatenate([b, a[back], rng.integers(0, n, n * far)])
+    keys = np.unique(one * n + two)
+    one, two = keys // n, keys % n
+    one, two = one[one != two], two[one != two]
+    return np.split(two, np.searchsorted(one, np.arange(1, n)))
+
+
+def range_search(v: np.ndarray, graph: list[np.ndarray], least: float, beam: int = BEAM, slack: float = SLACK, at_once: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) with a < b: rows of v of which one met the other within the range (cosine at least least, to single precision).
+
+    Greedy search from the medoid, for a block of queries at a time: the best unexpanded nodes among
+    the beam are expanded until the beam is; then everything met within the range, widened by slack,
+    is expanded until nothing new is in it.
     """
     n = len(v)
     v32 = v.astype(np.float32)
@@ -93,72 +128,146 @@ def range_search(v: np.ndarray, graph: list[np.ndarray], least: float, beam: int
     for i, own in enumerate(graph):
         table[i, : len(own)] = own
     medoid = int((v32 @ v32.mean(axis=0)).argmax())
-    found = np.zeros((n, n), bool)
+    left, right = [], []
     top, width_k = min(beam, n), min(at_once, n)
-    for at in range(0, n, 256):
-        q = v32[at : at + 256]
+    for at in range(0, n, 512):
+        q = v32[at : at + 512]
         m = len(q)
         score = np.full((m, n), -2, np.float32)
-        done = np.zeros((m, n), bool)
-        score[:, medoid] = q @ v32[medoid]
+        open_ = np.full((m, n), -2, np.float32)  # scores of what was met and isn't expanded
+        score[:, medoid] = open_[:, medoid] = q @ v32[medoid]
         active = np.arange(m)
         while len(active):
-            s = score[active]
-            edge = np.minimum(np.partition(s, n - top, axis=1)[:, n - top], least - slack)
-            open_ = np.where(done[active], -3, s)
-            pick = np.argpartition(-open_, width_k - 1, axis=1)[:, :width_k]
-            worth = np.take_along_axis(open_, pick, axis=1) >= np.maximum(edge, -1.5)[:, None]
+            edge = np.minimum(np.partition(score[active], n - top, axis=1)[:, n - top], least - slack)
+            o = open_[active]
+            pick = np.argpartition(o, n - width_k, axis=1)[:, n - width_k :]
+            worth = np.take_along_axis(o, pick, axis=1) >= np.maximum(edge, -1.5)[:, None]
             r, k = np.nonzero(worth)
             if not len(r):
                 break
-            node = pick[r, k]
-            rows = active[r]
-            done[rows, node] = True
+            rows, node = active[r], pick[r, k]
+            open_[rows, node] = -2
             near = table[node]
             rr, cc = np.nonzero(near >= 0)
             rows, near = rows[rr], near[rr, cc]
-            fresh = score[rows, near] < -1.5
-            rows, near = rows[fresh], near[fresh]
-            for b in range(0, len(rows), 200_000):
-                x, y = rows[b : b + 200_000], near[b : b + 200_000]
-                score[x, y] = np.einsum("ij,ij->i", q[x], v32[y])
+            fresh = np.unique((rows * n + near)[score[rows, near] < -1.5])
+            rows, near = fresh // n, fresh % n
+            for b in range(0, len(rows), 100_000):
+                x, y = rows[b : b + 100_000], near[b : b + 100_000]
+                score[x, y] = open_[x, y] = np.einsum("ij,ij->i", q[x], v32[y])
             active = active[worth.any(axis=1)]
-        found[at : at + m] = score >= least - 1e-4
-    np.fill_diagonal(found, False)
-    return found | found.T
+        a, b = np.nonzero(score >= least - 1e-4)
+        a += at
+        left.append(a[a != b]), right.append(b[a != b])
+    a, b = np.concatenate(left), np.concatenate(right)
+    keys = np.unique(np.minimum(a, b) * n + np.maximum(a, b))
+    return keys // n, keys % n
+
+
+def _raw(frame: pd.DataFrame) -> np.ndarray:
+    return np.array(frame.vec.tolist(), np.float64)
 
 
-def _members(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    ids = frame.rid.to_numpy()
-    raw = np.array(frame.vec.tolist(), np.float64)
-    return ids, raw / np.sqrt((raw * raw).sum(axis=1))[:, None]
+def _train(shard: int, spread: int, least: float):
+    """A cell's centres from its sample, or none if splitting would lose the sample's own links (a dense cell)."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("node")
+        v, n = unit(_raw(frame)), int(frame.n.iloc[0])
+        count = max(2, min(FANOUT, -(-spread * n // shard), len(v) // 4))
+        centres = centroids(v, count)
+        own = nearest_clusters(v, centres, spread, least)
+        member = np.zeros((len(v), count), np.float32)
+        r, c = np.nonzero(own >= 0)
+        member[r, own[r, c]] = 1
+        links = kept = 0
+        for at in range(0, len(v), 512):
+            a, b = np.nonzero(np.triu(v[at : at + 512] @ v.T >= least, at + 1))
+            links += len(a)
+            kept += int(((member[a + at] * member[b]).sum(axis=1) > 0).sum())
+        if links >= 50 and kept < 0.97 * links or len(v) < 8:
+            centres = centres[:0]
+        return pd.DataFrame({"cell": [frame.cell.iloc[0]], "n": [n], "centres": [centres.ravel().tolist()]})
+
+    return run
+
+
+def _assign(spread: int, least: float):
+    def run(frame: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        flat = np.asarray(model.centres.iloc[0], np.float64) if len(model) else np.zeros(0)
+        if not len(frame) or not len(flat):
+            return frame.assign(split=False)[["node", "vec", "copies", "cell", "split"]]
+        v = unit(_raw(frame))
+        near = nearest_clusters(v, flat.reshape(-1, v.shape[1]), spread, least)
+        r, c = np.nonzero(near >= 0)
+        out = frame.iloc[r]
+        return out.assign(cell=[f"{a}.{b}" for a, b in zip(out.cell, near[r, c], strict=True)], split=True)[["node", "vec", "copies", "cell", "split"]]
+
+    return run
+
+
+def _placed(reps: DataFrame, shard: int, spread: int, least: float) -> DataFrame:
+    """(node, vec, copies, cell): reps in overlapping cells of about shard nodes, split level by level; dense cells stay whole.
+
+    Every cell larger than two shards is split by centres that its own sample gives, on the
+    executors; its rows meet them in chunks of bounded size, so neither centres nor rows of a cell
+    gather in one place.
+    """
+    done, rows = None, reps.select("node", "vec", "copies", F.concat_ws("\x01", "label", F.col("dim").cast("string")).alias("cell"))
+    for level in range(20):
+        sizes = rows.groupBy("cell").agg(F.count("*").alias("n"))
+        large = cut(sizes.where(F.col("n") > 2 * shard))
+        if large.isEmpty():
+            return rows if done is None else done.unionByName(rows)
+        # a cell has a chunk more for each CHUNK rows; hot cells are spread over their chunks
+        few = rows.join(large.select("cell"), "cell", "left_anti")
+        some = rows.join(large, "cell")
+        sample = some.where(F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1_000_000)) < F.lit(SAMPLE * 1_000_000.0) / F.col("n"))
+        models = cut(sample.groupBy("cell").applyInPandas(_train(shard, spread, least), "cell string, n long, centres array<double>"))
+        parts = F.ceil(F.col("n") / F.lit(CHUNK)).cast("int")
+        given = models.withColumn("chunk", F.explode(F.sequence(F.lit(0), parts - 1)))
+        asked = some.withColumn("chunk", F.pmod(F.xxhash64("node"), parts).cast("int")).select("node", "vec", "copies", "cell", "chunk")
+        split = asked.groupBy("cell", "chunk").cogroup(given.groupBy("cell", "chunk")).applyInPandas(_assign(spread, least), "node long, vec array<double>, copies long, cell string, split boolean")
+        split = cut(split)
+        ready = few.unionByName(split.where("not split").drop("split"))
+        done = ready if done is None else done.unionByName(ready)
+        rows = split.where("split").drop("split")
+    return done.unionByName(rows)
 
 
 def _build(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values("rid")
-    ids, v = _members(frame)
-    return pd.DataFrame({"rid": ids, "near": [ids[g] for g in robust_pruned(v)]})
+    frame = frame.sort_values("node")
+    ids = frame.node.to_numpy()
+    return pd.DataFrame({"node": ids, "cell": frame.cell, "near": [ids[g] for g in robust_pruned(unit(_raw(frame)))]})
 
 
 def _search(least: float, beam: int, slack: float):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("rid")
-        ids, v = _members(frame)
-        place = {x: i for i, x in enumerate(ids.tolist())}
-        graph = [np.array([place[x] for x in near if x in place], np.int64) for near in frame.near]
-        found = np.triu(range_search(v, graph, least, beam, slack))
-        a, b = np.nonzero(found)
-        if len(a):
-            raw = np.array(frame.vec.tolist(), np.float64)
-            norm = np.sqrt((raw * raw).sum(axis=1))
-            sure = np.concatenate([np.einsum("ij,ij->i", raw[a[k : k + 100_000]], raw[b[k : k + 100_000]]) / (norm[a[k : k + 100_000]] * norm[b[k : k + 100_000]]) >= least for k in range(0, len(a), 100_000)])
-            a, b = a[sure], b[sure]
-        # a pair counts in the first cluster that both are in, and there in the tile of its two blocks
-        c1, c2, block = (frame[name].to_numpy() for name in ("first", "second", "block"))
-        here, p, q = frame.cluster.iloc[0], frame.p.iloc[0], frame.q.iloc[0]
-        low_a, high_a, low_b, high_b = (f(c1, c2)[x] for x in (a, b) for f in (np.minimum, np.maximum))
-        common = np.where((low_a == low_b) | (low_a == high_b), low_a, high_a)
-        own = (common == here) & (((block[a] == p) & (block[b] == q)) | ((block[a] == q) & (block[b] == p)))
+        frame = frame.sort_values("node")
+        ids, raw = frame.node.to_numpy(), _raw(frame)
+        v = unit(raw)
+        # the united lists, as far as they lead to nodes of this shard
+        sizes = np.array([len(x) for x in frame.near])
+        flat = np.concatenate(frame.near.tolist()).astype(np.int64) if sizes.sum() else np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
+        known = ids[at] == flat
+        graph = np.split(at[known], np.searchsorted(np.repeat(np.arange(len(ids)), sizes)[known], np.arange(1, len(ids))))
+        a, b = range_search(v, graph, least, beam, slack)
+        norm = np.sqrt((raw * raw).sum(axis=1))
+        sure = [np.einsum("ij,ij->i", raw[a[k : k + 100_000]], raw[b[k : k + 100_000]]) / (norm[a[k : k + 100_000]] * norm[b[k : k + 100_000]]) >= least for k in range(0, len(a), 100_000)]
+        if sure:
+            a, b = a[np.concatenate(sure)], b[np.concatenate(sure)]
+        # a pair counts in the first cell that both are in, and there in the tile of its two blocks
+        names = {c: i for i, c in enumerate(sorted({c for own in frame.cells for c in own}))}
+        width = max(len(own) for own in frame.cells)
+        cells = np.array([[names[c] for c in own] + [len(names) + i] * (width - len(own)) for i, own in enumerate(frame.cells)])
+        common = np.full(len(a), len(names))
+        for k in range(width):
+            mine = cells[a, k]
+            both = (cells[b] == mine[:, None]).any(axis=1) & (mine < len(names))
+            common = np.where(both, np.minimum(common, mine), common)
+        block, p, q = frame.block.to_numpy(), frame.p.iloc[0], frame.q.iloc[0]
+        own = (common == names[frame.cell.iloc[0]]) & (np.minimum(block[a], block[b]) == p) & (np.maximum(block[a], block[b]) == q)
         a, b = a[own], b[own]
         copies = frame.copies.to_numpy()
         links = np.zeros(len(ids), np.int64)
@@ -175,105 +284,102 @@ def _search(least: float, beam: int, slack: float):
                 break
             label = new
         some = links > 0
-        return pd.DataFrame({"rid": ids[some], "links": links[some], "root": ids[label][some]})
+        return pd.DataFrame({"node": ids[some], "links": links[some], "root": ids[label][some]})
 
     return run
 
 
 def _audit(reps: DataFrame, least: float, count: int, counted: DataFrame) -> float:
-    """Share of the true links of at most count representatives (by hash) that were found; 1 if they have none.
+    """Mean over at most count nodes (by hash, of those that have links) of the share of their links that was found; 1 if none has any.
 
-    Their links are counted by brute force over all rows in one pass.
+    Their links are counted by brute force over all rows in one pass. More links than there are
+    count against the share as missing ones do.
     """
-    some = reps.orderBy(F.xxhash64("rid", F.lit(7)), "rid").limit(count).select("rid", "label", "dim", "vec").collect()
+    some = reps.orderBy(F.xxhash64("node", F.lit(7)), "node").limit(count).select("node", "label", "dim", "vec").collect()
     groups: dict[tuple, list] = {}
     for r in some:
         groups.setdefault((r["label"], r["dim"]), []).append(r)
-    shared = reps.sparkSession.sparkContext.broadcast({k: (np.array([r["rid"] for r in g]), (lambda x: x / np.sqrt((x * x).sum(axis=1))[:, None])(np.array([r["vec"] for r in g]))) for k, g in groups.items()})
+    # at most count vectors
+    shared = reps.sparkSession.sparkContext.broadcast({k: (np.array([r["node"] for r in g]), unit(np.array([r["vec"] for r in g]))) for k, g in groups.items()})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for key, own in batch.groupby(["label", "dim"]):
                 if key in shared.value:
                     ids, q = shared.value[key]
-                    mine, v = _members(own)
-                    hit = (q @ v.T >= least) & (ids[:, None] != mine[None, :])
-                    yield pd.DataFrame({"rid": ids, "n": hit @ own.copies.to_numpy()})
+                    hit = (q @ unit(_raw(own)).T >= least) & (ids[:, None] != own.node.to_numpy()[None, :])
+                    yield pd.DataFrame({"node": ids, "n": hit @ own.copies.to_numpy()})
 
-    true = reps.select("rid", "label", "dim", "vec", "copies").mapInPandas(run, "rid long, n long").groupBy("rid").agg(F.sum("n").alias("n"))
-    both = true.join(counted, "rid", "left").agg(F.sum("n").alias("n"), F.sum(F.coalesce("links", F.lit(0))).alias("found")).first()
-    return 1.0 if not both["n"] else min(1.0, both["found"] / both["n"])
+    true = reps.select("node", "label", "dim", "vec", "copies").mapInPandas(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).where("n > 0")
+    found = F.coalesce("links", F.lit(0))
+    share = true.join(counted, "node", "left").agg(F.avg(F.least("n", found) / F.greatest("n", found)).alias("share")).first()["share"]
+    return 1.0 if share is None else float(share)
 
 
-def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, beam: int = BEAM, shard: int = SHARD, most: int = MOST) -> DataFrame:
-    """One row (vec_id, n_links, component_id, kept) per row of rows.
+@dataclass
+class Result:
+    """rows: (vec_id, n_links, component_id, kept) per input row; recall: the audited one; spread: the cells a node was put in at each level."""
 
-    Only vectors of equal, known label (and length) are compared, by cosine in double precision.
-    Equal vectors are one node with a number of copies. A label's nodes go to the two nearest of its
-    clusters (k-means on at most 8,192 nodes); each cluster is a shard whose robust-pruned graph is
-    built alone, and a node's adjacency lists are united. In every shard each node then searches the
-    united graph from the medoid, expanding its range; pairs found are verified, so none below least
-    links. Clusters have about shard nodes; one beyond most is cut into hashed blocks, and each two blocks make one shard,
-    so that no task holds an unbounded group and still every pair meets. Shards return link counts
-    and a spanning forest, never all pairs. The recall over 256 nodes is audited by brute force; below
-    0.95 the search is repeated with a wider beam and range, twice at most.
+    rows: DataFrame
+    recall: float
+    spread: int
 
-    Rows with a null label or id, or a vector that is null, empty, zero or holds null or non-finite
-    numbers, link with nothing: n_links 0, component_id their own id, kept true (a null id: null and
-    false). Of equal ids each row is a vector of its own under that id. Repeated rows are copies of
-    one another. An empty table gives no rows; other columns are ignored.
-    """
-    spark = rows.sparkSession
-    vector = F.col(vector_col).cast("array<double>")
+
+def linked(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, beam: int = BEAM, shard: int = SHARD, most: int = MOST, spread: int = SPREAD) -> Result:
+    """The links of rows, as in near_duplicates(), with the audited recall."""
+    base = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vec"))
     finite = F.forall(F.col("vec"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    base = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), vector.alias("vec"))
     good = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("vec") > 0) & finite & F.exists("vec", lambda x: x != 0), F.lit(False))
     base = base.withColumn("good", good)
-    reps = cut(base.where("good").groupBy("label", "vec").agg(F.min("vec_id").alias("rid"), F.count("*").alias("copies")).withColumn("dim", F.size("vec")))
+    distinct = base.where("good").groupBy("label", "vec").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
+    # a node is a distinct vector of a label; its number is fixed by being written
+    reps = cut(distinct.withColumn("dim", F.size("vec")).withColumn("node", F.monotonically_increasing_id()))
+    alone = lambda some: some.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     if reps.isEmpty():
-        return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-
-    sizes = reps.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > shard)
-    large = reps.join(sizes, ["label", "dim"]).orderBy(F.xxhash64("rid"), "rid").limit(SAMPLE).select("label", "dim", "vec", "n").collect()
-    groups: dict[tuple, list] = {}
-    for r in large:
-        groups.setdefault((r["label"], r["dim"]), []).append(r)
-    models = {}
-    for key, g in groups.items():
-        x = np.array([r["vec"] for r in g])
-        models[key] = centroids(x / np.sqrt((x * x).sum(axis=1))[:, None], max(1, min(len(g) // 8, 2 * math.ceil(g[0]["n"] / shard), 512)))
-    centres = spark.sparkContext.broadcast(models)  # at most the sample's size
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            first, second = np.zeros(len(batch), np.int32), np.zeros(len(batch), np.int32)
-            for key, where in batch.groupby(["label", "dim"]).indices.items():
-                c = centres.value.get(key)
-                if c is not None and len(c) > 1:
-                    _, v = _members(batch.iloc[where])
-                    two = np.argpartition(-(v @ c.T), 1, axis=1)[:, :2]
-                    first[where], second[where] = two[:, 0], two[:, 1]
-            yield batch.assign(first=first, second=second)
-
-    placed = reps.mapInPandas(assign, "label string, vec array<double>, rid long, copies long, dim int, first int, second int")
-    placed = placed.withColumn("cluster", F.explode(F.array_distinct(F.array("first", "second"))))
-    placed = cut(placed)
-    blocks = placed.groupBy("label", "dim", "cluster").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("blocks"))
-    keyed = placed.join(blocks, ["label", "dim", "cluster"]).withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
-    tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("p"), F.greatest("block", k).alias("q"))))
-    tiled = keyed.withColumn("tile", tile).select("label", "dim", "cluster", "tile.p", "tile.q", "rid", "vec", "copies", "first", "second", "block")
-    key = ["label", "dim", "cluster", "p", "q"]
-    built = tiled.select(*key, "rid", "vec").groupBy(*key).applyInPandas(_build, "rid long, near array<long>")
-    adjacency = cut(built.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
-    ready = tiled.join(adjacency, "rid")
+        return Result(alone(base), 1.0, spread)
+    key = ["cell", "p", "q"]
     for wider in range(3):
-        found = cut(ready.groupBy(*key).applyInPandas(_search(least, beam << wider, SLACK * (1 + wider)), "rid long, links long, root long"))
-        counted = found.groupBy("rid").agg(F.sum("links").alias("links"))
-        if _audit(reps, least, AUDIT, counted) >= LEAST_RECALL:
+        placed = cut(_placed(reps, shard, spread << wider, least))
+        blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("blocks"))
+        keyed = placed.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("p"), F.greatest("block", k).alias("q"))))
+        tiled = keyed.withColumn("tile", tile).select("cell", "tile.p", "tile.q", "node", "vec", "copies", "block")
+        built = tiled.select(*key, "node", "vec").groupBy(*key).applyInPandas(_build, "node long, cell string, near array<long>")
+        united = cut(built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.sort_array(F.collect_set("cell")).alias("cells")))
+        found = cut(tiled.join(united, "node").groupBy(*key).applyInPandas(_search(least, beam, SLACK), "node long, links long, root long"))
+        counted = cut(found.groupBy("node").agg(F.sum("links").alias("links")))
+        recall = _audit(reps, least, AUDIT, counted)
+        logging.getLogger(__name__).info("recall %.4f with %d cells a node", recall, spread << wider)
+        if recall >= WANTED_RECALL:
             break
-    components = connected_components(found, "rid", "root")
-    joined = reps.join(counted, "rid", "left").join(components, components.node == reps.rid, "left")
-    known = joined.select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rid").alias("component"))
-    fit = base.where("good").join(known, ["label", "vec"]).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"), (F.col("vec_id") == F.col("component")).alias("kept"))
-    rest = base.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    return fit.unionByName(rest)
+    if recall < LEAST_RECALL:
+        raise RuntimeError(f"audited recall {recall:.3f} is below {LEAST_RECALL} with {spread << wider} cells a node")
+    joined = reps.join(counted, "node", "left").join(components(found, "node", "root"), "node", "left").select("label", "vec", "low", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "node").alias("component"))
+    least_id = joined.groupBy("component").agg(F.min("low").alias("component_id"))
+    known = joined.join(least_id, "component").select("label", "vec", "links", "component_id")
+    fit = base.where("good").join(known, ["label", "vec"]).select("vec_id", F.col("links").alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    return Result(fit.unionByName(alone(base.where("not good"))), recall, spread << wider)
+
+
+def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, beam: int = BEAM, shard: int = SHARD, most: int = MOST, spread: int = SPREAD) -> DataFrame:
+    """One row (vec_id, n_links, component_id, kept) per row of rows.
+
+    Only vectors of equal, known label (and length) are compared, by cosine in double precision.
+    Equal vectors of a label are one node with a number of copies. A label's nodes go to the spread
+    nearest of its cells, split level by level by k-means on samples of about 4,096 nodes each until
+    a cell has about shard nodes; a further cell is left out where the range proves that no partner
+    needs it. Each cell is a shard whose robust-pruned graph is built alone, and a node's adjacency
+    lists are united. In every shard each node then searches the united graph from the medoid,
+    expanding its range; pairs found are verified, so none below least links. A cell whose sample
+    shows that a split would lose links is dense and stays whole; beyond most nodes it is cut into
+    hashed blocks, and each two blocks make one shard, so that no task holds an unbounded group and
+    still every pair meets. Shards return link counts and a spanning forest, never all pairs. The
+    mean recall over 256 nodes is audited by brute force in each call; below 0.95 nodes go to twice
+    as many cells, twice at most; if it then is below 0.9 an error says so.
+
+    Rows with a null label or id, or a vector that is null, empty, zero or holds null or non-finite
+    numbers, link with nothing: n_links 0, component_id their own id, kept true (a null id: null and
+    false). Of equal ids each row is a vector of its own under that id, whatever its label. Repeated
+    rows are copies of one another. An empty table gives no rows; other columns are ignored.
+    """
+    return linked(rows, id_col, vector_col, label_col, least, beam, shard, most, spread).rows

@@ -164,24 +164,56 @@ def test_matroska_digests(documents):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
 
 
-def test_vectors(spark):
+def vector_rows(dims=16, many=150):
     rng = np.random.default_rng(3)
     rows = []
     for label in range(3):
-        centres = rng.normal(size=(150, 16))
-        for c in centres:
+        for c in rng.normal(size=(many, dims)):
             for _ in range(rng.integers(1, 5)):
-                rows.append((len(rows), [float(x) for x in c + rng.normal(size=16) * rng.choice([0.0, 0.05, 0.2])], label))
-    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), shard=120, most=90).collect()}
+                rows.append((len(rows), [float(x) for x in c + rng.normal(size=dims) * rng.choice([0.0, 0.05, 0.2])], label))
+    return rows
+
+
+def links_of(rows):
+    """Per row (links, component) by all cosines."""
     x = np.array([r[1] for r in rows])
     x /= np.linalg.norm(x, axis=1)[:, None]
     label = np.array([r[2] for r in rows])
     close = (x @ x.T >= 0.98) & (label[:, None] == label[None, :])
     np.fill_diagonal(close, False)
-    root = groups(len(rows), list(zip(*np.nonzero(close), strict=True)))
-    true, found = close.sum(axis=1), np.array([got[i][0] for i in range(len(rows))])
-    assert (found <= true).all() and found.sum() >= 0.9 * true.sum()
-    assert np.mean([got[i][1] == root[i] for i in range(len(rows))]) > 0.95
+    root = np.array(groups(len(rows), list(zip(*np.nonzero(close), strict=True))))
+    least = {g: min(r[0] for r, h in zip(rows, root, strict=True) if h == g) for g in set(root.tolist())}
+    return close.sum(axis=1), [least[g] for g in root.tolist()]
+
+
+@pytest.mark.parametrize(("shard", "most"), [(120, 90), (20, 30), (500, 2000)])
+def test_vectors(spark, shard, most):
+    rows = vector_rows()
+    out = vectors.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), shard=shard, most=most)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in out.rows.collect()}
+    true, root = links_of(rows)
+    found = np.array([got[i][0] for i in range(len(rows))])
+    assert out.recall >= 0.95 and (found <= true).all() and found.sum() >= 0.95 * true.sum()
+    assert np.mean([got[i][1] == root[i] and got[i][2] == (root[i] == i) for i in range(len(rows))]) > 0.97
+
+
+def test_vectors_with_repeated_ids(spark):
+    """Ids repeat within and across labels; every row is a vector of its own."""
+    rows = [(i % 40, v, y) for i, v, y in vector_rows()]
+    e0, e1, e2 = ([1.0 if i == k else 0.0 for i in range(16)] for k in range(3))
+    rows += [(1, e0, 8), (1, e1, 8), (2, [1.0, 0.01, *e0[2:]], 8), (3, [0.01, 1.0, *e1[2:]], 8), (1, [0.01, 0.0, 1.0, *e2[3:]], 9), (5, e2, 9)]
+    true, root = links_of(rows)
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == sorted((r[0], int(n), c, r[0] == c) for r, n, c in zip(rows, true, root, strict=True))
+
+
+def test_vectors_dense_cells_stay_whole(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in np.ones(8) + rng.normal(size=8) * 0.08], 0) for i in range(600)]
+    out = vectors.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), shard=60, most=100)
+    true, root = links_of(rows)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in out.rows.collect()}
+    assert sum(got[i][0] for i in got) >= 0.95 * true.sum() and all(got[i][0] <= true[i] for i in got) and np.mean([got[i][1] == root[i] for i in got]) > 0.97
 
 
 def test_toxicity_nearest_is_exact(spark, folder, documents):
