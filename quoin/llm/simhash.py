@@ -145,10 +145,11 @@ def fingerprint_edges(fps: DataFrame, radius: int = 3) -> DataFrame:
     whose sum is at most the radius are compared (exclusive-or and bit counts); all others are
     skipped. A count vector with many fingerprints is cut into tiles of about 4,096 by a hash, so no
     task holds more than two such tiles at a time, and a tile pair yields a spanning forest of its
-    links rather than all pairs.
+    links rather than all pairs. Null fingerprints take no part, repeated ones count once, an empty
+    table gives no edges; other columns are ignored.
     """
     segment = [F.bit_count(F.shiftrightunsigned("fp", 16 * (SEGMENTS - 1 - k)).bitwiseAND(F.lit(0xFFFF))).cast("int") for k in range(SEGMENTS)]
-    keyed = fps.select("fp", F.array(*segment).alias("counts"))
+    keyed = fps.where("fp is not null").select("fp").distinct().select("fp", F.array(*segment).alias("counts"))
     # at most 17^4 count vectors exist, so this table is bounded however many fingerprints there are
     sizes = keyed.groupBy("counts").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("n"))
     tiles = cut(
@@ -165,7 +166,9 @@ def fingerprint_edges(fps: DataFrame, radius: int = 3) -> DataFrame:
         F.explode(F.transform(offsets, lambda d: F.zip_with("counts", d, lambda x, y: x + y))).alias("counts"),
     ).where(F.forall("counts", lambda x: x.between(0, 16)))
     pairs = near.join(tiles, "counts").where("c1 <> counts or k1 <= chunk")
-    lists = pairs.select("one", F.col("fps").alias("two"), (F.col("c1") == F.col("counts")) & (F.col("k1") == F.col("chunk")))
+    # the commonest count vectors have most tile pairs, so these are dealt out singly before they are compared
+    dealt = pairs.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "c1", "k1", "counts", "chunk")
+    lists = dealt.select("one", F.col("fps").alias("two"), (F.col("c1") == F.col("counts")) & (F.col("k1") == F.col("chunk")))
     return lists.mapInArrow(_tile_edges(radius), "a long, b long")
 
 
