@@ -8,6 +8,7 @@ import random
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,11 +23,13 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th", "thead", "tbody"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select", "datalist"}}
-ROLES = ("nav", "menu", "header", "masthead", "footer", "foot", "sidebar", "side", "aside", "widget", "ad", "ads", "advert", "sponsor", "promo", "banner", "cookie", "consent", "notice", "alert", "popup", "modal", "newsletter", "subscribe", "comment", "comments", "reply", "discussion", "disqus", "share", "social", "related", "recommend", "breadcrumb", "breadcrumbs", "pagination", "toolbar", "search", "login", "form", "copyright", "legal", "tags", "meta", "content", "article", "post", "entry", "story", "main", "body", "text")
+ROLES = ("nav", "menu", "header", "masthead", "footer", "foot", "sidebar", "side", "aside", "widget", "ad", "ads", "advert", "sponsor", "sponsored", "promo", "banner", "cookie", "consent", "notice", "alert", "popup", "modal", "newsletter", "subscribe", "comment", "comments", "reply", "discussion", "disqus", "share", "social", "related", "recommend", "breadcrumb", "breadcrumbs", "pagination", "toolbar", "search", "login", "form", "copyright", "legal", "tags", "meta", "content", "article", "post", "entry", "story", "main", "body", "text")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-_CUT = re.compile(r"<(?=[/a-zA-Z!?])[^<]*$", re.S)
-_ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
+# possessive throughout: each character is read once, and a quote counts only behind an equals sign, as in browsers
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+)(>?)")
+_ATTR = re.compile(r"(?<![-\w:.])([a-zA-Z_:][-\w:.]*+)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
+_NUMBER = re.compile(r"&#(?:0*+([0-9]{8,}+)|[xX]0*+([0-9a-fA-F]{7,}+));?")
+DEPTH = 512
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 _ROLE = re.compile(r"[a-z]+")
 
@@ -38,31 +41,66 @@ class Node:
         self.tag, self.attrs, self.parent, self.kids, self.text = tag, attrs, parent, [], ""
 
 
+def tokens(page: str) -> Iterator[tuple[str, re.Match | None]]:
+    """(text, tag) in page order: the text before each tag, and at the end the rest without one.
+
+    Comments, declarations, processing instructions and character data are left out; a tag cut off
+    at the page's end, or by a quote that never closes, ends the page.
+    """
+    start = pos = 0
+    size = len(page)
+    while (pos := page.find("<", pos)) >= 0:
+        after = page[pos + 1 : pos + 2]
+        if after in ("!", "?"):
+            mark = next(((o, c) for o, c in (("<!--", "-->"), ("<![CDATA[", "]]>")) if page.startswith(o, pos)), ("<", ">"))
+            end = page.find(mark[1], pos + len(mark[0]))
+            yield page[start:pos], None
+            start = pos = size if end < 0 else end + len(mark[1])
+            continue
+        m = _TAG.match(page, pos)
+        if m is None:
+            if after == "/" and pos + 2 >= size:
+                size = pos
+            pos += 1
+            continue
+        if not m[4]:
+            yield page[start:pos], None
+            return
+        yield page[start:pos], m
+        start = pos = m.end()
+        if not m[1] and (tag := m[2].lower()) in RAW:
+            end = _raw_end(tag).search(page, pos)
+            start = pos = end.end() if end else size
+    yield page[start:size], None
+
+
+@lru_cache(64)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I)
+
+
+def decoded(text: str) -> str:
+    """text with character references decoded; numbers beyond every character give U+FFFD."""
+    return html.unescape(_NUMBER.sub("&#xFFFD;", text)) if "&" in text else text
+
+
 def tree(page: str) -> Node:
-    """The DOM of a page: elements, and text nodes of tag '#'. Open elements are closed as HTML closes them; a tag cut off at the end is dropped."""
+    """The DOM of a page: elements, and text nodes of tag '#'. Open elements are closed as HTML closes them; a tag cut off at the end is dropped.
+
+    An end tag, and a start tag that closes others, looks at the DEPTH innermost open elements, as
+    browsers nest no deeper; so work grows in proportion to the page.
+    """
     root = at = Node("#root", "", None)
-    pos, size = 0, len(page)
-    while pos < size:
-        m = _TOKEN.search(page, pos)
-        rest = page[pos : m.start() if m else size]
+    for rest, m in tokens(page):
         if rest:
-            if not m:
-                rest = _CUT.sub("", rest)
             text = Node("#", "", at)
-            text.text = html.unescape(rest)
+            text.text = decoded(rest)
             at.kids.append(text)
-        if not m:
-            break
-        pos = m.end()
-        close, tag = m[1], (m[2] or "").lower()
-        if not tag or not m[0].endswith(">"):
+        if m is None:
             continue
-        if close:
-            up = at
-            while up.parent is not None and up.tag != tag:
-                up = up.parent
-            if up.parent is not None and (tag not in INLINE or not _block_between(at, up)):
-                at = up.parent
+        tag = m[2].lower()
+        if m[1]:
+            at = _ended(at, tag)
             continue
         if tag in CLOSES_P:
             at = _close(at, {"p"}, {"table", "td", "th", "button"})
@@ -70,28 +108,29 @@ def tree(page: str) -> Node:
             at = _close(at, CLOSED_BY[tag], SCOPE[tag])
         new = Node(tag, m[3] or "", at)
         at.kids.append(new)
-        if tag in VOID or m[0].endswith("/>") and tag in ("svg", "path"):
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
-            pos = end.end() if end else size
-            continue
-        at = new
+        if tag not in VOID and tag not in RAW and not (m[3].endswith("/") and tag in ("svg", "path")):
+            at = new
     return root
 
 
-def _block_between(at: Node, up: Node) -> bool:
-    while at is not up:
-        if at.tag not in INLINE:
-            return True
-        at = at.parent
-    return False
+def _ended(at: Node, tag: str) -> Node:
+    """The place after an end tag; one of an inline element closes nothing beyond a block."""
+    up = at
+    for _ in range(DEPTH):
+        if up.parent is None or tag in INLINE and up.tag not in INLINE:
+            return at
+        if up.tag == tag:
+            return up.parent
+        up = up.parent
+    return at
 
 
 def _close(at: Node, kinds: set[str], stops: set[str]) -> Node:
     """The place after closing every open element of these kinds up to one that stops them."""
     up, out = at, at
-    while up.parent is not None and up.tag not in stops:
+    for _ in range(DEPTH):
+        if up.parent is None or up.tag in stops:
+            break
         if up.tag in kinds:
             out = up.parent
         up = up.parent
@@ -145,7 +184,7 @@ class Model:
 
     def __init__(self):
         self.weights: dict[str, float] = {}
-        self.edges: dict[str, list[list[float]]] = {}
+        self.edges: dict[str, list[list[float]]] = {"*": [[1.0, 0.0], [0.0, 1.0]]}
 
     def fit(self, pages: list[tuple[list[Node], dict[Node, int]]], epochs: int = 6, rate: float = 0.3) -> Model:
         """Stochastic steps of adaptive size over (nodes, labels) of each page, in a fixed order."""
@@ -161,7 +200,6 @@ class Model:
             for n in nodes:
                 if n.tag != "#":
                     self.edges.setdefault(n.tag, [[0.0, 0.0], [0.0, 0.0]])
-        self.edges["*"] = [[1.0, 0.0], [0.0, 1.0]]
         for names in seen:
             for own in names:
                 for f in own:
@@ -231,7 +269,12 @@ def _is_block(n: Node) -> bool:
 
 
 def blocks(root: Node, content: dict[Node, float] | None, least: float = 0.5) -> list[str]:
-    """The text blocks in page order: runs of inline content of a block element, white space made one space; those of content only."""
+    """The text blocks in page order: runs of inline content of a block element, white space made one space; those of content only.
+
+    Inline elements inside a block that aren't content themselves (an advert in a paragraph) are left
+    out. White space is that of HTML: space, tab, line feed, carriage return, form and line tabulation;
+    a no-break space is a character like others.
+    """
     out: list[str] = []
     run: list[str] = []
 
@@ -258,7 +301,7 @@ def blocks(root: Node, content: dict[Node, float] | None, least: float = 0.5) ->
                 run.append(kid.text)
             elif kid.tag == "br":
                 run.append(" ")
-            elif kid.tag not in HIDDEN:
+            elif kid.tag not in HIDDEN and (kid.tag not in INLINE or good(kid) or not good(owner[-1])):
                 stack.append((kid, 0))
             continue
         if _is_block(n):
@@ -341,7 +384,16 @@ def labelled_pages(count: int = 400, seed: int = 3) -> Iterator[tuple[str, str]]
     def share() -> str:
         return named("div", "share social tags meta", "".join(f"<a href='/s'>{word()}</a>" for _ in range(3)))
 
+    def within() -> str:
+        if rng.random() < 0.4:
+            return named(pick(["span", "a", "a", "em", "small", "span"]), "ad ads advert sponsor sponsored promo share social subscribe newsletter", line(1, 5))
+        tag = pick("a b strong em i code span mark sup time abbr q small u".split())
+        extra = pick(["", "", " href='/y'", f" class='{word()}'", " class='text'", f" id='{word()}'", " title='x'"])
+        inside = pick([line(1, 3), line(1, 3), prose(), f"<b data-own>{line(1, 2)}</b>"])
+        return f"<{tag} data-own{extra}>{inside}</{tag}>"
+
     def content(first: str) -> str:
+        inline = rng.random() < 0.3
         own = [f"<h1 data-own>{first}</h1>"] if rng.random() < 0.85 else []
         for _ in range(pick([rng.randint(1, 9), rng.randint(1, 9), rng.randint(10, 60)])):
             kind = rng.random()
@@ -363,6 +415,8 @@ def labelled_pages(count: int = 400, seed: int = 3) -> Iterator[tuple[str, str]]
                 own.append(f"<p data-own>{line(2, 5)} <a data-own href='/y'>{line(1, 3)}</a> {prose()}</p>")
             else:
                 own.append(f"<div data-own>{prose()}</div>")
+            if inline and rng.random() < 0.5:
+                own.append(f"<p data-own>{line(2, 9)} {within()} {prose()}" + pick(["</p>", f" {within()}</p>", f"{within()} {line(1, 4)}</p>"]))
             if rng.random() < 0.12:
                 own.append(pick([advert, share, side, notice, form])())
         body = "".join(own)
@@ -398,7 +452,8 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """(page_id, url, text, n_chars) per row of pages, from the whole page.
 
     Null and empty pages have an empty text; broken, unclosed and cut-off markup is repaired as
-    browsers do; very long pages are read whole; null and repeated ids stay; an empty table gives no
+    browsers do; very long pages are read whole, with work in proportion to their length; equal pages
+    get equal texts; null and repeated ids stay; an empty table gives no
     rows; other columns are ignored.
     """
     own = model or train()
