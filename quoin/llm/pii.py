@@ -41,21 +41,63 @@ SPEAKS_AGAINST = r"(?i)(?:commit|checksum|digest|sha-?[0-9]|md5|revision|version
 ASSIGNED = r"[=:]\s*[\"'“”`]?$"
 LABELERS = ("shape", "gazetteer", "context", "assigned", "mixture")
 LEFT = 40
+STRETCH = 256
+PIECE = 512
+
+
+def once(value: Column, use) -> Column:
+    """use(value), with value computed a single time however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def scan(items: Column, zero: Column, step, emit, kind: str) -> Column:
+    """emit(state before the item, item) for each item in order, the state starting at zero and going on by step.
+
+    Runs in stretches of STRETCH items, whose results are joined at the end, as a list that grows
+    item by item would cost the square of its length. kind is the type of what emit gives.
+    """
+
+    def stretch(own: Column, state: Column, k: Column) -> Column:
+        start = F.struct(state.alias("state"), F.expr(f"cast(array() as array<{kind}>)").alias("out"))
+        one = lambda acc, x: F.struct(step(acc["state"], x).alias("state"), F.concat(acc["out"], F.array(emit(acc["state"], x))).alias("out"))
+        return F.aggregate(F.slice(own, k * STRETCH + 1, F.lit(STRETCH)), start, one)
+
+    def run(own: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil(F.size(own) / F.lit(STRETCH)).cast("int") - 1)
+        start = F.struct(zero.alias("state"), F.expr(f"cast(array() as array<array<{kind}>>)").alias("parts"))
+        more = lambda acc, k: once(stretch(own, acc["state"], k), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["parts"], F.array(r["out"])).alias("parts")))
+        return F.flatten(F.aggregate(F.sequence(F.lit(0), last), start, more, lambda acc: acc["parts"]))
+
+    return once(items, run)
 
 
 def found(text: Column, pattern: str, group: int = 0) -> Column:
-    """Leftmost non-overlapping matches as (start, end, match, left) in code points, end exclusive; left is what stands before."""
+    """Leftmost non-overlapping matches as (start, end, match, left) in code points, end exclusive; left is what stands before. Linear in the text."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("match"))
-    empty = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,match:string,left:string>>)").alias("out"))
+    pairs = once(hits, lambda h: F.arrays_zip(F.slice(gaps, 1, F.size(h)).alias("gap"), h.alias("match")))
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["gap"])
+    def emit(at: Column, p: Column) -> Column:
+        start = at + F.length(p["gap"])
         end = start + F.length(p["match"])
-        left = F.substring(p["gap"], -LEFT, LEFT)
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), p["match"].alias("match"), left.alias("left")))).alias("out"))
+        return F.struct(start.alias("start"), end.alias("end"), p["match"].alias("match"), F.substring(p["gap"], -LEFT, LEFT).alias("left"))
+
+    return scan(pairs, F.lit(0), lambda at, p: at + F.length(p["gap"]) + F.length(p["match"]), emit, "struct<start:int,end:int,match:string,left:string>")
+
 
-    return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
+def apart(spans: Column, taken: Column) -> Column:
+    """spans (start, end, match, left) that overlap none of taken (start, end), in order; one pass over both sorted by start, from either side."""
+
+    def sweep(own: Column, others: Column) -> Column:
+        tag = lambda x, mine: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(mine).alias("own"), *[(x[k] if mine else F.lit("")).alias(k) for k in ("match", "left")], F.lit(True).alias("free"))
+        every = F.array_sort(F.concat(F.transform(own, lambda x: tag(x, True)), F.transform(others, lambda x: tag(x, False))))
+        kind = "struct<start:int,end:int,own:boolean,match:string,left:string,free:boolean>"
+        marked = lambda x, free: F.struct(*[x[k].alias(k) for k in ("start", "end", "own", "match", "left")], (x["free"] & free).alias("free"))
+        ahead = scan(every, F.lit(-1), lambda far, x: F.when(x["own"], far).otherwise(F.greatest(far, x["end"])), lambda far, x: marked(x, far <= x["start"]), kind)
+        behind = scan(F.reverse(ahead), F.lit(2**31 - 1), lambda near, x: F.when(x["own"], near).otherwise(F.least(near, x["start"])), lambda near, x: marked(x, near >= x["end"]), kind)
+        kept = F.filter(F.reverse(behind), lambda x: x["own"] & x["free"])
+        return F.transform(kept, lambda x: F.struct(*[x[k].alias(k) for k in ("start", "end", "match", "left")]))
+
+    return once(spans, lambda own: F.when(F.size(own) == 0, own).otherwise(once(taken, lambda others: F.when(F.size(others) == 0, own).otherwise(sweep(own, others)))))
 
 
 NO_SPANS = "cast(array() as array<struct<start:int,end:int,match:string,left:string>>)"
@@ -112,24 +154,21 @@ def _candidate(kind: str):
     return make
 
 
-def candidates(text: Column, base: list[Column]) -> Column:
-    """Loose candidates that touch no base span: (kind, start, end, votes, size class, letters), votes as one string."""
-    taken = F.concat(*base)
-    out = []
-    for kind, pattern in LOOSE.items():
-        spans = _if(text.rlike(HINT[kind]), found(text, pattern))
-        if kind == "secret":
-            spans = F.filter(spans, lambda x: x["match"].rlike("[0-9]") & x["match"].rlike("[A-Za-z]"))
-        free = F.filter(spans, lambda x: ~F.exists(taken, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-        out.append(F.transform(free, _candidate(kind)))
-    every = F.concat(*out)
-    # of overlapping candidates the one of the kind listed first in LOOSE stays
-    return F.filter(every, lambda x: ~F.exists(every, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]) & _before(y["kind"], x["kind"])))
+def loose_spans(text: Column) -> dict[str, Column]:
+    """Matches of the loose patterns by kind; a secret has digits and letters."""
+    out = {kind: _if(text.rlike(HINT[kind]), found(text, pattern)) for kind, pattern in LOOSE.items()}
+    out["secret"] = F.filter(out["secret"], lambda x: x["match"].rlike("[0-9]") & x["match"].rlike("[A-Za-z]"))
+    return out
 
 
-def _before(a: Column, b: Column) -> Column:
-    place = lambda k: sum((F.when(k == name, i).otherwise(0) for i, name in enumerate(LOOSE)), F.lit(0))
-    return place(a) < place(b)
+def candidates(base: list[Column], loose: dict[str, Column]) -> Column:
+    """Loose candidates that overlap no base span and none of a kind listed before in LOOSE: (kind, start, end, votes, size class, letters), votes as one string."""
+    ends = lambda spans: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    taken, out = list(base), []
+    for kind, spans in loose.items():
+        out.append(F.transform(apart(spans, F.concat(*taken)), _candidate(kind)))
+        taken.append(ends(spans))
+    return F.concat(*out)
 
 
 class Classifier:
@@ -210,15 +249,23 @@ def train(patterns: list[tuple[str, str, int, int, int]], steps: int = 400) -> C
 
 
 def detect(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with pii_email, pii_ip, pii_card, pii_phone (base spans) and pii_loose (candidates)."""
+    """docs with pii_email, pii_ip, pii_card, pii_phone (base spans) and pii_loose (candidates).
+
+    Null and empty texts have none; equal texts get equal spans; repeated rows stay; an empty table
+    gives no rows. Columns starting with pii_ are reserved. Work grows in proportion to the text.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = base_spans(text)
-    out = docs.withColumns({f"pii_{k}": F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for k, c in base.items()})
-    return out.withColumn("pii_loose", candidates(text, [F.col(f"pii_{k}") for k in base]))
+    base, loose = base_spans(text), loose_spans(text)
+    out = docs.withColumns({f"pii_{k}": F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for k, c in base.items()} | {f"pii_like_{k}": c for k, c in loose.items()})
+    return out.withColumn("pii_loose", candidates([F.col(f"pii_{k}") for k in base], {k: F.col(f"pii_like_{k}") for k in loose})).drop(*[f"pii_like_{k}" for k in loose])
 
 
 def fit(detected: DataFrame) -> Classifier:
-    """EM and the classifier over the vote patterns of all candidates. The driver gets one row per pattern, of at most some thousand that exist."""
+    """EM and the classifier over the vote patterns of all candidates; none give a classifier that takes nothing.
+
+    The driver gets one row per pattern, of at most some thousand that exist, in sorted order, so
+    neither the order nor the partitions of rows matter. Null lists count as empty.
+    """
     rows = detected.where(F.size("pii_loose") > 0).select(F.explode("pii_loose").alias("c")).groupBy("c.kind", "c.votes", "c.size", "c.letters").agg(F.count("*").alias("n")).collect()
     return train(sorted((r["kind"], r["votes"], r["size"], r["letters"], r["n"]) for r in rows))
 
@@ -250,23 +297,32 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return rows.select("doc_id", *[F.size(f"pii_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:4]], F.sha2(line(base), 256).alias("base_sha256"), line(every).alias("spans"))
 
 
+def part(blocks: Column, start: Column, end: Column) -> Column:
+    """The text from start up to end, of a text given in blocks of PIECE code points."""
+    i, j = F.floor(start / F.lit(PIECE)).cast("int"), F.floor((end - 1) / F.lit(PIECE)).cast("int")
+    head = F.substring(F.get(blocks, i), start - i * PIECE + 1, F.when(i == j, end - start).otherwise(F.lit(PIECE)))
+    tail = F.substring(F.get(blocks, j), F.lit(1), end - j * PIECE)
+    middle = F.array_join(F.slice(blocks, i + 2, F.greatest(F.lit(0), j - i - 1)), "")
+    return F.when(end <= start, F.lit("")).when(i == j, head).otherwise(F.concat(head, middle, tail))
+
+
 def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span of text_col replaced by its kind in brackets, as [EMAIL]; of overlapping spans the first (then longest) names the whole.
 
-    Other columns stay; rows without spans are unchanged, null texts stay null. Columns starting
-    with pii_ are reserved.
+    Texts are searched once; what was found is kept in the shared folder until the classifier is
+    fitted. Other columns stay; rows without spans are unchanged, null texts stay null, repeated rows
+    stay, and an empty table gives no rows. Columns starting with pii_ are reserved. Work grows in
+    proportion to the text.
     """
-    _, every = _all_spans(fit(detect(docs.select(text_col), text_col).select("pii_loose")))
+    detected = cut(detect(docs, text_col))
+    _, every = _all_spans(fit(detected))
     text = F.col(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    ordered = F.array_sort(F.transform("pii_all", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["end"].alias("end"), x["kind"].alias("kind"))))
 
-    def step(acc: Column, x: Column) -> Column:
-        new = x["start"] >= acc["at"]
-        gap = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
-        out = F.when(new, F.concat(acc["out"], gap, F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
+    def replaced(blocks: Column) -> Column:
+        put = lambda at, x: F.when(x["start"] >= at, F.concat(part(blocks, at, x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise(F.lit(""))
+        pieces = scan(ordered, F.lit(0), lambda at, x: F.greatest(at, x["end"]), put, "string")
+        return F.concat(F.array_join(pieces, ""), part(blocks, F.array_max(F.transform("pii_all", lambda x: x["end"])), F.length(text)))
 
-    ordered = F.array_sort(F.transform("pii_all", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    masked = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    found_ = detect(docs, text_col).withColumn("pii_all", every)
-    return found_.withColumn(text_col, F.when(F.size("pii_all") > 0, masked).otherwise(text)).select(*docs.columns)
+    masked = once(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), replaced)
+    return detected.withColumn("pii_all", every).withColumn(text_col, F.when(F.size("pii_all") > 0, masked).otherwise(text)).select(*docs.columns)
