@@ -15,6 +15,8 @@ LEAST_CONTEXT = 2
 ALPHABET = 256
 UNIT = 1_000_000
 BINS = 2000
+MOST_GRAMS = 500_000
+SALTS = 32
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
 
@@ -60,9 +62,21 @@ def _smoothed(grams: DataFrame, order: int) -> DataFrame:
 
 
 def _grams(url: Column, order: int) -> Column:
-    """Every character of a URL (and its end) behind the order characters before it."""
+    """Every character of a lower-cased URL (and its end) behind the order characters before it."""
     line = F.concat(F.lit("\x02" * order), F.lower(url), F.lit("\x03"))
-    return F.transform(F.sequence(F.lit(1), F.length(url) + 1), lambda i: F.substring(line, i, F.lit(order + 1)))
+    return F.transform(F.sequence(F.lit(1), F.length(line) - order), lambda i: F.substring(line, i, F.lit(order + 1)))
+
+
+def _gains(chars: DataFrame, model: DataFrame, most: int = MOST_GRAMS) -> DataFrame:
+    """chars with the gain of their gram.
+
+    A model of at most most grams (counted) is broadcast, so characters aren't shuffled; a larger one
+    meets them by gram and a salt of their URL, so that no task holds all rows of a common gram.
+    """
+    if model.limit(most + 1).count() <= most:
+        return chars.join(F.broadcast(model), "gram")
+    spread = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<int>")))
+    return chars.withColumn("salt", F.pmod("k1", F.lit(SALTS)).cast("int")).join(spread, ["gram", "salt"]).drop("salt")
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES, order: int = ORDER) -> DataFrame:
@@ -89,7 +103,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     chars = urls.select("k1", "k2", "part", "ruled", F.explode(_grams(F.col("url"), order)).alias("gram"))
     counted = cut(chars.groupBy("gram").agg(F.count(F.when((F.col("part") == 0) & (F.col("ruled") == "allow"), 1)).alias("yes"), F.count(F.when((F.col("part") == 0) & (F.col("ruled") == "block"), 1)).alias("no")))
     model = cut(_smoothed(counted, order))
-    sums = chars.where("part > 0").join(model, "gram").groupBy("k1", "k2").agg(F.sum("gain").alias("gain"), F.count("*").alias("chars"), F.first("part").alias("part"), F.first("ruled").alias("ruled"))
+    sums = _gains(chars.where("part > 0"), model).groupBy("k1", "k2").agg(F.sum("gain").alias("gain"), F.count("*").alias("chars"), F.first("part").alias("part"), F.first("ruled").alias("ruled"))
     scored = cut(sums.withColumn("score", F.floor(F.col("gain") / F.col("chars")).cast("long")))
     step = UNIT // 100
     bins = scored.where("part = 1").withColumn("bin", F.greatest(F.lit(-BINS), F.least(F.lit(BINS), F.floor(F.col("score") / step)))).groupBy("bin").agg(F.count(F.when(F.col("ruled") == "allow", 1)).alias("good"), F.count(F.when(F.col("ruled") == "block", 1)).alias("bad"))
