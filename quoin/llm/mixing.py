@@ -16,9 +16,10 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK_WORDS = 8192
 BLOCKS_PER_BUCKET = 64
-GROUP = 4096
+GROUP = 256
+WIDTH = 4096
 SHARDS = 64
-_LARGEST_DRAW = 10**9 - 1
+_URN = 10**9
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> dict[str | None, float]:
@@ -41,38 +42,52 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, mo
     return out
 
 
+def _drawn(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n draws without replacement are good ones: a hypergeometric number.
+
+    The library draws from fewer than 10^9 things. For larger urns the same law is inverted: chances
+    relative to the mode's follow from the ratios of neighbouring ones, twelve standard deviations to
+    each side (what lies beyond is less than a double can tell from nothing).
+    """
+    if n == 0 or good == 0 or bad == 0:
+        return n if bad == 0 else 0
+    total = good + bad
+    if total < _URN:
+        return int(rng.hypergeometric(good, bad, n))
+    mode = (n + 1) * (good + 1) // (total + 2)
+    reach = 20 + int(12 * math.sqrt(n * (good / total) * (bad / total) * ((total - n) / (total - 1))))
+    k = np.arange(max(0, n - bad, mode - reach), min(good, n, mode + reach) + 1, dtype=np.int64)
+    x = k[:-1].astype(np.float64)
+    logs = np.concatenate([[0.0], np.cumsum(np.log((good - x) / (x + 1)) + np.log((n - x) / (float(bad - n) + x + 1)))])
+    chance = np.cumsum(np.exp(logs - logs.max()))
+    return int(k[min(len(k) - 1, int(np.searchsorted(chance, rng.random() * chance[-1], side="right")))])
+
+
 def splitting_tree(quotas: list[int], shards: int, seed: int) -> np.ndarray:
     """Draw counts (source, shard) whose sums are the quotas and whose shards are equal to within one draw.
 
     The root holds all quotas; each node deals a multivariate-hypergeometric share to its left half
-    of the shards and the rest to its right half. Above a thousand million draws a node is dealt
-    in equal parts of at most that many.
+    of the shards, source by source, and the rest to its right half. No quotas give no rows.
     """
-    out = np.zeros((len(quotas), shards), np.int64)
+    out = np.zeros((len(quotas), shards), object)
     rng = np.random.Generator(np.random.PCG64(seed))
 
-    def draw(counts: np.ndarray, n: int) -> np.ndarray:
-        parts = int(counts.sum()) // _LARGEST_DRAW + 1
-        if parts == 1:
-            return rng.multivariate_hypergeometric(counts, n, method="marginals")
-        share, got = counts // parts, np.zeros_like(counts)
-        for i in range(parts):
-            own = share if i else counts - share * (parts - 1)
-            got += draw(own, min(int(own.sum()), n * (i + 1) // parts - n * i // parts))
-        return got
-
-    def split(counts: np.ndarray, first: int, width: int) -> None:
+    def split(counts: list[int], first: int, width: int) -> None:
         if width == 1:
             out[:, first] = counts
             return
-        left = width // 2
-        mine = draw(counts, int(counts.sum()) * left // width)
+        left, rest = width // 2, sum(counts)
+        n, mine = rest * left // width, []
+        for c in counts:
+            rest -= c
+            mine.append(_drawn(rng, c, rest, n))
+            n -= mine[-1]
         split(mine, first, left)
-        split(counts - mine, first + left, width - left)
+        split([c - m for c, m in zip(counts, mine, strict=True)], first + left, width - left)
 
     if len(quotas):
-        split(np.array(quotas, np.int64), 0, shards)
-    return out
+        split([int(q) for q in quotas], 0, shards)
+    return out.astype(np.int64)
 
 
 def _stride(n: int, seed: int) -> tuple[int, int]:
@@ -87,11 +102,24 @@ def _stride(n: int, seed: int) -> tuple[int, int]:
 
 @dataclass
 class Mix:
-    """plan: a row per source; draws: a row per block drawn; laid: the input's rows with their block and words."""
+    """plan: a row per source; draws: a row per block drawn; laid: a row per input row, with its keys, block and words; docs: the input with its keys."""
 
     plan: DataFrame
     draws: DataFrame
     laid: DataFrame
+    docs: DataFrame
+
+
+def _running(rows: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
+    """rows (one per keys and order) with the sum of value over the rows of smaller order of the same keys.
+
+    In two steps, over stretches of WIDTH orders and within each, so that no task holds all rows of a key.
+    """
+    rows = rows.withColumn("mix_stretch", F.floor(F.col(order) / F.lit(WIDTH)).cast("long"))
+    whole = Window.partitionBy(*keys).orderBy("mix_stretch")
+    part = Window.partitionBy(*keys, "mix_stretch").orderBy(order)
+    before = rows.groupBy(*keys, "mix_stretch").agg(F.sum(value).alias("mix_all")).withColumn("mix_ahead", F.sum("mix_all").over(whole) - F.col("mix_all")).drop("mix_all")
+    return rows.withColumn(name, F.sum(value).over(part) - F.col(value)).join(before, [*keys, "mix_stretch"]).withColumn(name, F.col(name) + F.col("mix_ahead")).drop("mix_stretch", "mix_ahead")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 17, shards: int = SHARDS, block_words: int = BLOCK_WORDS) -> Mix:
@@ -103,53 +131,53 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     prefix of blocks whose last is cut so that the words drawn are its target rounded to a word;
     only that cut leaves out a part of a document. A splitting tree deals the source's draws, in
     permuted order, to the output shards by exact quotas; inside a shard draws are ordered by hash.
-    Reruns give the same draws.
+    The order is by a hash of the whole row (columns of maps aside), so reruns give the same draws
+    whatever ids repeat; rows equal in all columns are interchangeable.
 
     Null texts have no words, sources may be null (last in order), null and repeated ids are
     allowed, rows without words are never drawn, and an empty table gives empty results. The
-    driver holds one row per source. Other columns are carried along in laid under their own names;
-    columns starting with mix_ are reserved.
+    driver holds one row per source. Texts are read once to count words and not moved. Columns
+    starting with mix_ are reserved.
     """
     spark = docs.sparkSession
-    sized = docs.withColumn("mix_size", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
-    counted = cut(sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("mix_size").alias("size")))
-    sizes = {r["source"]: r["size"] for r in counted.collect()}
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    docs = docs.withColumn("mix_k1", F.xxhash64(F.lit(seed).cast("long"), *hashed)).withColumn("mix_k2", F.xxhash64(F.lit(-seed - 1).cast("long"), *hashed))
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    light = cut(docs.select(F.col(id_col).alias("mix_id"), F.col(source_col).alias("mix_name"), size.alias("mix_size"), "mix_k1", "mix_k2"))
+    sizes = {r["mix_name"]: r["size"] for r in light.groupBy("mix_name").agg(F.sum("mix_size").alias("size")).collect()}
     goals = targets(sizes)
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     rows = [(i, s, sizes[s], goals[s], max(1, -(-sizes[s] // (block_words * BLOCKS_PER_BUCKET)))) for i, s in enumerate(order)]
     plan = spark.createDataFrame(rows, "mix_source int, source string, source_size long, target double, mix_buckets long")
-    own = plan.select("mix_source", F.col("source").alias("mix_name"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "mix_buckets")
-    hashed = F.xxhash64(F.lit(seed).cast("long"), F.col(id_col).cast("long"))
-    by_bucket = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_hash", id_col, "mix_size")
+    # a row per source, which the driver holds already
+    own = F.broadcast(plan.select("mix_source", F.col("source").alias("mix_of"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "mix_buckets"))
+    by_bucket = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_k1", "mix_k2", "mix_size")
     laid = (
-        sized.join(own, F.col(source_col).eqNullSafe(F.col("mix_name")))
-        .withColumn("mix_hash", hashed)
-        .withColumn("mix_bucket", F.pmod(F.xxhash64("mix_hash"), "mix_buckets"))
+        light.join(own, F.col("mix_name").eqNullSafe(F.col("mix_of")))
+        .withColumn("mix_bucket", F.pmod(F.xxhash64("mix_k1"), "mix_buckets"))
         .withColumn("mix_start", F.coalesce(F.sum("mix_size").over(by_bucket.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("mix_block", F.floor(F.col("mix_start") / block_words))
-        .drop("mix_name", "mix_buckets")
+        .drop("mix_name", "mix_of", "mix_buckets")
     )
-    laid = laid.withColumn("mix_offset", F.col("mix_start") - F.min("mix_start").over(Window.partitionBy("mix_source", "mix_bucket", "mix_block")))
+    laid = cut(laid.withColumn("mix_offset", F.col("mix_start") - F.min("mix_start").over(Window.partitionBy("mix_source", "mix_bucket", "mix_block"))))
     blocks = laid.where("mix_size > 0").groupBy("mix_source", "mix_bucket", "mix_block").agg(F.sum("mix_size").alias("words"))
-    per_bucket = Window.partitionBy("mix_source").orderBy("mix_bucket")
     dense = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_block")
-    blocks = cut(blocks)
-    before = blocks.groupBy("mix_source", "mix_bucket").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(per_bucket) - F.col("n")).drop("n")
-    blocks = blocks.withColumn("rank", F.row_number().over(dense) - 1).join(before, ["mix_source", "mix_bucket"]).withColumn("index", F.col("before") + F.col("rank")).drop("before", "rank")
+    before = _running(blocks.groupBy("mix_source", "mix_bucket").agg(F.count("*").alias("n")), ["mix_source"], "mix_bucket", "n", "before").drop("n")
+    blocks = cut(blocks.withColumn("rank", F.row_number().over(dense) - 1).join(before, ["mix_source", "mix_bucket"]).withColumn("index", F.col("before") + F.col("rank")).drop("before", "rank"))
     counts = {r["mix_source"]: r["n"] for r in blocks.groupBy("mix_source").agg(F.count("*").alias("n")).collect()}
 
     epochs = []
-    for i, _, size, goal, _ in rows:
-        whole, words = (min(MOST, int(goal // size)), int(round(goal))) if size else (0, 0)
+    for i, _, size_, goal, _ in rows:
+        whole, words = (min(MOST, int(goal // size_)), int(round(goal))) if size_ else (0, 0)
         n = counts.get(i, 0)
         for e in range(min(MOST, whole + 1) if n else 0):
-            rest = words - e * size
+            rest = words - e * size_
             if rest > 0:
-                epochs.append((i, e, *_stride(n, seed * 1_000_003 + 31 * i + e), n, min(rest, size)))
-    epoch = spark.createDataFrame(epochs, "mix_source int, epoch int, a long, b long, n long, wanted long")
+                epochs.append((i, e, *_stride(n, seed * 1_000_003 + 31 * i + e), n, min(rest, size_)))
+    # at most three rows per source
+    epoch = F.broadcast(spark.createDataFrame(epochs, "mix_source int, epoch int, a long, b long, n long, wanted long"))
     placed = blocks.join(epoch, "mix_source").withColumn("place", F.expr("cast((cast(a as decimal(20,0)) * index + b) % n as long)")).withColumn("group", F.floor(F.col("place") / GROUP))
-    in_epoch = Window.partitionBy("mix_source", "epoch").orderBy("group")
-    sums = placed.groupBy("mix_source", "epoch", "group").agg(F.sum("words").alias("w")).withColumn("group_before", F.sum("w").over(in_epoch) - F.col("w")).drop("w")
+    sums = _running(placed.groupBy("mix_source", "epoch", "group").agg(F.sum("words").alias("w")), ["mix_source", "epoch"], "group", "w", "group_before").drop("w")
     in_group = Window.partitionBy("mix_source", "epoch", "group").orderBy("place")
     drawn = (
         placed.join(sums, ["mix_source", "epoch", "group"])
@@ -162,14 +190,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     drawn = cut(drawn)
     quotas = {r["mix_source"]: r["n"] for r in drawn.groupBy("mix_source").agg(F.count("*").alias("n")).collect()}
     dealt = splitting_tree([quotas.get(i, 0) for i in range(len(rows))], shards, seed)
-    bounds = spark.createDataFrame([(i, [int(x) for x in np.cumsum(dealt[i])]) for i in range(len(rows))], "mix_source int, upto array<long>")
+    bounds = F.broadcast(spark.createDataFrame([(i, [int(x) for x in np.cumsum(dealt[i])]) for i in range(len(rows))], "mix_source int, upto array<long>"))
     draws = (
         drawn.join(bounds, "mix_source")
         .withColumn("mix_shard", F.expr("cast(size(filter(upto, x -> x <= mix_draw)) as int)"))
         .withColumn("mix_order", F.xxhash64(F.lit(seed).cast("long"), "mix_shard", "mix_source", "mix_draw"))
         .drop("upto")
     )
-    return Mix(plan.drop("mix_buckets", "mix_source"), draws, laid)
+    return Mix(plan.drop("mix_buckets", "mix_source"), draws, laid, docs)
 
 
 def _with_draws(m: Mix) -> DataFrame:
@@ -180,14 +208,26 @@ def _with_draws(m: Mix) -> DataFrame:
 
 
 def taken(m: Mix, id_col: str = "doc_id") -> DataFrame:
-    """Per input row: id, size, source_size, target, taken (the words of it that the mix draws, repeats counted)."""
+    """Per input row: id, size, source_size, target, taken (the words of it that the mix draws, repeats counted).
+
+    Null and repeated ids stay, rows without words have taken 0, and no rows give none.
+    """
     words = F.expr("aggregate(mix_mine, 0L, (s, d) -> s + least(mix_size, d.mix_words - mix_offset))")
-    return _with_draws(m).select(F.col(id_col), F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), words.alias("taken"))
+    return _with_draws(m).select(F.col("mix_id").alias(id_col), F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), words.alias("taken"))
 
 
 def mixed_rows(m: Mix, columns: list[str], text_col: str = "text") -> DataFrame:
-    """The mix itself: columns of docs once per draw, with mix_shard and mix_order; the one document of a source that the last draw cuts keeps its first words."""
-    rows = _with_draws(m).withColumn("mix_d", F.explode("mix_mine"))
+    """The mix itself: columns of docs once per draw, with mix_shard and mix_order; the one document of a source that the last draw cuts keeps its first words.
+
+    Texts move once, to meet their draws by the row's two hashes. Rows equal in all columns count as
+    often as they occur, null and repeated ids stay, rows without words are left out, and no rows give none.
+    """
+    key = ["mix_k1", "mix_k2"]
+    repeated = cut(m.laid.groupBy(*key).agg(F.count("*").alias("mix_n")).where("mix_n > 1").select(*key))
+    once = m.docs
+    if not repeated.isEmpty():
+        once = m.docs.join(repeated, key, "left_anti").select(*m.docs.columns).unionByName(m.docs.join(repeated, key, "left_semi").dropDuplicates(key).select(*m.docs.columns))
+    rows = once.join(_with_draws(m).select(*key, "mix_size", "mix_offset", F.explode("mix_mine").alias("mix_d")), key)
     part = F.col("mix_d.mix_words") - F.col("mix_offset")
     cut_text = F.expr(f"array_join(slice(regexp_extract_all(`{text_col}`, '[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+', 0), 1, cast(mix_d.mix_words - mix_offset as int)), '')")
     text = F.when(part < F.col("mix_size"), cut_text).otherwise(F.col(text_col))
