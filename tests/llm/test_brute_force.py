@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quoin.lineage import cut
 from quoin.llm import htmltext, matroska, mixing, pieces, pii, quotes, simhash, toxicity, urlfilter, vectors
@@ -131,6 +132,52 @@ def test_pii_base(spark, documents):
     assert "0123456789abcdef0123456789abcdef01234567" in added
 
 
+def test_pii_sweeps_equal_all_pairs(spark):
+    """Candidates that overlap a base span or one of an earlier kind are left out; held against every pair."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(30):
+        parts = [rng.choice(["a.b@c.de", "10.2.3.4", "4111111111111111", "+49 170 1234567", "joe [at] web dot com", "(212) 555-1234", "212 555 1234", "078-05-1120", "DE89370400440532013000", "Ab3dEf6hIj9lMn2pQr5t", "plain", "x7y@z.org.uk/Ab3dEf6hIj9lMn2pQr5t"]) for _ in range(rng.choice([0, 3, 40, 700]))]
+        rows.append((i, rng.choice([" ", "", "-"]).join(parts)))
+    got = {r.doc_id: r for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    plain = {k: re.compile(v) for k, v in pii.LOOSE.items()}
+    for i, t in rows:
+        base = [(a, b) for _, a, b in base_spans(t)]
+        loose = {k: [m.span() for m in p.finditer(t) if k != "secret" or re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])] if re.search(pii.HINT[k], t) else [] for k, p in plain.items()}
+        want, before = set(), list(base)
+        for k, spans in loose.items():
+            want |= {(k, a, b) for a, b in spans if not any(x < b and a < y for x, y in before)}
+            before += spans
+        assert {(c.kind, c.start, c.end) for c in got[i].pii_loose} == want
+        assert sorted((x.start, x.end) for k in pii.KINDS[:4] for x in got[i][f"pii_{k}"]) == sorted(base)
+
+
+def test_pii_many_matches_in_one_text(spark):
+    import time
+
+    many = " ".join(f"u{i}@h{i}.example.org 10.{i % 256}.3.4 token=Ab{i}Ef6hIj9lMn2pQr5t" for i in range(33_000))
+    df = spark.createDataFrame([(1, many), (2, many[:5000])], "doc_id long, text string")
+    begun = time.time()
+    got = {r.doc_id: r for r in pii.find(df).collect()}
+    masked = {r.doc_id: r.text for r in pii.mask(df).collect()}
+    assert got[1].n_email == got[1].n_ip == 33_000 and masked[1].count("[EMAIL]") == masked[1].count("[IP]") == 33_000 and len(masked[1]) < len(many)
+    assert time.time() - begun < 120
+
+
+def test_mask_equals_plain_replacement(spark, documents):
+    rows = [(r.doc_id, r.text) for r in documents.collect()] + [(10**6, "é🙂" * 700 + " a@b.cd " + "🙂" * 1500 + "1.2.3.4")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.find(df).collect()}
+    for r in pii.mask(df).collect():
+        text, out, at = dict(rows)[r.doc_id], "", 0
+        every = sorted((int(a), -int(b), k) for k, a, b in (x.split(":") for x in spans[r.doc_id].split(","))) if spans[r.doc_id] else []
+        for a, b, k in every:
+            if a >= at:
+                out += text[at:a] + f"[{k.upper()}]"
+            at = max(at, -b)
+        assert r.text == (None if text is None else out + text[at:])
+
+
 def test_mask_leaves_no_base_span(documents):
     for r in pii.mask(documents).collect():
         assert not base_spans(r.text or "")
@@ -264,6 +311,42 @@ def test_toxicity_on_held_out_rows(spark, folder, name, recall, precision):
     assert hits >= recall * sum(y for _, y in got) and hits >= precision * sum(p for p, _ in got)
 
 
+def test_html_equals_the_articles_of_the_pages(spark, folder):
+    """The given pages have one layout: headings and paragraphs in an article; read here with a plain split."""
+    own = folder.replace("sf0.001", "sf0.1")
+    source = {r.page_id: r.html for r in spark.read.parquet(f"{own}/pages.parquet").collect()}
+    space = lambda x: re.sub(r"[ \t\n\r\f\v]+", " ", x).strip(" ")
+    for r in htmltext.main_texts(spark.read.parquet(f"{own}/pages.parquet")).collect():
+        body = re.search(r"<article>(.*?)(?:</article>|\Z)", source[r.page_id], re.S)[1]
+        parts = [space(htmltext.html.unescape(re.sub("</?b>", "", x).replace("<br>", " "))) for x in re.split("</?(?:h1|p)>", body)]
+        assert r.text == "\n".join(x for x in parts if x) and r.n_chars == len(r.text)
+
+
+def test_html_adverts_inside_paragraphs():
+    model = htmltext.train()
+    text = "Real text goes on for a while here."
+    for advert in ('<span class="advert">Buy now</span>', '<a class="ad" href="/x">Sponsored link</a>', '<em class="promo">Only today</em>'):
+        assert htmltext.extract(f"<article><h1>Title</h1><p>{text} {advert} More.</p><p>{text}</p></article>", model) == f"Title\n{text} More.\n{text}"
+    kept = "An <em>important</em> and <a href='/x'>linked</a> word, <code>x=1</code>, <b>bold</b><sup>2</sup>."
+    assert htmltext.extract(f"<article><h1>Title</h1><p>{kept}</p><p>{text}</p></article>", model) == f"Title\nAn important and linked word, x=1, bold2.\n{text}"
+
+
+@pytest.mark.parametrize("page", ["<a x " * 200_000 + '"', '<a x="' + "<a x " * 200_000, "<div>" * 20_000 + "deep", "<b>" + "<div>" * 2000 + "</b>" * 100_000, "<a " + "a" * 10**6 + ">x", "<" * 10**6, "<!--" * 200_000, "<script>" + "</script " * 200_000, "<p>&#" + "9" * 100_000 + ";", "<p " + "a='" * 200_000])
+def test_html_broken_markup_is_linear(page):
+    import time
+
+    begun = time.time()
+    htmltext.extract(page, htmltext.Model())
+    assert time.time() - begun < 10
+
+
+def test_html_tokens():
+    text = lambda page: "".join(n.text for n in htmltext._nodes(htmltext.tree(page)))
+    assert text("a<b c=\"x>y\">d</b> e<!-- f > g -->h<?i?>j<![CDATA[k>]]>l") == "ad ehjl"
+    assert text("1 < 2 <3 a<b \">c") == "1 < 2 <3 ac" and text("a<script>if (a<b) '</p>'</SCRIPT x>b") == "ab"
+    assert text("&#99999999999; &#0000000065; &amp;lt;") == "\ufffd A &lt;" and text("a<b c") == "a" and text("a</") == "a"
+
+
 def test_html_on_held_out_layouts():
     model = htmltext.train()
     wrong = 0
@@ -345,6 +428,42 @@ def test_splitting_tree_keeps_quotas():
     assert (dealt == mixing.splitting_tree(q, 8, 1)).all()
 
 
+def test_large_urns_follow_the_same_law(monkeypatch):
+    rng = np.random.default_rng(1)
+    exact = [mixing._drawn(rng, 300, 700, 200) for _ in range(4000)]
+    monkeypatch.setattr(mixing, "_URN", 1)
+    own = [mixing._drawn(rng, 300, 700, 200) for _ in range(4000)]
+    assert abs(np.mean(own) - 60) < 0.4 and abs(np.std(own) - np.std(exact)) < 0.4 and abs(np.mean(exact) - np.mean(own)) < 0.6
+    assert mixing._drawn(rng, 5, 0, 3) == 3 and mixing._drawn(rng, 0, 5, 3) == 0 and mixing._drawn(rng, 2, 3, 5) == 2
+    big = mixing.splitting_tree([3 * 10**9, 10**9, 7], 4, 2)
+    assert big.sum(axis=1).tolist() == [3 * 10**9, 10**9, 7] and np.ptp(big.sum(axis=0)) <= 1 and abs(big[1] - 25 * 10**7).max() < 10**6
+
+
+def test_mix_is_stable_on_repeated_ids(spark):
+    rows = [(7 if i % 3 else None, f"s{i % 3}", " ".join(f"w{i}x{j}" for j in range(i % 40)), "en") for i in range(3000)]
+    mixes = []
+    for seed, parts in ((1, 3), (2, 11)):
+        own = rows.copy()
+        random.Random(seed).shuffle(own)
+        docs = spark.createDataFrame(own, "doc_id long, source string, text string, lang string").repartition(parts)
+        m = mixing.mix(docs, block_words=100)
+        mixes.append(sorted((tuple(r) for r in mixing.mixed_rows(m, docs.columns).collect()), key=repr))
+        got, words = {}, {}
+        for r in mixes[-1]:
+            got[r[1]] = got.get(r[1], 0) + len(r[2].split())
+        for r in mixing.taken(m).collect():
+            words[r.target] = words.get(r.target, 0) + r.taken
+        assert sorted(got.values()) == sorted(words.values())
+    assert mixes[0] == mixes[1]
+
+
+def test_mix_counts_equal_rows(spark):
+    rows = [(1, "a", "one two three")] * 30 + [(2, "b", "x y")] * 5
+    m = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), block_words=4)
+    out = mixing.mixed_rows(m, ["source", "text"]).collect()
+    assert sum(len(r.text.split()) for r in out) == sum(r.taken for r in mixing.taken(m).collect()) == 100
+
+
 def test_mix_meets_targets(documents):
     m = mixing.mix(documents.select("doc_id", "source", "text"), block_words=200)
     rows = mixing.taken(m).toPandas().merge(documents.select("doc_id", "source", "text").toPandas(), on="doc_id")
@@ -367,6 +486,24 @@ def test_url_rules(spark):
     assert got["a.net/de/"][0] is None and got["com"][0] is None and got["com/"] == ("com/", "allow")
 
 
+def test_url_tails_count_where_lower_case_is_longer(spark):
+    rows = [(i, f"http://h{i}.{'com' if i % 2 else 'net'}/{'es' if i % 4 == 0 else 'fr'}/{'good' if i % 2 else 'bad'}") for i in range(400)]
+    rows += [(1000, "http://x.org/" + "İ" * 5 + "bad"), (1001, "http://x.org/" + "İ" * 5 + "good"), (1002, "http://x.org/" + "İ" * 5)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: r.score for r in urlfilter.judge(df).collect()}
+    assert len({got[1000], got[1001], got[1002]}) == 3 and got[1000] < got[1001]
+    line = df.where("page_id = 1000").select(urlfilter._grams(F.col("url"), urlfilter.ORDER).alias("g")).first().g
+    assert line[-1].endswith("bad\x03") and len(line) == len(("http://x.org/" + "İ" * 5 + "bad").lower()) + 1
+
+
+def test_url_scores_are_the_same_without_a_broadcast(spark, folder, monkeypatch):
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    want = sorted(tuple(r) for r in urlfilter.judge(pages).collect())
+    plain = urlfilter._gains
+    monkeypatch.setattr(urlfilter, "_gains", lambda chars, model: plain(chars, model, most=10))
+    assert sorted(tuple(r) for r in urlfilter.judge(pages).collect()) == want
+
+
 def test_url_model_equals_plain_version(spark, folder):
     import math
     from collections import Counter
