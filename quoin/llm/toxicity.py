@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -12,7 +11,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +21,7 @@ SAMPLE = 4096
 NEIGHBOURS = 15
 BLOCK = 64
 FREQUENT = 512
-AT_ONCE = 256
+AT_ONCE = 128
 THRESHOLD = 0.3
 _WORD = re.compile(r"\w+")
 _EPS = 0.05
@@ -97,18 +95,15 @@ class Index:
         self.ids, self.labels, self.examples = [own.ids[i] for i in layout], own.labels[layout].astype(np.float64), len(layout)
         by = np.lexsort((own.term, place[own.member]))
         self.flat = (own.term[by].astype(np.int32), weight[by], place[own.member][by].astype(np.int32))
-        self.ready = False
+        self._lists()
 
-    def __getstate__(self) -> dict:
-        return {k: self.__dict__[k] for k in ("terms", "idf", "ids", "labels", "examples", "flat")} | {"ready": False}
-
-    def _prepare(self) -> None:
-        """Posting lists and block maxima, laid out once in each process."""
+    def _lists(self) -> None:
+        """Posting lists and block maxima."""
         term, weight, member = self.flat
         times = np.bincount(term, minlength=len(self.terms))
         self.blocks = -(-self.examples // BLOCK)
         common = np.argsort(-times, kind="stable")[:FREQUENT]
-        self.column = np.full(len(self.terms), -1, np.int64)
+        self.column = np.full(len(self.terms), -1, np.int32)
         self.column[common] = np.arange(len(common))
         column = self.column[term]
         dense = np.zeros((self.blocks * BLOCK, len(common)))
@@ -118,9 +113,20 @@ class Index:
         self.most = self.dense.max(axis=1)
         rare = np.nonzero(~often)[0]
         rare = rare[np.argsort(term[rare], kind="stable")]
-        self.members, self.weights = member[rare].astype(np.int64), weight[rare]
-        self.starts = np.searchsorted(term[rare], np.arange(len(self.terms) + 1))
-        self.ready = True
+        self.members, self.weights = member[rare], weight[rare]
+        self.starts = np.searchsorted(term[rare], np.arange(len(self.terms) + 1)).astype(np.int32)
+
+    PLAIN = ("terms", "idf", "ids", "labels", "examples", "blocks", "column", "dense", "most", "members", "weights", "starts")
+
+    def plain(self) -> dict:
+        """What a search needs, as arrays and built-in types: a worker process then reads a broadcast once for all its tasks."""
+        return {k: self.__dict__[k] for k in self.PLAIN}
+
+    @classmethod
+    def of(cls, plain: dict) -> Index:
+        own = cls.__new__(cls)
+        own.__dict__.update(plain)
+        return own
 
     def vector(self, tf: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """A text's known words and their weights, of length one."""
@@ -142,8 +148,6 @@ class Index:
         queries only whose k-th best cosine its bound reaches, so the result is exact. without: an
         example for each query that doesn't count.
         """
-        if not self.ready:
-            self._prepare()
         found_i, found_s = np.full((len(vectors), k), -1, np.int64), np.zeros((len(vectors), k))
         for at in range(0, len(vectors) if self.examples else 0, AT_ONCE):
             some = vectors[at : at + AT_ONCE]
@@ -187,6 +191,16 @@ class Model:
         self.empty = (wordless[1] + rate) / (wordless[0] + 2)
         self.x, self.y = np.array([0.0, 1.0]), np.array([0.0, 1.0])
 
+    def plain(self) -> dict:
+        """The model as arrays and built-in types, for a broadcast."""
+        return self.__dict__ | {"index": self.index.plain()}
+
+    @classmethod
+    def of(cls, plain: dict) -> Model:
+        own = cls.__new__(cls)
+        own.__dict__.update(plain | {"index": Index.of(plain["index"])})
+        return own
+
     def votes(self, near: np.ndarray, cosine: np.ndarray) -> np.ndarray:
         """Neighbours' labels weighted by closeness, with one far vote for the overall rate."""
         w = np.where(near >= 0, 1 / (1 - np.minimum(cosine, 1.0) + _EPS), 0.0)
@@ -306,10 +320,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Model.score); equal texts get equal scores; null and repeated ids stay; an empty table gives no rows; other
     columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))  # bounded by the sample
+    shared = docs.sparkSession.sparkContext.broadcast(model.plain())  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pickle.loads(shared.value)
+        own = Model.of(shared.value)
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
         for whole in batches:
             for batch in (whole.slice(i, AT_ONCE) for i in range(0, whole.num_rows, AT_ONCE)):
@@ -327,11 +341,11 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", thresho
     Null and empty texts score as in score(), equal texts stay or go together, a score equal to the
     threshold goes, repeated rows stay, and an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
+    shared = docs.sparkSession.sparkContext.broadcast(model.plain())
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pickle.loads(shared.value)
+        own = Model.of(shared.value)
         for whole in batches:
             for batch in (whole.slice(i, AT_ONCE) for i in range(0, whole.num_rows, AT_ONCE)):
                 yield batch.filter(pa.array(own.score([x.as_py() for x in batch.column(at)])[0] < threshold, pa.bool_()))
