@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quoin.operators import joins as jn
+from quoin.operators import windows
 
 
 def variables(candidates: DataFrame) -> DataFrame:
-    """candidates with var, numbered from 0 by (gid, did); candidates is a bounded table."""
-    return candidates.withColumn("var", F.row_number().over(Window.orderBy("gid", "did")) - 1)
+    """candidates with var, numbered from 0 by (gid, did)."""
+    return windows.numbered(candidates, "gid", "did", name="var")
 
 
 def cover(candidates: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from quoin.functions import angles as an
 from quoin.functions import geometry as g
 from quoin.operators import aggregates as ag
 from quoin.operators import joins as jn
+from quoin.operators import windows
 
 
 def represent(points: DataFrame, primitives: DataFrame, significance: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -41,9 +42,9 @@ def perfect_relations(primitives: DataFrame, angles: list[float], limit: float)
 
 
 def unique_ids(primitives: DataFrame) -> DataFrame:
-    """primitives with lid, the place in their patch, and uid, a running number by (gid, lid); a bounded table."""
+    """primitives with lid, the place in their patch, and uid, a running number by (gid, lid)."""
     own = primitives.withColumn("lid", F.row_number().over(Window.partitionBy("gid").orderBy("did")) - 1)
-    return own.withColumn("uid", F.row_number().over(Window.orderBy("gid", "lid")) - 1)
+    return windows.numbered(own, "gid", "lid", name="uid")
 
 
 def shared_volumes(extents: DataFrame, pairs: DataFrame) -> DataFrame:

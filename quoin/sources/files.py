@@ -10,13 +10,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quoin.functions import geometry as g
+from quoin.operators import windows
 from quoin.sources import schema
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """(at, value): a text file's lines by place. One whole file at a time, so a line's number is known; for clouds that a row can hold."""
-    files = spark.read.text(path, wholetext=True).select(F.col("value").alias("body"))
-    return files.select(F.posexplode(F.split("body", "\r?\n")).alias("at", "value"))
+    """(at, value): a text's lines by place, of files in the order of their names.
+
+    A line's place is its place in its split and the number of lines in the splits before, so a file
+    is read by many tasks; only the counts of splits meet in one.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    splits = lines.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_lines"))
+    before = splits.withColumn("_before", F.sum("_lines").over(Window.orderBy("_file", "_block")) - F.col("_lines")).drop("_lines")
+    # a row per split
+    return lines.join(F.broadcast(before), ["_file", "_block"]).select((F.col("_before") + F.col("_id") - F.col("_first")).alias("at"), "value")
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
@@ -29,6 +37,52 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("pid", *[value(i).alias(c) for i, c in enumerate("xyz")], *[c.alias(k) for k, c in zip(("nx", "ny", "nz"), n, strict=True)], F.col("pid").alias("gid"))
 
 
+_KINDS = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
+
+
+def read_binary_points(spark: SparkSession, path: str) -> DataFrame:
+    """Binary PLY (either byte order) or PCD of one file: the columns of read_points(). A file is one row; its vertices are the first element."""
+    kind = "pid long, x double, y double, z double, nx double, ny double, nz double, gid long"
+
+    def layout(body: bytes) -> tuple[list[tuple[str, str]], int, int]:
+        """(fields, rows, where the rows begin)."""
+        pcd = not body.startswith(b"ply")
+        mark = b"DATA binary\n" if pcd else b"end_header\n"
+        at = body.index(mark) + len(mark)
+        words = [line.split() for line in body[:at].decode("ascii").splitlines()]
+        if pcd:
+            head = {w[0]: w[1:] for w in words if w}
+            sizes = [{"F": "f", "U": "u", "I": "i"}[t] + n for t, n in zip(head["TYPE"], head["SIZE"], strict=True)]
+            return [(n, "<" + t) for n, t in zip(head["FIELDS"], sizes, strict=True)], int(head["POINTS"][0]), at
+        order, fields, rows = "<", [], 0
+        for w in words:
+            if w[0] == "format":
+                order = ">" if w[1] == "binary_big_endian" else "<"
+            elif w[0] == "element":
+                if fields:
+                    break
+                rows = int(w[2])
+            elif w[0] == "property":
+                fields.append((w[2], order + _KINDS[w[1]]))
+        return fields, rows, at
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        for batch in batches:
+            for body in batch.content:
+                fields, rows, at = layout(body)
+                own = np.frombuffer(body, np.dtype(fields), rows, at)
+                names = {"normal_x": "nx", "normal_y": "ny", "normal_z": "nz"}
+                given = {names.get(n, n): own[n].astype(np.float64) for n, _ in fields}
+                n = np.column_stack([given.get(k, np.full(rows, -1.0)) for k in ("nx", "ny", "nz")])
+                length = np.sqrt((n * n).sum(axis=1))
+                n = n / np.where(length > 0, length, 1.0)[:, None]
+                yield pd.DataFrame({"pid": np.arange(rows), **{k: given[k] for k in "xyz"}, "nx": n[:, 0], "ny": n[:, 1], "nz": n[:, 2], "gid": np.arange(rows)})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, kind)
+
+
 def read_primitives(spark: SparkSession, path: str, lines_as_normals: bool = False) -> DataFrame:
     """x,y,z,nx,ny,nz,gid,did,status,gen_angle per line, the last four optional; '#' lines and blank ones are skipped; lid is the place in the patch.
 
@@ -55,8 +109,9 @@ def read_assignments(spark: SparkSession, path: str) -> DataFrame:
 def dense_index(assigned: DataFrame) -> DataFrame:
     """assigned with the dense rank (from 0) of its distinct (gid, lid)."""
     keys = [c for c in ("gid", "lid") if c in assigned.columns]
-    ranked = assigned.select(*keys).distinct().withColumn("index", F.dense_rank().over(Window.orderBy(*keys)) - 1)
-    return assigned.join(ranked, keys, "left")
+    ranked = windows.numbered(assigned.select(*keys).distinct(), *keys, name="index")
+    same = [F.col("a." + k).eqNullSafe(F.col("b." + k)) for k in keys]
+    return assigned.alias("a").join(ranked.alias("b"), same, "left").select("a.*", "b.index")
 
 
 def with_assignments(points: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -72,13 +127,13 @@ def read_scene(spark: SparkSession, cloud: str, primitives: str, assignments: st
 def read_triangles(spark: SparkSession, path: str, least_side: float = 0.0) -> DataFrame:
     """OBJ faces of exactly three corners whose sides are all at least least_side."""
     lines = _numbered(spark, path).withColumn("f", F.split(F.trim("value"), "\\s+"))
-    vertices = lines.where("f[0] = 'v'").select((F.row_number().over(Window.orderBy("at"))).alias("v"), *[F.col("f")[i].cast("double").alias(c) for i, c in ((1, "x"), (2, "y"), (3, "z"))])
-    faces = lines.where("f[0] = 'f' and size(f) = 4").select(F.row_number().over(Window.orderBy("at")).alias("tid"), *[F.split(F.col("f")[i], "/")[0].cast("int").alias(c) for i, c in ((1, "a"), (2, "b"), (3, "c"))])
+    vertices = windows.numbered(lines.where("f[0] = 'v'"), "at", name="v").select((F.col("v") + 1).alias("v"), *[F.col("f")[i].cast("double").alias(c) for i, c in ((1, "x"), (2, "y"), (3, "z"))])
+    faces = windows.numbered(lines.where("f[0] = 'f' and size(f) = 4"), "at", name="tid").select("tid", *[F.split(F.col("f")[i], "/")[0].cast("int").alias(c) for i, c in ((1, "a"), (2, "b"), (3, "c"))])
     for c in "abc":
         own = vertices.select(F.col("v").alias(c), *[F.col(k).alias(c + k) for k in "xyz"])
         faces = faces.join(own, c)
     sides = g.triangle_sides(*[g.Vec.of(c + "x", c + "y", c + "z") for c in "abc"])
-    return faces.where(F.least(*sides) >= least_side).select((F.col("tid") - 1).cast("long").alias("tid"), *[c + k for c in "abc" for k in "xyz"])
+    return faces.where(F.least(*sides) >= least_side).select("tid", *[c + k for c in "abc" for k in "xyz"])
 
 
 def cloud_from_depth(depth: DataFrame, fx: float, fy: float, cx: float, cy: float, least: float = 0.2, pose: list[list[float]] | None = None) -> DataFrame:
@@ -205,7 +260,7 @@ def _texts(df: DataFrame, path: str, backup: bool) -> None:
 def write_primitives(primitives: DataFrame, path: str) -> None:
     """The ten fields of a primitive, coordinates with nine decimals, in one ordered file."""
     number = lambda c: F.format_string("%.9f", F.col(c))
-    line = F.concat_ws(",", *[number(c) for c in ("px", "py", "pz", "nx", "ny", "nz")], F.col("gid").cast("string"), F.col("did").cast("string"), F.col("status").cast("string"), F.coalesce(number("gen_angle"), F.lit("-1")))
+    line = F.concat_ws(",", *[number(c) for c in ("px", "py", "pz", "nx", "ny", "nz")], F.col("gid").cast("string"), F.col("did").cast("string"), F.col("status").cast("string"), F.when(F.col("gen_angle").isNull(), F.lit("-1")).otherwise(number("gen_angle")))
     _texts(primitives.orderBy("gid", "lid" if "lid" in primitives.columns else "did").select(line.alias("value")), path, False)
 
 
