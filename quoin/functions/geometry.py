@@ -104,13 +104,14 @@ def rectangle_distance(p: Vec, c0: Vec, c1: Vec, c3: Vec) -> Column:
     return F.sqrt(du * du + dv * dv + dn * dn)
 
 
-def extents_distance(corners_a: list[Vec], corners_b: list[Vec]) -> Column:
-    """Distance of two finite primitives: the least corner-to-primitive distance, both ways (two corners: segments; four: rectangles)."""
+def extents_distance(a: Column, b: Column, corners: int = 4) -> Column:
+    """Distance of two finite primitives, arrays of corners (two: segments; four: rectangles): the least corner-to-primitive distance, both ways."""
 
-    def to(p: Vec, own: list[Vec]) -> Column:
-        return segment_distance(p, own[0], own[1]) if len(own) == 2 else rectangle_distance(p, own[0], own[1], own[3])
+    def to(points: Column, own: Column) -> Column:
+        c = [Vec.field(own[i]) for i in range(corners)]
+        return F.array_min(F.transform(points, lambda p: segment_distance(Vec.field(p), c[0], c[1]) if corners == 2 else rectangle_distance(Vec.field(p), c[0], c[1], c[3])))
 
-    return F.least(*[to(p, corners_b) for p in corners_a], *[to(p, corners_a) for p in corners_b])
+    return F.least(to(a, b), to(b, a))
 
 
 def growth_distance(d: Column, a: Column, scale: float, limit: float, weight: float = 1.0) -> Column:
@@ -128,6 +129,21 @@ def squared_linkage(distances: Column) -> Column:
     return F.aggregate(distances, F.lit(0.0), lambda s, d: s + d * d) / F.size(distances)
 
 
+def representative_linkage(distances: Column) -> Column:
+    """The least of an array of distances: that of the member nearest to the patch's representative."""
+    return F.array_min(distances)
+
+
+def centroid_distance(p: Vec, centroid: Vec) -> Column:
+    """Distance of a point from a patch's centroid."""
+    return p.minus(centroid).norm()
+
+
+def line_points(at: Vec, direction: Vec, width: Column) -> tuple[Vec, Vec, Vec]:
+    """Tangent, mid-point and end of a line primitive that starts at a point."""
+    return direction.unit(), at.plus(direction.times(width / 2)), at.plus(direction.times(width))
+
+
 def robust_weight(d: Column, scale: float, signed: bool = False) -> Column:
     """((d/scale)^2 - 1)^2 for d below scale, else 0. signed keeps the sign of d, so negative distances weigh without bound."""
     e = d if signed else F.abs(d)
@@ -253,6 +269,16 @@ def distance_colour(d: Column, most: float) -> Column:
     return F.when(d < most / 4, "blue").when(d < most / 2, "green").when(d < 3 * most / 4, "yellow").otherwise("red")
 
 
+def rgb(hue: Column, saturation: Column, value: Column) -> tuple[Column, Column, Column]:
+    """Red, green and blue (0 to 1) of a hue in degrees, saturation and value."""
+
+    def part(shift: float) -> Column:
+        k = F.pmod(F.lit(shift) + hue / 60, F.lit(6.0))
+        return value - value * saturation * F.greatest(F.lit(0.0), F.least(k, 4 - k, F.lit(1.0)))
+
+    return part(5.0), part(3.0), part(1.0)
+
+
 def shared_area(box: Column, a: Column, b: Column) -> Column:
     """Similarity 1 - (A - (a + b)) / A of two extents in the box of their union."""
     return F.when(box > 0, 1 - (box - (a + b)) / box).otherwise(F.lit(1.0))

@@ -21,18 +21,20 @@ def relation_scores(truth: DataFrame, estimate: DataFrame, matches: DataFrame) -
     return sizes.select(p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0)).alias("f"))
 
 
-def triangle_assignment(points: DataFrame, triangles: DataFrame, scale: float, most: int = 1, tolerance: float = 0.2) -> DataFrame:
-    """(pid, tid, distance) of points near a triangle; points near more than most triangles whose normals differ by over tolerance from the first one's (by tid) are left out."""
-    normal = g.triangle_normal(*[g.Vec.of(c + "x", c + "y", c + "z") for c in "abc"])
-    t = triangles.withColumns({"tnx": normal.x, "tny": normal.y, "tnz": normal.z})
-    d = g.triangle_distance(g.Vec.of("x", "y", "z"), *[g.Vec.of(c + "x", c + "y", c + "z") for c in "abc"])
-    near = points.select("pid", "x", "y", "z").crossJoin(jn.bounded(t)).withColumn("distance", d).where(F.col("distance") < scale)
+def unambiguous(near: DataFrame, most: int = 1, tolerance: float = 0.2) -> DataFrame:
+    """(pid, tid, distance): the nearest triangle of rows pid, tid, distance, tnx, tny, tnz; points near more than most triangles whose normals differ by over tolerance from the first one's (by tid) are left out."""
     first = near.groupBy("pid").agg(F.min_by(F.struct("tnx", "tny", "tnz"), "tid").alias("f"))
     turned = near.join(first, "pid").withColumn("a", g.folded(g.angle(g.Vec.of("tnx", "tny", "tnz"), g.Vec(F.col("f.tnx"), F.col("f.tny"), F.col("f.tnz")))))
     best = turned.groupBy("pid").agg(F.count("*").alias("n"), F.max("a").alias("worst"), F.min(F.struct("distance", "tid")).alias("b"))
     return best.where(~((F.col("n") > most) & (F.col("worst") > tolerance))).select("pid", "b.tid", "b.distance")
 
 
+def triangle_assignment(points: DataFrame, triangles: DataFrame, scale: float, most: int = 1, tolerance: float = 0.2) -> DataFrame:
+    """(pid, tid, distance) of points near a triangle, by unambiguous()."""
+    normal = g.triangle_normal(*[g.Vec.of(c + "x", c + "y", c + "z") for c in "abc"])
+    return unambiguous(jn.near_triangles(points, triangles.withColumns({"tnx": normal.x, "tny": normal.y, "tnz": normal.z}), scale), most, tolerance)
+
+
 def recall(projections: DataFrame, limit: float) -> DataFrame:
     """Share of points whose truth (tx, ty, tz) and estimate (ex, ey, ez) projections are within limit."""
     d = g.Vec.of("tx", "ty", "tz").minus(g.Vec.of("ex", "ey", "ez")).norm()

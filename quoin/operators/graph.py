@@ -111,27 +111,44 @@ def articulation_points(edges: list[tuple[int, int]]) -> set[int]:
     return out
 
 
-def biconnected(edges: list[tuple[int, int, float]]) -> list[list[tuple[int, int, float]]]:
-    """A bounded graph's edges in parts without articulation points; of these the one with the weakest edges is taken out with its edges until none is left."""
-    rest, removed = list(edges), []
-    while points := articulation_points([(a, b) for a, b, _ in rest]):
-        weakest = min(sorted(points), key=lambda p: sum(w for a, b, w in rest if p in (a, b)))
-        removed += [e for e in rest if weakest in e[:2]]
-        rest = [e for e in rest if weakest not in e[:2]]
-    name: dict[int, int] = {}
+def _parts(edges: list[tuple[int, int, float]], nodes: set[int]) -> dict[int, int]:
+    """The smallest node each of nodes, and each end of edges, reaches."""
+    name: dict[int, int] = {n: n for n in nodes}
 
     def find(x: int) -> int:
         while name.setdefault(x, x) != x:
             x = name[x]
         return x
 
-    for a, b, _ in rest:
+    for a, b, _ in edges:
         a, b = find(a), find(b)
         name[max(a, b)] = min(a, b)
-    parts: dict[int, list] = {}
+    return {n: find(n) for n in list(name)}
+
+
+def biconnected(edges: list[tuple[int, int, float]]) -> list[list[tuple[int, int, float]]]:
+    """A bounded graph's edges in parts without articulation points.
+
+    Of these points the one with the weakest edges is taken out and put back into that one of the
+    parts it joined to which its edges are strongest on average (the first on ties), until none is left.
+    """
+    rest = list(edges)
+    while points := articulation_points([(a, b) for a, b, _ in rest]):
+        weakest = min(sorted(points), key=lambda p: sum(w for a, b, w in rest if p in (a, b)))
+        own = [e for e in rest if weakest in e[:2]]
+        rest = [e for e in rest if weakest not in e[:2]]
+        far = {e: e[0] if e[1] == weakest else e[1] for e in own}
+        part = _parts(rest, set(far.values()))
+        strength: dict[int, list[float]] = {}
+        for e in own:
+            strength.setdefault(part[far[e]], []).append(e[2])
+        best = max(sorted(strength), key=lambda p: sum(strength[p]) / len(strength[p]))
+        rest += [e for e in own if part[far[e]] == best]
+    part = _parts(rest, set())
+    out: dict[int, list] = {}
     for e in rest:
-        parts.setdefault(find(e[0]), []).append(e)
-    return [parts[k] for k in sorted(parts)]
+        out.setdefault(part[e[0]], []).append(e)
+    return [out[k] for k in sorted(out)]
 
 
 def loop_free(edges: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:

@@ -14,8 +14,10 @@ MOST_PRIMITIVES = 10_000
 
 
 def bounded(primitives: DataFrame, most: int = MOST_PRIMITIVES) -> DataFrame:
-    """primitives, for broadcast if there are few enough; left to the optimizer beyond."""
-    return F.broadcast(primitives) if primitives.limit(most + 1).count() <= most else primitives
+    """primitives, for a broadcast to joins of all pairs; an error if there are more than most, as such joins are for the selection problem alone."""
+    if primitives.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} primitives for a join of all pairs; limit or bin them first")
+    return F.broadcast(primitives)
 
 
 def pair_angles(primitives: DataFrame, angles: list[float], limit: float | None = None, ordered: bool = False) -> DataFrame:
@@ -46,13 +48,68 @@ def spatial_costs(proximity: DataFrame, candidates: DataFrame, coefficient: floa
     return both.join(a, "gid_a").join(b, "gid_b").where("did_a <> did_b").select("v0", "v1", F.lit(coefficient / 2).alias("q"))
 
 
+GRID = 16
+
+
+def _near_planes(points: DataFrame, planes: DataFrame, scale: float, keep: tuple[str, ...] = ()) -> DataFrame:
+    """points (with x, y, z) beside gid and distance of each plane nearer than scale.
+
+    Planes are laid on a grid of 16 cells a side over the points' box: for each column of cells along
+    a plane's steepest axis the few cells the plane, grown by scale, passes through. Points meet them
+    by cell, so neither side is repeated for all of the other.
+    """
+    spark = points.sparkSession
+    box = points.agg(*[f(c).alias(n + c) for c in "xyz" for n, f in (("l", F.min), ("h", F.max))]).first()
+    low = [box["l" + c] or 0.0 for c in "xyz"]
+    side = [max(((box["h" + c] or 0.0) - (box["l" + c] or 0.0)) / GRID * (1 + 1e-9), 1e-9) for c in "xyz"]
+    cell = lambda k: F.least(F.lit(GRID - 1), F.greatest(F.lit(0), F.floor((F.col("xyz"[k]) - low[k]) / side[k]))).cast("int")
+    given = points.withColumns({f"_c{k}": cell(k) for k in range(3)})
+    n, at = ("nx", "ny", "nz"), ("px", "py", "pz")
+    own = planes.select("gid", *at, *n, *keep)
+    every = F.explode(F.sequence(F.lit(0), F.lit(GRID - 1)))
+    steep = F.when((F.abs("nx") >= F.abs("ny")) & (F.abs("nx") >= F.abs("nz")), 0).when(F.abs("ny") >= F.abs("nz"), 1).otherwise(2)
+    laid = None
+    for k in range(3):
+        i, j = (m for m in range(3) if m != k)
+        # over a column's cell the plane's coordinate k is within reach of its value at the cell's middle
+        middle = {m: low[m] + (F.col(f"_c{m}") + 0.5) * side[m] for m in (i, j)}
+        centre = F.col(at[k]) - sum((F.col(n[m]) * (middle[m] - F.col(at[m])) for m in (i, j)), F.lit(0.0)) / F.col(n[k])
+        reach = (sum((F.abs(F.col(n[m])) * side[m] / 2 for m in (i, j)), F.lit(0.0)) + scale * 1.0001) / F.abs(F.col(n[k])) + 1e-9
+        first = F.greatest(F.lit(0.0), F.floor((centre - reach - low[k]) / side[k]))
+        last = F.least(F.lit(GRID - 1.0), F.floor((centre + reach - low[k]) / side[k]))
+        rows = own.where(steep == k).withColumn(f"_c{i}", every).withColumn(f"_c{j}", every).withColumns({"_first": first, "_last": last}).where("_first <= _last")
+        rows = rows.withColumn(f"_c{k}", F.explode(F.sequence(F.col("_first").cast("int"), F.col("_last").cast("int")))).select("gid", *at, *n, *keep, "_c0", "_c1", "_c2")
+        laid = rows if laid is None else laid.unionByName(rows)
+    d = g.plane_distance(g.Vec.of("x", "y", "z"), g.Vec.of(*at), g.Vec.of(*n))
+    return given.join(laid, ["_c0", "_c1", "_c2"]).drop("_c0", "_c1", "_c2").withColumn("distance", d).where(F.col("distance") < scale)
+
+
+def _near_boxes(points: DataFrame, shapes: DataFrame, corners: list[g.Vec], scale: float) -> DataFrame:
+    """points (with x, y, z) beside the shapes whose box, grown by scale, holds them.
+
+    A shape lies in at most eight cells of a grid as coarse as its box (a power of two); points look
+    at the grids that occur, of which some tens can exist. Both meet by grid and cell.
+    """
+    grown = shapes.withColumns({f"_l{c}": F.least(*[getattr(p, c) for p in corners]) - scale * 1.0001 for c in "xyz"} | {f"_h{c}": F.greatest(*[getattr(p, c) for p in corners]) + scale * 1.0001 for c in "xyz"})
+    size = F.greatest(*[F.col(f"_h{c}") - F.col(f"_l{c}") for c in "xyz"], F.lit(1e-9))
+    grown = cut(grown.withColumn("_level", F.ceil(F.log2(size)).cast("int")))
+    levels = sorted(r["_level"] for r in grown.select("_level").distinct().collect())
+    if not levels:
+        return points.crossJoin(grown.limit(0)).drop("_level", *[f"_{n}{c}" for n in "lh" for c in "xyz"])
+    at = lambda c, level: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col(level))).cast("long")
+    for c in "xyz":
+        grown = grown.withColumn(f"_c{c}", F.explode(F.sequence(at(f"_l{c}", "_level"), at(f"_h{c}", "_level"))))
+    asked = points.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels]))).withColumns({f"_c{c}": at(c, "_level") for c in "xyz"})
+    both = asked.join(grown, ["_level", "_cx", "_cy", "_cz"])
+    inside = [F.col(c).between(F.col(f"_l{c}"), F.col(f"_h{c}")) for c in "xyz"]
+    return both.where(inside[0] & inside[1] & inside[2]).drop("_level", *[f"_{n}{c}" for n in "lhc" for c in "xyz"])
+
+
 def adopt_once(points: DataFrame, planes: DataFrame, scale: float) -> DataFrame:
     """(pid, gid, distance): orphans given to the nearest plane if it is closer than scale; ties to the smaller gid."""
-    orphans = points.where("gid is null").drop("gid")
-    d = g.plane_distance(g.Vec.of("x", "y", "z"), g.Vec.of("px", "py", "pz"), g.Vec.of("nx", "ny", "nz"))
-    pairs = orphans.select("pid", "x", "y", "z").crossJoin(bounded(planes.select("gid", "px", "py", "pz", "nx", "ny", "nz")))
-    best = pairs.withColumn("distance", d).groupBy("pid").agg(F.min(F.struct("distance", "gid")).alias("best"))
-    return best.where(F.col("best.distance") < scale).select("pid", "best.gid", "best.distance")
+    orphans = points.where("gid is null").select("pid", "x", "y", "z")
+    best = _near_planes(orphans, planes, scale).groupBy("pid").agg(F.min(F.struct("distance", "gid")).alias("best"))
+    return best.select("pid", "best.gid", "best.distance")
 
 
 def frames(extents: DataFrame) -> DataFrame:
@@ -77,14 +134,21 @@ def _frame_distance(rows: DataFrame) -> DataFrame:
 def adopt_finite(points: DataFrame, extents: DataFrame, scale: float) -> DataFrame:
     """adopt_once() by distance to finite rectangles (gid and corners)."""
     orphans = points.where("gid is null").select("pid", "x", "y", "z")
-    best = _frame_distance(orphans.crossJoin(bounded(cut(frames(extents).drop("corners"))))).groupBy("pid").agg(F.min(F.struct("distance", "gid")).alias("best"))
+    own = cut(frames(extents))
+    best = _frame_distance(_near_boxes(orphans, own, [g.Vec.field(F.col("corners")[i]) for i in range(4)], scale)).groupBy("pid").agg(F.min(F.struct("distance", "gid")).alias("best"))
     return best.where(F.col("best.distance") < scale).select("pid", "best.gid", "best.distance")
 
 
+def near_triangles(points: DataFrame, triangles: DataFrame, scale: float) -> DataFrame:
+    """pid, x, y, z beside the triangles closer than scale and their distance."""
+    sides = [g.Vec.of(c + "x", c + "y", c + "z") for c in "abc"]
+    near = _near_boxes(points.select("pid", "x", "y", "z"), triangles, sides, scale)
+    return near.withColumn("distance", g.triangle_distance(g.Vec.of("x", "y", "z"), *sides)).where(F.col("distance") < scale)
+
+
 def nearest_triangle(points: DataFrame, triangles: DataFrame, scale: float) -> DataFrame:
     """(pid, tid, distance): each point's nearest triangle closer than scale; ties to the smaller tid."""
-    d = g.triangle_distance(g.Vec.of("x", "y", "z"), *[g.Vec.of(c + "x", c + "y", c + "z") for c in "abc"])
-    best = points.select("pid", "x", "y", "z").crossJoin(bounded(triangles)).withColumn("distance", d).where(F.col("distance") < scale).groupBy("pid").agg(F.min(F.struct("distance", "tid")).alias("best"))
+    best = near_triangles(points, triangles, scale).groupBy("pid").agg(F.min(F.struct("distance", "tid")).alias("best"))
     return best.select("pid", "best.tid", "best.distance")
 
 
@@ -99,12 +163,18 @@ def mergeable_lines(extents: DataFrame, scale: float) -> DataFrame:
 
 
 def mergeable_planes(extents: DataFrame, scale: float) -> DataFrame:
-    """(gid_a < gid_b): rectangles of which a corner of each lies within scale of the other."""
-    own = cut(frames(extents).withColumnRenamed("gid", "of"))
-    corners = own.select(F.col("of").alias("from"), F.explode("corners").alias("c")).select("from", "c.x", "c.y", "c.z")
-    near = _frame_distance(corners.join(bounded(own.drop("corners")), F.col("from") != F.col("of"))).where(F.col("distance") < scale).select("from", "of").distinct()
-    near = cut(near)
-    return near.where("from < of").toDF("gid_a", "gid_b").join(near.where("from > of").toDF("gid_b", "gid_a"), ["gid_a", "gid_b"])
+    """(gid_a < gid_b): rectangles of which the smaller has all corners within scale of the larger one's plane and one inside the larger one grown by scale.
+
+    Of equal areas (to a billionth) either may be the larger.
+    """
+    own = cut(frames(extents).withColumnRenamed("gid", "of").withColumn("_area", F.col("_lu") * F.col("_lv")))
+    corners = own.select(F.col("of").alias("from"), F.col("_area").alias("_small"), F.explode("corners").alias("c")).select("from", "_small", "c.x", "c.y", "c.z")
+    box = [g.Vec.field(F.col("corners")[i]) for i in range(4)]
+    # a corner inside the grown rectangle and near its plane lies in its box grown by at most twice scale
+    near = _frame_distance(_near_boxes(corners, own, box, 2 * scale).where((F.col("from") != F.col("of")) & (F.col("_area") >= F.col("_small") * (1 - 1e-9))))
+    touching = cut(near.where((F.col("_du") <= scale) & (F.col("_dv") <= scale) & (F.abs("_tn") <= scale)).select("from", "of").distinct())
+    height = _frame_distance(touching.join(corners.drop("_small"), "from").join(own.drop("corners"), "of")).groupBy("from", "of").agg(F.max(F.abs("_tn")).alias("height"))
+    return height.where(F.col("height") <= scale).select(F.least("from", "of").alias("gid_a"), F.greatest("from", "of").alias("gid_b")).distinct()
 
 
 def substituted(primitives: DataFrame, directions: DataFrame, angles: list[float]) -> DataFrame:
@@ -127,14 +197,19 @@ def correspondence_costs(a: DataFrame, b: DataFrame) -> DataFrame:
     return one.crossJoin(bounded(two)).select("gid_a", "gid_b", (place + way).alias("cost"))
 
 
-def greedy_matches(costs: DataFrame) -> list[tuple[int, int, float]]:
-    """One-to-one pairs by ascending cost, ties by ids; costs is a bounded table."""
-    used_a, used_b, out = set(), set(), []
-    for r in costs.orderBy("cost", "gid_a", "gid_b").collect():
-        if r["gid_a"] not in used_a and r["gid_b"] not in used_b:
-            used_a.add(r["gid_a"]), used_b.add(r["gid_b"])
-            out.append((r["gid_a"], r["gid_b"], r["cost"]))
-    return out
+def matches(costs: DataFrame) -> DataFrame:
+    """(gid_a, gid_b, cost): one-to-one pairs by ascending cost, ties by ids, as a greedy choice takes them.
+
+    Pairs that are the cheapest of both their ends are taken and their ends removed, until none is
+    left: the greedy choice takes the same ones, and no table of pairs comes to the driver.
+    """
+    rest, out = cut(costs.select("gid_a", "gid_b", "cost")), None
+    while not rest.isEmpty():
+        first = lambda key: rest.groupBy(key).agg(F.min(F.struct("cost", "gid_a", "gid_b")).alias("m")).select("m.*")  # noqa: B023, E731
+        both = cut(first("gid_a").join(first("gid_b"), ["cost", "gid_a", "gid_b"]).select("gid_a", "gid_b", "cost"))
+        out = both if out is None else out.unionByName(both)
+        rest = cut(rest.join(both.select("gid_a"), "gid_a", "left_anti").join(both.select("gid_b"), "gid_b", "left_anti"))
+    return rest if out is None else out
 
 
 def reprojected(points: DataFrame, planes: DataFrame) -> DataFrame:
@@ -146,15 +221,12 @@ def reprojected(points: DataFrame, planes: DataFrame) -> DataFrame:
 
 def covered_points(points: DataFrame, planes: DataFrame, scale: float) -> DataFrame:
     """(pid, gids): the planes within scale of each point, ascending; points without any are left out."""
-    d = g.plane_distance(g.Vec.of("x", "y", "z"), g.Vec.of("px", "py", "pz"), g.Vec.of("nx", "ny", "nz"))
-    pairs = points.select("pid", "x", "y", "z").crossJoin(bounded(planes.select("gid", "px", "py", "pz", "nx", "ny", "nz"))).where(d < scale)
-    return pairs.groupBy("pid").agg(F.array_sort(F.collect_list("gid")).alias("gids"))
+    return _near_planes(points.select("pid", "x", "y", "z"), planes, scale).groupBy("pid").agg(F.array_sort(F.collect_list("gid")).alias("gids"))
 
 
 def legacy_energy(points: DataFrame, planes: DataFrame, scale: float, angles: list[float]) -> DataFrame:
     """One row: data (sum of distance / scale below scale over all pairs), pairwise (over unordered pairs) and complexity."""
-    d = g.plane_distance(g.Vec.of("x", "y", "z"), g.Vec.of("px", "py", "pz"), g.Vec.of("nx", "ny", "nz"))
-    data = points.select("x", "y", "z").crossJoin(bounded(planes.select("px", "py", "pz", "nx", "ny", "nz"))).agg(F.sum(F.when(d < scale, d / scale).otherwise(0.0)).alias("data"))
+    data = _near_planes(points.select("x", "y", "z"), planes, scale).agg(F.coalesce(F.sum(F.col("distance") / scale), F.lit(0.0)).alias("data"))
     pairwise = pair_angles(planes, angles).agg(F.sum(F.sqrt("diff")).alias("pairwise"))
     return data.crossJoin(pairwise).crossJoin(planes.agg(F.count("*").alias("complexity")))
 
