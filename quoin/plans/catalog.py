@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quoin.functions import angles as an
 from quoin.functions import geometry as g
+from quoin.lineage import cut
 from quoin.operators import aggregates as ag
 from quoin.operators import evaluate as ev
 from quoin.operators import filters as fl
@@ -231,9 +232,11 @@ def unassigned_prims_removed(spark, d):
     return fl.with_points(t.read(spark, d, "customer").select(F.col("c_custkey").alias("gid")), t.assignments_orders(spark, d))
 
 
-@query("unassigned_prims", f"WITH {v.ASSOC} SELECT c_custkey AS gid FROM customer WHERE c_custkey NOT IN (SELECT gid FROM assoc_ord WHERE gid IS NOT NULL)")
+@query("unassigned_prims", f"WITH {v.ASSOC} SELECT c_custkey AS gid FROM customer WHERE c_custkey NOT IN (SELECT gid FROM assoc_ord WHERE gid IS NOT NULL AND pid % 16 = 1)")
 def unassigned_prims(spark, d):
-    return fl.without_points(t.read(spark, d, "customer").select(F.col("c_custkey").alias("gid")), t.assignments_orders(spark, d))
+    """Customers without an order of the numbers that leave 1 by 16: the points of other orders are taken as unassigned."""
+    points = t.assignments_orders(spark, d).withColumn("gid", F.when(F.col("pid") % 16 == 1, F.col("gid")))
+    return fl.without_points(t.read(spark, d, "customer").select(F.col("c_custkey").alias("gid")), points)
 
 
 @query("orphans", f"WITH {v.ASSOC} SELECT pid, gid FROM assoc_ord WHERE gid IS NULL OR gid IN (SELECT gid FROM assoc_ord GROUP BY gid HAVING count(*) < 8)")
@@ -397,11 +400,11 @@ def line_extent(spark, d):
     return rounded(ag.line_extent(p.select("gid", "x", "y", "z"), ag.line_fit(p), 0.15), *[f"{k}{i}" for i in (0, 1) for k in "xyz"], places=5)
 
 
-@query("adopt_once", f"WITH {v.PLANES_EMB}, k AS (SELECT q.pid, p.gid, abs((q.x-p.px)*p.nx+(q.y-p.py)*p.ny+(q.z-p.pz)*p.nz) AS s FROM pts_emb q CROSS JOIN planes p), m AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY s, gid) AS k FROM k) SELECT pid, {r('s')} AS distance FROM m WHERE k = 1 AND s < 0.01e0")
+@query("adopt_once", f"WITH {v.PLANES_EMB}, k AS (SELECT q.pid, p.gid, abs((q.x-p.px)*p.nx+(q.y-p.py)*p.ny+(q.z-p.pz)*p.nz) AS s FROM pts_emb q CROSS JOIN planes p), m AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY s, gid) AS k FROM k) SELECT pid, gid, {r('s')} AS distance FROM m WHERE k = 1 AND s < 0.01e0")
 def adopt_once(spark, d):
     p = t.points_embeddings(spark, d)
     free = p.withColumn("gid", F.lit(None).cast("long"))
-    return rounded(jn.adopt_once(free, planes_emb(spark, d), 0.01).select("pid", "distance"), "distance")
+    return rounded(jn.adopt_once(free, planes_emb(spark, d), 0.01).select("pid", "gid", "distance"), "distance")
 
 
 @query("point_cover", f"WITH {v.PLANES_EMB} SELECT q.pid, string_agg(CAST(p.gid AS VARCHAR), ' ' ORDER BY p.gid) AS gids FROM pts_emb q CROSS JOIN planes p WHERE abs((q.x-p.px)*p.nx+(q.y-p.py)*p.ny+(q.z-p.pz)*p.nz) < 0.02e0 GROUP BY q.pid")
@@ -526,17 +529,24 @@ def select_exact_small(spark, d):
     return rounded(pb.subset_optimum(*selection(spark, d), list(range(6))), "energy")
 
 
-_TRI = f"""WITH {v.PTS_EMB}, c AS (SELECT *, least(1e0, greatest(0e0, x/0.3e0)) AS ta, least(1e0, greatest(0e0, y/0.3e0)) AS tb, least(1e0, greatest(0e0, (0.3e0*y - 0.3e0*(x-0.3e0))/0.18e0)) AS tc FROM pts_emb),
-k AS (SELECT pid, CASE WHEN x >= 0 AND y >= 0 AND x + y <= 0.3e0 THEN abs(z) ELSE least(sqrt(pow(x-0.3e0*ta,2)+y*y+z*z), sqrt(x*x+pow(y-0.3e0*tb,2)+z*z), sqrt(pow(x-0.3e0+0.3e0*tc,2)+pow(y-0.3e0*tc,2)+z*z)) END AS s FROM c)
-SELECT pid, {r('s')} AS distance FROM k WHERE s < 0.05e0"""
+# a triangle for every tenth embedding: its place and two corners 0.3 away along x and y
+_TRIS = f"""{v.PTS_EMB}, ts AS (SELECT pid AS tid, x AS ax, y AS ay, z AS az FROM pts_emb WHERE pid % 10 = 0),
+c AS (SELECT p.pid, t.tid, p.x-t.ax AS x, p.y-t.ay AS y, p.z-t.az AS z FROM pts_emb p CROSS JOIN ts t),
+e AS (SELECT *, least(1e0, greatest(0e0, x/0.3e0)) AS ta, least(1e0, greatest(0e0, y/0.3e0)) AS tb, least(1e0, greatest(0e0, (0.3e0*y - 0.3e0*(x-0.3e0))/0.18e0)) AS tc FROM c),
+k AS (SELECT pid, tid, CASE WHEN x >= 0 AND y >= 0 AND x + y <= 0.3e0 THEN abs(z) ELSE least(sqrt(pow(x-0.3e0*ta,2)+y*y+z*z), sqrt(x*x+pow(y-0.3e0*tb,2)+z*z), sqrt(pow(x-0.3e0+0.3e0*tc,2)+pow(y-0.3e0*tc,2)+z*z)) END AS s FROM e),
+m AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY s, tid) AS k FROM k WHERE s < 0.05e0)"""
 
 
-@query("nearest_triangle", _TRI)
-def nearest_triangle(spark, d):
-    from quoin.sources.schema import TRIANGLES
+def triangles(spark, d) -> DataFrame:
+    p = t.points_embeddings(spark, d).where("pid % 10 = 0")
+    move = lambda c, by: (F.col(c) + by).alias
+    return p.select(F.col("pid").alias("tid"), *[F.col(c).alias("a" + c) for c in "xyz"], move("x", 0.3)("bx"), move("y", 0.0)("by"), move("z", 0.0)("bz"), move("x", 0.0)("cx"), move("y", 0.3)("cy"), move("z", 0.0)("cz"))
+
 
-    tri = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 0.3, 0.0, 0.0, 0.0, 0.3, 0.0)], TRIANGLES)
-    return rounded(jn.nearest_triangle(t.points_embeddings(spark, d), tri, SCALE).select("pid", "distance"), "distance")
+@query("nearest_triangle", f"WITH {_TRIS} SELECT pid, tid, {r('s')} AS distance FROM m WHERE k = 1")
+def nearest_triangle(spark, d):
+    """The nearest of a tenth as many triangles as there are points."""
+    return rounded(jn.nearest_triangle(t.points_embeddings(spark, d), triangles(spark, d), SCALE).select("pid", "tid", "distance"), "distance")
 
 
 @query("relation_f_measure", f"WITH {_PRIMS}, tr AS (SELECT a.gid AS u, b.gid AS v FROM prims a JOIN prims b ON a.did = b.did AND a.gid < b.gid), es AS (SELECT a.gid AS u, b.gid AS v FROM prims a JOIN prims b ON a.gid < b.gid AND (a.did = b.did AND abs(a.n - b.n) < 30 OR abs(a.n - b.n) < 2)), c AS (SELECT (SELECT count(*) FROM (SELECT * FROM es INTERSECT SELECT * FROM tr)) AS h, (SELECT count(*) FROM es) AS ne, (SELECT count(*) FROM tr) AS nt), p AS (SELECT CASE WHEN ne > 0 THEN h*1e0/ne ELSE 0e0 END AS precision, CASE WHEN nt > 0 THEN h*1e0/nt ELSE 0e0 END AS recall FROM c) SELECT {r('precision')} AS precision, {r('recall')} AS recall, {r('CASE WHEN precision + recall > 0 THEN 2*precision*recall/(precision+recall) ELSE 0e0 END')} AS f FROM p")
@@ -559,7 +569,9 @@ def fit_patches(spark, d):
 
 @query("plane_extents")
 def plane_extents(spark, d):
-    return fit.plane_extents(t.points_embeddings(spark, d), planes_emb(spark, d), 0.2).select("gid", F.size("corners").alias("corners"))
+    """Corners of each label's smallest rectangle; their areas and coverage are held against numpy in tests."""
+    out = fit.plane_extents(t.points_embeddings(spark, d), planes_emb(spark, d), 0.2)
+    return out.select("gid", F.posexplode("corners").alias("corner", "c")).select("gid", "corner", "c.x", "c.y", "c.z")
 
 
 @query("ransac")
@@ -629,12 +641,13 @@ def angle_difference_errors(spark, d):
     return rounded(ev.angle_difference_errors(p, p.withColumn("nz", F.lit(0.0))), "error", places=4)
 
 
-@query("triangle_assignment")
+@query("triangle_assignment", f"WITH {_TRIS}, w AS (SELECT pid, count(*) AS n, count(DISTINCT tid % 20) AS kinds FROM m GROUP BY pid) SELECT m.pid, m.tid, {r('s')} AS distance FROM m JOIN w ON w.pid = m.pid WHERE k = 1 AND NOT (n > 1 AND kinds > 1)")
 def triangle_assignment(spark, d):
-    from quoin.sources.schema import TRIANGLES
-
-    tri = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 0.3, 0.0, 0.0, 0.0, 0.3, 0.0), (1, 0.0, 0.0, 0.0, 0.3, 0.0, 0.0, 0.0, 0.0, 0.3)], TRIANGLES)
-    return ev.triangle_assignment(t.points_embeddings(spark, d), tri, SCALE)
+    """Points near triangles of one orientation; every other triangle is turned over and stands upright in another table of normals."""
+    tri = triangles(spark, d)
+    near = cut(jn.near_triangles(t.points_embeddings(spark, d), tri, SCALE))
+    turned = near.withColumns({"tnx": F.when(F.col("tid") % 20 == 0, 1.0).otherwise(0.0), "tny": F.lit(0.0), "tnz": F.when(F.col("tid") % 20 == 0, 0.0).otherwise(1.0)})
+    return rounded(ev.unambiguous(turned, 1, 0.2), "distance")
 
 
 @query("sphere_map", f"WITH {v.PTS_EMB} SELECT CAST(least(35, floor((atan2(ny, nx) + {v.PI})/(2e0*{v.PI})*36)) AS BIGINT) AS u, CAST(least(17, floor(acos(greatest(-1e0, least(1e0, nz)))/{v.PI}*18)) AS BIGINT) AS v, count(*) AS n FROM pts_emb GROUP BY 1, 2")

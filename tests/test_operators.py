@@ -194,7 +194,7 @@ def test_scores(spark):
     r = evaluate.relation_scores(truth, found, match).first()
     assert (r.precision, r.recall, r.f) == (0.5, 0.5, 0.5)
     costs = spark.createDataFrame([(0, 0, 1.0), (0, 1, 0.5), (1, 1, 0.4), (1, 0, 3.0)], "gid_a long, gid_b long, cost double")
-    assert joins.greedy_matches(costs) == [(1, 1, 0.4), (0, 0, 1.0)]
+    assert sorted(tuple(r) for r in joins.matches(costs).collect()) == [(0, 0, 1.0), (1, 1, 0.4)]
 
 
 def test_baselines(spark):
@@ -273,3 +273,64 @@ def test_second_level(spark):
     solved = spark.createDataFrame([(5, 0.0, 0.0, 1.0)], "did long, nx double, ny double, nz double")
     back = {r.gid: (r.nx, r.ny, r.nz) for r in represent.represent_back(prims, solved, an.angle_set([90.0])).collect()}
     assert np.allclose(np.abs(back[0]), [1, 0, 0], atol=1e-9) and back[2] == (0.0, 1.0, 0.0)
+
+
+def test_articulation_point_stays_with_its_strongest_part():
+    bow_tie = [(0, 1, 1.0), (1, 2, 1.0), (0, 2, 1.0), (2, 3, 0.1), (3, 4, 1.0), (2, 4, 0.1)]
+    parts = graph.biconnected(bow_tie)
+    assert sorted(map(sorted, parts)) == [[(0, 1, 1.0), (0, 2, 1.0), (1, 2, 1.0)], [(3, 4, 1.0)]]
+
+
+def rectangle(x, y, z, u, v):
+    c = np.array([[0, 0, 0], u, np.add(u, v), v], float) + [x, y, z]
+    return [dict(zip("xyz", map(float, p), strict=True)) for p in c]
+
+
+def test_tilted_plane_does_not_merge(spark):
+    large = rectangle(0, 0, 0, [1, 0, 0], [0, 1, 0])
+    tilted = rectangle(0.95, 0.2, 0.02, [0.99 * 0.9, 0, 0.1], [0, 0.5, 0])
+    beside = rectangle(1.02, 0.2, 0.02, [0.9, 0, 0], [0, 0.5, 0])
+    far = rectangle(1.2, 0.2, 0.0, [0.5, 0, 0], [0, 0.5, 0])
+    frame = spark.createDataFrame([(1, large), (2, tilted), (3, beside), (4, far)], "gid long, corners array<struct<x:double,y:double,z:double>>")
+    assert {(r.gid_a, r.gid_b) for r in joins.mergeable_planes(frame, 0.05).collect()} == {(1, 3), (3, 4)}
+
+
+def test_planes_on_a_grid_equal_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    at, ways = rng.normal(size=(400, 3)), rng.normal(size=(60, 3))
+    ways[:3] = np.eye(3)
+    ways /= np.linalg.norm(ways, axis=1)[:, None]
+    places = rng.normal(size=(60, 3)) * 1.5
+    points = spark.createDataFrame([(i, *map(float, p), None) for i, p in enumerate(at)], "pid long, x double, y double, z double, gid long")
+    planes = spark.createDataFrame([(i, *map(float, p), *map(float, n)) for i, (p, n) in enumerate(zip(places, ways, strict=True))], "gid long, px double, py double, pz double, nx double, ny double, nz double")
+    d = np.abs(np.einsum("ijk,jk->ij", at[:, None] - places[None], ways))
+    for scale in (0.001, 0.05, 3.0):
+        got = {r.pid: r.gids for r in joins.covered_points(points, planes, scale).collect()}
+        assert got == {i: np.nonzero(d[i] < scale)[0].tolist() for i in range(400) if (d[i] < scale).any()}
+    assert joins.covered_points(points.limit(0), planes, 0.1).count() == 0 and joins.covered_points(points, planes.limit(0), 0.1).count() == 0
+    plan = joins.adopt_once(points, planes, 0.05)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_numbered(spark):
+    from quoin.operators import windows
+
+    rows = spark.range(5000).select(F.pmod(F.xxhash64("id"), F.lit(300)).alias("k"), "id").repartition(7)
+    got = sorted((r.k, r.id, r.n) for r in windows.numbered(rows, "k", "id").collect())
+    assert [n for _, _, n in got] == list(range(5000)) and windows.numbered(rows.limit(0), "k").count() == 0
+
+
+def test_binary_points(spark, tmp_path):
+    import struct
+
+    rows = [(0.5, 1.0, 2.0, 0.0, 3.0, 4.0), (1.5, -1.0, 0.0, 0.0, 0.0, 2.0)]
+    body = b"# .PCD v0.7\nVERSION 0.7\nFIELDS x y z normal_x normal_y normal_z\nSIZE 4 4 4 4 4 4\nTYPE F F F F F F\nCOUNT 1 1 1 1 1 1\nWIDTH 2\nHEIGHT 1\nPOINTS 2\nDATA binary\n" + b"".join(struct.pack("<6f", *r) for r in rows)
+    (tmp_path / "cloud.pcd").write_bytes(body)
+    got = sorted(tuple(r) for r in files.read_binary_points(spark, str(tmp_path / "cloud.pcd")).collect())
+    assert got[0][:4] == (0, 0.5, 1.0, 2.0) and np.allclose(got[0][4:7], [0, 0.6, 0.8]) and np.allclose(got[1][4:7], [0, 0, 1])
+
+
+def test_hubs(spark):
+    edges = spark.createDataFrame([(0, i) for i in range(1, 900)] + [(i, 10_000 + i) for i in range(1, 50)] + [(20_000, 20_001), (5, None), (7, 7)], "src long, dst long")
+    got = {r.node: r.component for r in graph.components(edges).collect()}
+    assert len(got) == 900 + 49 + 2 and {c for n, c in got.items() if n < 20_000} == {0} and got[20_001] == 20_000
