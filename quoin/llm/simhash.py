@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quoin.lineage import cut
 from quoin.operators.graph import components
@@ -190,9 +191,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-WIDE_RADIUS = 32
-HALF_RADIUS = 22
-BLOCK = 128
+WIDE_RADIUS = 20
+HALF_RADIUS = 16
+BLOCK = 512
 BLOCK_SHINGLES = 500_000
 
 
@@ -233,101 +234,132 @@ def _similar(least: float):
         _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
         shared = times[column] > 1
         owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
-        both = np.zeros((len(frame), len(frame)), np.float32)
+        # rows of the first block against those of the second (all, where the tile is one block with itself)
+        p, q = frame.p.iloc[0], frame.q.iloc[0]
+        one, two = np.nonzero(block == p)[0], np.nonzero(block == q)[0]
+        place = np.full((2, len(frame)), -1)
+        place[0, one], place[1, two] = np.arange(len(one)), np.arange(len(two))
+        both = np.zeros((len(one), len(two)), np.float32)
         order = np.argsort(column, kind="stable")
         owner, column = owner[order], column[order]
         width = int(column[-1]) + 1 if len(column) else 0
         for at in range(0, width, 4096):
             lo, hi = np.searchsorted(column, [at, at + 4096])
-            part = np.zeros((len(frame), min(4096, width - at)), np.float32)
-            part[owner[lo:hi], column[lo:hi] - at] = 1
-            both += part @ part.T
-        union = sizes[:, None] + sizes[None, :] - both
-        linked = (both >= least * union) & (np.minimum(block[:, None], block[None, :]) == frame.p.iloc[0]) & (np.maximum(block[:, None], block[None, :]) == frame.q.iloc[0])
-        a, b = np.nonzero(np.triu(linked, 1))
+            parts = []
+            for k, n in ((0, len(one)), (1, len(two))):
+                mine = place[k, owner[lo:hi]] >= 0
+                part = np.zeros((n, min(4096, width - at)), np.float32)
+                part[place[k, owner[lo:hi][mine]], column[lo:hi][mine] - at] = 1
+                parts.append(part)
+            both += parts[0] @ parts[1].T
+        linked = both >= least * (sizes[one][:, None] + sizes[two][None, :] - both)
+        a, b = np.nonzero(linked)
+        a, b = one[a], two[b]
+        a, b = a[a != b], b[a != b]
         a, b = _forest(nodes[a], nodes[b]) if len(a) else (nodes[:0], nodes[:0])
         return pd.DataFrame({"a": a, "b": b})
 
     return run
 
 
-SAMPLE = 20_000
-COMMON = 100_000
+SHARE = 8
+STEPS = (2, 16, 128, 1024)
 MOST_BITS = 27
+SENT = 200_000
+LIST = 4096
+UNSKETCHED = 30_000
 _SHORT = (1 << 40) - 1
 
 
-def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes that occur in many texts of a sample, ascending, and in how many. They only order shingles, so a sample does."""
-    share = min(1.0, SAMPLE / max(1, texts.count()))
-    some = texts.where(F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(1_000_000)) < share * 1_000_000).dropDuplicates(["node"])
+def _common(texts: DataFrame, words: int) -> list[np.ndarray]:
+    """Bit tables of the shingles that occur in over 2, 16, 128 and 1,024 of an eighth of the texts.
+
+    They only order shingles, so a share of the texts does, and so does a table that false bits fill;
+    the share is one of all texts, so lists of texts that share a rare shingle don't grow with the input.
+    """
+    some = texts.where(F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(SHARE)) == 0).dropDuplicates(["node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(x.as_py(), words).view(np.int64))], ["token"])
 
-    counted = some.select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 3")
-    rows = counted.orderBy(F.desc("n"), "token").limit(COMMON).collect()
-    hashes, n = np.array([r["token"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
-    order = np.argsort(hashes)
-    return hashes[order], n[order]
+    counted = cut(some.select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > STEPS[0]))
+    return [_bit_table(counted.where(F.col("n") > step).select("token")) for step in STEPS]
+
 
+def _set(bits: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Whether each token's bit is set."""
+    at = tokens.view(np.int64) & (len(bits) * 64 - 1)
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
-def _rarest(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+
+def _rarest(hashes: np.ndarray, common: list[np.ndarray], least: float) -> np.ndarray:
     """The first of the hashes, in one order for all texts (rare ones first), so many that a text similar by least shares one of its own first."""
-    known, n = common
-    times = np.zeros(len(hashes), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        times = np.where(known[at] == hashes, n[at], 0)
-    return hashes[np.lexsort((hashes, times))[: len(hashes) - math.ceil(least * len(hashes) - 1e-9) + 1]]
+    level = sum((_set(bits, hashes).astype(np.int64) for bits in common), np.zeros(len(hashes), np.int64))
+    return hashes[np.lexsort((hashes, level))[: len(hashes) - math.ceil(least * len(hashes) - 1e-9) + 1]]
 
 
-def _meetings(least: float):
-    """Pairs (a, b, n, m, c) of different groups that a shingle's list holds, sizes within least; c counts the lists of the batch."""
+def _sketch(hashes: np.ndarray) -> bytes:
+    """How many of the distinct hashes fall in each bucket of their first bits, up to 255: 64 buckets, 128 from 256 hashes on, 256 from 1,024.
 
-    def counted(found: list[np.ndarray]) -> pa.RecordBatch:
-        pairs, c = np.unique(np.concatenate(found), axis=0, return_counts=True)
-        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(4)), pa.array(c.astype(np.int64))], ["a", "b", "n", "m", "c"])
+    Two texts share at most the sum of the smaller counts; buckets next to each other add up to those of a coarser sketch.
+    """
+    bits = 6 + (len(hashes) >= 256) + (len(hashes) >= 1024)
+    return np.minimum(255, np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)).astype(np.uint8).tobytes()
+
+
+def _levels(sketches: list[bytes]) -> dict[int, np.ndarray]:
+    """Counts of each sketch in 64, 128 and 256 buckets; rows of sketches coarser than that are zero."""
+    out = {}
+    for width in (64, 128, 256):
+        rows = np.zeros((len(sketches), width), np.int16)
+        for finer in (64, 128, 256):
+            own = [i for i, x in enumerate(sketches) if len(x) == finer >= width]
+            if own:
+                counts = np.frombuffer(b"".join([sketches[i] for i in own]), np.uint8).reshape(len(own), width, finer // width)
+                rows[own] = counts.sum(axis=2, dtype=np.int16)
+        out[width] = rows
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [(batch.column(k).values.to_numpy(), batch.column(k).offsets.to_numpy()) for k in range(3)]
-            found, held = [], 0
-            for i in range(batch.num_rows):
-                node, group, size = (v[o[i] : o[i + 1]] for v, o in columns)
-                order = np.argsort(group, kind="stable")
-                node, group, size = node[order], group[order], size[order]
-                ends = np.searchsorted(group, group, side="right")
-                for x in range(len(node)):
-                    y = np.arange(ends[x], len(node))
-                    y = y[(size[y] >= least * size[x] - 1e-6) & (size[x] >= least * size[y] - 1e-6)]
-                    if not len(y):
-                        continue
-                    first = node[x] < node[y]
-                    own, other = (np.broadcast_to(z, len(y)) for z in (node[x], size[x]))
-                    found.append(np.stack([np.where(first, own, node[y]), np.where(first, node[y], own), np.where(first, other, size[y]), np.where(first, size[y], other)], axis=1))
-                    held += len(y)
-                    if held > 500_000:
-                        yield counted(found)
-                        found, held = [], 0
-            if found:
-                yield counted(found)
 
-    return run
+def _meetings(least: float):
+    """Edges (a, b) that connect the members of each shingle's list that sizes and sketches allow to be similar, where they are of different groups.
 
+    Of a list cut into blocks a row holds two of them, whose members meet across. Edges are a
+    spanning forest of each batch, so there are never more than members.
+    """
+    share = least / (1 + least)
 
-def _verified(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (v1, o1), (v2, o2) = ((batch.column(k).values.to_numpy(), batch.column(k).offsets.to_numpy()) for k in (2, 3))
-            keep = []
+            columns = [(batch.column(k).values.to_numpy(), batch.column(k).offsets.to_numpy()) for k in range(4)]
+            sketches = batch.column(4).flatten().to_pylist()
+            starts, same = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column(4)).to_numpy())]), batch.column(5).to_numpy(zero_copy_only=False)
+            lefts, rights = [], []
             for i in range(batch.num_rows):
-                x, y = v1[o1[i] : o1[i + 1]], v2[o2[i] : o2[i + 1]]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                node, group, size, block = (v[o[i] : o[i + 1]] for v, o in columns)
+                order = np.argsort(size, kind="stable")
+                sketch = [sketches[starts[i] + k] for k in order]
+                levels = _levels(sketch)
+                node, group, size, block = node[order], group[order], size[order], block[order]
+                ends = np.searchsorted(size, size / least + 1e-6, side="right")
+                found = []
+                for x in range(len(node) - 1):
+                    y = np.arange(x + 1, ends[x])
+                    y = y[(group[y] != group[x]) & (same[i] | (block[y] != block[x]))]
+                    if len(y):
+                        counts = levels[len(sketch[x])]  # a larger text's sketch is at least as fine
+                        both = np.minimum(counts[x], counts[y]).sum(axis=1, dtype=np.int64)
+                        y = y[(both >= share * (size[x] + size[y]) - 1e-6) | (size[y] > UNSKETCHED)]
+                        if len(y):
+                            found.append((np.broadcast_to(node[x], len(y)), node[y]))
+                if found:
+                    a, b = _forest(*(np.concatenate(z) for z in zip(*found, strict=True)))
+                    lefts.append(a), rights.append(b)
+            if lefts:
+                a, b = _forest(np.concatenate(lefts), np.concatenate(rights))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
@@ -342,44 +374,58 @@ def _bit_table(tokens: DataFrame) -> np.ndarray:
     return out
 
 
-def _remaining(texts: DataFrame, marks: DataFrame, groups: DataFrame, words: int, least: float) -> DataFrame:
-    """Edges (a, b) of all pairs of similar texts in different groups, by shared shingles: none is missed.
+def _flagged(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """rows with nd_maybe: false only where column key (a long) is certainly not in keys(token). Spares rows a shuffle."""
+    bits = _bit_table(keys)
+    at = rows.columns.index(key)
+    schema = T.StructType([*rows.schema.fields, T.StructField("nd_maybe", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_set(bits, batch.column(at).to_numpy()))], [*batch.schema.names, "nd_maybe"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """nodes, with one text each; only texts that may be among them are moved."""
+    own = texts.select("node", "text")
+    if nodes.count() <= SENT:
+        some = own.join(F.broadcast(nodes.select("node")), "node", "left_semi")
+    else:
+        some = _flagged(own, "node", nodes.select(F.col("node").alias("token"))).where("nd_maybe")
+    return some.groupBy("node").agg(F.first("text").alias("text")).join(nodes, "node")
+
+
+def _remaining(marks: DataFrame, groups: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) that connect all pairs of similar texts in different groups, by shared shingles: none is missed, some are not similar.
 
     In an order common to all texts, two texts similar by least share one of their first (1 - least) n + 1
-    shingles. Of n and m shingles they share at most c + max(ceil(least n), ceil(least m)) - 1, if c of these
-    first ones are shared; pairs for which that is too few are dropped, the others verified exactly.
+    shingles, so they meet in that shingle's list. There a pair is dropped if its sizes or sketches (see
+    _sketch) rule the similarity out.
     """
-    short = F.explode(F.transform("first", lambda x: x.bitwiseAND(F.lit(_SHORT)))).alias("token")
+    short = F.col("x").bitwiseAND(F.lit(_SHORT))
     # equal hashes stay equal when cut to 40 bits, so every shared one is counted more than once
-    shared = cut(marks.select(short).groupBy("token").agg(F.count("*").alias("times")).where("times > 1").select("token"))
-    bits = _bit_table(shared)
+    shared = cut(marks.select(F.explode("first").alias("x")).groupBy(short.alias("token")).agg(F.count("*").alias("times")).where("times > 1"))
+    bits = _bit_table(shared.select("token"))
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, ends = batch.column(2).flatten(), np.cumsum(pc.list_value_length(batch.column(2)).to_numpy())
-            at = (flat.to_numpy() & _SHORT) & (len(bits) * 64 - 1)
-            stays = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            stays = _set(bits, flat.to_numpy() & _SHORT)
             n = np.concatenate([[0], np.cumsum(stays)])[np.concatenate([[0], ends])]
             first = pa.ListArray.from_arrays(pa.array(n.astype(np.int32)), flat.filter(pa.array(stays)))
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), first], ["node", "size", "first"])
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), first, batch.column(3)], ["node", "size", "first", "sketch"])
             yield out.filter(pa.array(np.diff(n) > 0))
 
-    left = marks.select("node", "size", "first").mapInArrow(filtered, "node long, size long, first array<long>")
-    placed = left.join(groups, "node", "left").select(F.explode("first").alias("token"), "node", "size", F.coalesce("component", "node").alias("group"))
-    lists = placed.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("group", "node", "size"))).alias("all")).where(F.element_at("all", 1)["group"] < F.element_at("all", -1)["group"])
-    met = lists.select("all.node", "all.group", "all.size").mapInArrow(_meetings(least), "a long, b long, n long, m long, c long").groupBy("a", "b", "n", "m").agg(F.sum("c").alias("c"))
-    most = F.col("c") + F.greatest(F.ceil(least * F.col("n") - 1e-9), F.ceil(least * F.col("m") - 1e-9)) - 1
-    pairs = cut(met.where(most >= least / (1 + least) * (F.col("n") + F.col("m")) - 1e-6).select("a", "b"))
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-
-    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [shingle_hashes(x.as_py(), words).view(np.int64) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], ["node", "hashes"])
-
-    sets = cut(texts.join(ends, "node").groupBy("node").agg(F.first("text").alias("text")).mapInArrow(shingle, "node long, hashes array<long>"))
-    both = pairs.join(sets.toDF("a", "one"), "a").join(sets.toDF("b", "two"), "b")
-    return both.select("a", "b", "one", "two").mapInArrow(_verified(least), "a long, b long")
+    left = marks.select("node", "size", "first", "sketch").mapInArrow(filtered, "node long, size long, first array<long>, sketch binary")
+    placed = left.join(groups, "node", "left").select(F.explode("first").alias("x"), "node", "size", "sketch", F.coalesce("component", "node").alias("group")).withColumn("token", short)
+    # the list of a common shingle is cut into blocks of which each two meet
+    long = cut(shared.where(F.col("times") > LIST).select("token", F.ceil(F.col("times") / F.lit(LIST)).cast("int").alias("blocks")))
+    placed = placed.join(F.broadcast(long) if long.count() <= SENT else long, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("p"), F.greatest("block", k).alias("q"))))
+    lists = placed.withColumn("tile", tile).groupBy("x", "tile.p", "tile.q").agg(F.collect_list(F.struct("node", "group", "size", "block", "sketch")).alias("all"), F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
+    return lists.select("all.node", "all.group", "all.size", "all.block", "all.sketch", (F.col("p") == F.col("q")).alias("same")).mapInArrow(_meetings(least), "a long, b long")
 
 
 def similar_groups(docs: DataFrame, text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
@@ -388,11 +434,12 @@ def similar_groups(docs: DataFrame, text_col: str = "text", words: int = 5, leas
     node is xxhash64 of the text (null as empty). 128-bit fingerprints of the distinct shingles are
     laid in tiles by shingle count (bands of ratio 1/least, so only neighbouring bands can hold
     similar texts) and, in a band, by population count; tile pairs whose population counts differ
-    beyond the radius of 32 are skipped, the others compared exactly. Groups of candidates are then
+    beyond the radius of 20 are skipped, the others compared exactly. Fingerprints of similar texts
+    may differ by more than the radius; texts of different groups that may be similar all the same
+    are joined on shared shingles, which misses none (see _remaining). The families that result are
     verified by exact similarity, in blocks of bounded size of which each two meet, so no pair beyond
-    a spanning forest leaves a task and none below least links. Fingerprints of similar texts may
-    differ by more than the radius; they only spare the pairs inside a group. Similar texts still in
-    different groups are joined exactly on shared shingles (see _remaining), so every pair counts.
+    a spanning forest leaves a task, none below least links, and every pair of least or more counts.
+    Repeated rows are one text, an empty table gives no rows, other columns are ignored.
     """
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
 
@@ -400,18 +447,19 @@ def similar_groups(docs: DataFrame, text_col: str = "text", words: int = 5, leas
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made, first = [], []
+            made, first, sketches = [], [], []
             for x in batch.column(1):
                 hashes = shingle_hashes(x.as_py(), words)
                 made.append((len(hashes), *_wide(hashes)))
                 first.append(_rarest(hashes, common, least).view(np.int64))
+                sketches.append(_sketch(hashes))
             columns = list(zip(*made, strict=True)) if made else [[], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns), pa.array(first, pa.list_(pa.int64()))], ["node", "size", "fa", "fb", "first"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns), pa.array(first, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["node", "size", "fa", "fb", "first", "sketch"])
 
-    hashed_once = texts.select("node", "text").mapInArrow(run, "node long, size long, fa long, fb long, first array<long>")
-    marks = cut(hashed_once.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "fa", "fb", "first")]))
+    hashed_once = texts.select("node", "text").mapInArrow(run, "node long, size long, fa long, fb long, first array<long>, sketch binary")
+    marks = cut(hashed_once.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "fa", "fb", "first", "sketch")]))
     band = F.when(F.col("size") > 0, F.floor(F.log(F.col("size").cast("double")) / math.log(1 / least) + 1e-9).cast("int")).otherwise(F.lit(-9))
-    banded = marks.drop("first").withColumn("band", band).withColumn("ones", F.bit_count("fa") + F.bit_count("fb"))
+    banded = marks.drop("first", "sketch").withColumn("band", band).withColumn("ones", F.bit_count("fa") + F.bit_count("fb"))
     # at most 129 population counts in each of some hundred bands
     counts = cut(banded.groupBy("band", "ones").agg(F.count("*").alias("n")))
     upto = F.sum("n").over(Window.partitionBy("band").orderBy("ones"))
@@ -427,7 +475,9 @@ def similar_groups(docs: DataFrame, text_col: str = "text", words: int = 5, leas
     pairs = left.join(tiles, "band").where("band1 <> band or tile1 <= tile").where(f"l1 - most_ones <= {WIDE_RADIUS} and least_ones - m1 <= {WIDE_RADIUS}")
     wide = pairs.select("all1.node", "all1.fa", "all1.fb", F.col("all.node").alias("node2"), F.col("all.fa").alias("fa2"), F.col("all.fb").alias("fb2"), (F.col("band1") == F.col("band")) & (F.col("tile1") == F.col("tile")))
     loose = cut(components(wide.mapInArrow(_wide_edges, "a long, b long"), "a", "b"))
-    own = loose.join(marks.select("node", "size"), "node")
+    more = _remaining(marks, loose, least)
+    family = cut(components(loose.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b"))
+    own = family.join(marks.select("node", "size"), "node")
     extent = own.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("size") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
     members = own.select("node", "component").join(extent, "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
 
@@ -436,30 +486,42 @@ def similar_groups(docs: DataFrame, text_col: str = "text", words: int = 5, leas
             lists = [shingle_hashes(x.as_py(), words).view(np.int64) for x in batch.column(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(lists, pa.list_(pa.int64())), batch.column(4)], ["node", "component", "block", "hashes", "blocks"])
 
-    one_each = texts.join(members, "node").groupBy("node").agg(F.first("component").alias("component"), F.first("block").alias("block"), F.first("text").alias("text"), F.first("blocks").alias("blocks"))
-    hashed = one_each.mapInArrow(shingle, "node long, component long, block int, hashes array<long>, blocks int")
+    hashed = _texts_of(texts, cut(members)).select("node", "component", "block", "text", "blocks").mapInArrow(shingle, "node long, component long, block int, hashes array<long>, blocks int")
     tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("p"), F.greatest("block", k).alias("q"))))
     met = hashed.withColumn("tile", tile).select("component", "tile.p", "tile.q", "node", "block", "hashes")
     linked = cut(met.groupBy("component", "p", "q").applyInPandas(_similar(least), "a long, b long"))
-    rest = cut(_remaining(texts, marks, components(linked, "a", "b"), words, least))
-    return components(linked.union(rest), "a", "b")
+    return components(linked, "a", "b")
+
+
+def _with_group(rows: DataFrame, groups: DataFrame, most: int) -> DataFrame:
+    """rows with the columns of groups (a row per nd_group, nd_size its rows); groups of over most rows, of which few can exist, are met by broadcast."""
+    large = F.broadcast(groups.where(F.col("nd_size") > most).select("nd_group", F.col("best").alias("nd_first")))
+    marked = rows.join(large, "nd_group", "left")
+    rest = marked.where("nd_first is null").drop("nd_first").join(groups.select("nd_group", "best"), "nd_group")
+    return rest.unionByName(marked.where("nd_first is not null").withColumnRenamed("nd_first", "best"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """docs with one row of each group of similar texts: the one of the smallest id (null last), then of the smallest text hash.
 
     Groups are the components of texts linked by similarity (see similar_groups), and equal texts;
-    null texts count as empty ones, and all texts without words are one group. Columns stay as they
-    are; nd_node is reserved.
+    null texts count as empty ones, and all texts without words are one group. Rows of one id and
+    text are one. Only rows that may go are moved. An empty table gives no rows; columns stay as they
+    are; those starting with nd_ are reserved.
     """
-    marked = docs.withColumn("nd_node", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    marked = docs.withColumn("nd_node", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).withColumn("nd_key", F.xxhash64("nd_node", F.col(id_col)))
     groups = cut(similar_groups(docs, text_col, words, least))
-    ids = marked.groupBy("nd_node", F.col(id_col).alias("nd_id")).agg(F.count("*").alias("nd_rows"))
-    named = cut(ids.join(groups, F.col("nd_node") == F.col("node"), "left").withColumn("nd_group", F.coalesce("component", "nd_node")).withColumn("nd_null", F.col("nd_id").isNull()).select("nd_node", "nd_id", "nd_rows", "nd_group", "nd_null"))
-    best = named.groupBy("nd_group").agg(F.min(F.struct("nd_null", "nd_id", "nd_node")).alias("best"))
-    judged = named.join(best, "nd_group").withColumn("nd_wins", (F.col("best.nd_node") == F.col("nd_node")) & F.col("best.nd_id").eqNullSafe(F.col("nd_id")))
-    keys = [F.col("nd_node").alias("nd_other"), F.col("nd_id").alias("nd_own")]
-    same = (F.col("nd_node") == F.col("nd_other")) & F.col(id_col).eqNullSafe(F.col("nd_own"))
-    kept = marked.join(judged.where("not nd_wins or nd_rows > 1").select(*keys), same, "left_anti")
-    again = marked.join(judged.where("nd_wins and nd_rows > 1").select(*keys), same, "left_semi").dropDuplicates(["nd_node", id_col])
-    return kept.unionByName(again).drop("nd_node")
+    ids = marked.groupBy("nd_node", F.col(id_col).alias("nd_id"), "nd_key").agg(F.count("*").alias("nd_rows"))
+    named = cut(ids.join(groups, F.col("nd_node") == F.col("node"), "left").withColumn("nd_group", F.coalesce("component", "nd_node")).withColumn("nd_null", F.col("nd_id").isNull()).select("nd_node", "nd_id", "nd_key", "nd_rows", "nd_group", "nd_null"))
+    best = cut(named.groupBy("nd_group").agg(F.min(F.struct("nd_null", "nd_id", "nd_node")).alias("best"), F.count("*").alias("nd_size")))
+    judged = _with_group(named, best, max(256, named.count() // 1000)).withColumn("nd_wins", (F.col("best.nd_node") == F.col("nd_node")) & F.col("best.nd_id").eqNullSafe(F.col("nd_id")))
+    touched = cut(judged.where("not nd_wins or nd_rows > 1").select(F.col("nd_key").alias("token"), F.col("nd_node").alias("nd_other"), F.col("nd_id").alias("nd_own"), "nd_wins"))
+    same = (F.col("nd_key") == F.col("token")) & (F.col("nd_node") == F.col("nd_other")) & F.col(id_col).eqNullSafe(F.col("nd_own"))
+    if touched.count() <= SENT:
+        sure, few = None, marked.join(F.broadcast(touched), same, "left")
+    else:
+        flagged = _flagged(marked, "nd_key", touched.select("token"))
+        sure, few = flagged.where("not nd_maybe").select(*docs.columns), flagged.where("nd_maybe").drop("nd_maybe").join(touched, same, "left")
+    alone = few.where("nd_wins is null").select(*docs.columns)
+    again = few.where("nd_wins").dropDuplicates(["nd_key", "nd_node"]).select(*docs.columns)
+    return (alone if sure is None else sure.unionByName(alone)).unionByName(again)
