@@ -8,14 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor reaches: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder every executor reaches: spark.checkpoint.dir, or a local one where it is unset and all runs on one machine (tests)."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not context.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quoin-checkpoint-"))
     return named or context._jsc.sc().getCheckpointDir().get()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through Spark's file systems."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder."""
     shared_folder(df.sparkSession)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quoin.functions import angles as an
 from quoin.functions import geometry as g
-from quoin.lineage import cut, shared_folder
+from quoin.lineage import cut, removed, shared_folder
 from quoin.operators import aggregates as ag
 from quoin.operators import candidates as cd
 from quoin.operators import evaluate as ev
@@ -36,8 +36,7 @@ def through_file(spark: SparkSession, write, read) -> DataFrame:
     path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
     write(path)
     out = cut(read(path))
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    removed(spark, path)
     return out
 
 

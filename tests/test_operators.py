@@ -320,6 +320,16 @@ def test_numbered(spark):
     assert [n for _, _, n in got] == list(range(5000)) and windows.numbered(rows.limit(0), "k").count() == 0
 
 
+def test_ranked(spark):
+    from quoin.operators import windows
+
+    rows = spark.range(5000).select(F.when(F.col("id") < 3000, 0).otherwise(F.col("id") % 50).alias("k"), "id").repartition(5)
+    got = {}
+    for r in windows.ranked(rows, ["k"], ["id"]).collect():
+        got.setdefault(r.k, []).append((r.id, r.n))
+    assert all([n for _, n in sorted(v)] == list(range(len(v))) for v in got.values()) and sum(map(len, got.values())) == 5000
+
+
 def test_binary_points(spark, tmp_path):
     import struct
 
