@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import sys
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -15,9 +14,12 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quoin.lineage import cut
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT = 65_536
 CHUNK = 16_384
+RUN = 64
 CACHE = 100_000
 SPACE = "▁"
 _UNIT = re.compile(" +[^ ]*")
@@ -191,9 +193,22 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def path(matrices: list[np.ndarray]) -> list[int]:
-    """The state at each cut of the best path through all matrices, from forward and backward products."""
-    ahead, behind = [np.zeros((1, len(matrices[0])))], [np.zeros((matrices[-1].shape[1], 1))]
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    """The max-plus product of matrices in order."""
+    out = matrices[0]
+    for m in matrices[1:]:
+        out = times(out, m)
+    return out
+
+
+def path(matrices: list[np.ndarray], entry: int | None = None, exit_: int | None = None) -> list[int]:
+    """The state at each cut of the best path through all matrices, from forward and backward products; from entry and to exit_ if given."""
+    start, end = np.zeros((1, len(matrices[0]))), np.zeros((matrices[-1].shape[1], 1))
+    if entry is not None:
+        start[0, np.arange(start.shape[1]) != entry] = _NEVER
+    if exit_ is not None:
+        end[np.arange(len(end)) != exit_, 0] = _NEVER
+    ahead, behind = [start], [end]
     for m in matrices:
         ahead.append(times(ahead[-1], m))
     for m in reversed(matrices):
@@ -201,13 +216,11 @@ def path(matrices: list[np.ndarray]) -> list[int]:
     return [int(np.argmax(a[0] + b[:, 0])) for a, b in zip(ahead, reversed(behind), strict=True)]
 
 
-def _own(proto: bytes) -> Pieces:
-    """The worker process's model, kept from task to task (this module's own names come anew with each)."""
-    kept = sys.__dict__.setdefault("_quoin_pieces", {})
-    key = hash(proto)
-    if key not in kept:
-        kept[key] = Pieces(proto)
-    return kept[key]
+def _own(shared) -> Pieces:
+    """The model of a broadcast, made once in a worker process: there a broadcast is one object for all tasks, and goes with it."""
+    if not hasattr(shared, "pieces"):
+        shared.pieces = Pieces(shared.value)
+    return shared.pieces
 
 
 def _model_bytes(spark: SparkSession, model: str):
@@ -232,8 +245,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     Texts of up to giant characters are encoded in one go. Longer ones are cut into chunks at fixed
     places; each chunk yields the matrix of which boundary states (the token over the cut) can
-    follow which; the matrices of a text are combined by the associative max-plus product, forward
-    and backward, which fixes the state at each cut; then each chunk spells its pieces on its own.
+    follow which; the matrices are combined by the associative max-plus product in a parallel scan of
+    two levels (runs of 64 chunks, then a text's runs), forward and backward, which fixes the state at
+    each cut; then each chunk spells its pieces on its own.
     A text given many times is cut and scanned once.
 
     Null and empty texts have no pieces; a text's U+2581 is a space to the model; null and repeated
@@ -244,7 +258,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = _own(proto.value)
+        p = _own(proto)
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
                 made = [p.encode(x.as_py()) for x in part.column(1)]
@@ -260,7 +274,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     distinct = large.groupBy("key").agg(F.first("text").alias("text"))
 
     def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        longest = _own(proto.value).longest
+        longest = _own(proto).longest
         for batch in batches:
             for key, text in zip(batch.key, batch.text, strict=True):
                 s = normalised(text)
@@ -274,22 +288,36 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     pieces = distinct.mapInPandas(slices, "key string, k int, a long, b long, begin long, last boolean, s string").repartition("key", "k")
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = _own(proto.value)
+        p = _own(proto)
         for batch in batches:
             made = [p.transfer(r.s, *_chunk_states(p, r.s, r.begin, r.a, r.b, r.last)) for r in batch.itertuples()]
             yield pd.DataFrame({"key": batch.key, "k": batch.k, "n": [m.shape[0] for m in made], "matrix": [(m == 0).tobytes() for m in made]})
 
-    def scan(frame: pd.DataFrame) -> pd.DataFrame:
+    def dense(frame: pd.DataFrame) -> list[np.ndarray]:
+        return [np.where(np.frombuffer(m, bool).reshape(n, -1), 0.0, _NEVER) for n, m in zip(frame.n, frame.matrix, strict=True)]
+
+    def combined(frame: pd.DataFrame) -> pd.DataFrame:
+        m = product(dense(frame.sort_values("k")))
+        return pd.DataFrame({"key": [frame.key.iloc[0]], "g": [frame.g.iloc[0]], "n": [m.shape[0]], "matrix": [(m == 0).tobytes()]})
+
+    def outer(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("g")
+        at = path(dense(frame))
+        return pd.DataFrame({"key": frame.key, "g": frame.g, "first": at[:-1], "last": at[1:]})
+
+    def inner(frame: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("k")
-        all_ = [np.where(np.frombuffer(m, bool).reshape(n, -1), 0.0, _NEVER) for n, m in zip(frame.n, frame.matrix, strict=True)]
-        at = path(all_)
+        at = path(dense(frame), int(ends["first"].iloc[0]), int(ends["last"].iloc[0]))
         return pd.DataFrame({"key": frame.key, "k": frame.k, "entry": at[:-1], "exit": at[1:]})
 
-    # a text's matrices: one small bit matrix for each chunk of a string, which a row can hold
-    found = pieces.mapInPandas(matrices, "key string, k int, n int, matrix binary").groupBy("key").applyInPandas(scan, "key string, k int, entry int, exit int")
+    # a parallel scan in two levels: products of RUN chunks each, the path over a text's products, the path inside each run
+    made = cut(pieces.mapInPandas(matrices, "key string, k int, n int, matrix binary").withColumn("g", F.floor(F.col("k") / F.lit(RUN)).cast("int")))
+    runs = made.groupBy("key", "g").applyInPandas(combined, "key string, g int, n int, matrix binary")
+    ends = runs.groupBy("key").applyInPandas(outer, "key string, g int, first int, last int")
+    found = made.groupBy("key", "g").cogroup(ends.groupBy("key", "g")).applyInPandas(inner, "key string, k int, entry int, exit int")
 
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = _own(proto.value)
+        p = _own(proto)
         for batch in batches:
             ids = []
             for r in batch.itertuples():
@@ -308,7 +336,7 @@ def decode(encoded: DataFrame, id_col: str = "id", ids_col: str = "ids", model:
     proto = _model_bytes(encoded.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = _own(proto.value)
+        p = _own(proto)
         for batch in batches:
             lists = batch.column(1)
             flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()

@@ -63,6 +63,16 @@ def op10_quotes(spark: SparkSession, folder: str) -> DataFrame:
     return quotes.link(table(spark, folder, "conversations"))
 
 
+def quoted_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """op10's linking over conversations whose messages quote those before them; the given ones hold no quoted line."""
+    return quotes.link(quotes.with_quotations(table(spark, folder, "conversations")))
+
+
+def built_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, put together: the conversations in the order of replies, without quotes."""
+    return quotes.built(quoted_conversations(spark, folder))
+
+
 QUERIES["op1_toxicity"] = op1_toxicity
 QUERIES["op2_matroska"] = op2_matroska
 QUERIES["op3_vectors"] = op3_vectors
@@ -74,3 +84,7 @@ QUERIES["op8_url_filter"] = op8_url_filter
 QUERIES["op9_mixing"] = op9_mixing
 QUERIES["op10_quotes"] = op10_quotes
 ORACLES["op10_quotes"] = quotes.ORACLE
+QUERIES["quoted_conversations"] = quoted_conversations
+ORACLES["quoted_conversations"] = quotes.quoted_oracle()
+QUERIES["built_conversations"] = built_conversations
+ORACLES["built_conversations"] = f"WITH linked AS ({quotes.quoted_oracle()}), own AS (SELECT DISTINCT conv_id, position // 1000 AS part, position, rendered FROM linked WHERE position IS NOT NULL AND content <> '') SELECT conv_id, part, min(position) AS first, CAST(count(*) AS INTEGER) AS messages, string_agg(rendered, '' ORDER BY position, rendered) AS text FROM own GROUP BY conv_id, part"

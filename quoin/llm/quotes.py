@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quoin.lineage import cut
+from quoin.operators import windows
 
 MARKS = r"^(?:[ \t]*>)+"
 # Fixed value: the line mail programs put before a quotation.
@@ -37,21 +38,23 @@ def _keys(*pairs: Column) -> Column:
 
 
 def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per message: (conv_id, turn, role, content, n_quotes, max_level, reply_to, root_turn, depth, rendered).
+    """One row per message: (conv_id, turn, role, content, n_quotes, max_level, reply_to, root_turn, depth, position, rendered).
 
     A message's lines are parsed into nested quote levels; quoted passages, and their single lines,
     are normalised (lower case, one space for white space) and hashed, and joined by conversation,
     hash and length to the passages and lines that messages wrote themselves. The passage's original
     is the earliest message of the conversation that has it. Of the originals of a message's quotes
     the one least deeply quoted (then with most matched characters, then the latest) is its reply_to. root_turn is the message
-    at the start of the chain of replies and depth its length, found by pointer doubling; ordered by
-    (conv_id, root_turn, depth, turn), each reply comes behind what it answers. content is the text
+    at the start of the chain of replies and depth its length, found by pointer doubling. position is
+    the message's place in its conversation by (root_turn, depth, turn), in which each reply comes
+    behind what it answers; built() puts conversations together in that order. content is the text
     without quotes and lines announcing them, rendered the message in chat form.
 
     A quote of nothing known, or only of later messages, links to nothing: reply_to is null, the
     message is its own root at depth 0. Null texts are empty messages; null conversations and turns
-    link with nothing; a null turn has a null root. Repeated rows stay and agree; of different
-    messages with one turn a reply is to that turn. An empty table gives no rows; other columns are
+    link with nothing and have no position; a null turn has a null root. Repeated rows stay and agree;
+    of different messages with one turn a reply is to that turn, and messages of equal root, depth and
+    turn share a position. An empty table gives no rows; other columns are
     ignored.
     """
     rows = messages.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
@@ -93,6 +96,11 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         chain = chain.drop("moved")
     roots = chain.select("conv_id", F.col("turn").alias("reply_to"), F.col("above").alias("root"), "steps")
     tied = replies.join(roots, ["conv_id", "reply_to"], "left").select("conv_id", "turn", "mark", "reply_to", F.coalesce("root", "reply_to").alias("root"), (F.coalesce("steps", F.lit(0)) + 1).alias("depth"))
+    # places of distinct messages: a hot conversation is spread over ranges of (root, depth, turn)
+    depths = base.where("conv_id is not null and turn is not null").select("conv_id", "turn", "mark").distinct().join(tied.drop("reply_to"), ["conv_id", "turn", "mark"], "left")
+    depths = cut(depths.select("conv_id", "turn", "mark", F.coalesce("root", "turn").alias("root"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth")))
+    places = windows.ranked(depths.select("conv_id", "root", "depth", "turn").distinct(), ["conv_id"], ["root", "depth", "turn"], "position")
+    tied = depths.join(places, ["conv_id", "root", "depth", "turn"]).join(replies, ["conv_id", "turn", "mark"], "left")
     linked = with_quotes.drop("quoted").unionByName(without).join(tied, ["conv_id", "turn", "mark"], "left")
     return linked.select(
         "conv_id",
@@ -104,10 +112,24 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         "reply_to",
         F.coalesce("root", "turn").alias("root_turn"),
         F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
+        "position",
         F.concat(F.lit("<|im_start|>"), F.coalesce("role", F.lit("")), F.lit("\n"), F.col("content"), F.lit("<|im_end|>\n")).alias("rendered"),
     )
 
 
+def built(linked: DataFrame, most: int = 1000) -> DataFrame:
+    """(conv_id, part, first, messages, text): conversations in the order of replies, without quotes, in chat form.
+
+    linked is what link() returns. A conversation of over most positions is put together in parts of
+    as many, so that no row or task holds an unbounded one; parts joined in order give the whole.
+    Messages without a conversation or turn, and empty ones, are left out; repeated rows count once;
+    messages of one position come in the order of their text. An empty table gives no rows.
+    """
+    own = linked.where("position is not null and content <> ''").select("conv_id", F.floor(F.col("position") / F.lit(most)).cast("long").alias("part"), "position", "rendered").distinct()
+    rows = own.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("position", "rendered"))).alias("all"))
+    return rows.select("conv_id", "part", F.col("all")[0]["position"].alias("first"), F.size("all").alias("messages"), F.array_join(F.transform("all", lambda x: x["rendered"]), "").alias("text"))
+
+
 # The same in DuckDB; messages are told apart by row, passages by their normalised text.
 ORACLE = r"""WITH RECURSIVE base AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, text FROM conversations),
 ls AS (SELECT *, string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)) AS l, coalesce(regexp_matches(text, '(?m)^(?:[ \t]*>)+'), false) AS has FROM base),
@@ -130,5 +152,27 @@ SELECT c.conv_id, c.turn, c.role, c.content, CAST((SELECT count(*) FROM pa WHERE
   CAST((SELECT max(level) FROM li WHERE li.rid = c.rid) AS INTEGER) AS max_level, re.reply_to,
   CASE WHEN re.reply_to IS NULL THEN c.turn ELSE coalesce(ro.root, re.reply_to) END AS root_turn,
   CAST(CASE WHEN re.reply_to IS NULL THEN 0 ELSE coalesce(ro.steps, 0) + 1 END AS BIGINT) AS depth,
+  CASE WHEN c.conv_id IS NOT NULL AND c.turn IS NOT NULL THEN dense_rank() OVER (PARTITION BY c.conv_id, c.turn IS NULL ORDER BY CASE WHEN re.reply_to IS NULL THEN c.turn ELSE coalesce(ro.root, re.reply_to) END, CASE WHEN re.reply_to IS NULL THEN 0 ELSE coalesce(ro.steps, 0) + 1 END, c.turn) - 1 END AS position,
   '<|im_start|>' || coalesce(c.role, '') || chr(10) || c.content || '<|im_end|>' || chr(10) AS rendered
 FROM ct c LEFT JOIN re ON re.rid = c.rid LEFT JOIN ro ON ro.conv_id = re.conv_id AND ro.turn = re.reply_to"""
+
+# Every other message quotes the one before it, and each fourth of them what that one quoted, as a table in SQL.
+QUOTED = r"""firsts AS (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY conv_id, turn),
+quoted AS (SELECT c.conv_id, c.turn, c.role, CASE WHEN c.turn % 2 = 1 AND p.text IS NOT NULL THEN '> ' || replace(p.text, chr(10), chr(10) || '> ') || chr(10) ELSE '' END
+  || CASE WHEN c.turn % 4 = 3 AND q.text IS NOT NULL THEN '>> ' || replace(q.text, chr(10), chr(10) || '> > ') || chr(10) ELSE '' END || coalesce(c.text, '') AS text
+  FROM conversations c LEFT JOIN firsts p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1 LEFT JOIN firsts q ON q.conv_id = c.conv_id AND q.turn = c.turn - 2)"""
+
+
+def with_quotations(messages: DataFrame) -> DataFrame:
+    """The table of QUOTED: messages(conv_id, turn, role, text) of which every other one quotes the one before."""
+    first = messages.groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    before = lambda n, name: first.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("text").alias(name))
+    joined = messages.select("conv_id", "turn", "role", "text").join(before(1, "p"), ["conv_id", "turn"], "left").join(before(2, "q"), ["conv_id", "turn"], "left")
+    quote = lambda when, name, mark: F.when(when & F.col(name).isNotNull(), F.concat(F.lit(mark[0]), F.replace(F.col(name), F.lit("\n"), F.lit("\n" + mark[1])), F.lit("\n"))).otherwise("")
+    text = F.concat(quote(F.col("turn") % 2 == 1, "p", ("> ", "> ")), quote(F.col("turn") % 4 == 3, "q", (">> ", "> > ")), F.coalesce("text", F.lit("")))
+    return joined.select("conv_id", "turn", "role", text.alias("text"))
+
+
+def quoted_oracle() -> str:
+    """ORACLE over the table of QUOTED."""
+    return ORACLE.replace("WITH RECURSIVE base AS", f"WITH RECURSIVE {QUOTED}, base AS").replace("conv_id, turn, role, text FROM conversations)", "conv_id, turn, role, text FROM quoted)")

@@ -415,6 +415,19 @@ def test_encode_round_trip(spark, documents):
     assert got == sorted((r.doc_id, r.text or "") for r in both.collect())
 
 
+@pytest.mark.parametrize("run", [2, 64])
+def test_giant_texts_have_the_ids_of_the_library(spark, monkeypatch, run):
+    """Chunks combined in a scan of two levels, with runs of two chunks and of the given length."""
+    monkeypatch.setattr(pieces, "RUN", run)
+    rng = random.Random(run)
+    texts = ["".join(rng.choice("abcdeéthing \n日本☃19.") for _ in range(3000)), "x yz" * 900, "nospacesatall" * 300, "é🙂 " * 1000, "short"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    with open(pieces.MODEL, "rb") as f:
+        library = pieces.Pieces(f.read()).lib
+    got = {r.id: list(r.ids) for r in pieces.encode(df, giant=500, chunk=200).collect()}
+    assert got == {i: library.encode(t) for i, t in enumerate(texts)}
+
+
 def test_targets():
     got = mixing.targets({"a": 10, "b": 1000, "c": 10, None: 80})
     assert got["a"] == 30 and abs(sum(got.values()) - 1100) < 1e-9 and all(got[s] <= 3 * n + 1e-9 for s, n in {"a": 10, "b": 1000, "c": 10, None: 80}.items())
@@ -551,3 +564,22 @@ def test_quotes_equal_sql(spark):
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in out.collect())
     linked = {(r.conv_id, r.turn): (r.reply_to, r.root_turn, r.depth) for r in out.collect() if r.reply_to is not None}
     assert linked == {(1, 1): (0, 0, 1), (1, 3): (1, 0, 2), (1, 4): (3, 0, 3), (4, 1): (0, 0, 1), (4, 2): (1, 0, 2)}
+
+
+def test_conversations_in_the_order_of_replies(spark, folder):
+    messages = quotes.with_quotations(spark.read.parquet(f"{folder}/conversations.parquet"))
+    rows = quotes.link(messages).collect()
+    asked = {(r.conv_id, r.turn): r for r in rows}
+    odd = [r for r in rows if r.turn % 2 == 1 and (r.conv_id, r.turn - 1) in asked and r.n_quotes]
+    assert odd and np.mean([r.reply_to == r.turn - 1 for r in odd]) > 0.8 and all(r.reply_to < r.turn for r in odd if r.reply_to is not None)
+    assert all(asked[r.conv_id, r.reply_to].position < r.position for r in rows if r.reply_to is not None)
+    for conv in {r.conv_id for r in rows}:
+        own = sorted((r for r in rows if r.conv_id == conv), key=lambda r: (r.root_turn, r.depth, r.turn))
+        assert [r.position for r in own] == list(range(len(own)))
+    whole = quotes.built(quotes.link(messages))
+    small = quotes.built(quotes.link(messages), most=2)
+    joined = {}
+    for r in sorted(small.collect(), key=lambda r: (r.conv_id, r.part)):
+        joined[r.conv_id] = joined.get(r.conv_id, "") + r.text
+    assert joined == {r.conv_id: r.text for r in whole.collect()} and "\n>" not in "".join(joined.values())
+    assert quotes.built(quotes.link(messages.limit(0))).count() == 0
