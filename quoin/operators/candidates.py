@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.functions import angles as an
 from quoin.functions import geometry as g
+from quoin.lineage import cut
+from quoin.operators import aggregates as ag
 from quoin.operators import filters as fl
 from quoin.operators import joins as jn
-from quoin.sources.schema import SMALL, UNSET
+from quoin.sources.schema import ACTIVE, SMALL, UNSET
 
 
 def transplanted(primitives: DataFrame, angles: list[float], limit: float) -> DataFrame:
@@ -37,11 +41,44 @@ def with_own(primitives: DataFrame, made: DataFrame) -> DataFrame:
 
 
 def safe_only(made: DataFrame, existing: DataFrame, angles: list[float], tolerance: float = 1e-6) -> DataFrame:
-    """Candidates at an ideal angle to every existing primitive of their direction."""
-    e = existing.select("did", *[F.col(k).alias("e" + k) for k in ("nx", "ny", "nz")])
-    diff = an.nearest(g.angle(g.Vec.of("nx", "ny", "nz"), g.Vec.of("enx", "eny", "enz")), angles)["diff"]
-    wrong = made.join(e, "did").where(diff > tolerance).select("gid", "lid").distinct()
-    return made.join(wrong, ["gid", "lid"], "left_anti")
+    """Candidates at an ideal angle to every primitive of their direction: the existing ones, and the candidates (by gid and lid) taken before.
+
+    A direction is one group; candidates are bounded by the selection problem.
+    """
+    kind = made.schema
+    ideal = np.array(angles)
+
+    def run(frame: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["gid", "lid"])
+        taken = list(there[["nx", "ny", "nz"]].to_numpy()) if len(there) else []
+        keep = []
+        for i, n in enumerate(frame[["nx", "ny", "nz"]].to_numpy()):
+            if taken:
+                t = np.array(taken)
+                turn = np.arctan2(np.linalg.norm(np.cross(t, n), axis=1), t @ n)
+                if (np.abs(turn[:, None] - ideal[None]).min(axis=1) > tolerance).any():
+                    continue
+            taken.append(n)
+            keep.append(i)
+        return frame.iloc[keep]
+
+    return made.groupBy("did").cogroup(existing.select("did", "nx", "ny", "nz").groupBy("did")).applyInPandas(run, kind)
+
+
+def allowed_angles(primitives: DataFrame, angles: list[float], generators: list[float]) -> DataFrame:
+    """(did, angle_id) a direction's candidates may have: the multiples of the generator (radians) that most angles between active primitives vote for; directions without a vote have no rows."""
+    active = primitives.where(F.col("status") == ACTIVE)
+    votes = ag.generator_votes(ag.angle_histogram(jn.pair_angles(active, angles)), angles, generators)
+    rows = [(i, float(gen)) for i, a in enumerate(angles) for gen in generators if abs(a / gen - round(a / gen)) * gen < 1e-6]
+    table = primitives.sparkSession.createDataFrame(rows, "angle_id int, generator double")
+    # a row for each ideal angle and generator
+    return votes.select("did", "generator").join(F.broadcast(table), "generator").select("did", "angle_id")
+
+
+def only_allowed(made: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Candidates at an angle their direction allows; those of directions without rows in allowed stay."""
+    known = made.join(allowed.select("did").distinct(), "did", "left_semi").join(allowed, ["did", "angle_id"], "left_semi").select(*made.columns)
+    return known.unionByName(made.join(allowed.select("did").distinct(), "did", "left_anti").select(*made.columns))
 
 
 def limited(made: DataFrame, budget: int, always: DataFrame | None = None) -> tuple[list[int], int]:
@@ -62,12 +99,24 @@ def limited(made: DataFrame, budget: int, always: DataFrame | None = None) -> tu
     return sorted(taken), len(rows) + len(fixed) - len(taken)
 
 
-def generate(primitives: DataFrame, points: DataFrame, angles: list[float], limit: float, budget: int = 1000, keep_singles: bool = True, least: int = 5) -> tuple[DataFrame, int]:
-    """(candidates, patches left over) of one round: transplant, limit the newly promoted patches, drop singles if asked."""
+def generate(primitives: DataFrame, points: DataFrame, angles: list[float], limit: float, budget: int = 1000, keep_singles: bool = True, least: int = 5, generators: list[float] | None = None, safe: bool = False) -> tuple[DataFrame, int]:
+    """(candidates, patches left over) of one round: transplant, keep to the generator each direction votes for (radians, if given), limit the newly promoted patches, drop singles if asked.
+
+    safe keeps candidates only that are at an ideal angle to all of their direction (see safe_only).
+    """
     made = transplanted(primitives, angles, limit)
-    every = with_own(primitives.where(F.col("status") != SMALL), made)
+    large = primitives.where(F.col("status") != SMALL)
+    if generators:
+        made = only_allowed(made, cut(allowed_angles(large, angles, generators)))
+    if safe:
+        made = safe_only(made, large, angles)
+    every = cut(with_own(large, made))
     gids, left = limited(every, budget, primitives.where(~F.col("status").isin(SMALL, UNSET)))
-    out = every.where(F.col("gid").isin(gids)) if left else every
+    out = every
+    if left:
+        # at most budget patches
+        taken = primitives.sparkSession.createDataFrame([(x,) for x in gids], "gid long")
+        out = every.join(F.broadcast(taken), "gid", "left_semi")
     if not keep_singles:
         out = fl.without_singles(out.withColumn("status", F.lit(1)), points, least).drop("status")
     return out, left

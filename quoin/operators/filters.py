@@ -102,6 +102,17 @@ def subsampled(points: DataFrame, share: float, seed: int = 123456) -> DataFrame
     return points.where(F.pmod(F.xxhash64("pid", F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000)
 
 
+def subsampled_primitives(points: DataFrame, primitives: DataFrame, k: int, extra: int, share: float, least: int, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(points, primitives) of the k largest patches and extra others by hash, each with share of its points (at least least) assigned."""
+    kept = largest_patches(points, k, extra, seed).select("gid")
+    return stratified_unassign(points.join(kept, "gid", "left_semi"), share, least), primitives.join(kept, "gid", "left_semi")
+
+
+def shuffled(points: DataFrame, seed: int = 1) -> DataFrame:
+    """points in the order of a hash of their pid: the order in which seeds are tried."""
+    return points.orderBy(F.xxhash64("pid", F.lit(seed)), "pid")
+
+
 def rescaled(points: DataFrame) -> DataFrame:
     """points moved and scaled so that the longest side of their box is one."""
     from quoin.operators.aggregates import box

@@ -16,10 +16,10 @@ def _oriented(v: np.ndarray) -> np.ndarray:
     return v if first > 0 else -v
 
 
-def weighted_fit(xyz: np.ndarray, kind: str, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Centroid, and the normal (plane) or direction (line) of the weighted scatter."""
+def weighted_fit(xyz: np.ndarray, kind: str, weights: np.ndarray | None = None, plain_centre: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Centroid, and the normal (plane) or direction (line) of the weighted scatter; plain_centre leaves the centroid unweighted."""
     w = np.ones(len(xyz)) if weights is None or weights.sum() <= 0 else weights
-    centre = (w[:, None] * xyz).sum(axis=0) / w.sum()
+    centre = xyz.mean(axis=0) if plain_centre else (w[:, None] * xyz).sum(axis=0) / w.sum()
     d = xyz - centre
     _, vectors = np.linalg.eigh((w[:, None] * d).T @ d)
     return centre, _oriented(vectors[:, 0] if kind == "plane" else vectors[:, 2])
@@ -33,7 +33,7 @@ def distances(xyz: np.ndarray, at: np.ndarray, way: np.ndarray, kind: str, signe
     return np.linalg.norm(np.cross(d, way), axis=1)
 
 
-def robust(xyz: np.ndarray, kind: str, scale: float, refit: int, signed: bool = False, start: tuple[np.ndarray, np.ndarray] | None = None, position_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def robust(xyz: np.ndarray, kind: str, scale: float, refit: int, signed: bool = False, start: tuple[np.ndarray, np.ndarray] | None = None, position_only: bool = False, plain_centre: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """refit + 1 rounds of iteratively reweighted least squares; the first is unweighted unless start is given. signed keeps signed plane distances in the weights."""
     at, way = start if start is not None else weighted_fit(xyz, kind)
     for _ in range(refit + (start is not None)):
@@ -41,26 +41,29 @@ def robust(xyz: np.ndarray, kind: str, scale: float, refit: int, signed: bool =
         w = np.where(e < scale, ((e / scale) ** 2 - 1) ** 2, 0.0)
         if w.sum() <= 0:
             break
-        new, turned = weighted_fit(xyz, kind, w)
+        new, turned = weighted_fit(xyz, kind, w, plain_centre)
         at, way = new, way if position_only else turned
     return at, way
 
 
-def fit_patches(points: DataFrame, kind: str = "plane", scale: float = 0.05, refit: int = 2, signed: bool = False) -> DataFrame:
-    """A robust plane or line per patch. Patches of fewer than three points (planes) or two (lines) give none."""
+def fit_patches(points: DataFrame, kind: str = "plane", scale: float = 0.05, refit: int = 2, signed: bool = False, plain_centre: bool = False) -> DataFrame:
+    """A robust plane or line per patch, or its twin with an unweighted centroid. Patches of fewer than three points (planes) or two (lines) give none."""
     least = 3 if kind == "plane" else 2
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         if len(frame) < least:
             return pd.DataFrame(columns=[x.split()[0] for x in FIT.split(", ")])
-        at, way = robust(frame[["x", "y", "z"]].to_numpy(), kind, scale, refit, signed)
+        at, way = robust(frame[["x", "y", "z"]].to_numpy(), kind, scale, refit, signed, plain_centre=plain_centre)
         return pd.DataFrame([(key[0], len(frame), *at, *way)], columns=[x.split()[0] for x in FIT.split(", ")])
 
     return points.where("gid is not null").select("gid", "x", "y", "z").groupBy("gid").applyInPandas(run, FIT)
 
 
-def rectangle(xyz: np.ndarray, at: np.ndarray, normal: np.ndarray) -> np.ndarray:
-    """Corners of the smallest rectangle, in the plane, around the projected points: angles by 1 degree, then by 0.2 around the best."""
+def rectangle(xyz: np.ndarray, at: np.ndarray, normal: np.ndarray, aligned: bool = False) -> np.ndarray:
+    """Corners of the smallest rectangle, in the plane, around the projected points: angles by 1 degree, then by 0.2 around the best.
+
+    aligned keeps the plane's own axes, which lie along a coordinate axis.
+    """
     foot = xyz - ((xyz - at) @ normal)[:, None] * normal
     axis = np.eye(3)[np.argmin(np.abs(normal))]
     u = np.cross(normal, axis)
@@ -74,15 +77,17 @@ def rectangle(xyz: np.ndarray, at: np.ndarray, normal: np.ndarray) -> np.ndarray
         low, high = q.min(axis=0), q.max(axis=0)
         return float(np.prod(high - low)), low, high, turn
 
-    coarse = min(np.radians(np.arange(-45, 46)), key=lambda a: area(a)[0])
-    best = min(coarse + np.radians(np.arange(-1, 1.01, 0.2)), key=lambda a: area(a)[0])
+    best = 0.0
+    if not aligned:
+        coarse = min(np.radians(np.arange(-45, 46)), key=lambda a: area(a)[0])
+        best = min(coarse + np.radians(np.arange(-1, 1.01, 0.2)), key=lambda a: area(a)[0])
     _, low, high, turn = area(best)
     corners = np.array([[low[0], low[1]], [high[0], low[1]], [high[0], high[1]], [low[0], high[1]]]) @ turn.T
     return at + corners[:, :1] * u + corners[:, 1:] * v
 
 
-def plane_extents(points: DataFrame, planes: DataFrame, scale: float) -> DataFrame:
-    """(gid, corners): the smallest rectangle around each plane's inliers; planes without three inliers have none."""
+def plane_extents(points: DataFrame, planes: DataFrame, scale: float, aligned: bool = False) -> DataFrame:
+    """(gid, corners): the smallest rectangle around each plane's inliers (along its own axes if aligned); planes without three inliers have none."""
     kind = "gid long, corners array<struct<x:double,y:double,z:double>>"
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -91,7 +96,7 @@ def plane_extents(points: DataFrame, planes: DataFrame, scale: float) -> DataFra
         xyz = xyz[distances(xyz, at, normal, "plane") < scale]
         if len(xyz) < 3:
             return pd.DataFrame({"gid": [], "corners": []})
-        return pd.DataFrame({"gid": [key[0]], "corners": [[dict(zip("xyz", map(float, c), strict=True)) for c in rectangle(xyz, at, normal)]]})
+        return pd.DataFrame({"gid": [key[0]], "corners": [[dict(zip("xyz", map(float, c), strict=True)) for c in rectangle(xyz, at, normal, aligned)]]})
 
     joined = points.select("gid", "x", "y", "z").join(planes.select("gid", "px", "py", "pz", "nx", "ny", "nz"), "gid")
     return joined.groupBy("gid").applyInPandas(run, kind)

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from quoin.lineage import cut
 
 
-SPLIT = 256
+SPLIT = 200_000
 
 
 def _lookup(rows: DataFrame, low: DataFrame, most: int) -> DataFrame:
-    """(v, m) of rows (u, v) with low (u, m, n): nodes of over most edges, of which few can exist, are met by broadcast, so that no task holds a hub."""
+    """(v, m) of rows (u, v) with low (u, m, n): nodes of over most edges, of which few can exist, are met by broadcast, so that no task holds a hub; most of 0: no such nodes."""
+    if not most:
+        return rows.join(low.select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     hubs = F.broadcast(low.where(F.col("n") > most).select("u", F.col("m").alias("hub")))
     marked = rows.join(hubs, "u", "left")
     rest = marked.where("hub is null").join(low.select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -23,8 +25,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     """(node, component): the smallest node each node of edges reaches, by large and small stars until nothing changes.
 
     Each round is two grouped minima and two lookups; the number of rounds grows with the logarithm
-    of the longest chain, and the edge set never grows. A node with more than a thousandth of the
-    edges is a hub; as there are at most some two thousand, hubs are looked up by broadcast. Nodes
+    of the longest chain, and the edge set never grows. A node with more than 200,000 edges
+    and a thousandth of all is a hub; as there are at most some two thousand, hubs are looked up by broadcast. Nodes
     are longs. Self loops keep their node, edges with a null end are ignored, repeated edges and
     either direction are the same edge, no edges give no rows; other columns are ignored.
     """
@@ -32,7 +34,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     now = cut(own.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen, size = None, now.count()
     while True:
-        most = max(SPLIT, size // 1000)
+        # a node has at most all edges, either way round
+        most = max(SPLIT, size // 1000) if 2 * size > SPLIT else 0
         both = now.union(now.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
         large = _lookup(both.where("v > u"), low, most).union(now.where("u = v"))

@@ -59,6 +59,18 @@ def adopted(points: DataFrame, primitives: DataFrame, scale: float, rounds: int
     return points
 
 
+def not_compared(pairs: DataFrame, compared: DataFrame) -> DataFrame:
+    """Pairs (gid_a, gid_b) that aren't in compared, whichever way round."""
+    known = compared.select(F.least("gid_a", "gid_b").alias("_a"), F.greatest("gid_a", "gid_b").alias("_b")).distinct()
+    return pairs.join(known, (F.least("gid_a", "gid_b") == F.col("_a")) & (F.greatest("gid_a", "gid_b") == F.col("_b")), "left_anti")
+
+
+def still_compared(compared: DataFrame, moved: DataFrame) -> DataFrame:
+    """compared without the pairs of patches (gid) that changed since."""
+    gone = moved.select("gid").distinct()
+    return compared.join(gone.withColumnRenamed("gid", "gid_a"), "gid_a", "left_anti").join(gone.withColumnRenamed("gid", "gid_b"), "gid_b", "left_anti").select("gid_a", "gid_b")
+
+
 def changed(before: DataFrame, after: DataFrame) -> bool:
     """Whether the sets of (gid, did) differ."""
     a, b = before.select("gid", "did"), after.select("gid", "did")

@@ -18,7 +18,7 @@ def variables(candidates: DataFrame) -> DataFrame:
 
 def cover(candidates: DataFrame) -> DataFrame:
     """(gid, vars): each patch takes at least one of its candidates."""
-    return candidates.groupBy("gid").agg(F.array_sort(F.collect_list("var")).alias("vars"))
+    return candidates.groupBy("gid").agg(F.array_sort(F.collect_set("var")).alias("vars"))
 
 
 def implications(candidates: DataFrame) -> DataFrame:
@@ -129,6 +129,48 @@ def subset_optimum(costs: DataFrame, pairs: DataFrame, directions: list[int]) ->
     return data.where(F.col("covered") == n).join(smooth, "subset", "left").select("subset", (F.col("data") + F.coalesce("pairwise", F.lit(0.0))).alias("energy"))
 
 
+def legacy_selection(data: dict[int, float], pair: dict[tuple[int, int], float], cover: list[set[int]], relaxed: bool = False, exact_up_to: int = 20) -> set[int]:
+    """Primitives of least data cost plus pairwise cost over ordered pairs of chosen ones, such that each cover row holds a chosen one; a bounded problem on the driver.
+
+    Up to exact_up_to primitives every subset is weighed; beyond that, and if relaxed, values between
+    0 and 1 go down the slope, those of at least a half are taken, uncovered rows take their cheapest
+    and what can go without loss goes. No rows are covered by nothing.
+    """
+    names = sorted(data)
+    cost = lambda chosen: sum(data[i] for i in chosen) + sum(q for (a, b), q in pair.items() if a in chosen and b in chosen and a != b)
+    rows = [r & set(names) for r in cover]
+    if any(not r for r in rows):
+        raise ValueError("a row without a primitive")
+    if not relaxed and len(names) <= exact_up_to:
+        best = None
+        for mask in range(1 << len(names)):
+            chosen = {n for i, n in enumerate(names) if mask >> i & 1}
+            if all(r & chosen for r in rows) and (best is None or cost(chosen) < best[0] - 1e-12):
+                best = (cost(chosen), chosen)
+        return best[1]
+    x = dict.fromkeys(names, 0.5)
+    size = 1.0 / (1 + max((abs(v) for v in data.values()), default=0) + sum(abs(q) for q in pair.values()))
+    for _ in range(200):
+        slope = dict(data)
+        for (a, b), q in pair.items():
+            if a != b:
+                slope[a] += q * x[b]
+                slope[b] += q * x[a]
+        for r in rows:
+            short = 1 - sum(x[i] for i in r)
+            for i in r:
+                slope[i] -= 10 / size * max(0.0, short) * size
+        x = {i: min(1.0, max(0.0, v - size * slope[i])) for i, v in x.items()}
+    chosen = {i for i, v in x.items() if v >= 0.5}
+    for r in rows:
+        if not r & chosen:
+            chosen.add(min(r, key=lambda i: (data[i], i)))
+    for i in sorted(chosen, key=lambda i: (-data[i], i)):
+        if all(r & (chosen - {i}) for r in rows) and cost(chosen - {i}) <= cost(chosen):
+            chosen = chosen - {i}
+    return chosen
+
+
 def exactly_one(candidates: DataFrame) -> DataFrame:
     """cover() with the number of directions a patch takes: one."""
     return cover(candidates).withColumn("takes", F.lit(1))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quoin.functions import geometry as g
+from quoin.lineage import cut
 from quoin.operators import fit, graph, spatial
 from quoin.operators.aggregates import populations
 from quoin.sources.schema import UNSET
@@ -96,6 +97,26 @@ def region_grow(points: DataFrame, r: float, limit: float, scene: str | None = N
     return keyed.select("_scene", "pid", "x", "y", "z", "nx", "ny", "nz").groupBy("_scene").applyInPandas(lambda f: run(f.drop(columns="_scene")), kind)
 
 
+def region_grow_tiled(points: DataFrame, r: float, limit: float, tile: float) -> DataFrame:
+    """points with gid, the smallest pid of their patch, for clouds beyond one task: grown in each cubic tile of side tile, then joined at the seams.
+
+    Patches of different tiles are one if some of their points are within r of each other and their
+    mean normals within limit. Inside a tile growth is that of region_grow(); a cloud within one tile
+    gives the same patches. A tile's points are one group, so tile is chosen by density.
+    """
+    side = F.concat_ws(",", *[F.floor(F.col(c) / tile).cast("string") for c in "xyz"])
+    grown = cut(region_grow(points.withColumn("_tile", side), r, limit, "_tile").withColumn("_tile", side))
+    ways = cut(grown.groupBy("gid").agg(*[F.avg(c).alias(c) for c in ("nx", "ny", "nz")]))
+    near = F.least(*[F.least(F.pmod(F.col(c), F.lit(tile)), tile - F.pmod(F.col(c), F.lit(tile))) for c in "xyz"])
+    rim = grown.where(near <= r)
+    seams = spatial.radius_join(rim, rim, r, ("gid", "_tile"), ("gid", "_tile")).where("_tile_a <> _tile_b and gid_a < gid_b").select("gid_a", "gid_b").distinct()
+    own = lambda s: ways.toDF(f"gid_{s}", *[f"{c}_{s}" for c in ("nx", "ny", "nz")])
+    angle = g.folded(g.angle(g.Vec.of("nx_a", "ny_a", "nz_a"), g.Vec.of("nx_b", "ny_b", "nz_b")))
+    joined = graph.components(seams.join(own("a"), "gid_a").join(own("b"), "gid_b").where(angle <= limit), "gid_a", "gid_b")
+    out = grown.join(joined.withColumnRenamed("node", "gid"), "gid", "left").withColumn("gid", F.coalesce("component", "gid"))
+    return out.drop("component", "_tile").select("pid", "x", "y", "z", "nx", "ny", "nz", "gid")
+
+
 def connected_patches(points: DataFrame, r: float, limit: float) -> DataFrame:
     """points with gid, the component of neighbours within r whose normals are within limit of each other: an order-free variant for clouds of any size."""
     n = ("nx", "ny", "nz")
@@ -105,9 +126,12 @@ def connected_patches(points: DataFrame, r: float, limit: float) -> DataFrame:
     return points.drop("gid").join(parts.select(F.col("node").alias("pid"), F.col("component").alias("gid")), "pid", "left").withColumn("gid", F.coalesce("gid", "pid"))
 
 
-def patchify(points: DataFrame, r: float, limit: float, least: int, kind: str = "plane", refit: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(points with gid, primitives) of grown patches of at least least points, one robust primitive each; did is the gid, status unset. Other points lose their patch."""
-    grown = region_grow(points, r, limit)
+def patchify(points: DataFrame, r: float, limit: float, least: int, kind: str = "plane", refit: int = 2, tile: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(points with gid, primitives) of grown patches of at least least points, one robust primitive each; did is the gid, status unset. Other points lose their patch.
+
+    tile, if given, is the side of the tiles that large clouds are grown in.
+    """
+    grown = region_grow(points, r, limit) if tile is None else region_grow_tiled(points, r, limit, tile)
     large = populations(grown).where(F.col("n") >= least).select("gid", F.lit(1).alias("_large"))
     tagged = grown.join(large, "gid", "left").withColumn("gid", F.when(F.col("_large") == 1, F.col("gid"))).drop("_large")
     prims = fit.fit_patches(tagged, kind, r, refit).drop("n").withColumn("did", F.col("gid")).withColumn("status", F.lit(UNSET)).withColumn("gen_angle", F.lit(None).cast("double"))

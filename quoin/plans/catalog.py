@@ -586,7 +586,10 @@ def region_grow(spark, d):
     return segment.region_grow(points, 0.1, 0.6, "label").select("pid", "gid")
 
 
-@query("connected_patches")
+_FOLDED = "CASE WHEN {w} > 3.141592653589793e0/2 THEN 3.141592653589793e0 - {w} ELSE {w} END"
+
+
+@query("connected_patches", f"WITH RECURSIVE {v.PTS_EMB}, e AS (SELECT a.pid AS a, b.pid AS b FROM pts_emb a JOIN pts_emb b ON a.pid <> b.pid WHERE {v.distance2('a', 'b')} < 0.06e0*0.06e0 AND {_FOLDED.format(w=v.angle('a', 'b'))} <= 0.5e0), r(node, low) AS (SELECT pid, pid FROM pts_emb UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.node) SELECT node AS pid, min(low) AS gid FROM r GROUP BY node")
 def connected_patches(spark, d):
     return segment.connected_patches(t.points_embeddings(spark, d), 0.06, 0.5).select("pid", "gid")
 

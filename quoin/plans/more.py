@@ -589,3 +589,37 @@ def correspondence_greedy(spark, d):
     s = t.read(spark, d, "supplier").select((F.col("s_suppkey") * 10).alias("gid"))
     pairs = s.select((F.col("gid") + 3).alias("gid_a")).join(jn.bounded(s.select(F.col("gid").alias("gid_b")))).withColumn("cost", F.abs(F.col("gid_a") - F.col("gid_b")).cast("double"))
     return jn.matches(pairs)
+
+
+@query("subsampled_primitives", f"WITH {v.ASSOC}, n AS (SELECT gid, count(*) AS n FROM assoc_ord GROUP BY gid ORDER BY n DESC, gid LIMIT 25), k AS (SELECT a.*, n.n, row_number() OVER (PARTITION BY a.gid ORDER BY a.pid) AS k FROM assoc_ord a JOIN n ON n.gid = a.gid) SELECT pid, CASE WHEN k <= greatest(3, floor(n*0.5e0)) THEN gid END AS gid FROM k")
+def subsampled_primitives(spark, d):
+    """The points of the 25 largest patches, half of each assigned."""
+    prims = t.read(spark, d, "customer").select(F.col("c_custkey").alias("gid"))
+    return fl.subsampled_primitives(t.assignments_orders(spark, d), prims, 25, 0, 0.5, 3)[0].select("pid", "gid")
+
+
+@query("not_compared", "SELECT s_suppkey AS gid_a, s_suppkey + 1 AS gid_b FROM supplier WHERE s_suppkey % 2 = 1 OR s_suppkey % 10 = 0 OR s_suppkey % 5 = 4")
+def not_compared(spark, d):
+    """Neighbouring suppliers not compared yet: even ones were, but those beside a fifth have changed since."""
+    s = t.read(spark, d, "supplier")
+    pairs = s.select(F.col("s_suppkey").alias("gid_a"), (F.col("s_suppkey") + 1).alias("gid_b"))
+    done = pairs.where("gid_a % 2 = 0").select(F.col("gid_b").alias("gid_a"), F.col("gid_a").alias("gid_b"))
+    moved = s.select(F.col("s_suppkey").alias("gid")).unionByName(s.select((F.col("s_suppkey") + 1).alias("gid"))).where("gid % 5 = 0")
+    return merge.not_compared(pairs, merge.still_compared(done, moved))
+
+
+@query("aligned_extents")
+def aligned_extents(spark, d):
+    """Rectangles along the planes' own axes; tests hold that all inliers lie in them."""
+    from quoin.operators import fit
+
+    out = fit.plane_extents(t.points_embeddings(spark, d), planes_emb(spark, d), 0.2, aligned=True)
+    return out.select("gid", F.posexplode("corners").alias("corner", "c")).select("gid", "corner", "c.x", "c.y", "c.z")
+
+
+@query("region_grow_tiled")
+def region_grow_tiled(spark, d):
+    """Growth in tiles of half a unit, joined at the seams: the whole cloud, in many tasks."""
+    from quoin.operators import segment
+
+    return segment.region_grow_tiled(t.points_embeddings(spark, d), 0.1, 0.6, 0.5).select("pid", "gid")

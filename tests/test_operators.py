@@ -340,7 +340,61 @@ def test_binary_points(spark, tmp_path):
     assert got[0][:4] == (0, 0.5, 1.0, 2.0) and np.allclose(got[0][4:7], [0, 0.6, 0.8]) and np.allclose(got[1][4:7], [0, 0, 1])
 
 
-def test_hubs(spark):
+@pytest.mark.parametrize("split", [10, 200_000])
+def test_hubs(spark, monkeypatch, split):
+    monkeypatch.setattr(graph, "SPLIT", split)
     edges = spark.createDataFrame([(0, i) for i in range(1, 900)] + [(i, 10_000 + i) for i in range(1, 50)] + [(20_000, 20_001), (5, None), (7, 7)], "src long, dst long")
     got = {r.node: r.component for r in graph.components(edges).collect()}
     assert len(got) == 900 + 49 + 2 and {c for n, c in got.items() if n < 20_000} == {0} and got[20_001] == 20_000
+
+
+def test_tiles_join_at_the_seams(spark):
+    box = scene.box_scene(spark, 150)
+    whole = {r.pid: r.gid for r in segment.region_grow(box, 0.25, 0.3).collect()}
+    tiled = {r.pid: r.gid for r in segment.region_grow_tiled(box, 0.25, 0.3, 0.5).collect()}
+    one = {r.pid: r.gid for r in segment.region_grow_tiled(box, 0.25, 0.3, 100.0).collect()}
+    assert len(set(whole.values())) == len(set(tiled.values())) == 6 and tiled == whole and len(one) == len(whole)
+    assert segment.region_grow_tiled(box.limit(0), 0.25, 0.3, 0.5).count() == 0
+
+
+def test_safe_candidates_meet_the_running_output(spark):
+    rows = [(1, 7, 1, 1.0, 0.0, 0.0), (2, 7, 1, 0.0, 1.0, 0.0), (3, 7, 1, 0.8, 0.6, 0.0), (4, 8, 1, 0.8, 0.6, 0.0), (5, 9, 1, 0.6, 0.8, 0.0)]
+    made = spark.createDataFrame(rows, "gid long, did long, lid int, nx double, ny double, nz double")
+    existing = spark.createDataFrame([(9, 1.0, 0.0, 0.0)], "did long, nx double, ny double, nz double")
+    assert {r.gid for r in candidates.safe_only(made, existing, an.angle_set([90.0])).collect()} == {1, 2, 4}
+
+
+def test_allowed_angles_follow_the_votes(spark):
+    ways = [(1, 1, 1.0, 0.0), (2, 2, 0.0, 1.0), (3, 3, math.cos(math.pi / 3), math.sin(math.pi / 3)), (4, 4, -1.0, 0.0)]
+    prims = spark.createDataFrame([(g, d, x, y, 0.0, 1) for g, d, x, y in ways], "gid long, did long, nx double, ny double, nz double, status int")
+    angles = an.angle_set([60.0, 90.0])
+    allowed = candidates.allowed_angles(prims, angles, [math.radians(60), math.radians(90)])
+    got = {}
+    for r in allowed.collect():
+        got.setdefault(r.did, set()).add(round(math.degrees(angles[r.angle_id])))
+    assert got[2] == {0, 90, 180} and got[3] == {0, 60, 120, 180}
+    made = spark.createDataFrame([(9, 2, i) for i in range(len(angles))] + [(9, 77, 1)], "gid long, did long, angle_id int")
+    assert {(r.did, round(math.degrees(angles[r.angle_id]))) for r in candidates.only_allowed(made, allowed).collect()} == {(2, 0), (2, 90), (2, 180), (77, 60)}
+
+
+def test_legacy_selection():
+    rng = random.Random(2)
+    for _ in range(20):
+        data = {i: rng.random() for i in range(8)}
+        pair = {(a, b): rng.random() * 0.3 for a in data for b in data if a != b}
+        cover = [set(rng.sample(range(8), 3)) for _ in range(5)]
+        exact, loose = problem.legacy_selection(data, pair, cover), problem.legacy_selection(data, pair, cover, relaxed=True)
+        cost = lambda c: sum(data[i] for i in c) + sum(q for (a, b), q in pair.items() if a in c and b in c)  # noqa: B023, E731
+        assert all(r & exact for r in cover) and all(r & loose for r in cover) and cost(exact) <= cost(loose) + 1e-9
+
+
+def test_plain_centre_and_aligned_rectangles():
+    rng = np.random.default_rng(5)
+    xyz = rng.normal(size=(40, 3)) * [1, 1, 0.01]
+    at, way = fit.robust(xyz, "plane", 0.5, 2, plain_centre=True)
+    assert np.allclose(at, xyz.mean(axis=0)) and abs(way[2]) > 0.99
+    for aligned in (False, True):
+        c = fit.rectangle(xyz, at, way, aligned)
+        u, v = c[1] - c[0], c[3] - c[0]
+        inside = [(-1e-9 <= (p - c[0]) @ u / (u @ u) <= 1 + 1e-9) and (-1e-9 <= (p - c[0]) @ v / (v @ v) <= 1 + 1e-9) for p in xyz]
+        assert all(inside)
