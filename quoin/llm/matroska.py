@@ -72,24 +72,30 @@ def _lace(frames: list[bytes], lacing: str) -> tuple[int, bytes]:
 def write(payload: bytes, lacing: str = "fixed", frame: int = FRAME, laced: int = LACED) -> bytes:
     """A Matroska file of one 8-bit mono PCM track whose frames are the payload's, in clusters with cues.
 
-    lacing is none, fixed, xiph or ebml. An empty payload gives a file without clusters.
+    lacing is none, fixed, xiph or ebml. An empty payload gives a file without clusters. A frame lasts
+    whole milliseconds (8 bytes each), a lace holds 256 frames at most; a cluster ends before its blocks'
+    16-bit times do.
     """
+    if frame < 1 or frame * 1000 % SAMPLE_RATE or not 1 <= laced <= 256:
+        raise ValueError(f"frames of {frame} bytes, {laced} to a lace")
+    frame_ms = frame * 1000 // SAMPLE_RATE
     head = _element(EBML, _element(DOC_TYPE, b"matroska"), _uint(DOC_VERSION, 4), _uint(DOC_READ, 2))
     frames = [payload[i : i + frame] for i in range(0, len(payload), frame)]
     info = _element(INFO, _uint(TIMESTAMP_SCALE, 1_000_000), _element(DURATION, struct.pack(">d", len(payload) * 1000 / SAMPLE_RATE)))
     sound = _element(AUDIO, _element(RATE, struct.pack(">d", SAMPLE_RATE)), _uint(CHANNELS, 1), _uint(BIT_DEPTH, 8))
-    entry = _element(TRACK_ENTRY, _uint(TRACK_NUMBER, 1), _uint(TRACK_UID, 1), _uint(TRACK_TYPE, 2), _uint(LACING_FLAG, int(lacing != "none")), _element(CODEC, b"A_PCM/INT/LIT"), _uint(FRAME_TIME, FRAME_MS * 1_000_000), sound)
+    entry = _element(TRACK_ENTRY, _uint(TRACK_NUMBER, 1), _uint(TRACK_UID, 1), _uint(TRACK_TYPE, 2), _uint(LACING_FLAG, int(lacing != "none")), _element(CODEC, b"A_PCM/INT/LIT"), _uint(FRAME_TIME, frame_ms * 1_000_000), sound)
     body, at, cues = [info, _element(TRACKS, entry)], len(info), []
     at += len(body[1])
     step = laced if lacing != "none" else 1
-    for first in range(0, len(frames), step * BLOCKS_PER_CLUSTER):
+    blocks_each = max(1, min(BLOCKS_PER_CLUSTER, 32_767 // (step * frame_ms)))
+    for first in range(0, len(frames), step * blocks_each):
         blocks = []
-        for i in range(first, min(len(frames), first + step * BLOCKS_PER_CLUSTER), step):
+        for i in range(first, min(len(frames), first + step * blocks_each), step):
             some = frames[i : i + step]
             flag, lace = _lace(some, lacing)
-            blocks.append(_element(SIMPLE_BLOCK, b"\x81", struct.pack(">hB", (i - first) * FRAME_MS, 0x80 | flag), lace, *some))
-        cluster = _element(CLUSTER, _uint(TIMESTAMP, first * FRAME_MS), *blocks)
-        cues.append(_element(CUE_POINT, _uint(CUE_TIME, first * FRAME_MS), _element(CUE_POSITIONS, _uint(CUE_TRACK, 1), _uint(CUE_CLUSTER, at))))
+            blocks.append(_element(SIMPLE_BLOCK, b"\x81", struct.pack(">hB", (i - first) * frame_ms, 0x80 | flag), lace, *some))
+        cluster = _element(CLUSTER, _uint(TIMESTAMP, first * frame_ms), *blocks)
+        cues.append(_element(CUE_POINT, _uint(CUE_TIME, first * frame_ms), _element(CUE_POSITIONS, _uint(CUE_TRACK, 1), _uint(CUE_CLUSTER, at))))
         body.append(cluster)
         at += len(cluster)
     return head + _element(SEGMENT, *body, *([_element(CUES, *cues)] if cues else []))
@@ -282,7 +288,7 @@ def packet_table(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
 
 
 def files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lacing: str = "fixed") -> DataFrame:
-    """(id, n_bytes, media): each whole text stored as a Matroska file."""
+    """(id, n_bytes, media): each whole text stored as a Matroska file. Null texts are empty, equal texts give equal files, null and repeated ids stay, no rows give none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import zlib
 
 import duckdb
 import numpy as np
@@ -209,6 +210,24 @@ def test_matroska_digests(documents):
         raw = (source[r.doc_id] or "").encode()
         payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert r.tail_crc32 == zlib.crc32(payload[-32:])
+        level = [x - 128 for x in payload]
+        crossings = sum((a >= 0) != (b >= 0) for a, b in zip(level, level[1:], strict=False))
+        assert r.feature == f"{len(payload) // 576}:{sum(level) * 1000 // len(payload)}:{sum(x * x for x in level) * 1000 // len(payload)}:{crossings}"
+    stored = {r.id: r for r in matroska.files(documents).collect()}
+    for r in matroska.digests(documents).collect():
+        media = bytes(stored[r.doc_id].media)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+
+
+def test_matroska_sizes():
+    payload = bytes(range(256)) * 900
+    for frame, laced in ((8, 256), (576, 1), (8000, 200), (80_000, 3), (16, 7)):
+        media = matroska.parse(matroska.write(payload, "xiph", frame, laced))
+        assert media.error is None and [p.timestamp_ns for p in media.packets] == [i * frame * 125_000 for i in range(len(media.packets))]
+    for frame, laced in ((0, 8), (577, 8), (576, 0), (576, 257)):
+        with pytest.raises(ValueError):
+            matroska.write(payload, "fixed", frame, laced)
 
 
 def vector_rows(dims=16, many=150):
@@ -272,7 +291,7 @@ def test_toxicity_nearest_is_exact(spark, folder, documents):
     invented = [(i, rng.randint(0, 1), {f"t{j}": rng.randint(1, 4) for j in rng.sample(range(9000), 40)}) for i in range(700)]
     for own in (examples, invented):
         index = toxicity.Index(toxicity.Examples.of(own))
-        term, weight, member = index.flat
+        term, weight, member = index.flat  # as built, before it is packed
         dense = np.zeros((index.examples, len(index.terms)))
         dense[member, term] = weight
         queries = [index.vector(c) for _, _, c in rng.sample(own, 90)] + [index.vector(toxicity.counts(r.text)) for r in rows[:200]]
