@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quoin.functions import geometry as g
+from quoin.operators import spatial
 from quoin.operators.graph import transitive_reduction
 from quoin.operators.joins import bounded
 
@@ -49,18 +52,31 @@ def pair_products(primitives: DataFrame) -> DataFrame:
     return pairs.select("gid_a", "gid_b", a.dot(b).alias("dot"), g.angle(a, b).alias("angle"))
 
 
+def _nearly_parallel(primitives: DataFrame, limit: float) -> DataFrame:
+    """Pairs of primitives (gid, px..pz, nx..nz) whose normals are nearer than limit to parallel, gid_a < gid_b, columns with _a and _b.
+
+    Normals, and their opposites on one side, meet by cells of the sphere, so far ones are never paired.
+    """
+    own = primitives.select("gid", "px", "py", "pz", "nx", "ny", "nz")
+    way = lambda sign: own.select(F.col("gid").alias("pid"), *[(sign * F.col("n" + c)).alias(c) for c in "xyz"], "px", "py", "pz", "nx", "ny", "nz")
+    kept = ("px", "py", "pz", "nx", "ny", "nz")
+    chord = 2 * math.sin(min(limit, math.pi / 2) / 2) * (1 + 1e-9) + 1e-12
+    near = spatial.radius_join(way(1.0), way(1.0).unionByName(way(-1.0)), chord, kept, kept).where("pid_a < pid_b")
+    # normals at right angles to within the limit can be near both a normal and its opposite
+    pairs = near.withColumnsRenamed({"pid_a": "gid_a", "pid_b": "gid_b"}).drop("d2").dropDuplicates(["gid_a", "gid_b"])
+    return pairs.where(parallel_score() > -limit)
+
+
 def coplanar(planes: DataFrame, angle: float, distance: float) -> DataFrame:
     """(gid_a, gid_b, score) of nearly parallel planes whose offsets differ by less than distance."""
-    pairs = _pairs(planes.select("gid", "px", "py", "pz", "nx", "ny", "nz"))
     gap = F.abs(g.Vec.of("px_b", "py_b", "pz_b").minus(g.Vec.of("px_a", "py_a", "pz_a")).dot(g.Vec.of("nx_a", "ny_a", "nz_a")))
-    return pairs.where(parallel_score() > -angle).withColumn("score", -gap).where(F.col("score") > -distance).select("gid_a", "gid_b", "score")
+    return _nearly_parallel(planes, angle).withColumn("score", -gap).where(F.col("score") > -distance).select("gid_a", "gid_b", "score")
 
 
 def coaxial(axes: DataFrame, angle: float, distance: float) -> DataFrame:
     """(gid_a, gid_b, score) of nearly parallel axes whose lines are nearer than distance."""
-    pairs = _pairs(axes.select("gid", "px", "py", "pz", "nx", "ny", "nz"))
     gap = g.line_distance(g.Vec.of("px_b", "py_b", "pz_b"), g.Vec.of("px_a", "py_a", "pz_a"), g.Vec.of("nx_a", "ny_a", "nz_a"))
-    return pairs.where(parallel_score() > -angle).withColumn("score", -gap).where(F.col("score") > -distance).select("gid_a", "gid_b", "score")
+    return _nearly_parallel(axes, angle).withColumn("score", -gap).where(F.col("score") > -distance).select("gid_a", "gid_b", "score")
 
 
 def best_per_group(edges: DataFrame, group: str) -> DataFrame:
@@ -70,15 +86,18 @@ def best_per_group(edges: DataFrame, group: str) -> DataFrame:
 
 def equal_values(values: DataFrame, limit: float) -> DataFrame:
     """(gid_a, gid_b, score) of pairs (lengths or radii in column value) that differ by less than limit."""
-    pairs = _pairs(values.select("gid", "value"))
+    own = values.select("gid", F.col("value").cast("double").alias("value"))
+    # equal values fall in the same or neighbouring bins of width limit, so this is an equi-join
+    one = own.select(F.col("gid").alias("gid_a"), F.col("value").alias("value_a"), F.explode(F.array(*[F.floor(F.col("value") / limit) + k for k in (-1, 0, 1)])).alias("bin"))
+    two = own.select(F.col("gid").alias("gid_b"), F.col("value").alias("value_b"), F.floor(F.col("value") / limit).alias("bin"))
+    pairs = one.join(two, "bin").where("gid_a < gid_b")
     return pairs.withColumn("score", -F.abs(F.col("value_a") - F.col("value_b"))).where(F.col("score") > -limit).select("gid_a", "gid_b", "score")
 
 
 def plane_gaps(planes: DataFrame, angle: float) -> DataFrame:
     """(gid_a, gid_b, value): distances of nearly parallel planes, whose equality is a relation of its own."""
-    pairs = _pairs(planes.select("gid", "px", "py", "pz", "nx", "ny", "nz")).where(parallel_score() > -angle)
     gap = F.abs(g.Vec.of("px_b", "py_b", "pz_b").minus(g.Vec.of("px_a", "py_a", "pz_a")).dot(g.Vec.of("nx_a", "ny_a", "nz_a")))
-    return pairs.select("gid_a", "gid_b", gap.alias("value"))
+    return _nearly_parallel(planes, angle).select("gid_a", "gid_b", gap.alias("value"))
 
 
 def equal_angles(roots: DataFrame, limit: float) -> DataFrame:
