@@ -28,3 +28,10 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small_batches(spark: SparkSession, rows: str = "1000") -> None:
+    """Fewer rows at a time to Python workers, as rows hold whole texts: for a session that leaves Spark's default; one that has set a number keeps it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, rows)
