@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.lineage import cut, removed, shared_folder
+from quoin.lineage import cut, removed, shared_folder, small_batches
 from quoin.llm import mixing, pieces, pii, simhash, toxicity
 
 
@@ -22,9 +22,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts score alike (see toxicity.score), equal texts go or stay together, repeated
     rows stay, an empty table stays empty, and all columns stay.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.without_toxic(docs, toxicity.fit(cut(toxicity.labelled(docs, labels))))
+    return toxicity.without_toxic(docs, toxicity.packed(cut(toxicity.labelled(docs, labels))))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -49,7 +48,7 @@ class Pieces:
         self.splits = all(SPACE not in p.lstrip(SPACE) for p in self.rank)
         self.cache: dict[str, bytes] = {}
         self.spelling = [bytes([self.bytes.index(i)]) if self.lib.is_byte(i) else b"" if self.lib.is_control(i) else self.lib.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
-        self.fits = lru_cache(1_000_000)(self._fits)
+        self.known: dict[tuple[str, str], bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short normalised text (or its single characters) after all merges."""
@@ -62,8 +61,14 @@ class Pieces:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def _fits(self, a: str, b: str) -> bool:
-        return self.merged(a + b) == [a, b]
+    def fits(self, a: str, b: str) -> bool:
+        """Whether two pieces are the encoding of their joint text; kept in a plain table, so that nothing outlives its model."""
+        known = self.known.get((a, b))
+        if known is None:
+            if len(self.known) >= 1_000_000:
+                self.known.clear()
+            known = self.known[a, b] = self.merged(a + b) == [a, b]
+        return known
 
     def ids_of(self, piece: str) -> list[int]:
         if piece in self.rank:

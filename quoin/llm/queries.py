@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.lineage import cut
+from quoin.lineage import cut, small_batches
 from quoin.llm import htmltext, matroska, mixing, pieces, pii, quotes, simhash, toxicity, urlfilter, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,8 +15,7 @@ ORACLES: dict[str, str] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    # rows hold whole texts, so fewer of them go to a Python worker at a time
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +23,8 @@ from quoin.llm.simhash import shingle_hashes
 SAMPLE = 4096
 NEIGHBOURS = 15
 BLOCK = 64
-FREQUENT = 512
-AT_ONCE = 128
+FREQUENT = 256
+AT_ONCE = 64
 THRESHOLD = 0.3
 _WORD = re.compile(r"\w+")
 _EPS = 0.05
@@ -70,6 +73,11 @@ def term_weights(own: Examples) -> np.ndarray:
     return (np.log((1 + n) / (1 + df)) + 1) * (1 + 10 * np.maximum(0.0, ratio) / (2 * math.log(max(2, 2 * many))))
 
 
+def _short(x: np.ndarray) -> np.ndarray:
+    """x rounded to single precision: half the bytes to send; sums are in double."""
+    return x.astype(np.float32).astype(np.float64)
+
+
 class Index:
     """Unit TF-IDF vectors of all examples, over all their words, in posting lists cut into blocks of examples.
 
@@ -81,8 +89,9 @@ class Index:
     """
 
     def __init__(self, own: Examples):
-        self.terms = {t: i for i, t in enumerate(own.words)}
-        self.idf = term_weights(own)
+        self.words = "\n".join(own.words)
+        self._hash(own.words)
+        self.idf = _short(term_weights(own))
         weight = (1 + np.log(own.times)) * self.idf[own.term] if len(own.term) else np.zeros(0)
         norm = np.sqrt(np.bincount(own.member, weight * weight, minlength=len(own.ids)))
         weight = weight / norm[own.member]
@@ -94,16 +103,27 @@ class Index:
         place[layout] = np.arange(len(layout))
         self.ids, self.labels, self.examples = [own.ids[i] for i in layout], own.labels[layout].astype(np.float64), len(layout)
         by = np.lexsort((own.term, place[own.member]))
-        self.flat = (own.term[by].astype(np.int32), weight[by], place[own.member][by].astype(np.int32))
+        self.flat = (own.term[by].astype(np.int32), _short(weight[by]), place[own.member][by].astype(np.int32))
         self._lists()
 
+    @property
+    def terms(self) -> dict[str, int]:
+        return {t: i for i, t in enumerate(self.words.split("\n"))} if len(self.idf) else {}
+
+    def _hash(self, words: list[str]) -> None:
+        """Words are looked up by 64-bit hashes in sorted order, in a tenth of the room of a table of strings."""
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+        self.order = np.argsort(hashes).astype(np.int32)
+        self.hashes = hashes[self.order]
+
     def _lists(self) -> None:
         """Posting lists and block maxima."""
         term, weight, member = self.flat
-        times = np.bincount(term, minlength=len(self.terms))
+        many = len(self.idf)
+        times = np.bincount(term, minlength=many)
         self.blocks = -(-self.examples // BLOCK)
         common = np.argsort(-times, kind="stable")[:FREQUENT]
-        self.column = np.full(len(self.terms), -1, np.int32)
+        self.column = np.full(many, -1, np.int32)
         self.column[common] = np.arange(len(common))
         column = self.column[term]
         dense = np.zeros((self.blocks * BLOCK, len(common)))
@@ -113,29 +133,36 @@ class Index:
         self.most = self.dense.max(axis=1)
         rare = np.nonzero(~often)[0]
         rare = rare[np.argsort(term[rare], kind="stable")]
-        self.members, self.weights = member[rare], weight[rare]
-        self.starts = np.searchsorted(term[rare], np.arange(len(self.terms) + 1)).astype(np.int32)
-
-    PLAIN = ("terms", "idf", "ids", "labels", "examples", "blocks", "column", "dense", "most", "members", "weights", "starts")
+        self.members, self.weights = member[rare], weight[rare].astype(np.float32)
+        self.starts = np.searchsorted(term[rare], np.arange(many + 1)).astype(np.int32)
 
     def plain(self) -> dict:
-        """What a search needs, as arrays and built-in types: a worker process then reads a broadcast once for all its tasks."""
-        return {k: self.__dict__[k] for k in self.PLAIN}
+        """The index as arrays and built-in types, weights in single precision, which is what they are rounded to."""
+        term, weight, member = self.flat
+        return {"words": self.words, "hashes": self.hashes, "order": self.order, "idf": self.idf.astype(np.float32), "ids": self.ids, "labels": self.labels.astype(np.int8), "flat": (term, weight.astype(np.float32), member)}
 
     @classmethod
     def of(cls, plain: dict) -> Index:
         own = cls.__new__(cls)
-        own.__dict__.update(plain)
+        term, weight, member = plain["flat"]
+        own.words, own.hashes, own.order = plain["words"], plain["hashes"], plain["order"]
+        own.idf, own.ids, own.labels = plain["idf"].astype(np.float64), plain["ids"], plain["labels"].astype(np.float64)
+        own.flat, own.examples = (term, weight, member), len(plain["ids"])
+        own._lists()
+        own.flat = None  # a search needs the lists alone
         return own
 
     def vector(self, tf: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """A text's known words and their weights, of length one."""
-        known = self.terms
-        pairs = [(known[t], n) for t, n in tf.items() if t in known]
-        if not pairs:
+        if not tf or not len(self.hashes):
             return np.zeros(0, np.int64), np.zeros(0)
-        at = np.array([p[0] for p in pairs], np.int64)
-        w = (1 + np.log(np.array([p[1] for p in pairs], np.float64))) * self.idf[at]
+        asked = np.fromiter((xxhash.xxh64_intdigest(t) for t in tf), np.uint64, len(tf))
+        spot = np.minimum(np.searchsorted(self.hashes, asked), len(self.hashes) - 1)
+        known = self.hashes[spot] == asked
+        if not known.any():
+            return np.zeros(0, np.int64), np.zeros(0)
+        at = self.order[spot[known]].astype(np.int64)
+        w = (1 + np.log(np.fromiter(tf.values(), np.float64, len(tf))[known])) * self.idf[at]
         order = np.argsort(at)
         at, w = at[order], w[order]
         return at, w / math.sqrt(float((w * w).sum()))
@@ -183,7 +210,9 @@ class Index:
 
 
 class Model:
-    """An index, the rate of toxic texts, and a monotone calibration of the vote."""
+    """An index, the rate of toxic texts, and a monotone calibration of the vote; body is the model packed, if it came so."""
+
+    body: bytes | None = None
 
     def __init__(self, index: Index, rate: float, neighbours: int = NEIGHBOURS, wordless: tuple[int, int] = (0, 0)):
         """wordless: how many examples have no word, and how many of these are toxic."""
@@ -259,29 +288,17 @@ def without_copies(examples: DataFrame, least: float = 0.8) -> DataFrame:
     return keyed.groupBy("least", "toxic").applyInPandas(keep, "id long, text string, toxic int")
 
 
-def fit(examples: DataFrame, neighbours: int = NEIGHBOURS) -> Model:
-    """A model from examples(id, text, toxic), a table bounded by the sample: all its examples that have words, over all their words.
-
-    Executors count words; the driver gets each example's counts, weighs words (see term_weights)
-    and calibrates on leave-one-out votes. No examples, or none of a label, give a model that scores
-    every text alike. Null texts and labels count as empty texts and label 0; of equal and similar
-    texts one is learned from (see without_copies).
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [counts(x.as_py()) for x in batch.column(1)]
-            marks = [hashlib.sha256((x.as_py() or "").encode("utf-8", "replace")).hexdigest() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(marks, pa.string()), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], ["id", "toxic", "mark", "words", "times"])
-
-    single = without_copies(examples.select("id", "text", F.coalesce(F.col("toxic").cast("int"), F.lit(0)).alias("toxic")))
-    table = cut(single.mapInArrow(count, "id long, toxic int, mark string, words array<string>, times array<int>")).toArrow().combine_chunks()
-    n, n1 = table.num_rows, int(np.sum(table.column("toxic").to_numpy())) if table.num_rows else 0
+def _built(table: pa.Table, neighbours: int) -> Model:
+    """A model from a table of ids, labels, marks, words and times."""
+    table = table.combine_chunks()
+    n = table.num_rows
+    labels = table.column("toxic").to_numpy() if n else np.zeros(0, np.int64)
+    n1 = int(labels.sum())
     rate = (n1 + 0.5) / (n + 1) if n else 0.0
     if not 0 < n1 < n:
         return Model(Index(Examples.of([])), rate, neighbours)
     one = lambda name: table.column(name).chunk(0)
-    own = Examples(one("id").to_pylist(), one("toxic").to_numpy(), one("mark").to_pylist(), one("words"), one("times"))
+    own = Examples(one("id").to_pylist(), labels, one("mark").to_pylist(), one("words"), one("times"))
     bare = np.bincount(own.member, minlength=n) == 0
     index = Index(own)
     model = Model(index, rate, neighbours, (int(bare.sum()), int(own.labels[bare].sum())))
@@ -292,6 +309,63 @@ def fit(examples: DataFrame, neighbours: int = NEIGHBOURS) -> Model:
     return model
 
 
+def _bytes(model: Model) -> bytes:
+    return zlib.compress(pickle.dumps(model.plain()), 1)
+
+
+def _model(body: bytes) -> Model:
+    return Model.of(pickle.loads(zlib.decompress(body)))
+
+
+def packed(examples: DataFrame, neighbours: int = NEIGHBOURS) -> bytes:
+    """fit(), pickled as arrays and built-in types: one task builds it, so the driver holds its bytes alone."""
+    names = ["id", "toxic", "mark", "words", "times"]
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32())]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [counts(x.as_py()) for x in batch.column(1)]
+            marks = [hashlib.sha256((x.as_py() or "").encode("utf-8", "replace")).hexdigest() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(marks, pa.string()), pa.array([list(f) for f in found], kinds[3]), pa.array([list(f.values()) for f in found], kinds[4])], names)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema(list(zip(names, kinds, strict=True)))
+        table = pa.Table.from_batches([b.cast(schema) for b in batches], schema)
+        yield pa.RecordBatch.from_arrays([pa.array([_bytes(_built(table, neighbours))], pa.binary())], ["model"])
+
+    single = without_copies(examples.select("id", "text", F.coalesce(F.col("toxic").cast("int"), F.lit(0)).alias("toxic")))
+    counted = cut(single.mapInArrow(count, "id long, toxic int, mark string, words array<string>, times array<int>"))
+    # at most the sample's examples
+    made = counted.repartition(1).mapInArrow(build, "model binary").collect()
+    return bytes(made[0]["model"]) if made else _bytes(Model(Index(Examples.of([])), 0.0, neighbours))
+
+
+def fit(examples: DataFrame, neighbours: int = NEIGHBOURS) -> Model:
+    """A model from examples(id, text, toxic), a table bounded by the sample: all its examples that have words, over all their words.
+
+    Executors count words; one task gets each example's counts, weighs words (see term_weights) and
+    calibrates on leave-one-out votes. No examples, or none of a label, give a model that scores
+    every text alike. Null texts and labels count as empty texts and label 0; of equal and similar
+    texts one is learned from (see without_copies).
+    """
+    body = packed(examples, neighbours)
+    model = _model(body)
+    model.body = body
+    return model
+
+
+def _shared(docs: DataFrame, model: Model | bytes):
+    """A broadcast of a model's bytes, bounded by the sample."""
+    return docs.sparkSession.sparkContext.broadcast(model if isinstance(model, bytes) else model.body or _bytes(model))
+
+
+def _own(shared) -> Model:
+    """The model of a broadcast, unpacked once in a worker process: there a broadcast is one object for all tasks, and goes with it."""
+    if not hasattr(shared, "model"):
+        shared.model = _model(shared.value)
+    return shared.model
+
+
 def held_out(key: Column) -> Column:
     """crc32 of the id as text leaves 2 modulo 4; false for a null id."""
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
@@ -313,17 +387,17 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 SCORES = "doc_id long, score double, neighbours array<struct<doc_id:long,toxic:int,cosine:double>>"
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, model: Model | bytes, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted, neighbours) per row of docs, from the whole text alone.
 
     Null and empty texts, and texts without a word of the examples, get one score (see
     Model.score); equal texts get equal scores; null and repeated ids stay; an empty table gives no rows; other
     columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model.plain())  # bounded by the sample
+    shared = _shared(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model.of(shared.value)
+        own = _own(shared)
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
         for whole in batches:
             for batch in (whole.slice(i, AT_ONCE) for i in range(0, whole.num_rows, AT_ONCE)):
@@ -335,17 +409,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "neighbours")
 
 
-def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def without_toxic(docs: DataFrame, model: Model | bytes, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose text scores below threshold, with all their columns.
 
     Null and empty texts score as in score(), equal texts stay or go together, a score equal to the
     threshold goes, repeated rows stay, and an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model.plain())
+    shared = _shared(docs, model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model.of(shared.value)
+        own = _own(shared)
         for whole in batches:
             for batch in (whole.slice(i, AT_ONCE) for i in range(0, whole.num_rows, AT_ONCE)):
                 yield batch.filter(pa.array(own.score([x.as_py() for x in batch.column(at)])[0] < threshold, pa.bool_()))

@@ -92,6 +92,45 @@ def test_similar_texts(spark):
     assert {r.doc_id for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("name", ["sf0.001", "sf0.01"])
+def test_near_copies_of_the_given_documents(spark, folder, name):
+    """The stage keeps the smallest id of each component of all pairs of similarity 0.8 or more."""
+    docs = spark.read.parquet(f"{folder.replace('sf0.001', name)}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    sets = [shingles(t) for _, t in rows]
+    by = {}
+    for i, own in enumerate(sets):
+        for x in own:
+            by.setdefault(x, []).append(i)
+    pairs = {(a, b) for own in by.values() for k, a in enumerate(own) for b in own[k + 1 :]}
+    links = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    bare = [i for i, own in enumerate(sets) if not own]
+    root = groups(len(rows), links + [(bare[0], i) for i in bare[1:]])
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [rows[i][0] for i in sorted(set(root))]
+
+
+def test_families_in_blocks_and_long_lists(spark, monkeypatch):
+    """Small blocks, lists and broadcasts change nothing."""
+    rng = random.Random(8)
+    rows = []
+    for _ in range(12):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.choice([12, 40, 300, 1500]))]
+        for _ in range(30):
+            own = list(base)
+            for _ in range(rng.choice([0, 1, len(base) // 60, len(base) // 30])):
+                own[rng.randrange(len(own))] = f"x{rng.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.doc_id for r in simhash.one_of_each(df).collect()}
+    sets = [shingles(t) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert want == set(groups(len(rows), links))
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    monkeypatch.setattr(simhash, "LIST", 5)
+    monkeypatch.setattr(simhash, "SENT", 0)
+    assert {r.doc_id for r in simhash.one_of_each(df).collect()} == want
+
+
 def test_similar_short_texts_are_all_found(spark):
     rng = random.Random(3)
     rows = []
@@ -184,6 +223,25 @@ def test_mask_leaves_no_base_span(documents):
         assert not base_spans(r.text or "")
 
 
+def test_added_spans_are_secrets(spark):
+    """Random keys said to be such are added, hashes said to be commits and dated names aren't."""
+    rng = random.Random(9)
+    key = lambda n: "".join(rng.choices(string.ascii_letters + string.digits, k=n)) + "9aZ"
+    rows, secret = [], {}
+    for i in range(300):
+        if i % 3 == 0:
+            secret[i] = rng.choice(["AKIA" + "".join(rng.choices(string.ascii_uppercase + string.digits, k=16)), key(30), "ghp_" + key(33)])
+            rows.append((i, f"some words api_key = {secret[i]} and more words"))
+        elif i % 3 == 1:
+            rows.append((i, f"see the release-notes-of-version-{rng.randint(1, 99)} page and build-{rng.randint(2000, 2030)}-name-of-branch here"))
+        else:
+            rows.append((i, "plain words without anything in them at all"))
+    got = {r.doc_id: [x.split(":") for x in r.spans.split(",")] if r.spans else [] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    found = {(i, text[i][int(a) : int(b)]) for i, spans in got.items() for k, a, b in spans if k == "secret"}
+    assert len(found & set(secret.items())) >= 0.95 * len(secret) and len(found - set(secret.items())) <= 5
+
+
 def test_long_secrets_are_masked_whole(spark):
     token = "".join(random.Random(7).choices(string.ascii_letters + string.digits, k=300))
     rows = [(0, f"api_key = {token} and more"), (1, f"token: {token[:199]}9"), (2, f"secret={token}9x==")]
@@ -571,6 +629,15 @@ def test_url_model_equals_plain_version(spark, folder):
             line = "\x02" * k + u.lower() + "\x03"
             want = sum(math.log(p("allow", line[i - k : i + 1]) / p("block", line[i - k : i + 1])) for i in range(k, len(line))) / (len(u) + 1)
             assert abs(want - r.score) < 3e-6
+    # the cut: the bin with the largest difference of the shares of accepted and rejected URLs at or above it
+    held = {u: (v, next(r.score for r in out if urls[r.page_id] == u)) for u, v in verdict.items() if halves[u] == 1}
+    at = lambda s: max(-urlfilter.BINS, min(urlfilter.BINS, math.floor(round(s * urlfilter.UNIT) / (urlfilter.UNIT // 100))))
+    good, bad = ([at(s) for v, s in held.values() if v == kind] for kind in ("allow", "block"))
+    share = lambda own, b: sum(x >= b for x in own) / len(own) if own else 0.0
+    best = max({*good, *bad}, key=lambda b: (share(good, b) - share(bad, b), b)) * (urlfilter.UNIT // 100) if good or bad else 0
+    for r in out:
+        if r.rule is None:
+            assert r.verdict == ("allow" if r.score is not None and round(r.score * urlfilter.UNIT) >= best else "block")
 
 
 def test_quotes_equal_sql(spark):
