@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -224,12 +224,13 @@ def _wide_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in (lefts, rights)], ["a", "b"])
 
 
-def _similar(least: float):
+def _similar(words: int, least: float):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("node")
         nodes, block = frame.node.to_numpy(), frame.block.to_numpy()
-        sizes = np.array([len(x) for x in frame.hashes])
-        flat = np.concatenate([np.asarray(x, np.int64) for x in frame.hashes]) if len(frame) else np.zeros(0, np.int64)
+        hashes = [shingle_hashes(x, words) for x in frame.text]
+        sizes = np.array([len(x) for x in hashes])
+        flat = np.concatenate(hashes)
         owner = np.repeat(np.arange(len(frame)), sizes)
         _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
         shared = times[column] > 1
@@ -397,6 +398,27 @@ def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     return some.groupBy("node").agg(F.first("text").alias("text")).join(nodes, "node")
 
 
+def _thinned(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """rows with only those shingles in the array column first whose bits are set, and only rows with any left."""
+    at = rows.columns.index("first")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, ends = batch.column(at).flatten(), np.cumsum(pc.list_value_length(batch.column(at)).to_numpy())
+            stays = _set(bits, flat.to_numpy() & _SHORT)
+            n = np.concatenate([[0], np.cumsum(stays)])[np.concatenate([[0], ends]).astype(np.int64)]
+            first = pa.ListArray.from_arrays(pa.array(n.astype(np.int32)), flat.filter(pa.array(stays)))
+            out = pa.RecordBatch.from_arrays([first if k == at else batch.column(k) for k in range(batch.num_columns)], batch.schema.names)
+            yield out.filter(pa.array(np.diff(n) > 0))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _tiles() -> Column:
+    """The tiles (p, q) a row of column block meets others in, of its list's or family's number of blocks."""
+    return F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("p"), F.greatest("block", k).alias("q"))))
+
+
 def _remaining(marks: DataFrame, groups: DataFrame, least: float) -> DataFrame:
     """Edges (a, b) that connect all pairs of similar texts in different groups, by shared shingles: none is missed, some are not similar.
 
@@ -406,25 +428,17 @@ def _remaining(marks: DataFrame, groups: DataFrame, least: float) -> DataFrame:
     """
     short = F.col("x").bitwiseAND(F.lit(_SHORT))
     # equal hashes stay equal when cut to 40 bits, so every shared one is counted more than once
-    shared = cut(marks.select(F.explode("first").alias("x")).groupBy(short.alias("token")).agg(F.count("*").alias("times")).where("times > 1"))
-    bits = _bit_table(shared.select("token"))
-
-    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, ends = batch.column(2).flatten(), np.cumsum(pc.list_value_length(batch.column(2)).to_numpy())
-            stays = _set(bits, flat.to_numpy() & _SHORT)
-            n = np.concatenate([[0], np.cumsum(stays)])[np.concatenate([[0], ends])]
-            first = pa.ListArray.from_arrays(pa.array(n.astype(np.int32)), flat.filter(pa.array(stays)))
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), first, batch.column(3)], ["node", "size", "first", "sketch"])
-            yield out.filter(pa.array(np.diff(n) > 0))
-
-    left = marks.select("node", "size", "first", "sketch").mapInArrow(filtered, "node long, size long, first array<long>, sketch binary")
-    placed = left.join(groups, "node", "left").select(F.explode("first").alias("x"), "node", "size", "sketch", F.coalesce("component", "node").alias("group")).withColumn("token", short)
+    shared = marks.select(F.explode("first").alias("x")).groupBy(short.alias("token")).agg(F.count("*").alias("times")).where("times > 1").select("token")
+    few = _thinned(marks.select("node", "size", "first", "sketch"), _bit_table(cut(shared)))
+    left = cut(few.join(groups, "node", "left").select("node", "size", "first", "sketch", F.coalesce("component", "node").alias("group")))
+    # only the lists of shingles that texts of different groups share are built, as their rows hold sketches
+    held = left.select(F.explode("first").alias("x"), "group").groupBy("x").agg(F.count("*").alias("times"), F.min("group").alias("low"), F.max("group").alias("high"))
+    mixed = cut(held.where("low < high").select("x", "times"))
+    placed = _thinned(left, _bit_table(mixed.select(F.col("x").alias("token")))).select(F.explode("first").alias("x"), "node", "size", "sketch", "group")
     # the list of a common shingle is cut into blocks of which each two meet
-    long = cut(shared.where(F.col("times") > LIST).select("token", F.ceil(F.col("times") / F.lit(LIST)).cast("int").alias("blocks")))
-    placed = placed.join(F.broadcast(long) if long.count() <= SENT else long, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("p"), F.greatest("block", k).alias("q"))))
-    lists = placed.withColumn("tile", tile).groupBy("x", "tile.p", "tile.q").agg(F.collect_list(F.struct("node", "group", "size", "block", "sketch")).alias("all"), F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
+    long = cut(mixed.where(F.col("times") > LIST).select("x", F.ceil(F.col("times") / F.lit(LIST)).cast("int").alias("blocks")))
+    placed = placed.join(F.broadcast(long) if long.count() <= SENT else long, "x", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    lists = placed.withColumn("tile", _tiles()).groupBy("x", "tile.p", "tile.q").agg(F.collect_list(F.struct("node", "group", "size", "block", "sketch")).alias("all"), F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
     return lists.select("all.node", "all.group", "all.size", "all.block", "all.sketch", (F.col("p") == F.col("q")).alias("same")).mapInArrow(_meetings(least), "a long, b long")
 
 
@@ -481,15 +495,9 @@ def similar_groups(docs: DataFrame, text_col: str = "text", words: int = 5, leas
     extent = own.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("size") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
     members = own.select("node", "component").join(extent, "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
 
-    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [shingle_hashes(x.as_py(), words).view(np.int64) for x in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(lists, pa.list_(pa.int64())), batch.column(4)], ["node", "component", "block", "hashes", "blocks"])
-
-    hashed = _texts_of(texts, cut(members)).select("node", "component", "block", "text", "blocks").mapInArrow(shingle, "node long, component long, block int, hashes array<long>, blocks int")
-    tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("p"), F.greatest("block", k).alias("q"))))
-    met = hashed.withColumn("tile", tile).select("component", "tile.p", "tile.q", "node", "block", "hashes")
-    linked = cut(met.groupBy("component", "p", "q").applyInPandas(_similar(least), "a long, b long"))
+    # texts are moved rather than their hashes, which are larger and don't compress
+    met = _texts_of(texts, cut(members)).withColumn("tile", _tiles()).select("component", "tile.p", "tile.q", "node", "block", "text")
+    linked = cut(met.groupBy("component", "p", "q").applyInPandas(_similar(words, least), "a long, b long"))
     return components(linked, "a", "b")
 
 
