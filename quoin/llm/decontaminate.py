@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quoin.lineage import cut
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 SHINGLE = 3
 BROADCAST_BYTES = 64 << 20
@@ -17,7 +18,8 @@ BROADCAST_BYTES = 64 << 20
 
 def words_of(text: Column) -> Column:
     """The words of a text, A-Z lower-cased; null has none."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase), F.lit(WORD), F.lit(0))
+    lower = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    return F.array_remove(F.split(lower, BETWEEN), "")
 
 
 def _shingles(words: str, k: int) -> Column:

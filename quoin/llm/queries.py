@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoin.lineage import cut, small_batches
-from quoin.llm import decontaminate, htmltext, matroska, mixing, pieces, pii, quotes, simhash, toxicity, urlfilter, vectors
+from quoin.llm import codes, decontaminate, htmltext, matroska, merkle, mixing, pieces, pii, quotes, simhash, toxicity, urlfilter, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,10 +62,18 @@ def op10_quotes(spark: SparkSession, folder: str) -> DataFrame:
     return quotes.link(table(spark, folder, "conversations"))
 
 
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.document_manifest(table(spark, folder, "documents"))
+
+
 def op12_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("items")
 
 
+def op13_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return codes.compressed(table(spark, folder, "embeddings"))
+
+
 def quoted_conversations(spark: SparkSession, folder: str) -> DataFrame:
     """op10's linking over conversations whose messages quote those before them; the given ones hold no quoted line."""
     return quotes.link(quotes.with_quotations(table(spark, folder, "conversations")))
@@ -87,8 +95,12 @@ QUERIES["op8_url_filter"] = op8_url_filter
 QUERIES["op9_mixing"] = op9_mixing
 QUERIES["op10_quotes"] = op10_quotes
 ORACLES["op10_quotes"] = quotes.ORACLE
+QUERIES["op11_merkle"] = op11_merkle
+ORACLES["op11_merkle"] = merkle.oracle()
 QUERIES["op12_decontaminate"] = op12_decontaminate
 ORACLES["op12_decontaminate"] = decontaminate.ORACLE
+QUERIES["op13_codes"] = op13_codes
+ORACLES["op13_codes"] = codes.oracle()
 QUERIES["quoted_conversations"] = quoted_conversations
 ORACLES["quoted_conversations"] = quotes.quoted_oracle()
 QUERIES["built_conversations"] = built_conversations
