@@ -13,7 +13,7 @@ from quoin.lineage import cut
 def test_names_and_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash", "pii", "mixing", "sentencepiece"]
     numbers = sorted(int(m[1]) for k in queries.QUERIES if (m := re.match(r"op([0-9]+)_", k)))
-    assert numbers == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 def test_stages(spark, folder):
