@@ -18,7 +18,7 @@ SCALE = 1024
 PARTS = 4
 ENTRIES = 256
 ROUNDS = 4
-LEAF = 8
+LEAF = 32
 #: Components of at least this are left out: their squared distances, summed over 1,024 components, would not fit a long.
 LARGEST = 32768.0
 AHEAD = 4096
@@ -67,6 +67,17 @@ def nearest(points: np.ndarray, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
     best = np.full(len(points), np.iinfo(np.int64).max)
     index = np.full(len(points), len(tree.entries), np.int64)
 
+    # products of doubles are exact as long as all sums stay below 2^53
+    exact = max((int(np.abs(a).max(initial=0)) for a in (points, tree.entries)), default=0) ** 2 * 4 * max(1, points.shape[1]) < 2**53
+    fine, entries = points.astype(np.float64), tree.entries.astype(np.float64)
+    squares, lengths = (fine * fine).sum(axis=1), (entries * entries).sum(axis=1)
+
+    def apart(rows: np.ndarray, own: np.ndarray) -> np.ndarray:
+        if exact:
+            return (squares[rows, None] + lengths[own] - 2.0 * (fine[rows] @ entries[own].T)).astype(np.int64)
+        out = points[rows][:, None] - tree.entries[own]
+        return (out * out).sum(axis=2)
+
     def bound(node: Node, rows: np.ndarray) -> np.ndarray:
         p = points[rows]
         out = np.maximum(np.maximum(node.low - p, p - node.high), 0)
@@ -74,12 +85,12 @@ def nearest(points: np.ndarray, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
 
     def visit(node: Node, rows: np.ndarray) -> None:
         if node.own is not None:
-            for i in node.own:
-                d = points[rows] - tree.entries[i]
-                d = (d * d).sum(axis=1)
-                better = (d < best[rows]) | ((d == best[rows]) & (i < index[rows]))
-                hit = rows[better]
-                best[hit], index[hit] = d[better], i
+            d = apart(rows, node.own)
+            least = d.argmin(axis=1)  # the first of equal ones, and own is ascending
+            d, found = d[np.arange(len(rows)), least], node.own[least]
+            better = (d < best[rows]) | ((d == best[rows]) & (found < index[rows]))
+            hit = rows[better]
+            best[hit], index[hit] = d[better], found[better]
             return
         left, right = bound(node.left, rows), bound(node.right, rows)
         first = left <= right
