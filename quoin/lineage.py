@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +37,15 @@ def small_batches(spark: SparkSession, rows: str = "1000") -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, rows)
+
+
+@contextmanager
+def unconstrained(spark: SparkSession) -> Iterator[None]:
+    """Within it plans are made without inferred filters: a checkpoint keeps those known of its rows, and in a loop of joins they double each round."""
+    name = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -1,4 +1,4 @@
-"""Graphs of primitives: components as DataFrame rounds; trees and blocks of bounded graphs on the driver."""
+"""Graphs of primitives: components and spanning trees as DataFrame rounds."""
 
 from __future__ import annotations
 
@@ -60,133 +60,39 @@ def transitive_reduction(edges: DataFrame) -> DataFrame:
     return components(edges).where("node <> component").select(F.col("component").alias("src"), F.col("node").alias("dst"))
 
 
+def met(rows: DataFrame, table: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """rows (size of them) with table, a row per keys. Keys wanted by very many rows, of which few can exist, are met by broadcast, so that no task holds them."""
+    if size <= SPLIT:
+        return rows.join(table, keys)
+    most = max(SPLIT, size // 1000)
+    hot = cut(rows.groupBy(*keys).count().where(F.col("count") > most).select(*keys, F.lit(True).alias("_hot")))
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    few = F.broadcast(table.join(F.broadcast(hot.drop("_hot")), keys, "left_semi"))
+    return marked.where("_hot is null").drop("_hot").join(table, keys).unionByName(marked.where("_hot").drop("_hot").join(few, keys))
+
+
 def spanning_tree(edges: DataFrame) -> DataFrame:
-    """A minimum spanning forest of (src, dst, w) by Boruvka's rounds; ties by ids. Each round at least halves the trees."""
-    edges = cut(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w").groupBy("src", "dst").agg(F.min("w").alias("w")).where("src <> dst"))
-    chosen = None
-    names = cut(edges.select("src").union(edges.select("dst")).distinct().toDF("node").withColumn("tree", F.col("node")))
-    while True:
-        a, b = names.select(F.col("node").alias("src"), F.col("tree").alias("ta")), names.select(F.col("node").alias("dst"), F.col("tree").alias("tb"))
-        between = edges.join(a, "src").join(b, "dst").where("ta <> tb")
-        ends = between.select("src", "dst", "w", F.col("ta").alias("t")).union(between.select("src", "dst", "w", F.col("tb")))
-        best = cut(ends.groupBy("t").agg(F.min(F.struct("w", "src", "dst")).alias("e")).select("e.src", "e.dst", "e.w").distinct())
-        if best.isEmpty():
-            return chosen if chosen is not None else edges.limit(0)
-        chosen = best if chosen is None else chosen.unionByName(best)
-        joined = components(best.join(a, "src").join(b, "dst").select(F.col("ta").alias("src"), F.col("tb").alias("dst")))
-        names = cut(names.join(joined.withColumnRenamed("node", "tree"), "tree", "left").select("node", F.coalesce("component", "tree").alias("tree")))
-
-
-def articulation_points(edges: list[tuple[int, int]]) -> set[int]:
-    """Nodes whose removal disconnects their part of a bounded graph."""
-    near: dict[int, set[int]] = {}
-    for a, b in edges:
-        near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
-    order: dict[int, int] = {}
-    low: dict[int, int] = {}
-    out: set[int] = set()
-    for root in sorted(near):
-        if root in order:
-            continue
-        order[root] = low[root] = len(order)
-        stack, kids = [(root, -1, iter(sorted(near[root])))], 0
-        while stack:
-            v, parent, rest = stack[-1]
-            w = next(rest, None)
-            if w is None:
-                stack.pop()
-                if stack:
-                    u = stack[-1][0]
-                    low[u] = min(low[u], low[v])
-                    if u == root:
-                        kids += 1
-                    elif low[v] >= order[u]:
-                        out.add(u)
-            elif w == parent:
-                continue
-            elif w in order:
-                low[v] = min(low[v], order[w])
-            else:
-                order[w] = low[w] = len(order)
-                stack.append((w, v, iter(sorted(near[w]))))
-        if kids > 1:
-            out.add(root)
-    return out
-
-
-def _parts(edges: list[tuple[int, int, float]], nodes: set[int]) -> dict[int, int]:
-    """The smallest node each of nodes, and each end of edges, reaches."""
-    name: dict[int, int] = {n: n for n in nodes}
-
-    def find(x: int) -> int:
-        while name.setdefault(x, x) != x:
-            x = name[x]
-        return x
-
-    for a, b, _ in edges:
-        a, b = find(a), find(b)
-        name[max(a, b)] = min(a, b)
-    return {n: find(n) for n in list(name)}
-
-
-def biconnected(edges: list[tuple[int, int, float]]) -> list[list[tuple[int, int, float]]]:
-    """A bounded graph's edges in parts without articulation points.
-
-    Of these points the one with the weakest edges is taken out and put back into that one of the
-    parts it joined to which its edges are strongest on average (the first on ties), until none is left.
+    """A minimum spanning forest of (src, dst, w) by Boruvka's rounds; ties by ids. Each round at least halves the trees.
+
+    A tree follows its least edge to another one. As edges are in one order, only two trees can point to
+    each other, of which the smaller becomes the root; the others reach their roots by pointer jumping.
     """
-    rest = list(edges)
-    while points := articulation_points([(a, b) for a, b, _ in rest]):
-        weakest = min(sorted(points), key=lambda p: sum(w for a, b, w in rest if p in (a, b)))
-        own = [e for e in rest if weakest in e[:2]]
-        rest = [e for e in rest if weakest not in e[:2]]
-        far = {e: e[0] if e[1] == weakest else e[1] for e in own}
-        part = _parts(rest, set(far.values()))
-        strength: dict[int, list[float]] = {}
-        for e in own:
-            strength.setdefault(part[far[e]], []).append(e[2])
-        best = max(sorted(strength), key=lambda p: sum(strength[p]) / len(strength[p]))
-        rest += [e for e in own if part[far[e]] == best]
-    part = _parts(rest, set())
-    out: dict[int, list] = {}
-    for e in rest:
-        out.setdefault(part[e[0]], []).append(e)
-    return [out[k] for k in sorted(out)]
-
-
-def loop_free(edges: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
-    """Edges, strongest first, without those that close a loop: a parallel and orthogonal reduction of a bounded graph."""
-    name: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while name.setdefault(x, x) != x:
-            x = name[x]
-        return x
-
-    out = []
-    for e in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
-        a, b = find(e[0]), find(e[1])
-        if a != b:
-            name[max(a, b)] = min(a, b)
-            out.append(e)
-    return out
-
-
-def bipartite(edges: list[tuple[int, int]]) -> bool:
-    """Whether a bounded graph has no odd loop."""
-    near: dict[int, list[int]] = {}
-    for a, b in edges:
-        near.setdefault(a, []).append(b), near.setdefault(b, []).append(a)
-    side: dict[int, int] = {}
-    for root in near:
-        stack = [root] if root not in side else []
-        side.setdefault(root, 0)
-        while stack:
-            v = stack.pop()
-            for w in near[v]:
-                if w not in side:
-                    side[w] = 1 - side[v]
-                    stack.append(w)
-                elif side[w] == side[v]:
-                    return False
-    return True
+    own = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w").groupBy("src", "dst").agg(F.min("w").alias("w")).where("src <> dst")
+    live, chosen = cut(own.withColumns({"ta": F.col("src"), "tb": F.col("dst")})), None
+    while size := live.count():
+        ends = live.select("src", "dst", "w", F.col("ta").alias("t"), F.col("tb").alias("to")).union(live.select("src", "dst", "w", "tb", "ta"))
+        best = cut(ends.groupBy("t").agg(F.min(F.struct("w", "src", "dst", "to")).alias("e")))
+        found = best.select("e.src", "e.dst", "e.w").distinct()
+        chosen = found if chosen is None else chosen.unionByName(found)
+        back = best.select(F.col("t").alias("to"), F.col("e.to").alias("back"))
+        up = cut(met(best.select("t", F.col("e.to").alias("to")), back, ["to"], size).select("t", F.when((F.col("back") == F.col("t")) & (F.col("t") < F.col("to")), F.col("t")).otherwise(F.col("to")).alias("to")))
+        while True:
+            further = up.select(F.col("t").alias("to"), F.col("to").alias("then"))
+            nxt = cut(met(up, further, ["to"], size).select("t", F.col("then").alias("to"), (F.col("to") != F.col("then")).alias("moved")))
+            up = nxt.select("t", "to")
+            if nxt.where("moved").isEmpty():
+                break
+        for end in ("ta", "tb"):
+            live = met(live, up.withColumnsRenamed({"t": end, "to": "root"}), [end], size).withColumn(end, F.col("root")).drop("root")
+        live = cut(live.where("ta <> tb"))
+    return own.limit(0) if chosen is None else cut(chosen)

@@ -12,6 +12,7 @@ from quoin.functions import angles as an
 from quoin.functions import geometry as g
 from quoin.lineage import cut
 from quoin.operators import aggregates as ag
+from quoin.operators import blocks
 from quoin.operators import evaluate as ev
 from quoin.operators import filters as fl
 from quoin.operators import fit, graph
@@ -483,6 +484,49 @@ def spanning_tree(spark, d):
     return graph.spanning_tree(edges(spark, d).withColumn("w", (F.col("src") % 97 + F.col("dst") % 89).cast("double")))
 
 
+_NEAR = f"WITH RECURSIVE {v.PTS_EMB}, ge AS (SELECT a.pid AS a, b.pid AS b FROM pts_emb a JOIN pts_emb b ON a.pid < b.pid AND {v.distance2('a', 'b')} < 0.0016e0), s AS (SELECT a, b FROM ge UNION ALL SELECT b, a FROM ge)"
+# around(x, start, node): what each neighbour of x reaches without x; two edges of x share a loop if their far ends do
+_LOOPS = f"{_NEAR}, around(x, start, node) AS (SELECT a, b, b FROM s UNION SELECT r.x, r.start, s.b FROM around r JOIN s ON s.a = r.node WHERE s.b <> r.x), grouped AS (SELECT x, node, min(start) AS first FROM around JOIN s ON s.a = x AND s.b = node GROUP BY x, node)"
+
+
+def near_points(spark, d) -> DataFrame:
+    """A graph of all vectors as points: edges between those nearer than 0.04."""
+    p = t.points_embeddings(spark, d).select("pid", "x", "y", "z")
+    return sp.radius_join(p, p, 0.04).where("pid_a < pid_b").select(F.col("pid_a").alias("src"), F.col("pid_b").alias("dst"))
+
+
+@query("biconnected", f"{_LOOPS}, e(i, a, b) AS (SELECT row_number() OVER (ORDER BY a, b), a, b FROM ge), t AS (SELECT x, node, first, e.i FROM grouped JOIN e ON (e.a = least(x, node) AND e.b = greatest(x, node))), same AS (SELECT DISTINCT p.i AS i, q.i AS j FROM t p JOIN t q ON p.x = q.x AND p.first = q.first), r(i, low) AS (SELECT i, i FROM e UNION SELECT same.j, r.low FROM r JOIN same ON same.i = r.i), low AS (SELECT i, min(low) AS low FROM r GROUP BY i) SELECT e.a AS src, e.b AS dst, f.a AS block_src, f.b AS block_dst FROM low JOIN e USING (i) JOIN e f ON f.i = low.low")
+def biconnected(spark, d):
+    return blocks.blocks(near_points(spark, d)).select("src", "dst", "block_src", "block_dst")
+
+
+@query("articulation_points", f"{_LOOPS} SELECT x AS node, count(DISTINCT first) AS parts FROM grouped GROUP BY x HAVING count(DISTINCT first) > 1")
+def articulation_points(spark, d):
+    return blocks.articulation_points(blocks.blocks(near_points(spark, d)))
+
+
+@query("bridges", f"{_LOOPS}, n AS (SELECT x, first, count(*) AS n, min(node) AS node FROM grouped GROUP BY x, first) SELECT p.x AS src, p.node AS dst FROM n p JOIN n q ON p.node = q.x AND q.node = p.x WHERE p.n = 1 AND q.n = 1 AND p.x < p.node")
+def bridges(spark, d):
+    return blocks.bridges(blocks.blocks(near_points(spark, d)))
+
+
+@query("two_coloured", f"{_NEAR}, r(node, low, odd) AS (SELECT a, a, 0 FROM s UNION SELECT s.b, r.low, 1 - r.odd FROM r JOIN s ON s.a = r.node), c AS (SELECT node, min(low) AS component FROM r GROUP BY node), o AS (SELECT c.component, bool_or(x.n > 1) AS odd FROM (SELECT node, low, count(*) AS n FROM r GROUP BY node, low) x JOIN c ON c.node = x.node AND c.component = x.low GROUP BY c.component) SELECT c.node, c.component, CASE WHEN NOT o.odd THEN r.odd END AS colour FROM c JOIN o USING (component) JOIN (SELECT node, low, min(odd) AS odd FROM r GROUP BY node, low) r ON r.node = c.node AND r.low = c.component")
+def two_coloured(spark, d):
+    return blocks.two_coloured(near_points(spark, d))
+
+
+@query("dissolved_points")
+def dissolved_points(spark, d):
+    """decomposed(): by table, scores from the ids, as for the spanning tree."""
+    return blocks.decomposed(near_points(spark, d).withColumn("score", (F.col("src") % 97 + F.col("dst") % 89 + 1).cast("double")))
+
+
+@query("collapsed_relations")
+def collapsed_relations(spark, d):
+    own = cut(primitives(spark, d))
+    return blocks.collapsed(own, rl.parallel_orthogonal(own, 0.2), 0.3)
+
+
 _ACOS = "acos(least(1e0, abs(a.nx*b.nx+a.ny*b.ny+a.nz*b.nz)))"
 
 

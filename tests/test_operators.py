@@ -165,9 +165,6 @@ def test_graphs(spark):
             total += w
     assert {r.node: r.component for r in graph.components(df).collect()} == {v: find(v) for e in edges for v in e[:2]}
     assert graph.spanning_tree(df).agg(F.sum("w")).first()[0] == total
-    assert graph.articulation_points([(0, 1), (1, 2), (2, 0), (2, 3)]) == {2} and len(graph.biconnected([(0, 1, 1.0), (1, 2, 1.0), (2, 0, 1.0), (2, 3, 0.1)])) == 1
-    assert graph.bipartite([(0, 1), (1, 2), (2, 3), (3, 0)]) and not graph.bipartite([(0, 1), (1, 2), (2, 0)])
-    assert len(graph.loop_free([(0, 1, 1.0), (1, 2, 0.5), (0, 2, 0.9)])) == 2
 
 
 def test_relations(spark):
@@ -275,12 +272,6 @@ def test_second_level(spark):
     assert np.allclose(np.abs(back[0]), [1, 0, 0], atol=1e-9) and back[2] == (0.0, 1.0, 0.0)
 
 
-def test_articulation_point_stays_with_its_strongest_part():
-    bow_tie = [(0, 1, 1.0), (1, 2, 1.0), (0, 2, 1.0), (2, 3, 0.1), (3, 4, 1.0), (2, 4, 0.1)]
-    parts = graph.biconnected(bow_tie)
-    assert sorted(map(sorted, parts)) == [[(0, 1, 1.0), (0, 2, 1.0), (1, 2, 1.0)], [(3, 4, 1.0)]]
-
-
 def rectangle(x, y, z, u, v):
     c = np.array([[0, 0, 0], u, np.add(u, v), v], float) + [x, y, z]
     return [dict(zip("xyz", map(float, p), strict=True)) for p in c]
