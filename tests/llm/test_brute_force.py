@@ -567,6 +567,47 @@ def test_mix_meets_targets(documents):
     assert sorted(map(tuple, mixing.taken(m).collect())) == sorted(map(tuple, mixing.taken(mixing.mix(documents.select("doc_id", "source", "text"), block_words=200)).collect()))
 
 
+def test_mix_draws_come_through_the_tree(spark, documents, monkeypatch):
+    docs = documents.select("doc_id", "source", "text")
+    plan = lambda shards: mixing.mix(docs, shards=shards, block_words=60)
+    m = plan(8)
+    draws, quotas = m.draws.toPandas(), m.quotas.toPandas()
+    assert not draws.duplicated(["mix_source", "mix_epoch", "mix_bucket", "mix_block"]).any()
+    got = draws[~draws.mix_extra].groupby(["mix_source", "mix_epoch", "mix_shard"]).size()
+    per_shard = np.zeros(8, int)
+    for r in quotas.itertuples():
+        assert [got.get((r.mix_source, r.mix_epoch, k), 0) for k in range(8)] == list(r.quota) and r.upto[-1] == r.n
+        assert draws[(draws.mix_source == r.mix_source) & (draws.mix_epoch == r.mix_epoch)].mix_words.sum() == r.wanted
+        per_shard += np.array(r.quota)
+    assert np.ptp(per_shard) <= 1
+    words = lambda m: {r.doc_id: r.taken for r in mixing.taken(m).collect()}
+    one, other = words(m), words(plan(5))
+    assert one != other and sum(one.values()) == sum(other.values()) and one == words(plan(8))
+    order = [r.doc_id for r in mixing.shuffled(m, ["doc_id"]).coalesce(1).collect()]
+    assert sorted(order) == sorted(r.doc_id for r in mixing.mixed_rows(m, ["doc_id"]).collect()) and order != sorted(order)
+    tree = mixing.splitting_tree
+    monkeypatch.setattr(mixing, "splitting_tree", lambda q, s, seed: np.array([[n] + [0] * (s - 1) for n in q]).reshape(len(q), s))
+    assert words(plan(8)) != one and set(plan(8).draws.toPandas().mix_shard) == {0}
+    monkeypatch.setattr(mixing, "splitting_tree", lambda q, s, seed: 0 * tree(q, s, seed))
+    with pytest.raises(Exception, match="INVALID_ARRAY_INDEX"):  # no shard has a pool
+        plan(8)
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    rows = [(i, f"s{i % 2}", f"w{i} x", 7, "mine", 1.5) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, mix_size int, mix_shard string, `mix.k1` double")
+    m = mixing.mix(docs, block_words=4)
+    out = mixing.shuffled(m, docs.columns)
+    assert out.columns == docs.columns and {tuple(r)[3:] for r in out.collect()} == {(7, "mine", 1.5)}
+    assert {tuple(r)[2:] for r in mixing.mixed_rows(m, ["doc_id", "mix_shard"], shard="s", order="o").select("s", "o", "mix_shard").collect()} == {("mine",)}
+
+
+def test_empty_texts_of_a_source_are_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS_PER_BUCKET", 50)
+    m = mixing.mix(spark.range(1000).selectExpr("id as doc_id", "'a' as source", "'' as text"))
+    assert m.laid.select("mix_bucket").distinct().count() == 20 and mixing.taken(m).where("taken = 0 and shards = ''").count() == 1000
+
+
 def test_url_rules(spark):
     rows = ["http://a.com/x", "http://x.example.com/en/1", "http://www.example.com/en/1", "http://sub.www.example.com/en/1", "http://notexample.com/en/1", "http://a.NET/es/2?q", "http://a.net/fr/2#f", "http://a.net/de/", "ftp://com", "http://com/"]
     got = {r.host + r.path: (r.rule, r.verdict) for r in urlfilter.judge(spark.createDataFrame([(i, u) for i, u in enumerate(rows)], "page_id long, url string")).collect()}
