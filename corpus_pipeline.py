@@ -45,12 +45,12 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each source's documents, drawn until its target in words is met (whole epochs, then a permuted part).
+    """The mix: each source's documents, drawn by the shards' quotas until its target in words is met, in the shards' order.
 
     Documents without words are never drawn; a null source is one of its own, last in order; repeated
     rows count as often as they occur; an empty table gives no rows.
     """
-    return _counted(mixing.mixed_rows(mixing.mix(docs), docs.columns).drop("mix_shard", "mix_order")).select(docs.columns)
+    return _counted(mixing.shuffled(mixing.mix(docs), docs.columns)).select(docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
