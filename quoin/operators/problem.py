@@ -1,14 +1,12 @@
-"""The selection problem in relational form, and its solution on the driver (at most the variable limit)."""
+"""The selection problem in relational form, and what it selects."""
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quoin.operators import joins as jn
-from quoin.operators import windows
+from quoin.operators import selection, windows
 
 
 def variables(candidates: DataFrame) -> DataFrame:
@@ -38,77 +36,14 @@ def formulate(points: DataFrame, candidates: DataFrame, proximity: DataFrame, an
     return {"candidates": own, "linear": linear, "spatial": jn.spatial_costs(proximity, own, spatial), "directions": jn.direction_costs(ways, angles, pairwise), "cover": cover(own), "implies": implications(own)}
 
 
-def solve(costs: dict[tuple[int, int], float], pair: dict[tuple[int, int], float], spatial: dict[tuple[int, int], float] | None = None, exact_up_to: int = 14) -> tuple[float, dict[int, int]]:
-    """(energy, direction chosen per patch) of least sum of costs[patch, direction] + pair over ordered pairs of used directions + spatial over ordered patch pairs of different directions.
-
-    All terms are at least 0, so one candidate per patch is best. With few directions every subset is
-    tried; beyond that subsets grow and shrink greedily from the best single start until nothing
-    improves. A spatial term is then lowered patch by patch.
-    """
-    patches: dict[int, dict[int, float]] = {}
-    for (p, d), q in costs.items():
-        patches.setdefault(p, {})[d] = q
-    ways = sorted({d for _, d in costs})
-    spatial = spatial or {}
-
-    def value(used: frozenset) -> tuple[float, dict[int, int]] | None:
-        choice = {}
-        for p, own in patches.items():
-            best = min(((q, d) for d, q in own.items() if d in used), default=None)
-            if best is None:
-                return None
-            choice[p] = best[1]
-        for _ in range(20 if spatial else 0):
-            moved = False
-            for p, own in patches.items():
-                near = [(q, w) for (a, b), w in spatial.items() for q in ((b,) if a == p else ())]
-                best = min((q + 2 * sum(w for other, w in near if choice[other] != d), d) for d, q in own.items() if d in used)[1]
-                moved |= best != choice[p]
-                choice[p] = best
-            if not moved:
-                break
-        taken = set(choice.values())
-        total = sum(patches[p][d] for p, d in choice.items()) + sum(pair.get((a, b), 0.0) for a in taken for b in taken if a != b)
-        total += sum(w for (a, b), w in spatial.items() if choice.get(a) != choice.get(b))
-        return total, choice
-
-    best: tuple[float, dict[int, int]] | None = None
-    better = lambda new: new is not None and (best is None or new[0] < best[0] - 1e-12)
-    if len(ways) <= exact_up_to:
-        for n in range(1, len(ways) + 1):
-            for used in itertools.combinations(ways, n):
-                if better(new := value(frozenset(used))):
-                    best = new
-    else:
-        now = frozenset(ways)
-        best = value(now)
-        while best is not None:
-            options = [now - {d} for d in now if len(now) > 1] + [now | {d} for d in ways if d not in now]
-            found = min(((v, o) for o in options if (v := value(o)) is not None), key=lambda x: x[0][0], default=None)
-            if found is None or found[0][0] >= best[0] - 1e-12:
-                break
-            best, now = found
-    if best is None:
-        raise ValueError("some patch has no candidate")
-    return best
-
-
-def select(problem: dict[str, DataFrame], most: int = 1000) -> DataFrame:
-    """candidates with status 1 if chosen, else -2; at most most variables, which the driver holds."""
-    own = problem["candidates"].join(problem["linear"], "var").select("var", "gid", "did", "q").limit(most + 1).collect()
-    if len(own) > most:
-        raise ValueError(f"over {most} variables; limit the candidates first")
-    pair = {(r["did_a"], r["did_b"]): r["cost"] for r in problem["directions"].collect()}
-    patch = {r["var"]: r["gid"] for r in own}
-    near: dict[tuple[int, int], float] = {}
-    for r in problem["spatial"].collect():
-        near[patch[r["v0"]], patch[r["v1"]]] = r["q"]
-    costs: dict[tuple[int, int], float] = {}
-    for r in own:
-        costs[r["gid"], r["did"]] = min(r["q"], costs.get((r["gid"], r["did"]), float("inf")))
-    _, choice = solve(costs, pair, near)
-    rows = problem["candidates"].sparkSession.createDataFrame(sorted(choice.items()) or [], "gid long, _did long")
-    return problem["candidates"].join(F.broadcast(rows), "gid", "left").withColumn("status", F.when(F.col("did") == F.col("_did"), 1).otherwise(-2)).drop("_did")
+def select(problem: dict[str, DataFrame], most: int = selection.MOST_VARIABLES, most_nodes: int = selection.MOST_NODES) -> DataFrame:
+    """candidates with status 1 if chosen, else -2, of least energy to within the gap that selection.solved gives; at most most variables that interact."""
+    own = problem["candidates"].select("var", "gid", "did")
+    costs = own.join(problem["linear"], "var").select("gid", "did", "q")
+    ends = [own.select(F.col("var").alias(v), F.col("gid").alias(g)) for v, g in (("v0", "gid_a"), ("v1", "gid_b"))]
+    spatial = problem["spatial"].join(ends[0], "v0").join(ends[1], "v1").select("gid_a", "gid_b", "q")
+    rows = selection.solved(costs, problem["directions"], spatial, most, most_nodes).select("gid", F.col("did").alias("_did"))
+    return problem["candidates"].join(rows, "gid", "left").withColumn("status", F.when(F.col("did") == F.col("_did"), 1).otherwise(-2)).drop("_did")
 
 
 def subset_optimum(costs: DataFrame, pairs: DataFrame, directions: list[int]) -> DataFrame:

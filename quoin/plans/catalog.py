@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quoin.functions import angles as an
@@ -20,6 +20,7 @@ from quoin.operators import joins as jn
 from quoin.operators import problem as pb
 from quoin.operators import relations as rl
 from quoin.operators import represent as rp
+from quoin.operators import selection as sel
 from quoin.operators import scene, segment
 from quoin.operators import spatial as sp
 from quoin.plans import views as v
@@ -573,6 +574,35 @@ def select_exact_small(spark, d):
     return rounded(pb.subset_optimum(*selection(spark, d), list(range(6))), "energy")
 
 
+# a problem a nation: a patch per segment, five directions each; neighbouring segments pay where they differ. The oracle weighs all 5^5 choices
+_NATIONS = """cs AS (SELECT CAST(c_nationkey AS BIGINT) AS nat, c_mktsegment AS seg, k, round(avg(pow(c_acctbal/2500e0 - k, 2)), 9) AS q FROM customer, range(0, 5) AS s(k) GROUP BY c_nationkey, c_mktsegment, k),
+cc AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY nat ORDER BY seg) - 1 AS INTEGER) AS j FROM cs),
+mk AS (SELECT m FROM range(0, 3125) AS s(m)), ch AS (SELECT nat, j, m, k, q FROM cc JOIN mk ON k = (m // CAST(pow(5, j) AS BIGINT)) % 5),
+dd AS (SELECT nat, m, sum(q) AS data FROM ch GROUP BY nat, m), us AS (SELECT DISTINCT nat, m, k FROM ch),
+pw AS (SELECT a.nat, a.m, sum(abs(a.k - b.k)*0.05e0) AS pw FROM us a JOIN us b ON a.nat = b.nat AND a.m = b.m AND a.k <> b.k GROUP BY a.nat, a.m),
+sp AS (SELECT a.nat, a.m, count(*)*0.1e0 AS sp FROM ch a JOIN ch b ON a.nat = b.nat AND a.m = b.m AND b.j = a.j + 1 AND a.k <> b.k GROUP BY a.nat, a.m),
+ee AS (SELECT dd.nat, min(data + coalesce(pw, 0e0) + coalesce(sp, 0e0)) AS energy FROM dd LEFT JOIN pw ON pw.nat = dd.nat AND pw.m = dd.m LEFT JOIN sp ON sp.nat = dd.nat AND sp.m = dd.m GROUP BY dd.nat)"""
+
+
+def nation_problem(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    c = t.read(spark, d, "customer").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
+    off = F.col("c_acctbal").cast("double") / 2500.0 - F.col("k")
+    c = c.groupBy(F.col("c_nationkey").cast("long").alias("nat"), "c_mktsegment", "k").agg(F.round(F.avg(off * off), 9).alias("q"))
+    c = c.withColumn("j", F.dense_rank().over(Window.partitionBy("nat").orderBy("c_mktsegment")) - 1)
+    costs = c.select((F.col("nat") * 8 + F.col("j")).alias("gid"), (F.col("nat") * 8 + F.col("k")).alias("did"), "q")
+    ways = costs.select("did").distinct()
+    pairs = ways.select(F.col("did").alias("did_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("k")).withColumn("did_b", F.expr("did_a div 8 * 8 + k")).where("did_a <> did_b")
+    patches = costs.select("gid").distinct()
+    near = patches.toDF("gid_a").join(patches.toDF("gid_b"), (F.col("gid_b") == F.col("gid_a") + 1) & F.expr("gid_a div 8 = gid_b div 8"))
+    return costs, pairs.withColumn("cost", F.abs(F.col("did_a") - F.col("did_b")) * 0.05), near.withColumn("q", F.lit(0.1))
+
+
+@query("select_optimum", f"WITH {_NATIONS} SELECT nat * 8 AS component, {r('energy')} AS energy, 0e0 AS gap FROM ee")
+def select_optimum(spark, d):
+    """The least energy of each nation's problem, with its gap."""
+    return rounded(sel.solved(*nation_problem(spark, d)).select("component", "energy", "gap").distinct(), "energy", "gap")
+
+
 # a triangle for every tenth embedding: its place and two corners 0.3 away along x and y
 _TRIS = f"""{v.PTS_EMB}, ts AS (SELECT pid AS tid, x AS ax, y AS ay, z AS az FROM pts_emb WHERE pid % 10 = 0),
 c AS (SELECT p.pid, t.tid, p.x-t.ax AS x, p.y-t.ay AS y, p.z-t.az AS z FROM pts_emb p CROSS JOIN ts t),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quoin.functions import angles as an
 from quoin.functions import geometry as g
 from quoin.operators import aggregates as ag
-from quoin.operators import baselines, candidates, evaluate, filters, fit, graph, joins, problem, relations, scene, segment, spatial
+from quoin.operators import baselines, candidates, evaluate, filters, fit, graph, joins, problem, relations, scene, segment, selection, spatial
 from quoin.sources import files
 
 
@@ -63,10 +63,8 @@ PAIRS = {(a, b): v for x, v in {(0, 1): 0.3, (0, 2): 0.4, (1, 2): 0.6}.items() f
 
 
 def test_selection(spark):
-    energy, choice = problem.solve(COSTS, PAIRS)
-    assert abs(energy - 2.2) < 1e-9 and choice == {0: 1, 1: 0, 2: 0}
-    greedy, _ = problem.solve(COSTS, PAIRS, exact_up_to=0)
-    assert greedy >= energy - 1e-9
+    energy, choice, gap = selection.solve(COSTS, PAIRS)
+    assert abs(energy - 2.2) < 1e-9 and choice == {0: 1, 1: 0, 2: 0} and gap == 0
     costs = spark.createDataFrame([(p, d, q) for (p, d), q in COSTS.items()], "gid long, did long, q double")
     pairs = spark.createDataFrame([(a, b, c) for (a, b), c in PAIRS.items()], "did_a long, did_b long, cost double")
     every = sorted((round(r.energy, 9), r.subset) for r in problem.subset_optimum(costs, pairs, [0, 1, 2]).collect())
@@ -83,7 +81,64 @@ def test_selection_against_enumeration(seed):
     for a, b in itertools.combinations(range(4), 2):
         pairs[a, b] = pairs[b, a] = rng.random() / 3
     best = min(sum(costs[p, d] for p, d in enumerate(c)) + sum(pairs[a, b] for a in set(c) for b in set(c) if a != b) for c in itertools.product(range(4), repeat=4) if all((p, d) in costs for p, d in enumerate(c)))
-    assert abs(problem.solve(costs, pairs)[0] - best) < 1e-9
+    assert abs(selection.solve(costs, pairs)[0] - best) < 1e-9
+
+
+def _least(costs, pairs, spatial, patches, ways):
+    import itertools
+
+    best = math.inf
+    for c in itertools.product(ways, repeat=len(patches)):
+        if all((p, d) in costs for p, d in zip(patches, c)):
+            used, own = set(c), dict(zip(patches, c))
+            own_pairs = sum(pairs.get((a, b), 0.0) for a in used for b in used if a != b)
+            best = min(best, sum(costs[p, d] for p, d in own.items()) + own_pairs + sum(w for (a, b), w in spatial.items() if own[a] != own[b]))
+    return best
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_optimum_with_spatial_terms(seed):
+    rng = random.Random(seed)
+    patches, ways = range(rng.randint(1, 5)), range(rng.randint(1, 5))
+    costs = {(p, d): rng.random() for p in patches for d in ways if rng.random() < 0.8 or d == p % len(ways)}
+    pairs = {(a, b): rng.random() / 3 for a in ways for b in ways if a != b}
+    spatial = {(a, b): rng.random() / 3 for a in patches for b in patches if a != b and rng.random() < 0.5}
+    energy, choice, gap = selection.solve(costs, pairs, spatial)
+    assert abs(energy - _least(costs, pairs, spatial, list(patches), list(ways))) < 1e-9 and gap == 0
+    assert all((p, d) in costs for p, d in choice.items()) and set(choice) == set(patches)
+
+
+def test_optimum_of_many_parts(spark):
+    """200 variables in ten parts of four patches and five directions, against the enumeration of each part."""
+    rng = random.Random(3)
+    costs, pairs, spatial, want = {}, {}, {}, {}
+    for part in range(10):
+        patches, ways = [part * 10 + i for i in range(4)], [part * 10 + i for i in range(5)]
+        own = ({(p, d): rng.random() for p in patches for d in ways}, {(a, b): rng.random() / 4 for a in ways for b in ways if a != b}, {(patches[0], patches[1]): 0.2, (patches[1], patches[2]): 0.1})
+        want[part * 10] = _least(*own, patches, ways)
+        for mine, all_ in zip(own, (costs, pairs, spatial)):
+            all_.update(mine)
+    assert len(costs) == 200
+    table = lambda rows, names: spark.createDataFrame([(a, b, q) for (a, b), q in rows.items()], names)
+    args = table(costs, "gid long, did long, q double"), table(pairs, "did_a long, did_b long, cost double"), table(spatial, "gid_a long, gid_b long, q double")
+    got = selection.solved(*args).collect()
+    assert len(got) == 40 and all(abs(r.energy - want[r.component]) < 1e-9 and r.gap == 0 for r in got)
+    # the whole as one problem has the same optimum
+    energy, _, gap = selection.solve(costs, pairs, spatial)
+    assert abs(energy - sum(want.values())) < 1e-6 and gap < 1e-6
+    with pytest.raises(ValueError):
+        selection.solved(*args, most=19)
+    assert selection.solved(args[0].limit(0), args[1], args[2]).count() == 0
+
+
+def test_gap_is_a_bound():
+    rng = random.Random(8)
+    costs = {(p, d): rng.random() for p in range(12) for d in range(10)}
+    pairs = {(a, b): 0.3 * rng.random() for a in range(10) for b in range(10) if a != b}
+    spatial = {(a, b): 0.2 for a in range(12) for b in range(a) if rng.random() < 0.3}
+    short, _, gap = selection.solve(costs, pairs, spatial, most_nodes=1)
+    energy, _, none = selection.solve(costs, pairs, spatial)
+    assert none == 0 and short - gap <= energy + 1e-9 <= short + 2e-9
 
 
 def test_radius_and_nearest(spark):
