@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -32,6 +33,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder as Parquet and reread: for tables that a loop of joins carries on.
+
+    A checkpoint keeps the size estimated of its plan, which joins multiply, so that in a loop its digits
+    double each round until planning never ends; a file has the size it has.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_batches(spark: SparkSession, rows: str = "1000") -> None:
     """Fewer rows at a time to Python workers, as rows hold whole texts: for a session that leaves Spark's default; one that has set a number keeps it."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -181,11 +181,14 @@ def substituted(primitives: DataFrame, directions: DataFrame, angles: list[float
     """Primitives with the normal of their direction's replacement (did, rx, ry, rz), turned to the ideal angle nearest to their own."""
     joined = primitives.join(bounded(directions.select("did", "rx", "ry", "rz")), "did", "left")
     own, other = g.Vec.of("nx", "ny", "nz"), g.Vec.of("rx", "ry", "rz")
-    best = an.nearest(g.angle(own, other), angles)
-    ideal = F.element_at(F.array(*[F.lit(float(a)) for a in angles]), best["index"] + 1)
-    new = g.plane_from(own, other, ideal, best["index"].isin(0, len(angles) - 1))
-    flip = F.when(new.dot(own) < 0, -1.0).otherwise(1.0)
-    return joined.withColumns({k: F.when(F.col("rx").isNull(), o).otherwise(v * flip) for k, o, v in zip(("nx", "ny", "nz"), own, new, strict=True)}).drop("rx", "ry", "rz")
+    # in steps of named columns: as one expression the generated code passes the limit of a method
+    joined = joined.withColumn("_best", an.nearest(g.angle(own, other), angles))
+    ideal = F.element_at(F.array(*[F.lit(float(a)) for a in angles]), F.col("_best.index") + 1)
+    new = g.plane_from(own, other, ideal, F.col("_best.index").isin(0, len(angles) - 1))
+    turned = joined.withColumn("_new", new.struct())
+    flip = F.when(g.Vec.field(F.col("_new")).dot(own) < 0, -1.0).otherwise(1.0)
+    out = turned.withColumn("_flip", flip)
+    return out.withColumns({k: F.when(F.col("rx").isNull(), o).otherwise(v * F.col("_flip")) for k, o, v in zip(("nx", "ny", "nz"), own, g.Vec.field(F.col("_new")), strict=True)}).drop("rx", "ry", "rz", "_best", "_new", "_flip")
 
 
 def correspondence_costs(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quoin.functions import geometry as g
-from quoin.lineage import cut
+from quoin.lineage import cut, written
 from quoin.operators import fit, graph
 from quoin.operators import joins as jn
 
@@ -30,13 +30,13 @@ def merge_round(points: DataFrame, primitives: DataFrame, scale: float, kind: st
     if edges.isEmpty():
         return points, primitives, 0
     to = graph.components(edges).where("node <> component").select(F.col("node").alias("gid"), F.col("component").alias("_to"))
-    moved = cut(points.join(to, "gid", "left").withColumn("gid", F.coalesce("_to", "gid")).drop("_to"))
+    moved = written(points.join(to, "gid", "left").withColumn("gid", F.coalesce("_to", "gid")).drop("_to"))
     gone = to.select("gid")
     changed = to.select(F.col("_to").alias("gid")).distinct()
     kept = primitives.join(gone, "gid", "left_anti")
     fresh = fit.fit_patches(moved.join(changed, "gid", "left_semi"), kind, scale).select("gid", *[F.col(c).alias("_" + c) for c in ("px", "py", "pz", "nx", "ny", "nz")])
     new = kept.join(fresh, "gid", "left").withColumns({c: F.coalesce("_" + c, c) for c in ("px", "py", "pz", "nx", "ny", "nz")}).drop("_px", "_py", "_pz", "_nx", "_ny", "_nz")
-    return moved, cut(new), gone.count()
+    return moved, written(new), gone.count()
 
 
 def merged(points: DataFrame, primitives: DataFrame, scale: float, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -55,7 +55,7 @@ def adopted(points: DataFrame, primitives: DataFrame, scale: float, rounds: int
         new = cut(jn.adopt_finite(points, extents, scale).select("pid", F.col("gid").alias("_gid")))
         if new.isEmpty():
             break
-        points = cut(points.join(new, "pid", "left").withColumn("gid", F.coalesce("gid", "_gid")).drop("_gid"))
+        points = written(points.join(new, "pid", "left").withColumn("gid", F.coalesce("gid", "_gid")).drop("_gid"))
     return points
 
 

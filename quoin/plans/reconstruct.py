@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quoin.functions.angles import angle_set
-from quoin.lineage import cut
+from quoin.lineage import cut, written
 from quoin.operators import aggregates as ag
 from quoin.operators import candidates as cd
 from quoin.operators import filters as fl
@@ -31,28 +31,28 @@ def reconstruct(points: DataFrame, scale: float, degrees: float = 10.0, pairwise
     if not segment.is_oriented(points):
         points = cut(segment.oriented(points, scale))
     points, prims = segment.patchify(points, scale, limit, least, tile=tile)
-    points, prims = cut(points), cut(prims)
+    points, prims = written(points), written(prims)
     need = 4.0
     k, left = 0, 0
     while k < rounds or left:
         angles = angle_set([] if k == 0 else list(generators))
         signif = ag.significance(ag.moments(points.where("gid is not null")))
-        prims = cut(fl.promoted(prims.withColumn("status", F.when(F.col("status") == ACTIVE, F.lit(ACTIVE)).otherwise(F.col("status"))), points, signif, least, need, scale))
+        prims = written(fl.promoted(prims.withColumn("status", F.when(F.col("status") == ACTIVE, F.lit(ACTIVE)).otherwise(F.col("status"))), points, signif, least, need, scale))
         made, left = cd.generate(prims, points, angles, limit, budget, generators=[math.radians(x) for x in generators] if k else None, safe=safe and k > 0)
-        made = cut(made)
-        prims = cut(fl.chosen_only(prims, made))
+        made = written(made)
+        prims = written(fl.chosen_only(prims, made))
         if not made.isEmpty():
-            prims = cut(_solved(points, prims, made, scale, angles, unary, pairwise, spatial_weight, budget))
+            prims = written(_solved(points, prims, made, scale, angles, unary, pairwise, spatial_weight, budget))
             active = prims.where(F.col("status") == ACTIVE)
             marked, best = rp.represent(points, active, signif)
-            again = cut(cd.with_own(best, cd.transplanted(best, angles, limit)))
+            again = written(cd.with_own(best, cd.transplanted(best, angles, limit)))
             if again.count() <= budget:
-                solved = cut(_solved(marked, best, again, scale, angles, unary, pairwise, spatial_weight, budget))
+                solved = written(_solved(marked, best, again, scale, angles, unary, pairwise, spatial_weight, budget))
                 back = rp.represent_back(active, solved.select(F.col("gid"), "nx", "ny", "nz").join(best.select("gid", "did"), "gid"), angles)
                 ways = solved.select("gid", F.col("did").alias("_new")).join(best.select("gid", F.col("did").alias("did")), "gid").select("did", "_new")
                 back = back.join(F.broadcast(ways), "did", "left").withColumn("did", F.coalesce("_new", "did")).select(*prims.columns)
-                prims = cut(back.unionByName(prims.where(F.col("status") != ACTIVE)))
-        points, prims = merge.merged(points, prims, scale)
+                prims = written(back.unionByName(prims.where(F.col("status") != ACTIVE)))
+        points, prims = (written(table) for table in merge.merged(points, prims, scale))
         need = need / 2 if not left else need
         k += 1
     points = merge.adopted(points, prims.where(F.col("status") != SMALL), scale)
@@ -63,7 +63,7 @@ def _solved(points: DataFrame, prims: DataFrame, made: DataFrame, scale: float,
     """prims with the chosen candidates' directions and normals, those chosen active."""
     near = spatial.patch_proximity(points, 2 * scale)
     terms = problem.formulate(points, made, near, angles, unary, pairwise, pairwise / 10 if spatial_weight is None else spatial_weight)
-    terms = {n: cut(d) for n, d in terms.items()}
+    terms = {n: written(d) for n, d in terms.items()}
     chosen = problem.select(terms, budget).where("status = 1").select("gid", "did", *[F.col(c).alias("_" + c) for c in ("px", "py", "pz", "nx", "ny", "nz")])
     out = prims.withColumnRenamed("did", "_old").join(chosen, "gid", "left").withColumn("did", F.coalesce("did", "_old")).withColumn("status", F.when(F.col("_px").isNull(), F.col("status")).otherwise(F.lit(ACTIVE)).cast("byte"))
     return out.withColumns({c: F.coalesce("_" + c, c) for c in ("px", "py", "pz", "nx", "ny", "nz")}).drop("_old", "_px", "_py", "_pz", "_nx", "_ny", "_nz").select(*prims.columns)
