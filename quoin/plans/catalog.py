@@ -15,7 +15,7 @@ from quoin.operators import aggregates as ag
 from quoin.operators import blocks
 from quoin.operators import evaluate as ev
 from quoin.operators import filters as fl
-from quoin.operators import fit, graph
+from quoin.operators import firstfit, fit, graph, outlines
 from quoin.operators import joins as jn
 from quoin.operators import problem as pb
 from quoin.operators import relations as rl
@@ -737,3 +737,37 @@ def displaced_scene(spark, d):
     """A generated scene under all three displacement kernels."""
     box = scene.box_scene(spark, 100)
     return scene.displaced(box, [scene.displacement(box, k, 0.01) for k in ("uniform", "normal", "bias")]).select("pid", "x", "y", "z")
+
+
+_RADIUS = 0.1
+
+_ALPHA = f"""WITH {v.PTS_EV}, p AS (SELECT DISTINCT gid, x, y FROM pts_ev WHERE gid IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL),
+e AS (SELECT a.gid, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, b.x - a.x AS dx, b.y - a.y AS dy, (b.x - a.x)*(b.x - a.x) + (b.y - a.y)*(b.y - a.y) AS d2
+  FROM p a JOIN p b ON a.gid = b.gid AND (a.x <> b.x OR a.y <> b.y)),
+c AS (SELECT *, (x1 + x2)/2 + sqrt({_RADIUS * _RADIUS:.17e} - d2/4)*dy/sqrt(d2) AS cx, (y1 + y2)/2 - sqrt({_RADIUS * _RADIUS:.17e} - d2/4)*dx/sqrt(d2) AS cy FROM e WHERE d2 < {4 * _RADIUS * _RADIUS:.17e}),
+o AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.gid = c.gid AND (p.x - cx)*(p.x - cx) + (p.y - cy)*(p.y - cy) < {_RADIUS * _RADIUS:.17e}*(1 - 1e-9)))
+SELECT gid, count(*) AS n_edges, {r("sum(x1*y2 - y1*x2)/2")} AS area FROM o GROUP BY gid"""
+
+
+@query("alpha_shapes", _ALPHA)
+def alpha_shapes(spark, d):
+    """Edges and area of the alpha shape of each user's events over time and value."""
+    points = t.points_events(spark, d).select("gid", "pid", F.col("x").alias("u"), F.col("y").alias("v"))
+    return rounded(outlines.shapes(outlines.alpha_edges(points, _RADIUS)), "area")
+
+
+_NEAR = "abs(l.nx*p.nx + l.ny*p.ny + l.nz*p.nz) >= cos(radians(25e0))"
+
+
+@query(
+    "first_fit_directions",
+    f"""WITH RECURSIVE {v.PTS_EMB}, p AS (SELECT pid, nx, ny, nz FROM pts_emb WHERE nx IS NOT NULL),
+walk(n, ls) AS (SELECT count(*), [min_by(struct_pack(pid := pid, nx := nx, ny := ny, nz := nz), pid)] FROM p
+  UNION ALL SELECT count(*), list_append(any_value(walk.ls), min_by(struct_pack(pid := p.pid, nx := p.nx, ny := p.ny, nz := p.nz), p.pid))
+  FROM walk, p WHERE len(list_filter(walk.ls, lambda l: {_NEAR})) = 0 HAVING count(*) > 0),
+leads AS (SELECT unnest(ls, recursive := true) FROM (SELECT ls FROM walk ORDER BY len(ls) DESC LIMIT 1))
+SELECT p.pid, min(l.pid) AS cluster FROM p JOIN leads l ON {_NEAR} GROUP BY p.pid""",
+)
+def first_fit_directions(spark, d):
+    """The first-fit cluster of each embedding's direction, 25 degrees wide."""
+    return firstfit.first_fit(t.points_embeddings(spark, d), 25.0).select("pid", "cluster")
