@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quoin.lineage import cut
+from quoin.llm.columns import renamed
 
 # The base patterns. Possessive forms and the conditions in front change no match; they
 # keep long runs linear (a match inside a run implies one at its start or where the last match ended).
@@ -311,9 +312,14 @@ def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Texts are searched once; what was found is kept in the shared folder until the classifier is
     fitted. Other columns stay; rows without spans are unchanged, null texts stay null, repeated rows
-    stay, and an empty table gives no rows. Columns starting with pii_ are reserved. Work grows in
-    proportion to the text.
+    stay, and an empty table gives no rows. Columns may have any names. Work grows in proportion to
+    the text.
     """
+    own, (own_text,) = renamed(docs, text_col)
+    return _masked(own, own_text).toDF(*docs.columns)
+
+
+def _masked(docs: DataFrame, text_col: str) -> DataFrame:
     detected = cut(detect(docs, text_col))
     _, every = _all_spans(fit(detected))
     text = F.col(text_col)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quoin.lineage import cut
+from quoin.llm.columns import renamed
 from quoin.operators.graph import components
 
 SEED = 42
@@ -514,9 +515,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Groups are the components of texts linked by similarity (see similar_groups), and equal texts;
     null texts count as empty ones, and all texts without words are one group. Rows of one id and
-    text are one. Only rows that may go are moved. An empty table gives no rows; columns stay as they
-    are; those starting with nd_ are reserved.
+    text are one. Only rows that may go are moved. An empty table gives no rows; columns may have any
+    names and stay as they are.
     """
+    own, (own_id, own_text) = renamed(docs, id_col, text_col)
+    return _one_of_each(own, own_id, own_text, words, least).toDF(*docs.columns)
+
+
+def _one_of_each(docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
     marked = docs.withColumn("nd_node", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).withColumn("nd_key", F.xxhash64("nd_node", F.col(id_col)))
     groups = cut(similar_groups(docs, text_col, words, least))
     ids = marked.groupBy("nd_node", F.col(id_col).alias("nd_id"), "nd_key").agg(F.count("*").alias("nd_rows"))
