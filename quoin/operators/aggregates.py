@@ -136,7 +136,8 @@ def energy(linear: DataFrame, quadratic: DataFrame, chosen: DataFrame | None = N
 def angle_histogram(pairs: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """(did, angle_id, n) of active pairs (did_a, did_b, diff, index) that lie at an ideal angle, counted for both directions."""
     exact = pairs.where(F.col("diff") < tolerance)
-    both = exact.select(F.col("did_a").alias("did"), F.col("index").alias("angle_id")).union(exact.select(F.col("did_b"), F.col("index")))
+    # exploded, so that the pairs are made once
+    both = exact.select(F.explode(F.array("did_a", "did_b")).alias("did"), F.col("index").alias("angle_id"))
     return both.groupBy("did", "angle_id").agg(F.count("*").alias("n"))
 
 
@@ -189,7 +190,10 @@ def sphere_map(directions: DataFrame, width: int = 360, height: int = 180) -> Da
 
 def pair_angle_histogram(pairs: DataFrame, step: float = 1.0) -> DataFrame:
     """(degrees, n): pair angles in degrees, rounded to step, modulo 180."""
-    return pairs.groupBy((F.pmod(F.round(F.degrees("angle") / step) * step, F.lit(180.0))).alias("degrees")).agg(F.count("*").alias("n"))
+    steps = F.degrees("angle") / step
+    # round() of a double makes decimals; angles aren't negative
+    whole = F.floor(steps) + F.when(steps - F.floor(steps) >= 0.5, 1).otherwise(0)
+    return pairs.groupBy((F.pmod(whole * F.lit(float(step)), F.lit(180.0))).alias("degrees")).agg(F.count("*").alias("n"))
 
 
 def relation_statistics(primitives: DataFrame) -> DataFrame:

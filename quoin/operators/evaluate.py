@@ -45,7 +45,7 @@ def angle_difference_errors(truth: DataFrame, estimate: DataFrame, share: float
     """(error): of pairs of matched primitives, the truth's angle against the estimate's; a hashed share of all pairs."""
     both = truth.select("gid", *[F.col(k).alias("t" + k) for k in ("nx", "ny", "nz")]).join(estimate.select("gid", "nx", "ny", "nz"), "gid")
     a, b = (both.select(*[F.col(c).alias(f"{c}_{s}") for c in both.columns]) for s in "ab")
-    pairs = a.join(jn.bounded(b), F.col("gid_a") < F.col("gid_b")).where(F.pmod(F.xxhash64("gid_a", "gid_b", F.lit(seed)), F.lit(10_000)) < share * 10_000)
+    pairs = jn.beside(a, b, F.col("gid_a") < F.col("gid_b"), ("gid_a", "gid_b")).where(F.pmod(F.xxhash64("gid_a", "gid_b", F.lit(seed)), F.lit(10_000)) < share * 10_000)
     t = g.angle(g.Vec.of("tnx_a", "tny_a", "tnz_a"), g.Vec.of("tnx_b", "tny_b", "tnz_b"))
     e = g.angle(g.Vec.of("nx_a", "ny_a", "nz_a"), g.Vec.of("nx_b", "ny_b", "nz_b"))
     return pairs.select("gid_a", "gid_b", F.abs(t - e).alias("error"))

@@ -32,7 +32,7 @@ def merged_directions(lines: DataFrame, angles: list[float], tolerance: float =
     """lines whose did is that of the smallest other gid at an ideal angle (within tolerance) to them, itself included."""
     a, b = (lines.select(*[F.col(c).alias(f"{c}_{s}") for c in ("gid", "did", "nx", "ny", "nz")]) for s in "ab")
     diff = an.nearest(g.angle(g.Vec.of("nx_a", "ny_a", "nz_a"), g.Vec.of("nx_b", "ny_b", "nz_b")), angles)["diff"]
-    first = a.join(jn.bounded(b), F.col("gid_b") <= F.col("gid_a")).where((diff < tolerance) | (F.col("gid_a") == F.col("gid_b"))).groupBy(F.col("gid_a").alias("gid")).agg(F.min_by("did_b", "gid_b").alias("did"))
+    first = jn.beside(b, a, F.col("gid_b") <= F.col("gid_a"), ("gid_b", "gid_a")).where((diff < tolerance) | (F.col("gid_a") == F.col("gid_b"))).groupBy(F.col("gid_a").alias("gid")).agg(F.min_by("did_b", "gid_b").alias("did"))
     return lines.drop("did").join(first, "gid")
 
 

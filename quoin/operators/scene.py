@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoin.functions import geometry as g
-from quoin.operators.joins import bounded
+from quoin.operators.joins import beside
 
 
 def swapped(points: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def first_hits(sources: DataFrame, segments: DataFrame, rays: int) -> DataFrame:
     """(sid, ray, gid, x, y): where each of rays evenly spread rays of each source (sid, x, y) first meets a segment (gid, x0, y0, x1, y1)."""
     way = F.col("ray") * (2 * math.pi / rays)
     cast = sources.select("sid", F.col("x").alias("ox"), F.col("y").alias("oy"), F.explode(F.sequence(F.lit(0), F.lit(rays - 1))).alias("ray")).withColumns({"rx": F.cos(way), "ry": F.sin(way)})
-    both = cast.crossJoin(bounded(segments))
+    both = beside(cast, segments)
     sx, sy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     cross = F.col("rx") * sy - F.col("ry") * sx
     qx, qy = F.col("x0") - F.col("ox"), F.col("y0") - F.col("oy")
