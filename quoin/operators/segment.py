@@ -35,48 +35,65 @@ def is_oriented(points: DataFrame) -> bool:
 
 
 class _Grid:
-    """Points by cell, for radius searches within one task."""
-
-    def __init__(self, xyz: np.ndarray, r: float):
-        self.xyz, self.r = xyz, r
-        self.cells: dict[tuple, list[int]] = {}
-        for i, c in enumerate(map(tuple, np.floor(xyz / r).astype(np.int64))):
-            self.cells.setdefault(c, []).append(i)
-
-    def near(self, i: int) -> list[int]:
-        c = np.floor(self.xyz[i] / self.r).astype(np.int64)
-        rows = [j for a in (-1, 0, 1) for b in (-1, 0, 1) for d in (-1, 0, 1) for j in self.cells.get((c[0] + a, c[1] + b, c[2] + d), ())]
-        rows = np.array(rows)
+    """Free points by cell, for radius searches within one task."""
+
+    def __init__(self, xyz: np.ndarray, r: float, patch: np.ndarray):
+        self.xyz, self.r, self.patch = xyz, r, patch
+        self.at = np.floor(xyz / r).astype(np.int64)
+        rows: dict[tuple, list[int]] = {}
+        for i, c in enumerate(map(tuple, self.at.tolist())):
+            rows.setdefault(c, []).append(i)
+        self.cells = {c: np.array(own) for c, own in rows.items()}
+
+    def near(self, i: int) -> np.ndarray:
+        """Points without a patch within r of i, the nearest first; cells lose those that have one."""
+        x, y, z = self.at[i].tolist()
+        found = []
+        for c in ((x + a, y + b, z + d) for a in (-1, 0, 1) for b in (-1, 0, 1) for d in (-1, 0, 1)):
+            own = self.cells.get(c)
+            if own is not None:
+                free = own[self.patch[own] < 0]
+                if len(free) < len(own):
+                    self.cells[c] = free
+                found.append(free)
+        rows = np.concatenate(found) if found else np.empty(0, np.int64)
         d2 = ((self.xyz[rows] - self.xyz[i]) ** 2).sum(axis=1)
         keep = d2 < self.r**2
         rows, d2 = rows[keep], d2[keep]
-        return [int(j) for j in rows[np.lexsort((rows, d2))] if j != i]
+        return rows[np.lexsort((rows, d2))]
+
+
+AHEAD = 64
 
 
 def grow(xyz: np.ndarray, normals: np.ndarray, r: float, limit: float) -> np.ndarray:
     """Patch number per point: from each free point in order, depth first, neighbours within r whose normal is within limit of the patch's running mean join."""
-    grid, patch = _Grid(xyz, r), np.full(len(xyz), -1, np.int64)
-    visited = np.zeros(len(xyz), bool)
+    patch = np.full(len(xyz), -1, np.int64)
+    grid = _Grid(xyz, r, patch)
     for seed in range(len(xyz)):
         if patch[seed] >= 0:
             continue
         patch[seed], total, count = seed, normals[seed].copy(), 1
+        # a point is put here once, when it joins
         stack = [seed]
         while stack:
-            i = stack.pop()
-            if visited[i]:
-                continue
-            visited[i] = True
-            for j in grid.near(i):
-                if patch[j] >= 0:
-                    continue
-                mean = total / count
-                a = np.arctan2(np.linalg.norm(np.cross(mean, normals[j])), mean @ normals[j])
-                if min(a, np.pi - a) > limit:
+            near, at = grid.near(stack.pop()), 0
+            while at < len(near):
+                # some neighbours at a time against the mean; the first to join changes it for those after
+                some, mean = near[at : at + AHEAD], total / count
+                n = normals[some]
+                cross = np.stack([mean[1] * n[:, 2] - mean[2] * n[:, 1], mean[2] * n[:, 0] - mean[0] * n[:, 2], mean[0] * n[:, 1] - mean[1] * n[:, 0]])
+                a = np.arctan2(np.sqrt((cross * cross).sum(axis=0)), n @ mean)
+                joins = ~(np.minimum(a, np.pi - a) > limit)
+                first = int(joins.argmax())
+                if not joins[first]:
+                    at += len(some)
                     continue
+                j = int(some[first])
                 patch[j] = seed
                 total, count = total + normals[j], count + 1
                 stack.append(j)
+                at += first + 1
     return patch
 
 
