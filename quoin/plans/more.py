@@ -580,15 +580,14 @@ def coaxial(spark, d):
 def correspondence_rows(spark, d):
     """Greedy one-to-one matches of suppliers with themselves: each is its own."""
     p = ag.plane_fit(t.points_lineitem(spark, d)).withColumn("status", F.lit(schema.ACTIVE))
-    return jn.matches(jn.correspondence_costs(p, p)).where("gid_a = gid_b").agg(F.count("*").alias("n"))
+    return jn.correspondences(p, p).where("gid_a = gid_b").agg(F.count("*").alias("n"))
 
 
 @query("correspondence_greedy", "SELECT s_suppkey*10 + 3 AS gid_a, s_suppkey*10 AS gid_b, 3e0 AS cost FROM supplier")
 def correspondence_greedy(spark, d):
     """Two shifted copies of the suppliers matched by the difference of their numbers."""
     s = t.read(spark, d, "supplier").select((F.col("s_suppkey") * 10).alias("gid"))
-    pairs = jn.beside(s.select((F.col("gid") + 3).alias("gid_a")), s.select(F.col("gid").alias("gid_b"))).withColumn("cost", F.abs(F.col("gid_a") - F.col("gid_b")).cast("double"))
-    return jn.matches(pairs)
+    return jn.matched(s.select(F.col("gid") + 3).toDF("gid"), s, lambda a, b, some: abs(a["gid"].to_numpy(dtype=float)[some, None] - b["gid"].to_numpy(dtype=float)))
 
 
 @query("subsampled_primitives", f"WITH {v.ASSOC}, n AS (SELECT gid, count(*) AS n FROM assoc_ord GROUP BY gid ORDER BY n DESC, gid LIMIT 25), k AS (SELECT a.*, n.n, row_number() OVER (PARTITION BY a.gid ORDER BY a.pid) AS k FROM assoc_ord a JOIN n ON n.gid = a.gid) SELECT pid, CASE WHEN k <= greatest(3, floor(n*0.5e0)) THEN gid END AS gid FROM k")
