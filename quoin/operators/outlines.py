@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quoin.functions import geometry as g
 from quoin.operators import graph
+from quoin.operators.spatial import dealt
 
 TOLERANCE = 1e-9
 
@@ -39,16 +40,18 @@ def alpha_edges(points: DataFrame, radius: float) -> DataFrame:
     reach = 2.0 * radius
     own = points.select(F.col("gid").cast("long").alias("gid"), F.col("pid").cast("long").alias("pid"), F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v")).dropna()
     own = own.groupBy("gid", "u", "v").agg(F.min("pid").alias("pid"))
+    # points stay in their cells and neighbours come there, so a point's pairs are made where its window is, and never moved
     celled = own.withColumns({"i": F.floor(F.col("u") / reach), "j": F.floor(F.col("v") / reach)})
     around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    a = celled.withColumn("o", around).select("gid", (F.col("i") + F.col("o.a")).alias("i"), (F.col("j") + F.col("o.b")).alias("j"), F.col("pid").alias("src"), F.col("u").alias("ua"), F.col("v").alias("va"))
-    b = celled.select("gid", "i", "j", F.col("pid").alias("dst"), F.col("u").alias("ub"), F.col("v").alias("vb"))
+    a = celled.select("gid", "i", "j", F.col("pid").alias("src"), F.col("u").alias("ua"), F.col("v").alias("va"))
+    b = celled.withColumn("o", around).select("gid", (F.col("i") + F.col("o.a")).alias("i"), (F.col("j") + F.col("o.b")).alias("j"), F.col("pid").alias("dst"), F.col("u").alias("ub"), F.col("v").alias("vb"))
     du, dv = F.col("ub") - F.col("ua"), F.col("vb") - F.col("va")
-    pairs = a.join(b, ["gid", "i", "j"]).where("src <> dst").withColumn("d", F.sqrt(du * du + dv * dv)).where(F.col("d") < reach * (1 - TOLERANCE))
+    cell = ["gid", "i", "j"]
+    pairs = dealt(a, *cell).join(dealt(b, *cell).hint("shuffle_hash"), cell).where("src <> dst").withColumn("d", F.sqrt(du * du + dv * dv)).where(F.col("d") < reach * (1 - TOLERANCE))
     # centres at these angles around src are nearer to dst than the radius
     half = F.acos(F.col("d") / reach)
     arcs = pairs.withColumn("half", half).withColumn("start", F.pmod(F.atan2(dv, du) - F.col("half"), F.lit(2 * math.pi))).withColumn("end", F.col("start") + 2 * F.col("half"))
-    point = Window.partitionBy("gid", "src")
+    point = Window.partitionBy(*cell, "src")
     in_turn = point.orderBy(F.round("start", 9), "d", "dst")
     before = F.max("end").over(in_turn.rowsBetween(Window.unboundedPreceding, -1))
     around_once = F.max("end").over(point) - 2 * math.pi
