@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quoin.functions import geometry as g
 from quoin.operators import joins as jn
+from quoin.operators import tiles
 
 
 def relation_scores(truth: DataFrame, estimate: DataFrame, matches: DataFrame) -> DataFrame:
@@ -16,11 +21,35 @@ def relation_scores(truth: DataFrame, estimate: DataFrame, matches: DataFrame) -
     t = truth.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
     hits = e.where("u is not null and v is not null").distinct().join(t, ["u", "v"], "left_semi").agg(F.count("*").alias("hits"))
     sizes = e.agg(F.count("*").alias("ne")).crossJoin(t.agg(F.count("*").alias("nt"))).crossJoin(hits)
+    return _scores(sizes)
+
+
+def _scores(sizes: DataFrame) -> DataFrame:
     p, r = F.try_divide("hits", "ne"), F.try_divide("hits", "nt")
     p, r = F.coalesce(p.cast("double"), F.lit(0.0)), F.coalesce(r.cast("double"), F.lit(0.0))
     return sizes.select(p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0)).alias("f"))
 
 
+def pair_scores(primitives: DataFrame, rules: Callable[[dict[str, np.ndarray], dict[str, np.ndarray]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """relation_scores() of relations that a rule tells from two rows, where estimate and truth name primitives alike: pairs are counted by tiles and never rows.
+
+    rules(a, b) gets the number columns of primitives (gid differs) as a column and as a row, and tells which pairs of them are edges of the truth
+    and of the estimate; each pair counts once.
+    """
+    names = [c for c in primitives.columns if c != "gid"]
+
+    def run(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
+        left, right = (dict(zip(names, tiles.numbers(f, *names), strict=True)) for f in (a, b))
+        out = np.zeros(3, np.int64)
+        for some in tiles.chunks(len(a)):
+            later = tiles.later(a, b, some, same)
+            truth, found = (x & later for x in rules({c: x[some, None] for c, x in left.items()}, right))
+            out += [found.sum(), truth.sum(), (truth & found).sum()]
+        return pd.DataFrame([out], columns=["ne", "nt", "hits"])
+
+    return _scores(tiles.within(primitives, run, "ne long, nt long, hits long").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("ne", "nt", "hits")]))
+
+
 def unambiguous(near: DataFrame, most: int = 1, tolerance: float = 0.2) -> DataFrame:
     """(pid, tid, distance): the nearest triangle of rows pid, tid, distance, tnx, tny, tnz; points near more than most triangles whose normals differ by over tolerance from the first one's (by tid) are left out."""
     first = near.groupBy("pid").agg(F.min_by(F.struct("tnx", "tny", "tnz"), "tid").alias("f"))
