@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quoin.functions import geometry as g
+from quoin.lineage import cut
 from quoin.operators import joins as jn
 from quoin.operators import tiles
 
@@ -59,9 +61,34 @@ def unambiguous(near: DataFrame, most: int = 1, tolerance: float = 0.2) -> DataF
 
 
 def triangle_assignment(points: DataFrame, triangles: DataFrame, scale: float, most: int = 1, tolerance: float = 0.2) -> DataFrame:
-    """(pid, tid, distance) of points near a triangle, by unambiguous()."""
-    normal = g.triangle_normal(*[g.Vec.of(c + "x", c + "y", c + "z") for c in "abc"])
-    return unambiguous(jn.near_triangles(points, triangles.withColumns({"tnx": normal.x, "tny": normal.y, "tnz": normal.z}), scale), most, tolerance)
+    """(pid, tid, distance) of points near a triangle, as unambiguous() gives it; triangles may have normals (tnx, tny, tnz) of their own.
+
+    A point may be near very many triangles, so pairs are never rows: points and triangles meet by tiles, once for the nearest, the first and how
+    many there are, and once more for the worst angle of points near more than most.
+    """
+    if "tnx" not in triangles.columns:
+        normal = g.triangle_normal(*[g.Vec.of(c + "x", c + "y", c + "z") for c in "abc"])
+        triangles = triangles.withColumns({"tnx": normal.x, "tny": normal.y, "tnz": normal.z})
+    corners = [c + k for c in "abc" for k in "xyz"]
+    own = cut(triangles.select("tid", *corners, "tnx", "tny", "tnz"))
+    counted = cut(jn.triangle_counts(points, own, scale, ("tnx", "tny", "tnz")))
+    asked = points.select("pid", "x", "y", "z").join(counted.where(F.col("n") > most).select("pid", "first"), "pid").select("pid", "x", "y", "z", *[F.col(f"first.tn{k}").alias(f"f{k}") for k in "xyz"])
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        first, normals, out = np.stack(tiles.numbers(a, "fx", "fy", "fz")), np.stack(tiles.numbers(b, "tnx", "tny", "tnz")), []
+        for i, j, _ in jn.triangle_pairs(a, b, scale):
+            u, v = normals[:, j], first[:, i]
+            cross = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+            angle = np.nan_to_num(np.arctan2(np.sqrt(cross[0] ** 2 + cross[1] ** 2 + cross[2] ** 2), u[0] * v[0] + u[1] * v[1] + u[2] * v[2]), nan=0.0)
+            angle = np.where(angle > math.pi / 2, math.pi - angle, angle)
+            starts = np.flatnonzero(np.diff(i, prepend=-1))
+            if len(i):
+                out.append(pd.DataFrame({"pid": a["pid"].to_numpy()[i[starts]], "worst": np.maximum.reduceat(angle, starts)}))
+        return tiles.together(out, "pid long, worst double")
+
+    worst = tiles.between(asked, own, run, "pid long, worst double", "pid", "tid").groupBy("pid").agg(F.max("worst").alias("worst"))
+    left = counted.join(worst.where(F.col("worst") > tolerance), "pid", "left_anti")
+    return left.select("pid", "best.tid", "best.distance")
 
 
 def recall(projections: DataFrame, limit: float) -> DataFrame:

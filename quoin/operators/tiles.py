@@ -47,18 +47,19 @@ def within(rows: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame, bool], pd
     return own.repartition(_parts(k * (k + 1) // 2), "_i", "_j").groupBy("_i", "_j").applyInPandas(each, schema)
 
 
-def between(one: DataFrame, two: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, key: str = "gid") -> DataFrame:
-    """What run makes of each tile of one with each of two; tiles are dealt by a hash of key, and come ascending by it."""
-    one, two = cut(one.where(F.col(key).isNotNull())), cut(two.where(F.col(key).isNotNull()))
+def between(one: DataFrame, two: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, key: str = "gid", other: str | None = None) -> DataFrame:
+    """What run makes of each tile of one with each of two; tiles are dealt by a hash of key (of two: other, if named), and come ascending by it."""
+    other = other or key
+    one, two = cut(one.where(F.col(key).isNotNull())), cut(two.where(F.col(other).isNotNull()))
     tasks = one.sparkSession.sparkContext.defaultParallelism
     ka, kb = _tiles(one.count(), tasks), _tiles(two.count(), tasks)
-    dealt = lambda rows, own, k, other, n: rows.withColumn(own, F.pmod(F.xxhash64(key), F.lit(k)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition(_parts(ka * kb), "_i", "_j").groupBy("_i", "_j")
+    dealt = lambda rows, by, own, k, beside, n: rows.withColumn(own, F.pmod(F.xxhash64(by), F.lit(k)).cast("int")).withColumn(beside, F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition(_parts(ka * kb), "_i", "_j").groupBy("_i", "_j")
 
     def each(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        side = lambda f: f.drop(columns=["_i", "_j"]).sort_values(key, kind="stable")
-        return run(side(a), side(b))
+        side = lambda f, by: f.drop(columns=["_i", "_j"]).sort_values(by, kind="stable")
+        return run(side(a, key), side(b, other))
 
-    return dealt(one, "_i", ka, "_j", kb).cogroup(dealt(two, "_j", kb, "_i", ka)).applyInPandas(each, schema)
+    return dealt(one, key, "_i", ka, "_j", kb).cogroup(dealt(two, other, "_j", kb, "_i", ka)).applyInPandas(each, schema)
 
 
 def numbers(frame: pd.DataFrame, *columns: str) -> list[np.ndarray]:
