@@ -23,8 +23,8 @@ def reconstruct(points: DataFrame, scale: float, degrees: float = 10.0, pairwise
     Small patches wait (status 2) until the significance they need, halved each round, lets them in.
     The first round allows parallels only, later ones the generators' angles, of which each direction
     keeps to the one its active primitives vote for. Candidates are safe: at an ideal angle to all of
-    their direction. Each round is solved again on one representative per direction, whose result is
-    carried back. Patches whose candidates don't fit the budget wait too; rounds are added until none
+    their direction. Each round is solved again on one representative per direction, whatever
+    their number of candidates, and the result is carried back. Patches whose candidates don't fit the budget wait too; rounds are added until none
     is left. tile, if given, is the side of the tiles that the cloud is grown in.
     """
     limit = math.radians(degrees)
@@ -43,15 +43,7 @@ def reconstruct(points: DataFrame, scale: float, degrees: float = 10.0, pairwise
         prims = written(fl.chosen_only(prims, made))
         if not made.isEmpty():
             prims = written(_solved(points, prims, made, scale, angles, unary, pairwise, spatial_weight, budget))
-            active = prims.where(F.col("status") == ACTIVE)
-            marked, best = rp.represent(points, active, signif)
-            again = written(cd.with_own(best, cd.transplanted(best, angles, limit)))
-            if again.count() <= budget:
-                solved = written(_solved(marked, best, again, scale, angles, unary, pairwise, spatial_weight, budget))
-                back = rp.represent_back(active, solved.select(F.col("gid"), "nx", "ny", "nz").join(best.select("gid", "did"), "gid"), angles)
-                ways = solved.select("gid", F.col("did").alias("_new")).join(best.select("gid", F.col("did").alias("did")), "gid").select("did", "_new")
-                back = back.join(F.broadcast(ways), "did", "left").withColumn("did", F.coalesce("_new", "did")).select(*prims.columns)
-                prims = written(back.unionByName(prims.where(F.col("status") != ACTIVE)))
+            prims = written(_solved_again(points, prims, signif, scale, angles, limit, unary, pairwise, spatial_weight))
         points, prims = (written(table) for table in merge.merged(points, prims, scale))
         need = need / 2 if not left else need
         k += 1
@@ -59,6 +51,21 @@ def reconstruct(points: DataFrame, scale: float, degrees: float = 10.0, pairwise
     return points, prims
 
 
+def _solved_again(points: DataFrame, prims: DataFrame, signif: DataFrame, scale: float, angles: list[float], limit: float, unary: float, pairwise: float, spatial_weight: float | None) -> DataFrame:
+    """prims with the result of the second level: the problem of one representative per direction, however many candidates they have.
+
+    The active patches fit the budget, so there are at most so many directions, and the problem holds at most their square.
+    """
+    active = prims.where(F.col("status") == ACTIVE)
+    marked, best = rp.represent(points, active, signif)
+    again = written(cd.with_own(best, cd.transplanted(best, angles, limit)))
+    solved = written(_solved(marked, best, again, scale, angles, unary, pairwise, spatial_weight, again.count()))
+    back = rp.represent_back(active, solved.select(F.col("gid"), "nx", "ny", "nz").join(best.select("gid", "did"), "gid"), angles)
+    ways = solved.select("gid", F.col("did").alias("_new")).join(best.select("gid", F.col("did").alias("did")), "gid").select("did", "_new")
+    back = back.join(F.broadcast(ways), "did", "left").withColumn("did", F.coalesce("_new", "did")).select(*prims.columns)
+    return back.unionByName(prims.where(F.col("status") != ACTIVE))
+
+
 def _solved(points: DataFrame, prims: DataFrame, made: DataFrame, scale: float, angles: list[float], unary: float, pairwise: float, spatial_weight: float | None, budget: int) -> DataFrame:
     """prims with the chosen candidates' directions and normals, those chosen active."""
     near = spatial.patch_proximity(points, 2 * scale)
