@@ -67,8 +67,8 @@ def numbers(frame: pd.DataFrame, *columns: str) -> list[np.ndarray]:
     return [frame[c].to_numpy(dtype=float, na_value=np.nan) for c in columns]
 
 
-def chunks(n: int) -> list[slice]:
-    return [slice(k, k + CHUNK) for k in range(0, n, CHUNK)]
+def chunks(n: int, size: int = CHUNK) -> list[slice]:
+    return [slice(k, k + size) for k in range(0, n, size)]
 
 
 def dot(a: list[np.ndarray], b: list[np.ndarray], some: slice) -> np.ndarray:
